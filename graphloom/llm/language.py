@@ -170,6 +170,28 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang",
     return train(x, got["y"].to_pylist(), window)
 
 
+def predict_batch(net: ByteCNN | None, col: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a column."""
+    n = len(col)
+    lang, score = [UND] * n, np.zeros(n)
+    if net is None or not n:
+        return lang, score
+    data, off = string_bytes(col)
+    logp, weight = np.zeros((n, len(net.languages))), np.zeros(n)
+    for x, of, size in windows(data, off, net.window, 2048):
+        np.add.at(logp, of, net.log_probabilities(x) * size[:, None])
+        np.add.at(weight, of, size)
+    p = logp / np.maximum(weight, 1)[:, None]
+    p = np.exp(p - p.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    best = p.argmax(1)
+    for i, t in enumerate(col):
+        s = t.as_py()
+        if s and LETTER.search(s):
+            lang[i], score[i] = net.languages[best[i]], p[i, best[i]]
+    return lang, score
+
+
 def predict(docs: DataFrame, net: ByteCNN | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, with lang_pred and score; the network is a few ten thousand numbers and travels with the task."""
     rows = require(docs, *keep, text)
@@ -177,22 +199,7 @@ def predict(docs: DataFrame, net: ByteCNN | None, text: str = "text", keep: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col, n = batch.column(len(keep)), batch.num_rows
-            lang, score = [UND] * n, np.zeros(n)
-            if net is not None and n:
-                data, off = string_bytes(col)
-                logp, weight = np.zeros((n, len(net.languages))), np.zeros(n)
-                for x, of, size in windows(data, off, net.window, 2048):
-                    np.add.at(logp, of, net.log_probabilities(x) * size[:, None])
-                    np.add.at(weight, of, size)
-                p = logp / np.maximum(weight, 1)[:, None]
-                p = np.exp(p - p.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                best = p.argmax(1)
-                for i, t in enumerate(col):
-                    s = t.as_py()
-                    if s and LETTER.search(s):
-                        lang[i], score[i] = net.languages[best[i]], p[i, best[i]]
+            lang, score = predict_batch(net, batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
@@ -202,3 +209,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = fit(docs, crc_remainder("doc_id", 4) != 2)
     return predict(docs, net).withColumn("held_out", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)))
+
+
+def keep_known(docs: DataFrame, net: ByteCNN | None, min_score: float = 0.35, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known: not `und`, and predicted with at least the least score.
+
+    Without a network only texts without a letter go."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = predict_batch(net, batch.column(at))
+            known = [LETTER.search(t.as_py() or "") is not None for t in batch.column(at)] if net is None else [a != UND and s >= min_score for a, s in zip(lang, score, strict=True)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
