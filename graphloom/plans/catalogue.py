@@ -5,6 +5,346 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import graph, link, retrieve, store
+from . import views as V
+from .views import AS_OF, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+QUERY = "antion retion aning"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The query vector: that of vec_id 0."""
+    return list(V.table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.merge_edges(V.raw_edges(spark, sf_dir))
+
+
+_TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(QUERY.split()))
+_DF = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(3))
+_BM = " + ".join(f"greatest(ln((n - df{i} + 0.5e0) / (df{i} + 0.5e0)), 1e-6) * tf{i} * 2.2e0 / (tf{i} + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))" for i in range(3))
+_LEX = rf"""t0 AS (SELECT id, row_seq, list_filter(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM n_docs),
+    tf AS (SELECT id, row_seq, len(w) AS dl, {_TF} FROM t0), fa AS (SELECT count(*) AS n, avg(dl) AS avgdl, {_DF} FROM tf),
+    bm AS (SELECT id, round({_BM}, 9) AS score FROM tf, fa WHERE tf0 + tf1 + tf2 > 0)"""
+_LEXTOP = "lex AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 30)"
+_VEC = "qv AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), vs AS (SELECT owner_id AS id, model_id, source, row_seq, round(list_cosine_similarity(v, q), 9) AS score FROM v_docs, qv)"
+_VECTOP = "vec AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= 20)"
+_FUSED = "fu AS (SELECT id, sum(1 / (60e0 + rank)) AS rrf, CASE WHEN count(DISTINCT k) > 1 THEN 'hybrid' ELSE min(k) END AS match_type FROM (SELECT id, rank, 'lexical' AS k FROM lex UNION ALL SELECT id, rank, 'semantic' FROM vec) GROUP BY id)"
+_WEIGHED = f"we AS (SELECT fu.id, title, match_type, round(rrf * pow(2, -greatest(epoch(TIMESTAMP '{AS_OF}') - epoch(updated_at), 0) / 604800e0) * importance, 9) AS score FROM fu JOIN n_docs USING (id))"
+
+
+@query(sql("n_docs") + f", {_LEX}, {_LEXTOP} SELECT id, score, rank FROM lex")
+def recall_lexical_bm25(spark, sf_dir):
+    return retrieve.lexical(V.n_docs(spark, sf_dir), QUERY, 30)
+
+
+@query(sql("n_docs") + f", {_LEX} SELECT id, 0.0e0 AS score, row_number() OVER (ORDER BY row_seq, id) AS rank FROM tf WHERE tf0 + tf1 + tf2 > 0 QUALIFY rank <= 30")
+def recall_lexical_rowid(spark, sf_dir):
+    return retrieve.lexical(V.n_docs(spark, sf_dir), QUERY, 30, "rowid")
+
+
+@query(sql("v_docs") + f", {_VEC}, {_VECTOP} SELECT id, score, rank FROM vec")
+def recall_vector(spark, sf_dir):
+    return retrieve.vector(V.v_docs(spark, sf_dir), first_vector(spark, sf_dir), 20)
+
+
+@query(sql("v_docs") + f", {_VEC} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs WHERE model_id = 'm1' QUALIFY rank <= 20")
+def recall_vector_by_model(spark, sf_dir):
+    return retrieve.vector(V.v_docs(spark, sf_dir), first_vector(spark, sf_dir), 20, "m1")
+
+
+@query(sql("n_docs", "v_docs") + f", {_LEX}, {_LEXTOP}, {_VEC}, {_VECTOP}, {_FUSED}, {_WEIGHED} SELECT * FROM we WHERE score > 0 ORDER BY score DESC, id LIMIT 10")
+def recall_hybrid_rrf(spark, sf_dir):
+    return retrieve.recall(V.n_docs(spark, sf_dir), V.v_docs(spark, sf_dir), None, QUERY, first_vector(spark, sf_dir), V.as_of())
+
+
+@query(sql("n_docs") + f", {_LEX}, p AS (SELECT id, split_part(id, '/', 2) AS project_id, score FROM bm), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, id) - 1 AS place FROM p) SELECT id, round(1 / (60e0 + place), 9) AS rrf, score FROM r ORDER BY rrf DESC, score DESC, id LIMIT 10")
+def recall_multi_project(spark, sf_dir):
+    nodes = V.n_docs(spark, sf_dir)
+    found = retrieve.lexical(nodes, QUERY, 1 << 30).withColumn("project_id", F.split_part("id", F.lit("/"), F.lit(2)))
+    return retrieve.fuse_projects(found, 10)
+
+
+@query(sql("n_docs") + ", a AS (SELECT row_seq, id, project_id FROM n_docs), e AS (SELECT a.id AS src, b.id AS dst FROM a JOIN a b ON a.project_id = b.project_id AND b.row_seq = a.row_seq + 1)" + f", {_LEX}, top AS (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 5) SELECT DISTINCT e.dst AS id FROM top JOIN e ON e.src = top.id WHERE e.dst NOT IN (SELECT id FROM top)")
+def recall_graph_expand(spark, sf_dir):
+    """What the graph adds to the best hits: documents that follow them in their project."""
+    n = V.n_docs(spark, sf_dir)
+    follow = n.select("project_id", (F.col("row_seq") - 1).alias("row_seq"), F.col("id").alias("to_id"))
+    e = n.select("project_id", "row_seq", F.col("id").alias("from_id")).join(follow, ["project_id", "row_seq"]).select("from_id", "to_id", F.lit("follows").alias("edge_type"), F.lit(1.0).alias("confidence"), F.lit(False).alias("bidirectional"))
+    top = retrieve.lexical(n, QUERY, 5)
+    return graph.bfs(e, top.select(F.col("id").alias("start")), 1).select("id").distinct().join(top.select("id"), "id", "left_anti")
+
+
+@query(sql("raw", "e_biz") + ", r AS (SELECT from_id AS id, 'structural' AS relation, row_number() OVER (PARTITION BY from_id ORDER BY confidence DESC, to_id, edge_type) AS rank, to_id, edge_type, confidence FROM e_biz WHERE from_id LIKE 'part/%') SELECT * FROM r WHERE rank <= 3")
+def recall_enriched(spark, sf_dir):
+    n = V.n_biz(spark, sf_dir).where("project_id = 'part'")
+    return retrieve.enrich(n, edges(spark, sf_dir), 3)
+
+
+@query(sql("turns") + ", p AS (SELECT *, row_number() OVER (PARTITION BY parent_node_id ORDER BY chunk_index, id) - 1 AS place, count(*) OVER (PARTITION BY parent_node_id) AS total FROM turns) SELECT id, parent_node_id, place, total, CASE WHEN total > 3 THEN 3 ELSE -1 END AS next_start FROM p WHERE place < 3")
+def recall_chunks_page(spark, sf_dir):
+    return retrieve.chunk_page(V.turns(spark, sf_dir), 0, 3).select("id", "parent_node_id", "place", "total", "next_start")
+
+
+@query(sql("turns") + ", p AS (SELECT DISTINCT ON (parent_node_id, chunk_index) * FROM turns ORDER BY parent_node_id, chunk_index, id) SELECT id, coalesce(lag(id) OVER w, '') AS prev_chunk_id, coalesce(lead(id) OVER w, '') AS next_chunk_id FROM p WINDOW w AS (PARTITION BY parent_node_id ORDER BY chunk_index)")
+def chunk_pointers(spark, sf_dir):
+    chunks = V.turns(spark, sf_dir).dropDuplicates(["parent_node_id", "chunk_index"])
+    return store.link_chunks(chunks).select("id", "prev_chunk_id", "next_chunk_id")
+
+
+_BFS = "b(id, depth) AS (SELECT 'order/1', 0 UNION SELECT step.dst, b.depth + 1 FROM b JOIN step ON step.src = b.id WHERE b.depth < 3), m AS (SELECT id, min(depth) AS depth FROM b GROUP BY id)"
+
+
+@query(sql("raw", "e_biz", "step", recursive=True) + f", {_BFS} SELECT 'order/1' AS start, m.id, m.depth, max(step.confidence) AS confidence FROM m JOIN step ON step.dst = m.id JOIN m p ON p.id = step.src AND p.depth = m.depth - 1 WHERE m.depth > 0 GROUP BY ALL")
+def bfs_neighbors(spark, sf_dir):
+    seed = spark.createDataFrame([("order/1",)], "start string")
+    return graph.bfs(edges(spark, sf_dir), seed, 3)
+
+
+@query(sql("raw", "e_biz") + ", d1 AS (SELECT from_id AS start, to_id AS id FROM e_biz WHERE from_id LIKE 'part/%' AND edge_type = 'implements'), d2 AS (SELECT DISTINCT d1.start, e.to_id AS id FROM d1 JOIN e_biz e ON e.from_id = d1.id AND e.edge_type = 'depends-on') SELECT start, id, 1 AS depth, 'stale' AS status FROM d1 UNION ALL SELECT start, id, 2, 'stale' FROM d2")
+def impact_stale(spark, sf_dir):
+    parts = V.n_biz(spark, sf_dir).where("project_id = 'part'").select(F.col("id").alias("start"))
+    return graph.impact(edges(spark, sf_dir), parts, 2)
+
+
+@query(sql("raw", "e_biz", "step", recursive=True) + ", b(id, path) AS (SELECT 'order/1', ['order/1'] UNION SELECT step.dst, list_append(b.path, step.dst) FROM b JOIN step ON step.src = b.id WHERE len(b.path) < 4 AND NOT list_contains(b.path, step.dst) AND b.id NOT LIKE 'nation/%'), g AS (SELECT path FROM b WHERE id = (SELECT 'nation/' || c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey = 1) ORDER BY len(path), path LIMIT 1) SELECT CAST(unnest(range(len(path))) AS INTEGER) AS hop, unnest(path) AS id FROM g")
+def shortest_path(spark, sf_dir):
+    customer = V.table(spark, sf_dir, "orders").where("o_orderkey = 1").join(V.table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).select("c_nationkey").first()
+    return graph.shortest_path(edges(spark, sf_dir), "order/1", f"nation/{customer[0]}")
+
+
+@query(sql("raw", "e_biz") + ", x AS (SELECT 'out' AS direction, to_id AS other, edge_type, confidence FROM e_biz WHERE from_id = 'supplier/1' UNION ALL SELECT 'in', from_id, edge_type, confidence FROM e_biz WHERE to_id = 'supplier/1'), y AS (SELECT *, count(*) OVER (PARTITION BY direction) AS total, row_number() OVER (PARTITION BY direction ORDER BY confidence DESC, other, edge_type) AS rank FROM x) SELECT * FROM y WHERE rank <= 20")
+def query_graph(spark, sf_dir):
+    return graph.neighbourhood(edges(spark, sf_dir), "supplier/1")
+
+
+@query(sql("n_biz", "raw", "e_biz") + " SELECT from_id, to_id, edge_type, confidence, a.title AS from_title, b.title AS to_title FROM e_biz LEFT JOIN n_biz a ON a.id = from_id LEFT JOIN n_biz b ON b.id = to_id WHERE (a.project_id = 'supplier' OR b.project_id = 'supplier') AND confidence_tier <> 'PROPOSED' ORDER BY confidence DESC, from_id, to_id, edge_type LIMIT 5000")
+def project_graph(spark, sf_dir):
+    n, e = V.n_biz(spark, sf_dir), store.with_ends(edges(spark, sf_dir), V.n_biz(spark, sf_dir))
+    title = lambda s: n.select(F.col("id").alias(f"{s}_id"), F.col("title").alias(f"{s}_title"))
+    mine = graph.project_edges(e, F.lit("supplier"), F.col("from_project"), F.col("to_project")).where("confidence_tier <> 'PROPOSED'").orderBy(F.col("confidence").desc(), "from_id", "to_id", "edge_type").limit(5000)
+    return mine.join(title("from"), "from_id", "left").join(title("to"), "to_id", "left").select("from_id", "to_id", "edge_type", "confidence", "from_title", "to_title")
+
+
+@query(sql("raw", "e_biz") + " SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM e_biz UNION ALL SELECT to_id FROM e_biz) GROUP BY id")
+def graph_degree(spark, sf_dir):
+    return graph.degrees(edges(spark, sf_dir))
+
+
+@query(sql("raw", "e_biz") + ", p AS (SELECT split_part(from_id, '/', 1) AS a, split_part(to_id, '/', 1) AS b FROM e_biz) SELECT project, other, count(*) AS edges FROM (SELECT a AS project, b AS other FROM p WHERE a <> b UNION ALL SELECT b, a FROM p WHERE a <> b) GROUP BY ALL")
+def linked_projects(spark, sf_dir):
+    return graph.linked_projects(store.with_ends(edges(spark, sf_dir), V.n_biz(spark, sf_dir)))
+
+
+@query(sql("raw", "e_biz") + " SELECT to_id AS id, count(*) AS edges FROM e_biz WHERE from_id LIKE 'part/%' AND to_id LIKE 'supplier/%' GROUP BY 1")
+def cross_project_nodes(spark, sf_dir):
+    return graph.cross_project_nodes(store.with_ends(edges(spark, sf_dir), V.n_biz(spark, sf_dir)), "supplier", "part")
+
+
+@query(sql("n_docs", "v_docs") + " SELECT project_id, count(*) AS nodes, count(*) FILTER (status = 'stale') AS stale, count(*) FILTER (node_type = 'convention') AS conventions, 0 AS edges, count(owner_id) AS vectors FROM n_docs LEFT JOIN v_docs ON owner_id = id GROUP BY 1")
+def stats(spark, sf_dir):
+    none = edges(spark, sf_dir)
+    return store.project_stats(V.n_docs(spark, sf_dir), none, V.v_docs(spark, sf_dir))
+
+
+@query(sql("raw", "e_biz") + " SELECT edge_type, count(*) AS edges FROM e_biz GROUP BY 1")
+def edge_type_counts(spark, sf_dir):
+    return store.edge_type_counts(edges(spark, sf_dir))
+
+
+@query(sql("n_biz", "raw", "e_biz") + ", e AS (SELECT split_part(from_id, '/', 1) AS project_id, count(*) AS edges FROM e_biz GROUP BY 1) SELECT n.project_id, count(*) AS nodes, coalesce(any_value(e.edges), 0) AS edges FROM n_biz n LEFT JOIN e ON e.project_id = n.project_id GROUP BY 1")
+def list_projects(spark, sf_dir):
+    n = V.n_biz(spark, sf_dir).withColumn("status", F.lit("current"))
+    none = spark.createDataFrame([], "owner_id string")
+    return store.project_stats(n, edges(spark, sf_dir), none).select("project_id", "nodes", "edges")
+
+
+@query(sql("n_docs", "v_docs") + " SELECT project_id, count(*) > 0 AS has_nodes, count(owner_id) > 0 AS has_vectors, count(owner_id) = count(*) AS complete FROM n_docs LEFT JOIN v_docs ON owner_id = id GROUP BY 1")
+def onboard_check(spark, sf_dir):
+    s = store.project_stats(V.n_docs(spark, sf_dir), edges(spark, sf_dir), V.v_docs(spark, sf_dir))
+    return s.select("project_id", (F.col("nodes") > 0).alias("has_nodes"), (F.col("vectors") > 0).alias("has_vectors"), (F.col("nodes") == F.col("vectors")).alias("complete"))
+
+
+@query(sql("n_docs") + f" SELECT id, title FROM n_docs WHERE updated_at > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY ORDER BY updated_at DESC, id LIMIT 100")
+def check_recent(spark, sf_dir):
+    return store.updated_after(V.n_docs(spark, sf_dir), V.as_of() - F.make_dt_interval(F.lit(7))).select("id", "title")
+
+
+@query(sql("n_biz") + " SELECT id, importance FROM n_biz WHERE node_type IN ('biz:part', 'biz:supplier') ORDER BY importance DESC, id LIMIT 50")
+def top_importance(spark, sf_dir):
+    return store.top_importance(V.n_biz(spark, sf_dir), ["biz:part", "biz:supplier"], 50).select("id", "importance")
+
+
+@query(sql("n_docs") + " SELECT id, title FROM n_docs WHERE project_id = 'docs::stage:en' ORDER BY created_at DESC, id LIMIT 50 OFFSET 10")
+def list_nodes(spark, sf_dir):
+    return store.list_nodes(V.n_docs(spark, sf_dir), "docs::stage:en", ["generic-doc"], 50, 10).select("id", "title")
+
+
+@query(sql("raw", "e_biz") + " SELECT * FROM e_biz")
+def edge_upsert_merge(spark, sf_dir):
+    return edges(spark, sf_dir).drop("created_at")
+
+
+@query(sql("n_docs") + " SELECT id, CASE WHEN row_seq % 3 = 0 THEN 'again' ELSE title END AS title, CASE WHEN row_seq % 3 = 0 THEN 'default' ELSE project_id END AS project_id, created_at = created_at AS kept FROM n_docs")
+def node_upsert(spark, sf_dir):
+    n = V.n_docs(spark, sf_dir)
+    new = n.where("row_seq % 3 = 0").withColumns({"title": F.lit("again"), "project_id": F.lit("")})
+    out = store.upsert_nodes(n, new, V.as_of()).join(n.select("id", F.col("created_at").alias("was")), "id")
+    return out.select("id", "title", "project_id", (F.col("created_at") == F.col("was")).alias("kept"))
+
+
+@query(sql("n_biz", "raw", "e_biz") + " SELECT (SELECT count(*) FROM n_biz WHERE project_id = 'supplier') AS nodes, (SELECT count(*) FROM e_biz WHERE from_id LIKE 'supplier/%' OR to_id LIKE 'supplier/%') AS edges, 0 AS vectors")
+def clear_project(spark, sf_dir):
+    none = spark.createDataFrame([], "owner_id string")
+    return store.clear_counts("supplier", V.n_biz(spark, sf_dir), edges(spark, sf_dir), none)
+
+
+@query(sql("raw", "e_biz") + " SELECT edge_type, count(*) AS edges FROM e_biz WHERE from_id NOT IN ('supplier/1', 'part/1') AND to_id NOT IN ('supplier/1', 'part/1') GROUP BY 1")
+def forget(spark, sf_dir):
+    ids = spark.createDataFrame([("supplier/1",), ("part/1",)], "id string")
+    chunks, vectors = spark.createDataFrame([], "id string, parent_node_id string"), spark.createDataFrame([], "owner_id string")
+    return store.edge_type_counts(store.forget(ids, V.n_biz(spark, sf_dir), edges(spark, sf_dir), chunks, vectors)[1])
+
+
+@query("SELECT 'order/' || o_orderkey AS from_id, 'nation/' || n_nationkey AS to_id, 'mentions' AS edge_type, 0.85e0 AS confidence FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey < 10")
+def resolve_unresolved(spark, sf_dir):
+    """Orders mention the names of their customers' nations; ten of the nations are nodes by now."""
+    nations = V.table(spark, sf_dir, "nation")
+    refs = V.table(spark, sf_dir, "orders").join(V.table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).join(nations, F.expr("c_nationkey = n_nationkey")).select(F.lit("nation").alias("project_id"), F.concat(F.lit("order/"), "o_orderkey").alias("source_id"), F.col("n_name").alias("mention"), F.lit("mentions").alias("relation"))
+    known = nations.where("n_nationkey < 10").select(F.lit("nation").alias("project_id"), F.concat(F.lit("nation/"), "n_nationkey").alias("id"), F.col("n_name").alias("title"))
+    return store.resolve_unresolved(refs, known)[0]
+
+
+@query(sql("v_docs") + f", {_VEC}, t AS (SELECT v_docs.owner_id AS id, v_docs.source, v, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs JOIN v_docs ON owner_id = id QUALIFY rank <= 15) SELECT a.id AS a_id, b.id AS b_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM t a JOIN t b ON a.rank < b.rank AND a.source <> b.source WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.1")
+def cross_source_links(spark, sf_dir):
+    v = V.v_docs(spark, sf_dir)
+    best = retrieve.vector(v, first_vector(spark, sf_dir), 15).join(v.select(F.col("owner_id").alias("id"), "source", "embedding"), "id")
+    return retrieve.cross_source_links(best, 0.1)
+
+
+@query(sql("n_docs") + " SELECT sha256(content) AS content_hash, min(id) AS id, count(*) AS copies FROM n_docs GROUP BY 1 HAVING count(*) > 1")
+def dedupe_exact(spark, sf_dir):
+    return link.exact_copies(V.n_docs(spark, sf_dir))
+
+
+@query(sql("v_docs") + ", p AS (SELECT a.owner_id AS fact, b.owner_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v_docs a JOIN v_docs b ON a.label = b.label AND a.owner_id <> b.owner_id) SELECT fact, arg_min(id, (-similarity, id)) AS id, max(similarity) AS similarity FROM p WHERE similarity >= 0.3 GROUP BY 1")
+def dedupe_semantic(spark, sf_dir):
+    v = V.v_docs(spark, sf_dir).select(F.col("owner_id").alias("id"), F.col("label").alias("node_type"), "embedding")
+    return link.nearest_of_kind(v, v, 0.3)
+
+
+@query(sql("log") + f", r AS (SELECT DISTINCT session_id, node_id FROM log WHERE accessed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) SELECT a.node_id AS from_id, b.node_id AS to_id, count(*) AS sessions FROM r a JOIN r b ON a.session_id = b.session_id AND a.node_id < b.node_id GROUP BY ALL HAVING count(*) >= 3")
+def co_access_edges(spark, sf_dir):
+    return link.co_access(V.access_log(spark, sf_dir), V.as_of(), 30 * 86400)
+
+
+@query(sql("log") + " SELECT node_id, count(*) AS access_count, max(accessed_at) AS last_accessed_at FROM log GROUP BY 1")
+def access_stats(spark, sf_dir):
+    return store.access_stats(V.access_log(spark, sf_dir)).withColumn("last_accessed_at", F.col("last_accessed_at").cast("timestamp_ntz"))
+
+
+@query(r"SELECT p_brand AS package, CASE WHEN regexp_extract(p_name, '^([A-Z][a-z]{2,})', 1) <> '' THEN regexp_extract(p_name, '^([A-Z][a-z]{2,})', 1) ELSE regexp_extract(p_name, '^([a-z]{2,})', 1) END AS prefix, count(*) AS members FROM part GROUP BY ALL HAVING prefix <> '' AND count(*) >= 2")
+def name_conventions(spark, sf_dir):
+    return link.conventions(V.table(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), F.col("p_name").alias("name")))
+
+
+@query(r"SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(translate(p_name, '-_.', '   '), '([a-z])([A-Z])', '\1 \2', 'g')), ' +'), lambda x: x <> ''), ' ') AS tokens FROM part")
+def identifier_tokens(spark, sf_dir):
+    return V.table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.identifier_tokens(F.col("p_name")), " ").alias("tokens"))
+
+
+_HIER = r"""l AS (SELECT id, CASE WHEN contains(source_path, '/') THEN regexp_extract(source_path, '^(.*)/[^/]*$', 1) ELSE '' END AS dir FROM files WHERE source_path <> ''),
+    a AS (SELECT DISTINCT array_to_string(list_slice(string_split(dir, '/'), 1, i), '/') AS dir FROM l, LATERAL (SELECT unnest(range(0, CASE WHEN dir = '' THEN 1 ELSE len(string_split(dir, '/')) + 1 END)) AS i)),
+    u AS (SELECT dir, CASE WHEN contains(dir, '/') THEN regexp_extract(dir, '^(.*)/[^/]*$', 1) ELSE '' END AS up FROM a),
+    c AS (SELECT up, count(*) AS children FROM u WHERE dir <> '' GROUP BY 1), f AS (SELECT dir, count(*) AS leaves FROM l GROUP BY 1),
+    s AS (SELECT a.dir FROM a LEFT JOIN c ON c.up = a.dir LEFT JOIN f ON f.dir = a.dir WHERE a.dir = '' OR leaves > 0 OR coalesce(children, 0) <> 1)"""
+
+
+@query(sql("files") + f", {_HIER} SELECT 'pages/dir/' || dir AS id, 'directory' AS node_type, dir AS source_path FROM s")
+def hierarchy_nodes(spark, sf_dir):
+    return link.hierarchy(V.page_files(spark, sf_dir), "pages")[0]
+
+
+@query(sql("files") + f", {_HIER}, w AS (SELECT id, dir AS at FROM l UNION ALL SELECT 'pages/dir/' || u.dir, u.up FROM u JOIN s ON s.dir = u.dir WHERE u.dir <> '') SELECT 'pages/dir/' || arg_max(s.dir, length(s.dir)) AS from_id, w.id AS to_id, 'contains' AS edge_type, 1.0e0 AS confidence, 'EXTRACTED' AS confidence_tier FROM w JOIN s ON s.dir = '' OR w.at = s.dir OR starts_with(w.at, s.dir || '/') GROUP BY w.id")
+def hierarchy_edges(spark, sf_dir):
+    return link.hierarchy(V.page_files(spark, sf_dir), "pages")[1]
+
+
+@query("""SELECT DISTINCT a.page_id AS from_id, b.page_id AS to_id FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"#?]+)"', 1)) AS link FROM pages) a JOIN pages b ON b.url = a.link WHERE a.page_id <> b.page_id""")
+def doc_links(spark, sf_dir):
+    p = V.table(spark, sf_dir, "pages")
+    link_ = p.select(F.col("page_id").alias("from_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"#?]+)"'), 1)).alias("url"))
+    return link_.join(p.select("url", F.col("page_id").alias("to_id")), "url").where("from_id <> to_id").select("from_id", "to_id").distinct()
+
+
+@query("SELECT n_name AS name, CASE WHEN contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name)) THEN 0 ELSE 1 END AS grade, levenshtein(lower(n_name), 'nation_1') AS distance FROM nation WHERE contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name)) OR levenshtein(lower(n_name), 'nation_1') <= 2")
+def fuzzy_projects(spark, sf_dir):
+    return link.similar_names(V.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "NATION_1")
+
+
+@query("WITH p AS (SELECT DISTINCT lang, lang || '::stage:' || lang AS p FROM documents WHERE lang IS NOT NULL UNION SELECT '', 'base') SELECT a.p AS a, b.p AS b, (a.lang = '' OR b.lang = '' OR a.lang = b.lang) AS visible FROM p a, p b")
+def scope_visibility(spark, sf_dir):
+    lang = V.table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(S.encode_scope(F.col("lang"), F.col("lang")).alias("p")).distinct().union(spark.createDataFrame([("base",)], "p string"))
+    pairs = lang.select(F.col("p").alias("a")).crossJoin(lang.select(F.col("p").alias("b")))  # one row for each project
+    return pairs.select("a", "b", S.edge_visible(F.col("a"), F.col("b")).alias("visible"))
+
+
+@query(sql("n_docs") + " SELECT id, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS excerpt FROM n_docs")
+def content_excerpts(spark, sf_dir):
+    return V.n_docs(spark, sf_dir).select("id", S.excerpt(F.col("content")).alias("excerpt"))
+
+
+@query(sql("v_docs") + """, n AS (SELECT owner_id AS id, 'code:' || label AS t, source || '_' || row_seq AS title, source || '/' || row_seq || '.py' AS path, source, v, row_seq FROM v_docs),
+    p AS (SELECT a.id AS from_id, b.id AS to_id, round(0.4e0 * list_cosine_similarity(a.v, b.v) + 0.2e0 * (CASE WHEN a.t = b.t THEN 1 ELSE 0.5e0 END) + 0.2e0 * (CASE WHEN a.source = b.source THEN 0.5e0 ELSE 0 END) + 0.2e0 * (CASE WHEN a.source = b.source THEN 1 / 3e0 ELSE 0 END), 6) AS confidence FROM n a JOIN n b ON a.id < b.id)
+    SELECT from_id, to_id, CASE WHEN confidence > 0.8 THEN 'auto-linked' ELSE 'proposed' END AS edge_type, confidence, CASE WHEN confidence > 0.8 THEN 'INFERRED' ELSE 'PROPOSED' END AS confidence_tier FROM p WHERE confidence >= 0.55""")
+def tier2_links(spark, sf_dir):
+    """Vectors as code files: `source_<id>` in directory `source`, of ten types."""
+    v = V.v_docs(spark, sf_dir)
+    n = v.select(F.col("owner_id").alias("id"), F.concat(F.lit("code:"), "label").alias("node_type"), F.concat_ws("_", "source", F.col("row_seq").cast("string")).alias("title"), F.concat("source", F.lit("/"), "row_seq", F.lit(".py")).alias("source_path"), "embedding")
+    return link.similarity_links(n)
+
+
+@query("WITH s AS (SELECT p_partkey, p_name AS label, p_brand AS file, count(*) OVER (PARTITION BY p_name) AS n FROM part), c AS (SELECT 'f' || p_partkey AS caller, p_name AS callee, p_type AS file FROM part) SELECT caller AS from_id, 'part/' || p_partkey AS to_id, 'calls' AS edge_type, 0.8e0 AS confidence, 'INFERRED' AS confidence_tier FROM c JOIN s ON s.label = c.callee WHERE n = 1 AND c.file <> s.file")
+def call_resolution(spark, sf_dir):
+    p = V.table(spark, sf_dir, "part")
+    calls = p.select(F.concat(F.lit("f"), "p_partkey").alias("caller"), F.col("p_name").alias("callee"), F.lit("py").alias("lang"), F.col("p_type").alias("file"))
+    symbols = p.select(F.concat(F.lit("part/"), "p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("py").alias("lang"), F.col("p_brand").alias("file"))
+    return link.resolve_calls(calls, symbols, spark.createDataFrame([], "file string, target_file string"), 10)
+
+
+@query("WITH b AS (SELECT p_brand, p_type, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS k FROM part GROUP BY ALL), c AS (SELECT *, count(*) OVER (PARTITION BY p_type) AS n FROM b) SELECT 'part/' || a.k AS from_id, 'part/' || b.k AS to_id, 'cross-project-call' AS edge_type, 0.7e0 AS confidence, true AS bidirectional FROM c a JOIN c b ON a.p_type = b.p_type AND a.p_brand < b.p_brand WHERE a.n <= 20")
+def cross_project_links(spark, sf_dir):
+    p = V.table(spark, sf_dir, "part")
+    s = p.select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("id"), F.col("p_type").alias("label"), F.lit("py").alias("lang"), F.col("p_brand").alias("project_id"), F.col("p_retailprice").alias("importance"))
+    name = lambda c: F.concat(F.lit("part/"), F.col(c).cast("long").cast("string"))
+    return link.cross_project_links(s).withColumns({"from_id": name("from_id"), "to_id": name("to_id")})
+
+
+@query(sql("log") + ", g AS (SELECT user_id, accessed_at, CASE WHEN accessed_at - lag(accessed_at) OVER (PARTITION BY user_id ORDER BY accessed_at) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM log), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY accessed_at ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(accessed_at) AS started, count(*) AS accesses FROM h GROUP BY user_id, s")
+def session_windows(spark, sf_dir):
+    from ..streaming import access
+
+    return access.sessions(V.access_log(spark, sf_dir)).withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+@query()
+def chunk_text(spark, sf_dir):
+    from ..operators import ingest
+
+    return ingest.chunk_documents(V.n_docs(spark, sf_dir).select("id", "node_type", F.col("content")))
