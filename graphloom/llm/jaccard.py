@@ -36,6 +36,8 @@ SAMPLE = 8000
 HOT = 1 << 17
 #: Lists of more entries are compared leader by leader, block by block.
 LONG = 32
+#: Size of the filter that lets the texts of index members through to the second pass: 2 MB.
+BITS = 1 << 24
 POSITIONS = 128  #: entries of a block
 _hasher = WordHasher()
 
@@ -116,6 +118,21 @@ def frequent(docs: DataFrame, n: int, sample: int, rows: int) -> np.ndarray:
     return np.ascontiguousarray(got["token"].to_numpy().astype(np.int64).view(np.uint64)[::-1])
 
 
+def _bit(column: str):
+    return F.pmod(F.xxhash64(column, F.lit(29)), F.lit(BITS))
+
+
+def member_bits(members: DataFrame) -> np.ndarray:
+    """A filter of BITS bits, whatever the number of members: texts that it lets through beyond the members only cost their sets."""
+    bit = members.select((_bit("id") + 1).alias("bit"))  # buckets of 32768 count from number 1
+    words = bit.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for k, bits in words:  # BITS / 32768 rows of 4 KB at most
+        at = (k - 1) * 4096
+        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 class Entries:
     """Columns of index entries: token, id, n, pos, s (4 parities)."""
 
@@ -268,7 +285,7 @@ def verify_leaders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 less.append(np.setdiff1d(x, both, True).tobytes() if ok else b"")
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(more, pa.binary()), pa.array(less, pa.binary())], ["a", "b", "linked", "more", "less"])
 
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    joined = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a long, b long, linked boolean, more binary, less binary")
 
 
@@ -297,7 +314,7 @@ def verify_rest(pairs: DataFrame, sets: DataFrame, family: DataFrame, percent: i
 
     side = lambda s: family.select(F.col("id").alias(s), F.col("leader").alias(f"l{s}"), F.col("more").alias(f"{s}_more"), F.col("less").alias(f"{s}_less"))
     led = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b"))
-    joined = led.join(sets.toDF("la", "x"), "la").join(sets.toDF("lb", "y"), "lb").sortWithinPartitions("la", "lb")
+    joined = led.join(sets.toDF("la", "x").hint("merge"), "la").join(sets.toDF("lb", "y").hint("merge"), "lb").sortWithinPartitions("la", "lb")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -327,11 +344,17 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", doc
     entries = found.where("kind = 1").drop("kind")
     members = entries.select("id").distinct()
 
+    bits = member_bits(members)
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.tobytes() for g in shingle_sets(batch.column(1), n)], pa.binary())], ["id", "g"])
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in shingle_sets(part.column(1), n)], pa.binary())], ["id", "g"])
 
-    sets = stash(rows.join(members, "id", "left_semi").select("id", "text").mapInArrow(sets_of, "id long, g binary"), "sets")
+    sets = stash(rows.where("id IS NOT NULL").withColumn("bit", _bit("id")).mapInArrow(sets_of, "id long, g binary"), "sets")
     first = stash(verify_leaders(pairs, sets, percent), "verified")
     # an id that repeats with different texts has equal sets only through its rows; all its rows are one node
     equal = some.join(reps.select(*same, F.col("r.id").alias("rep")), same).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
