@@ -259,7 +259,7 @@ def access_stats(spark, sf_dir):
     return store.access_stats(V.access_log(spark, sf_dir)).withColumn("last_accessed_at", F.col("last_accessed_at").cast("timestamp_ntz"))
 
 
-@query(r"SELECT p_brand AS package, CASE WHEN regexp_extract(p_name, '^([A-Z][a-z]{2,})', 1) <> '' THEN regexp_extract(p_name, '^([A-Z][a-z]{2,})', 1) ELSE regexp_extract(p_name, '^([a-z]{2,})', 1) END AS prefix, count(*) AS members FROM part GROUP BY ALL HAVING prefix <> '' AND count(*) >= 2")
+@query(r"SELECT package, prefix, count(*) AS members FROM (SELECT p_brand AS package, CASE WHEN regexp_extract(p_name, '^([A-Z][a-z]{2,})', 1) <> '' THEN regexp_extract(p_name, '^([A-Z][a-z]{2,})', 1) ELSE regexp_extract(p_name, '^([a-z]{2,})', 1) END AS prefix FROM part) WHERE prefix <> '' GROUP BY 1, 2 HAVING count(*) >= 2")
 def name_conventions(spark, sf_dir):
     return link.conventions(V.table(spark, sf_dir, "part").select(F.col("p_brand").alias("package"), F.col("p_name").alias("name")))
 
@@ -286,11 +286,12 @@ def hierarchy_edges(spark, sf_dir):
     return link.hierarchy(V.page_files(spark, sf_dir), "pages")[1]
 
 
-@query("""SELECT DISTINCT a.page_id AS from_id, b.page_id AS to_id FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"#?]+)"', 1)) AS link FROM pages) a JOIN pages b ON b.url = a.link WHERE a.page_id <> b.page_id""")
+@query(r"""SELECT DISTINCT id, substr(link, 2) AS target FROM (SELECT 'page/' || page_id AS id, unnest(regexp_extract_all(html, 'href="([^"#?]+)"', 1)) AS link FROM pages) WHERE link LIKE '/%' AND link NOT LIKE '//%' AND link <> '/' AND NOT regexp_matches(link, '(^|/)\.{0,2}(/|$)' ) OR (link LIKE '/%' AND link NOT LIKE '//%' AND length(link) > 1 AND NOT regexp_matches(link, '/\.{0,2}(/|$)'))""")
 def doc_links(spark, sf_dir):
-    p = V.table(spark, sf_dir, "pages")
-    link_ = p.select(F.col("page_id").alias("from_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"#?]+)"'), 1)).alias("url"))
-    return link_.join(p.select("url", F.col("page_id").alias("to_id")), "url").where("from_id <> to_id").select("from_id", "to_id").distinct()
+    """Where the links of pages lead within their site."""
+    p = V.page_files(spark, sf_dir)
+    found = p.select("id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"#?]+)"'), 1)).alias("link")).where(S.is_local(F.col("link")) & F.col("link").startswith("/"))
+    return found.select("id", S.resolve_link(F.lit(""), F.col("link")).alias("target")).where("target <> ''").distinct()
 
 
 @query("SELECT n_name AS name, CASE WHEN contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name)) THEN 0 ELSE 1 END AS grade, levenshtein(lower(n_name), 'nation_1') AS distance FROM nation WHERE contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name)) OR levenshtein(lower(n_name), 'nation_1') <= 2")
@@ -310,28 +311,31 @@ def content_excerpts(spark, sf_dir):
     return V.n_docs(spark, sf_dir).select("id", S.excerpt(F.col("content")).alias("excerpt"))
 
 
-@query(sql("v_docs") + """, n AS (SELECT owner_id AS id, 'code:' || label AS t, source || '_' || row_seq AS title, source || '/' || row_seq || '.py' AS path, source, v, row_seq FROM v_docs),
-    p AS (SELECT a.id AS from_id, b.id AS to_id, round(0.4e0 * list_cosine_similarity(a.v, b.v) + 0.2e0 * (CASE WHEN a.t = b.t THEN 1 ELSE 0.5e0 END) + 0.2e0 * (CASE WHEN a.source = b.source THEN 0.5e0 ELSE 0 END) + 0.2e0 * (CASE WHEN a.source = b.source THEN 1 / 3e0 ELSE 0 END), 6) AS confidence FROM n a JOIN n b ON a.id < b.id)
+@query(sql("v_docs") + """, n AS (SELECT owner_id AS id, 'code:' || label AS t, source AS title, source || '/' || row_seq || '.py' AS path, source, v, row_seq FROM v_docs),
+    p AS (SELECT a.id AS from_id, b.id AS to_id, round(0.4e0 * list_cosine_similarity(a.v, b.v) + 0.2e0 * (CASE WHEN a.t = b.t THEN 1 ELSE 0.5e0 END) + 0.2e0 * (CASE WHEN a.source = b.source THEN 0.5e0 ELSE 0 END) + 0.2e0 * (CASE WHEN a.source = b.source THEN 1 ELSE 0 END), 6) AS confidence FROM n a JOIN n b ON a.id < b.id)
     SELECT from_id, to_id, CASE WHEN confidence > 0.8 THEN 'auto-linked' ELSE 'proposed' END AS edge_type, confidence, CASE WHEN confidence > 0.8 THEN 'INFERRED' ELSE 'PROPOSED' END AS confidence_tier FROM p WHERE confidence >= 0.55""")
 def tier2_links(spark, sf_dir):
-    """Vectors as code files: `source_<id>` in directory `source`, of ten types."""
+    """Vectors as code files of ten types, titled by their source and in its directory."""
     v = V.v_docs(spark, sf_dir)
-    n = v.select(F.col("owner_id").alias("id"), F.concat(F.lit("code:"), "label").alias("node_type"), F.concat_ws("_", "source", F.col("row_seq").cast("string")).alias("title"), F.concat("source", F.lit("/"), "row_seq", F.lit(".py")).alias("source_path"), "embedding")
+    n = v.select(F.col("owner_id").alias("id"), F.concat(F.lit("code:"), "label").alias("node_type"), F.col("source").alias("title"), F.concat("source", F.lit("/"), "row_seq", F.lit(".py")).alias("source_path"), "embedding")
     return link.similarity_links(n)
 
 
-@query("WITH s AS (SELECT p_partkey, p_name AS label, p_brand AS file, count(*) OVER (PARTITION BY p_name) AS n FROM part), c AS (SELECT 'f' || p_partkey AS caller, p_name AS callee, p_type AS file FROM part) SELECT caller AS from_id, 'part/' || p_partkey AS to_id, 'calls' AS edge_type, 0.8e0 AS confidence, 'INFERRED' AS confidence_tier FROM c JOIN s ON s.label = c.callee WHERE n = 1 AND c.file <> s.file")
+_LABEL = "p_name || ' ' || p_type || ' ' || p_size"
+
+
+@query(f"WITH s AS (SELECT p_partkey, {_LABEL} AS label, p_brand AS file, count(*) OVER (PARTITION BY {_LABEL}) AS n FROM part), c AS (SELECT 'f' || p_partkey AS caller, {_LABEL} AS callee, p_type AS file FROM part) SELECT caller AS from_id, 'part/' || p_partkey AS to_id, 'calls' AS edge_type, 0.8e0 AS confidence, 'INFERRED' AS confidence_tier FROM c JOIN s ON s.label = c.callee WHERE n = 1 AND c.file <> s.file")
 def call_resolution(spark, sf_dir):
-    p = V.table(spark, sf_dir, "part")
-    calls = p.select(F.concat(F.lit("f"), "p_partkey").alias("caller"), F.col("p_name").alias("callee"), F.lit("py").alias("lang"), F.col("p_type").alias("file"))
-    symbols = p.select(F.concat(F.lit("part/"), "p_partkey").alias("id"), F.col("p_name").alias("label"), F.lit("py").alias("lang"), F.col("p_brand").alias("file"))
+    p = V.table(spark, sf_dir, "part").withColumn("label", F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")))
+    calls = p.select(F.concat(F.lit("f"), "p_partkey").alias("caller"), F.col("label").alias("callee"), F.lit("py").alias("lang"), F.col("p_type").alias("file"))
+    symbols = p.select(F.concat(F.lit("part/"), "p_partkey").alias("id"), "label", F.lit("py").alias("lang"), F.col("p_brand").alias("file"))
     return link.resolve_calls(calls, symbols, spark.createDataFrame([], "file string, target_file string"), 10)
 
 
-@query("WITH b AS (SELECT p_brand, p_type, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS k FROM part GROUP BY ALL), c AS (SELECT *, count(*) OVER (PARTITION BY p_type) AS n FROM b) SELECT 'part/' || a.k AS from_id, 'part/' || b.k AS to_id, 'cross-project-call' AS edge_type, 0.7e0 AS confidence, true AS bidirectional FROM c a JOIN c b ON a.p_type = b.p_type AND a.p_brand < b.p_brand WHERE a.n <= 20")
+@query("WITH b AS (SELECT p_type, p_name, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS k FROM part GROUP BY ALL), c AS (SELECT *, count(*) OVER (PARTITION BY p_name) AS n FROM b) SELECT 'part/' || a.k AS from_id, 'part/' || b.k AS to_id, 'cross-project-call' AS edge_type, 0.7e0 AS confidence, true AS bidirectional FROM c a JOIN c b ON a.p_name = b.p_name AND a.p_type < b.p_type WHERE a.n <= 20")
 def cross_project_links(spark, sf_dir):
     p = V.table(spark, sf_dir, "part")
-    s = p.select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("id"), F.col("p_type").alias("label"), F.lit("py").alias("lang"), F.col("p_brand").alias("project_id"), F.col("p_retailprice").alias("importance"))
+    s = p.select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("id"), F.col("p_name").alias("label"), F.lit("py").alias("lang"), F.col("p_type").alias("project_id"), F.col("p_retailprice").alias("importance"))
     name = lambda c: F.concat(F.lit("part/"), F.col(c).cast("long").cast("string"))
     return link.cross_project_links(s).withColumns({"from_id": name("from_id"), "to_id": name("to_id")})
 

@@ -1,20 +1,19 @@
-"""Schemas of the memory graph's tables, and the values their columns take."""
+"""Schemas of the memory graph's tables, as DDL strings for readers, and the values their columns take."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
 STATUSES = ("current", "stale", "superseded")
 TIERS = ("PROPOSED", "INFERRED", "EXTRACTED")  #: in rising order
 IMPACT_TYPES = ("implements", "tests", "specifies", "depends-on")
 INFERRED_TYPES = ("auto-linked", "co-accessed", "cross-project-call", "related")
 
-NODES = T.StructType.fromDDL("id string, project_id string, node_type string, title string, content string, content_hash string, status string, source_adapter string, source_path string, importance double, language string, created_at timestamp, updated_at timestamp, access_count long, last_accessed_at timestamp, row_seq long")
-EDGES = T.StructType.fromDDL("from_id string, to_id string, edge_type string, confidence double, confidence_tier string, bidirectional boolean, created_at timestamp")
-CHUNKS = T.StructType.fromDDL("id string, parent_node_id string, chunk_index int, chunk_type string, heading_path array<string>, content string, language string, source_adapter string, prev_chunk_id string, next_chunk_id string, created_at timestamp")
-VECTORS = T.StructType.fromDDL("owner_kind string, owner_id string, model_id string, embedding array<float>")
-ACCESS_LOG = T.StructType.fromDDL("project_id string, node_id string, session_id string, accessed_at timestamp")
-PROJECTS = T.StructType.fromDDL("project_id string, project_name string, repository_url string, updated_at timestamp")
-EMBED_CONFIG = T.StructType.fromDDL("project_id string, model_id string, status string, created_at timestamp")
-RAW_CALLS = T.StructType.fromDDL("callee_name string, caller_node_id string, source_file string, source_loc string, lang string, is_member_call boolean, is_new_call boolean, receiver string")
+NODES = "id string, project_id string, node_type string, title string, content string, content_hash string, status string, source_adapter string, source_path string, importance double, language string, created_at timestamp, updated_at timestamp, access_count long, last_accessed_at timestamp, row_seq long"
+EDGES = "from_id string, to_id string, edge_type string, confidence double, confidence_tier string, bidirectional boolean, created_at timestamp"
+CHUNKS = "id string, parent_node_id string, chunk_index int, chunk_type string, heading_path array<string>, content string, language string, source_adapter string, prev_chunk_id string, next_chunk_id string, created_at timestamp"
+VECTORS = "owner_kind string, owner_id string, model_id string, embedding array<float>"
+ACCESS_LOG = "project_id string, node_id string, session_id string, accessed_at timestamp"
+PROJECTS = "project_id string, project_name string, repository_url string, updated_at timestamp"
+EMBED_CONFIG = "project_id string, model_id string, status string, created_at timestamp"
+RAW_CALLS = "callee_name string, caller_node_id string, source_file string, source_loc string, lang string, is_member_call boolean, is_new_call boolean, receiver string"
 FACTS = "array<struct<kind:string,title:string,content:string,importance:double>>"
