@@ -2,7 +2,7 @@
 
 States are the empty context, words, and pairs of words. A context is a candidate if its share of the training tokens is at least
 `least`, and is retained if its next-symbol distribution diverges enough from that of the state it would fall back to (mean divergence
-in nats, and the log-likelihood gain over all its occurrences). A token is scored by the retained state that is the longest suffix of what precedes it.
+in nats, and the log-likelihood gain over all its occurrences, less a cost for each symbol that it keeps). A token is scored by the retained state that is the longest suffix of what precedes it.
 
 Distributions are smoothed. The root has c + 0.5 for every token and one more for all unknown ones. A longer state keeps the symbols whose share together with
 the state is at least `least`, each count less a discount; what is left over goes to the other symbols in proportion to
@@ -135,7 +135,7 @@ def _sorted(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
     return k[order], n[order]
 
 
-def _deepen(tree: SuffixTree, depth: int, keys: np.ndarray, counts: np.ndarray, of_state: np.ndarray, discount: float, divergence: float, gain: float) -> None:
+def _deepen(tree: SuffixTree, depth: int, keys: np.ndarray, counts: np.ndarray, of_state: np.ndarray, discount: float, divergence: float, gain: float, charge: float) -> None:
     """Add the retained states of one depth. keys: state * words + symbol with counts; of_state: how often each state occurs."""
     width = len(tree.words)
     state, symbol = keys // width, keys % width
@@ -154,7 +154,7 @@ def _deepen(tree: SuffixTree, depth: int, keys: np.ndarray, counts: np.ndarray,
     rest, free = 1 - sums(p), np.maximum(1 - sums(shorter), 1e-12)
     # nats by which the state's distribution, what is left over included, diverges from the shorter state's
     kl = sums(p * np.log(p / shorter)) + rest * np.log(np.maximum(rest, 1e-300) / free)
-    good = (kl >= divergence) & (kl * total >= gain) & (rest > 0)
+    good = (kl >= divergence) & (kl * total >= gain + charge * last) & (rest > 0)
     keep = np.repeat(good, last)
     tree.states.append(own[good])
     tree.left.append(np.log10(rest[good] / free[good]))
@@ -162,7 +162,7 @@ def _deepen(tree: SuffixTree, depth: int, keys: np.ndarray, counts: np.ndarray,
     tree.log_p.append(np.log10(p[keep]))
 
 
-def train(docs: DataFrame, learn: Column, text: str, doc_id: str, least: float = 1e-6, least_count: int = 3, discount: float = 0.6, divergence: float = 0.02, gain: float = 6.0) -> tuple[SuffixTree, DataFrame]:
+def train(docs: DataFrame, learn: Column, text: str, doc_id: str, least: float = 1e-6, least_count: int = 3, discount: float = 0.6, divergence: float = 0.02, gain: float = 6.0, charge: float = 2.0) -> tuple[SuffixTree, DataFrame]:
     """The tree and the counts (word, n) of all training tokens."""
     rows = require(docs, doc_id, text).toDF("doc_id", "text").where(learn).select("text")
     counts = stash(_counted(rows, lambda h, off: h, 1, ["word"]), "word-counts")
@@ -185,7 +185,7 @@ def train(docs: DataFrame, learn: Column, text: str, doc_id: str, least: float =
         return (a * width + x)[(a >= 0) & (x >= 0)]
 
     keys, found = _sorted(_counted(rows, pairs, floor, ["pair"]), "pair")
-    _deepen(tree, 0, keys, found, c, discount, divergence, gain)
+    _deepen(tree, 0, keys, found, c, discount, divergence, gain, charge)
     tree.pairs = keys
     if not len(keys):
         return tree, counts
@@ -199,7 +199,7 @@ def train(docs: DataFrame, learn: Column, text: str, doc_id: str, least: float =
         return (p * width + x)[ok] if ok.any() else blank
 
     keys3, found3 = _sorted(_counted(rows, triples, floor, ["triple"]), "triple")
-    _deepen(tree, 1, keys3, found3, found, discount, divergence, gain)
+    _deepen(tree, 1, keys3, found3, found, discount, divergence, gain, charge)
     return tree, counts
 
 
