@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,27 +18,27 @@ K = 60
 def lexical(nodes: DataFrame, query: str, limit: int, mode: str = "bm25", text: str = "content") -> DataFrame:
     """(id, score, rank) of nodes that have a term of the query: by BM25, or in order of row_seq.
 
-    One scan counts the terms; what the corpus has of them is a single row beside it."""
+    A first scan sums up what the corpus has of the terms, in a single row. The second cuts only texts in which a term occurs at all; the
+    counts leave it through a generator, since a filter on them would otherwise be pushed below and cut every text again."""
     terms = S.terms(query)
-    words = S.words(F.col(text))
-    times = lambda t: F.size(F.filter("words", lambda x: x == t))
-    hits = [times(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = nodes.select("id", "row_seq", words.alias("words")).select("id", "row_seq", F.size("words").alias("dl"), *hits)
     if not terms:
         return nodes.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
-    some = F.lit(False)
-    for i in range(len(terms)):
-        some = some | (F.col(f"tf{i}") > 0)
+    any_of = lambda tests: reduce(or_, tests)
+    times = lambda t: F.size("words") - F.size(F.array_remove("words", t))
+    near = nodes.where(any_of(F.lower(F.col(text)).contains(t) for t in terms)).select("id", "row_seq", S.words(F.col(text)).alias("words"))
+    facts_of = F.struct(F.size("words").alias("dl"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = near.select("id", "row_seq", F.inline(F.array(facts_of))).where(any_of(F.col(f"tf{i}") > 0 for i in range(len(terms))))
     if mode == "rowid":
-        found = counted.where(some).select("id", F.lit(0.0).alias("score"), F.col("row_seq").cast("double").alias("key"))
+        found = counted.select("id", F.lit(0.0).alias("score"), F.col("row_seq").cast("double").alias("key"))
         best = found.orderBy("key", "id").limit(limit)
         return best.withColumn("rank", F.row_number().over(Window.orderBy("key", "id"))).select("id", "score", "rank")
-    facts = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    held = [F.count_if(F.array_contains("words", t)).alias(f"df{i}") for i, t in enumerate(terms)]
+    facts = nodes.select(S.words(F.col(text)).alias("words")).agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"), *held)
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
         score = score + idf * F.col(f"tf{i}") * 2.2 / (F.col(f"tf{i}") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    best = counted.where(some).crossJoin(F.broadcast(facts)).select("id", F.round(score, 9).alias("score")).orderBy(F.col("score").desc(), "id").limit(limit)
+    best = counted.crossJoin(F.broadcast(facts)).select("id", F.round(score, 9).alias("score")).orderBy(F.col("score").desc(), "id").limit(limit)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
 
 
