@@ -56,6 +56,7 @@ class UnitEncoder(dict):
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.largest = max(self.tokenizer.get_vocab().values())
         self.lower = not spaces
         self.cut = UNIT.findall if spaces else bytes.split
         self.parts: dict[str, bytes] = {}
