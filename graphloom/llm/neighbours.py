@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import require, stash
 from .components import components
@@ -124,6 +125,8 @@ def cell_links(space: Space, block: int, v: np.ndarray, ids: np.ndarray, count:
 def join(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; links join vectors of one label whose cosine is at least the threshold."""
     spark = rows.sparkSession
+    element = getattr(rows.schema[vector].dataType, "elementType", None)
+    stored = np.dtype(np.float32 if isinstance(element, FloatType) else np.float64)  # cells carry vectors as their column holds them
     all_ = require(rows, vec_id, vector, label).toDF("vec_id", "v", "label").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     takes_part = valid(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(square > 0, F.lit(False))
@@ -148,7 +151,7 @@ def join(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vecto
                 for k in range(0, len(of), 2048):
                     part = of[k : k + 2048]
                     v = flat[(ends[part] - dim)[:, None] + np.arange(dim)]
-                    raw = [x.tobytes() for x in v]
+                    raw = [x.tobytes() for x in v.astype(stored)]
                     for b, at, cell, home in space(dim).cells(space(dim).unit(v) @ space(dim).rotation):
                         take = pa.array(part[at])
                         yield pa.RecordBatch.from_arrays([label_.take(take), pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), b, np.int32)), pa.array(cell, pa.int64()), pa.array(np.full(len(at), home)), ids.take(take), m.take(take), pa.array([raw[i] for i in at], pa.binary())], ["label", "dim", "block", "cell", "home", "id", "m", "x"])
@@ -162,7 +165,7 @@ def join(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vecto
 
     def links_of(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
-        v = np.frombuffer(b"".join(group["x"]), np.float64).reshape(len(group), -1)
+        v = np.frombuffer(b"".join(group["x"]), stored).reshape(len(group), -1).astype(np.float64)
         ids, home, m = group["id"].to_numpy(), group["home"].to_numpy(), group["m"].to_numpy()
         side = None if first["i"] == first["j"] else (group["chunk"] == first["j"]).to_numpy()
         links, root = cell_links(space(int(first["dim"])), int(first["block"]), v, ids, m, home, side)
