@@ -74,12 +74,15 @@ class MergeBPE:
                 heapq.heappush(queue, (rank, h, symbols[h], symbols[i]))
         return [s for s in symbols if s]
 
+    def piece_ids(self, piece: str) -> list[int]:
+        symbols = self.merge(piece.encode().decode("latin-1").translate(self.letters))
+        return [i for s in symbols if (i := self.vocab.get(s)) is not None]
+
     def word(self, piece: str) -> list[int]:
         """The ids of one piece of the pre-tokenizer; the ids of short ones are kept."""
         ids = self.words.get(piece)
         if ids is None:
-            symbols = self.merge(piece.encode().decode("latin-1").translate(self.letters))
-            ids = [i for s in symbols if (i := self.vocab.get(s)) is not None]
+            ids = self.piece_ids(piece)
             if len(piece) <= 64:
                 if len(self.words) > CACHE:
                     self.words.clear()
@@ -111,18 +114,39 @@ class MergeBPE:
         return out.decode("utf-8", "replace")
 
 
+Digest = tuple[bytes, bytes, int]  #: ids as decimal text, decoded text, number of ids
+
+
 class Digests(dict):
-    """unit between ASCII white space -> (ids as decimal text, decoded text, number of ids); for vocabularies that drop white space."""
+    """The digest of each unit between ASCII white space; for vocabularies that drop white space.
+
+    A unit's digest is joined from those of its pieces, which are kept too: a new unit often has known pieces."""
 
     def __init__(self, name: str) -> None:
         self.bpe = MergeBPE(name)
         assert not self.bpe.spaces and not self.bpe.byte_decoder
+        self.parts: dict[str, Digest] = {}
+
+    def digest(self, ids: list[int]) -> Digest:
+        return " ".join(map(str, ids)).encode(), self.bpe.decode(ids).encode(), len(ids)
+
+    def part(self, piece: str) -> Digest:
+        out = self.digest(self.bpe.piece_ids(piece))
+        if len(piece) <= 64:
+            if len(self.parts) > CACHE:
+                self.parts.clear()
+            self.parts[piece] = out
+        return out
 
-    def __missing__(self, unit: bytes) -> tuple[bytes, bytes, int]:
-        ids = self.bpe.encode(unit.decode())
-        out = " ".join(map(str, ids)).encode(), self.bpe.decode(ids).encode(), len(ids)
+    def __missing__(self, unit: bytes) -> Digest:
+        if unit.isascii() and b"<" not in unit:
+            text, parts = unit.decode(), self.parts
+            found = [x for p in self.bpe.pieces(text.lower() if self.bpe.lower else text) if (x := parts.get(p) or self.part(p))[2]]
+            out = found[0] if len(found) == 1 else (b" ".join([x[0] for x in found]), b" ".join([x[1] for x in found]), sum(x[2] for x in found))
+        else:
+            out = self.digest(self.bpe.encode(unit.decode()))
         if len(unit) <= 64:
-            if len(self) > CACHE // 2:
+            if len(self) > CACHE:
                 self.clear()
             self[unit] = out
         return out
