@@ -373,16 +373,26 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", doc
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows, with all their columns, of one document of each component: the one of least id. Documents with a null id stay; of rows that repeat an id, one stays."""
-    classes = stash(join(docs, n, percent, text, doc_id).select("doc_id", "component_id"), "classes")
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "gone")
-    left = docs.join(gone, F.col(f"`{doc_id}`") == F.col("gone"), "left_anti")
-    repeated = stash(classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "repeated")
-    if repeated.isEmpty():
-        return left
-    again = F.col(f"`{doc_id}`") == F.col("again")
-    first = left.join(repeated, again, "left_semi").groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.min(F.struct(F.xxhash64(text).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))).alias("m"))
-    return left.join(repeated, again, "left_anti").union(first.select("m.row.*"))
+    """The rows, with all their columns, of one document of each component: the one of least id.
+
+    A node is a row key, the hash of id and text, so rows that repeat an id go only if their texts are near copies. Of equal ids
+    with equal texts one row stays. Rows with a null id are held against each other, and one of each component stays beside
+    the one with an id. Texts without words are no near copies of anything, so all of them stay."""
+    key = F.xxhash64(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`"))
+    has_words = F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]")
+    keys = stash(docs.where(has_words).select(key.alias("key"), F.col(f"`{doc_id}`").alias("id")), "keys")
+    repeated = stash(keys.groupBy("key").count().where("count > 1").select(F.col("key").alias("again")), "repeated")
+    if not repeated.isEmpty():
+        again = (key == F.col("again")) & has_words
+        first = docs.join(repeated, again, "left_semi").groupBy(key.alias("key")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+        docs = stash(docs.join(repeated, again, "left_anti").union(first.select("row.*")), "once")
+    rows = docs.where(has_words).select(key.alias("key"), F.col(f"`{text}`").alias("text"))
+    classes = stash(join(rows, n, percent, "text", "key").select(F.col("doc_id").alias("key"), "component_id"), "classes")
+    several = classes.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = classes.join(several, "component_id").join(keys.distinct(), "key").select("key", "id", "component_id")
+    stays = members.groupBy("component_id", F.col("id").isNull().alias("no_id")).agg(F.min(F.struct("id", "key")).alias("m"))
+    gone = stash(members.select("key").join(stays.select(F.col("m.key").alias("key")), "key", "left_anti").withColumnRenamed("key", "gone"), "gone")
+    return docs.join(gone, (key == F.col("gone")) & has_words, "left_anti")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

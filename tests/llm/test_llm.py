@@ -145,6 +145,16 @@ def test_op6(docs, spark):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(i for i, r in root.items() if i == r) and kept.where("doc_id IS NULL").count() == 2
 
 
+def test_one_of_each_keeps_unrelated_texts_of_one_id(spark):
+    rng = random.Random(8)
+    x, y, z = (" ".join(f"{c}{rng.randint(0, 10**6)}" for _ in range(40)) for c in "xyz")
+    rows = [(7, x), (7, y), (7, x), (7, None), (7, ""), (1, x + " more"), (2, y + " more"), (3, z), (None, z + " a"), (None, z), (None, z), (None, None)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert counted(kept) == Counter([(1, x + " more"), (2, y + " more"), (7, None), (7, ""), (3, z), (None, z), (None, None)]) or counted(kept) == Counter([(1, x + " more"), (2, y + " more"), (7, None), (7, ""), (3, z), (None, z + " a"), (None, None)])
+    hot = [(5, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30))) for _ in range(50)]
+    assert counted(jaccard.one_of_each(spark.createDataFrame(hot, "doc_id long, text string"))) == Counter(hot)
+
+
 def test_op6_long_lists(spark, monkeypatch):
     """Large groups, compared leader by leader, some of which only chains join."""
     rng = random.Random(6)
