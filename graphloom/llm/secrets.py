@@ -1,8 +1,8 @@
 """Secret scans: known patterns, and strings that a token vocabulary finds hard to spell.
 
 A tokenizer trained on ordinary text spells ordinary strings in few tokens. A run of letters, digits and base64 marks that takes
-many tokens for its characters is random, so it is reported, unless it is a digest of a known length in hexadecimal, a UUID, a
-number, or a name put together of words.
+many tokens for its characters is random, so it is reported, unless it is a digest of a known length in hexadecimal, a UUID or a
+number.
 
 Cases: a null or empty text has no spans (the digest of the empty string); repeated rows are scanned each; other columns are left alone."""
 
@@ -27,7 +27,6 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
-NAME = re.compile(r"[A-Za-z]+([_/=+-]+[A-Za-z]+)*[0-9]{0,4}|[A-Z][a-z]+([A-Z][a-z]+)+[0-9]{0,4}")
 #: Hexadecimal digits of common digests: 128, 160, 224, 256, 384 and 512 bits.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 #: Longer runs are judged by pieces of so many characters, as the cost of encoding one run is not linear.
@@ -69,7 +68,7 @@ def base_spans(text: str) -> list[Span]:
 
 def ordinary(s: str) -> bool:
     """Known digests, identifiers and numbers, which look random but give nothing away."""
-    return bool(UUID.fullmatch(s) or HEXADECIMAL.fullmatch(s) and (len(s) in DIGESTS or s.isdigit()) or NAME.fullmatch(s)) or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s)
+    return bool(UUID.fullmatch(s) or HEXADECIMAL.fullmatch(s) and len(s) in DIGESTS) or not any(c.isalpha() for c in s)
 
 
 def random_spans(text: str, efficiency: TokenEfficiency, base: list[Span], max_ratio: float) -> list[Span]:

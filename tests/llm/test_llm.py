@@ -72,6 +72,20 @@ def test_op1(docs, spark):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+def found_secrets(texts):
+    """For each text its random spans, as strings."""
+    efficiency = secrets.TokenEfficiency("byte_bpe_50k.tiktoken")
+    return [[t[a:b] for a, k, b in secrets.spans_of(t, efficiency, 2.0)[1] if k == 3] for t in texts]
+
+
+def test_op1_secrets_of_letters():
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (20, 24, 40, 48) for _ in range(50)]
+    assert sum(x == [k] for k, x in zip(keys, found_secrets(keys), strict=True)) > 0.9 * len(keys)
+    names = ["get_user_by_identifier_name", "AbstractSingletonProxyFactoryBean", "authorization-bearer-credential-for-production", "=" * 40, "-" * 300, "internationalization", "a" * 30]
+    assert found_secrets(names) == [[]] * len(names)
+
+
 def test_op2(spark):
     rng = np.random.default_rng(3)
     v = np.round(rng.standard_normal((700, 6)), 1)
