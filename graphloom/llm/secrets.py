@@ -2,7 +2,8 @@
 
 A tokenizer trained on ordinary text spells ordinary strings in few tokens. A run of letters, digits and base64 marks that takes
 many tokens for its characters is random, so it is reported, unless it is a digest of a known length in hexadecimal, a UUID or a
-number.
+number. What the known patterns and these leave of a run is judged as a whole, and, where that is efficient, by its inefficient
+stretches, so that a random string glued to ordinary text is found.
 
 Cases: a null or empty text has no spans (the digest of the empty string); repeated rows are scanned each; other columns are left alone."""
 
@@ -29,6 +30,11 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 #: Hexadecimal digits of common digests: 128, 160, 224, 256, 384 and 512 bits.
 DIGESTS = {32, 40, 56, 64, 96, 128}
+#: Digests, UUIDs and long numbers that stand by themselves within a run.
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|[0-9]{{8,}}|" + "|".join(f"[0-9a-fA-F]{{{n}}}" for n in sorted(DIGESTS)) + r")(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
+#: Characters of the shortest run or stretch that is judged.
+LEAST = 20
 #: Longer runs are judged by pieces of so many characters, as the cost of encoding one run is not linear.
 PIECE = 4096
 
@@ -46,10 +52,15 @@ class TokenEfficiency:
 
         with open(vocabulary(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.size = {b: len(a) for a, b in ranks.items()}
         self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, s: str) -> float:
-        return len(s) / max(1, sum(len(self.encode(s[i : i + PIECE])) for i in range(0, len(s), PIECE)))
+        return len(s) / max(1, len(self.lengths(s)))
+
+    def lengths(self, s: str) -> list[int]:
+        """The bytes of each token."""
+        return [self.size[x] for i in range(0, len(s), PIECE) for x in self.encode(s[i : i + PIECE])]
 
 
 _efficiency: dict[str, TokenEfficiency] = {}
@@ -71,12 +82,69 @@ def ordinary(s: str) -> bool:
     return bool(UUID.fullmatch(s) or HEXADECIMAL.fullmatch(s) and len(s) in DIGESTS) or not any(c.isalpha() for c in s)
 
 
+def inefficient(lengths: list[int], max_ratio: float) -> list[tuple[int, int]]:
+    """All maximal stretches of tokens with fewer than max_ratio characters a token, as character offsets; linear in the tokens.
+
+    A token scores max_ratio less its length; a stretch is one that no extension or shortening gives a higher sum."""
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, last one before with a lower sum before
+    at, total = 0, 0.0
+    for n in lengths:
+        score = max_ratio - n
+        if score > 0:
+            start, low, high, j = at, total, total + score, len(found) - 1
+            while True:
+                while j >= 0 and found[j][2] >= low:
+                    j = found[j][4]
+                if j < 0 or found[j][3] >= high:
+                    break
+                start, low = found[j][0], found[j][2]
+                before = found[j][4]
+                del found[j:]
+                j = before
+            found.append((start, at + n, low, high, j))
+        at += n
+        total += score
+    return [(a, b) for a, b, *_ in found]
+
+
+def random_stretches(s: str, efficiency: TokenEfficiency, max_ratio: float) -> list[tuple[int, int]]:
+    """The inefficient part of a run: all of it, or its inefficient stretches, each with all of the parts between marks that it touches."""
+    lengths = efficiency.lengths(s)
+    if len(s) < max_ratio * len(lengths):
+        return [] if ordinary(s) else [(0, len(s))]
+    out: list[tuple[int, int]] = []
+    parts, k = None, 0
+    for a, b in inefficient(lengths, max_ratio):
+        if parts is None:
+            parts = [m.span() for m in PART.finditer(s)]
+        while parts[k][1] <= a:
+            k += 1
+        j = k
+        while parts[j][1] < b:
+            j += 1
+        x, y = parts[k][0], parts[j][1]
+        if y - x >= LEAST and not ordinary(s[x:y]) and (b - a >= LEAST or efficiency(s[x:y]) < max_ratio):
+            if out and x < out[-1][1]:
+                x = out.pop()[0]
+            out.append((x, y))
+    return out
+
+
 def random_spans(text: str, efficiency: TokenEfficiency, base: list[Span], max_ratio: float) -> list[Span]:
-    out = []
+    out, k = [], 0
     for m in RUN.finditer(text):
-        s = m[0]
-        if not ordinary(s) and not any(a < m.end() and m.start() < b for a, _, b in base) and efficiency(s) < max_ratio:
-            out.append((m.start(), 3, m.end()))
+        at, end = m.span()
+        while k < len(base) and base[k][2] <= at:
+            k += 1
+        cuts = [(a, b) for a, b in ((x.start(), x.end()) for x in KNOWN.finditer(text, at, end))]
+        i = k
+        while i < len(base) and base[i][0] < end:
+            cuts.append((base[i][0], base[i][2]))
+            i += 1
+        for a, b in [*sorted(cuts), (end, end)]:
+            if a - at >= LEAST:
+                out += [(at + x, 3, at + y) for x, y in random_stretches(text[at:a], efficiency, max_ratio)]
+            at = max(at, b)
     return out
 
 
