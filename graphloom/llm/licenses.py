@@ -1,14 +1,17 @@
 """License scans by canonical digest lookup, in DataFrame functions alone.
 
 A text is brought to a canonical form (lower case, copyright lines out, punctuation to single spaces, equivalent spellings to one),
-its SHA-256 is taken, and whole texts are joined by it to the digests of known license texts. That table is as long as LICENSES,
-a constant of this module, so it is broadcast whatever the size of the corpus.
+its SHA-256 is taken, and whole texts are joined by it to the digests of known license texts. Those are LICENSES, a constant of this
+module, and the standard texts of the folder `texts`, so the table is broadcast whatever the size of the corpus. A text that is none of
+them is looked up once more in a looser form, without list markers and copyright lines that give a name alone.
 
 Cases: a null text has a null digest and no license; an empty text has the digest of the empty string and no license;
 repeated rows keep their number."""
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,16 +69,46 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+#: A copyright line of a name without a year or a mark, in a text as written.
+NAMED_LINE = r"(?m)^[ \t*#/;-]*Copyright:?[ \t]+(by[ \t]+)?(?!Holder|Owner|Notice|License)[A-Z][^\n;]{0,79}$"
+#: A list marker between white space: `1.`, `(a)`, `iv)`; numbers of versions and sections, and what ends a text, are none.
+MARKER = r"(?<!version)(?<!section)(^|\s)[ \t*#/;-]*(\([a-z0-9]{1,4}\)|([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)])(?=\s+\S)"
+#: Every known text has one of these words, so a text without them is looked up once.
+LICENSE_WORDS = r"licen[cs]e|software"
+#: What standard texts end with before their appendices, which copies leave out.
+END = "END OF TERMS AND CONDITIONS"
+
+
+def loose(text: Column) -> Column:
+    return canonical(F.regexp_replace(F.lower(F.regexp_replace(text, NAMED_LINE, " ")), MARKER, " "))
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """LICENSES, and each standard text whole and up to the end of its terms."""
+    out = list(LICENSES)
+    for f in sorted(files(__package__).joinpath("texts").iterdir(), key=lambda f: f.name):
+        text = f.read_text(encoding="utf-8")
+        out.append((f.name, text))
+        if END in text:
+            out += [(f.name, text[: text.index(END)]), (f.name, text[: text.index(END) + len(END)])]
+    return out
+
+
 def digests(spark: SparkSession) -> DataFrame:
-    """license, text_digest of the known texts; one row for each digest."""
-    known = spark.createDataFrame(LICENSES, "license string, text string")
-    return known.select("license", F.sha2(canonical(F.col("text")), 256).alias("text_digest")).groupBy("text_digest").agg(F.min("license").alias("license"))
+    """license, text_digest of the known texts in both forms; one row for each digest."""
+    known = spark.createDataFrame(known_texts(), "license string, text string")
+    forms = known.select("license", F.explode(F.array(F.sha2(canonical(F.col("text")), 256), F.sha2(loose(F.col("text")), 256))).alias("text_digest"))
+    return forms.groupBy("text_digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, text_digest, license (null where the whole text is no known license)."""
-    rows = require(docs, doc_id, text).toDF("doc_id", "text").select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"))
-    return rows.join(F.broadcast(digests(docs.sparkSession)), "text_digest", "left").select("doc_id", "text_digest", "license")
+    t = F.col("text")
+    again = F.when(F.lower(t).rlike(LICENSE_WORDS), F.sha2(loose(t), 256)).alias("loose_digest")
+    rows = require(docs, doc_id, text).toDF("doc_id", "text").select("doc_id", F.sha2(canonical(t), 256).alias("text_digest"), again)
+    known = digests(docs.sparkSession)
+    exact, second = F.broadcast(known), F.broadcast(known.toDF("loose_digest", "loose_license"))
+    return rows.join(exact, "text_digest", "left").join(second, "loose_digest", "left").select("doc_id", "text_digest", F.coalesce("license", "loose_license").alias("license"))
 
 
 def _canonical_sql(text: str) -> str:

@@ -123,6 +123,25 @@ def test_op3(docs, spark, tables):
     same(licenses.op3(spark, tables), licenses.oracle(), tables)
 
 
+def test_op3_standard_texts(spark):
+    """Whole standard texts, as they are, rewrapped and without appendix, and lists marked in other ways."""
+    known = licenses.known_texts()
+    assert all(re.search(licenses.LICENSE_WORDS, x.lower()) for _, x in known)
+    texts = [(n, x) for n, x in known if len(x) > 400]
+    texts += [(n, " ".join(x.split())) for n, x in licenses.LICENSES]
+    bsd = next(x for n, x in licenses.LICENSES if n == "BSD-3-Clause")
+    for marks in (("(a)", "(b)", "(c)"), ("\n* ", "\n* ", "\n* "), ("\n- ", "\n- ", "\n- "), ("\n  1)", "\n  2)", "\n  3)")):
+        y = bsd
+        for k, mark in enumerate(marks):
+            y = y.replace(f"{k + 1}. ", mark + " ", 1)
+        texts.append(("BSD-3-Clause", "Copyright Jane Person\n\n" + y))
+    texts += [(None, bsd.replace("3. Neither", "4. Never")), (None, dict(texts)["GPL-3.0"] + " more"), (None, "software")]
+    df = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [n for n, _ in texts]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0"} <= set(got.values())
+
+
 def test_op4(docs, spark, tables):
     got = language.op4(spark, tables).join(spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     held = got[got.held_out]
