@@ -142,3 +142,11 @@ def i64(x: np.ndarray) -> pa.Array:
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns, whatever their names, can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

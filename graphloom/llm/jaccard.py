@@ -5,6 +5,7 @@ The index has a list for each prefix shingle. Two kinds of relations between set
 
 * In a list, entries lie in blocks by position. What follows a position bounds the overlap that a pair can still reach, so whole
   blocks are skipped, by position and by size; a 256-bit parity sketch bounds the symmetric difference of the pairs in the others.
+  Before a set is moved, a sketch of a bit or more for each shingle does so for the pairs that are left.
 * A set that is highly similar to one whose answers are known is kept as that set, its leader, with what it has more and less. Sets
   that a leader already joins need no comparison for the classes. The others' overlaps are derived from the overlap
   of their leaders, computed once, and the few shingles by which they differ from these.
@@ -17,7 +18,8 @@ the same result. All pairs of a group are never listed: a list gives a forest in
 A set is compared by 64-bit hashes of its shingles; within a pair of sets of m shingles a collision has odds of m^2 / 2^64.
 
 Cases: a null text or one without words has the empty set and links with nothing; a document with a null id links with nothing and has a
-null component; rows that repeat an id are returned each, and are one node to the links; texts of fewer words than n are one shingle."""
+null component; rows that repeat an id are returned each, and link with each other; texts of fewer words than n are one shingle; an empty
+table gives no rows; other columns, whatever their names, are left alone."""
 
 from __future__ import annotations
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, combine, i64, mix, require, stash
+from .common import WordHasher, combine, drop_stash, i64, mix, require, stash, unused
 from .components import components
 
 #: About so many documents, by id hash, give the table of frequent shingles, which has HOT rows at most (2 MB).
@@ -39,6 +41,14 @@ LONG = 32
 #: Size of the filter that lets the texts of index members through to the second pass: 2 MB.
 BITS = 1 << 24
 POSITIONS = 128  #: entries of a block
+#: Bits of the sketches that index entries carry.
+SHORT = 256
+#: The list of a shingle that the sample lets expect in more documents is dealt into chunks of about so many, which are compared by themselves
+#: and then by their leaders.
+CHUNK = 1 << 15
+ENTRY = ("token", "id", "n", "pos", "s0", "s1", "s2", "s3")
+#: What equal sets share.
+SAME = ["n_shingles", "d1", "d2"]
 _hasher = WordHasher()
 
 
@@ -63,7 +73,7 @@ def least_partner(n: np.ndarray | int, percent: int):
 
 
 def sketches(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """id, n_shingles, d1, d2 (digest of the set), s0..s3 (parities), prefix (its hashes in the global order).
+    """id, n_shingles, d1, d2 (digest of the set), parity (bits, one or more for each shingle), prefix (its hashes in the global order).
 
     hot: frequent shingles, rarest first; they come after all others in the global order."""
     order = np.argsort(hot)
@@ -71,19 +81,17 @@ def sketches(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, digest, parity, prefix = [], [], [], []
+            size, digests, parities, prefix = [], [], [], []
             for g in shingle_sets(batch.column(1), n):
                 m = len(g)
                 size.append(m)
                 if not m:
-                    digest.append((0, 0))
-                    parity.append(np.zeros(4, np.uint64))
+                    digests.append((0, 0))
+                    parities.append(b"")
                     prefix.append(b"")
                     continue
-                with np.errstate(over="ignore"):
-                    digest.append((int(g.sum()), int(mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum())))
-                bits = np.bincount((g >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-                parity.append(np.packbits(bits.astype(np.uint8)).view(np.uint64))
+                digests.append(digest(g))
+                parities.append(parity(g).tobytes())
                 keep = m - int(least_partner(m, percent)) + 1
                 if len(known):
                     at = np.minimum(np.searchsorted(known, g), len(known) - 1)
@@ -95,16 +103,36 @@ def sketches(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFram
                 else:
                     first = g[:keep]
                 prefix.append(first.tobytes())
-            d = np.array(digest, np.uint64).reshape(-1, 2)
-            s = np.array(parity, np.uint64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), i64(np.array(size, np.int64)), i64(d[:, 0]), i64(d[:, 1]), *(i64(s[:, k]) for k in range(4)), pa.array(prefix, pa.binary())], ["id", "n_shingles", "d1", "d2", "s0", "s1", "s2", "s3", "prefix"])
+            d = np.array(digests, np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), i64(np.array(size, np.int64)), i64(d[:, 0]), i64(d[:, 1]), pa.array(parities, pa.binary()), pa.array(prefix, pa.binary())], ["id", "n_shingles", "d1", "d2", "parity", "prefix"])
+
+    return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, parity binary, prefix binary")
+
+
+def digest(g: np.ndarray) -> tuple[int, int]:
+    """128 bits that equal sets share."""
+    with np.errstate(over="ignore"):
+        return int(g.sum()), int(mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum())
+
+
+def parity(g: np.ndarray) -> np.ndarray:
+    """Bytes of a parity sketch of at least as many bits as there are shingles, a power of 2; the shingle's low bits are its place.
+
+    Two sets differ by at least as many shingles as their sketches differ by bits."""
+    bits = 1 << max(SHORT.bit_length() - 1, (len(g) - 1).bit_length())
+    return np.packbits((np.bincount((g & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
 
-    return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, prefix binary")
+def folded(p: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of `size` bytes that a longer one implies."""
+    return np.bitwise_xor.reduce(p.reshape(-1, size), axis=0)
 
 
-def frequent(docs: DataFrame, n: int, sample: int, rows: int) -> np.ndarray:
-    """Shingles that several documents of a bounded sample have, rarest first, the most frequent `rows` of them."""
+def frequent(docs: DataFrame, n: int, sample: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a bounded sample have, rarest first, the most frequent `rows` of them, and the
+    number of all documents that this lets expect to have each."""
     total = docs.count()
+    every = max(1, total // sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,10 +140,11 @@ def frequent(docs: DataFrame, n: int, sample: int, rows: int) -> np.ndarray:
                 token, count = np.unique(np.concatenate([*shingle_sets(batch.column(1), n), np.zeros(0, np.uint64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([i64(token), i64(count)], ["token", "n"])
 
-    some = docs.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(max(1, total // sample))) == 0)
+    some = docs.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(every)) == 0)
     counts = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
     got = counts.orderBy(F.col("n").desc(), "token").limit(rows).toArrow()
-    return np.ascontiguousarray(got["token"].to_numpy().astype(np.int64).view(np.uint64)[::-1])
+    token, count = got["token"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy().astype(np.int64)
+    return np.ascontiguousarray(token[::-1]), count[::-1] * every
 
 
 def _bit(column: str):
@@ -134,33 +163,46 @@ def member_bits(members: DataFrame) -> np.ndarray:
 
 
 class Entries:
-    """Columns of index entries: token, id, n, pos, s (4 parities)."""
-
-    names = ("token", "id", "n", "pos", "s0", "s1", "s2", "s3")
+    """Columns of index entries: token, id, n, pos, and s (4 parities), which may be missing."""
 
     def __init__(self, token, id, n, pos, s, percent: int) -> None:
         self.token, self.id, self.n, self.pos, self.s, self.percent = token, id, n, pos, s, percent
 
-    def part(self, of) -> Entries:
-        return Entries(self.token[of], self.id[of], self.n[of], self.pos[of], self.s[of], self.percent)
-
     def reach(self, i, j) -> np.ndarray:
         """Whether sets at i and j, which share the token, may reach the threshold."""
         p, a, b = self.percent, self.n[i], self.n[j]
         need = -(-p * (a + b) // (100 + p))
         ok = (np.minimum(a - self.pos[i], b - self.pos[j]) >= need) & (100 * np.minimum(a, b) >= p * np.maximum(a, b))
-        if ok.any():
+        if self.s is not None and ok.any():
             differ = np.bitwise_count(self.s[i] ^ self.s[j]).sum(-1)
             ok &= differ <= a + b - 2 * need
         return ok
 
+    def lists(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of the lists."""
+        starts = np.flatnonzero(np.concatenate([[True], self.token[1:] != self.token[:-1]]))
+        return starts, np.diff(np.append(starts, len(self.token)))
+
+    def in_company(self) -> np.ndarray:
+        """Entries sorted by token: which have a partner in reach; all of those of long lists count as such."""
+        _, sizes = self.lists()
+        any_ = np.repeat(sizes > LONG, sizes)
+        short = np.flatnonzero(~any_)
+        token = self.token[short]
+        for k in range(1, LONG):
+            same = np.flatnonzero(token[k:] == token[:-k])
+            if not len(same):
+                break
+            i, j = short[same], short[same + k]
+            ok = self.reach(i, j)
+            any_[i[ok]] = any_[j[ok]] = True
+        return any_
+
     def forest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries sorted by (token, n): pairs (i, j) that link each entry with a first partner in reach, and which entries have any."""
-        m = len(self.token)
-        starts = np.flatnonzero(np.concatenate([[True], self.token[1:] != self.token[:-1]]))
-        sizes = np.diff(np.append(starts, m))
+        starts, sizes = self.lists()
         long = np.repeat(sizes > LONG, sizes)
-        any_, left, right = np.zeros(m, bool), [], []
+        any_, left, right = np.zeros(len(self.token), bool), [], []
         short = np.flatnonzero(~long)
         token, taken = self.token[short], np.zeros(len(short), bool)
         for k in range(1, LONG):
@@ -208,58 +250,118 @@ class Entries:
         return np.concatenate(left), np.concatenate(right)
 
 
-def index_lists(reps: DataFrame, percent: int) -> DataFrame:
-    """For the lists of two sets or more: rows with kind 0, pairs (token = a, id = b) of a forest; with kind 1, the entries in reach of any other."""
+def by_list(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[dict[str, np.ndarray]]:
+    """Batches sorted by token as columns of whole lists, about `rows` rows at a time."""
+    held, n = [], 0
+
+    def columns() -> dict[str, np.ndarray]:
+        t = pa.Table.from_batches(held)
+        return {k: t[k].to_numpy() for k in t.column_names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        token = batch.column("token").to_numpy()
+        last = int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0  # the list of the last token may go on in the next batch
+        if last == 0:
+            continue
+        held[-1] = batch.slice(0, last)
+        yield columns()
+        held = [batch.slice(last)]
+        n = held[0].num_rows
+    if n:
+        yield columns()
+
+
+def postings(reps: DataFrame, hot: np.ndarray, chunks: np.ndarray) -> DataFrame:
+    """token, salt, id, np (size and position of the token) of every prefix shingle. hot, sorted: tokens whose lists are dealt into several chunks."""
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.array([len(x) // 8 for x in batch.column("prefix").to_pylist()], np.int64)
+            prefix = batch.column("prefix").to_pylist()
+            size = np.array([len(x) // 8 for x in prefix], np.int64)
             row = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            token = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
-            take = pa.array(row)
+            token = np.frombuffer(b"".join(prefix), np.int64)
+            id_, n = (batch.column(c).to_numpy()[row] for c in ("id", "n_shingles"))
+            salt = np.zeros(len(row), np.int32)
+            if len(hot) and len(row):
+                at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
+                of = np.flatnonzero(hot[at] == token)
+                with np.errstate(over="ignore"):
+                    salt[of] = 1 + (mix(id_[of].view(np.uint64)) % chunks[at[of]].astype(np.uint64)).astype(np.int32)
             for i in range(0, len(row), 200_000):
-                cut = take[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(token[i : i + 200_000]), batch.column("id").take(cut), batch.column("n_shingles").take(cut), pa.array(pos[i : i + 200_000]), *(batch.column(f"s{k}").take(cut) for k in range(4))], list(Entries.names))
+                cut = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(token[cut]), pa.array(salt[cut]), pa.array(id_[cut]), pa.array(n[cut] << 32 | pos[cut])], ["token", "salt", "id", "np"])
+
+    return reps.select("id", "n_shingles", "prefix").mapInArrow(run, "token long, salt int, id long, np long")
 
-    schema = "token long, id long, n long, pos long, s0 long, s1 long, s2 long, s3 long"
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            c = {k: t[k].to_numpy() for k in Entries.names}
+def shared(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries (token, salt, id, n, pos) but those that meet no other in reach of them by size and position. Most lists have one entry,
+    so this needs no sketches; entries of chunks all stay, as their partners may be in other chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in by_list(batches):
             same = c["token"][1:] == c["token"][:-1]
-            of = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+            of = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (c["salt"] > 0))
             if not len(of):
-                return
-            e = Entries(c["token"][of], c["id"][of], c["n"][of], c["pos"][of], np.stack([c[f"s{k}"][of] for k in range(4)], 1).view(np.uint64), percent)
+                continue
+            c = {k: v[of] for k, v in c.items()}
+            n, pos = c["np"] >> 32, c["np"] & 0xFFFFFFFF
+            stay = Entries(c["token"], c["id"], n, pos, None, percent).in_company() | (c["salt"] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (c["token"], c["salt"], c["id"], n, pos)], ["token", "salt", "id", "n", "pos"])
+
+    return entries.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, "token long, salt int, id long, n long, pos long")
+
+
+def forests(entries: DataFrame, percent: int) -> DataFrame:
+    """Of each list, or chunk of one: rows with kind 0, pairs (token = a, id = b) of a forest; with kind 1, the entries that may have a partner;
+    of chunks also, with kind 2, those that no other leads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(i64(x) for x in columns)], ["kind", *ENTRY])
+
+        for c in by_list(batches):
+            s = np.stack([c[f"s{k}"] for k in range(4)], 1)
+            # a chunk of a token is a list of its own
+            e = Entries(c["token"] + c["salt"] * np.int64(0x1E3779B97F4A7C15), c["id"], c["n"], c["pos"], s.view(np.uint64), percent)
             i, j, any_ = e.forest()
             if len(i):
                 pairs = np.unique(np.sort(np.stack([e.id[i], e.id[j]], 1), 1), axis=0)
-                zero = pa.array(np.zeros(len(pairs), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[zero] * 6], ["kind", *Entries.names])
-                e = e.part(any_)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(e.id), np.int32)), *(i64(x) for x in (e.token, e.id, e.n, e.pos, *e.s.T))], ["kind", *Entries.names])
+                yield rows(0, *pairs.T, *[np.zeros(len(pairs), np.int64)] * 6)
+            chunk = c["salt"] > 0
+            leads = chunk.copy()
+            leads[j] = False
+            for kind, of in ((1, any_ | chunk), (2, leads)):
+                if of.any():
+                    yield rows(kind, c["token"][of], e.id[of], e.n[of], e.pos[of], *s[of].T)
+
+    return entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id").mapInArrow(run, "kind int, " + ", ".join(f"{k} long" for k in ENTRY))
+
 
-        held, rows = [], 0
+def near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole parity sketches allow the threshold; sketches are a small part of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 200_000:
-                continue
-            token = batch.column("token").to_numpy()
-            last = int(np.searchsorted(token, token[-1]))  # the list of the last token may go on in the next batch
-            if last == 0:
-                continue
-            yield from found([*held[:-1], batch.slice(0, last)])
-            held = [batch.slice(last)]
-            rows = held[0].num_rows
-        if rows:
-            yield from found(held)
+            m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
+            most = m + n - 2 * -(-percent * (m + n) // (100 + percent))
+            ok = np.empty(len(m), bool)
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                size = min(len(x), len(y))
+                ok[k] = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= most[k]
+            mask = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
 
-    return reps.mapInArrow(postings, schema).repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(lists, "kind int, " + schema)
+    side = lambda *names: reps.select("id", "n_shingles", "parity").toDF(*names)
+    return pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -323,76 +425,137 @@ def rest_pairs(entries: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     e = entries.join(label.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     per = e.groupBy("token", "c").agg(F.count("*").alias("k"))
     mixed = per.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("cs")).where("cs > 1").select("token", "major")
-    e = e.join(mixed, "token")
+    e = stash(e.join(mixed, "token"), "mixed")  # from a table, so that Spark can split a hot token in the join below
     pick = lambda s: [F.col(k).alias(f"{s}_{k}") for k in ("id", "n", "pos", "s0", "s1", "s2", "s3", "c", "major")]
     minor = e.where("c <> major").select("token", *pick("x"))
     need = f"(({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent})"
     differ = " + ".join(f"bit_count(x_s{k} ^ y_s{k})" for k in range(4))
     reach = f"x_c <> y_c AND (y_c = y_major OR x_id < y_id) AND least(x_n - x_pos, y_n - y_pos) >= {need} AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND {differ} <= x_n + y_n - 2 * {need}"
-    return minor.join(e.select("token", *pick("y")), "token").where(reach).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-
+    found = stash(minor.join(e.select("token", *pick("y")), "token").where(reach).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "rest")
+    drop_stash(e.sparkSession, e)
+    return found
 
-def join(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, hot_rows: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; links are pairs with percent / 100 of their shingles in common."""
-    rows = require(docs, doc_id, text).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text")
-    sketch = stash(sketches(rows, n, percent, frequent(rows, n, sample, hot_rows)), "sketches")
-    same = ["n_shingles", "d1", "d2"]
-    some = sketch.where("n_shingles > 0 AND id IS NOT NULL")
-    reps = some.groupBy(*same).agg(F.min(F.struct("id", "s0", "s1", "s2", "s3", "prefix")).alias("r"))
-    found = stash(index_lists(reps.select("n_shingles", "r.*"), percent), "lists")
-    pairs = found.where("kind = 0").select(F.col("token").alias("a"), F.col("id").alias("b")).distinct()
-    entries = found.where("kind = 1").drop("kind")
-    members = entries.select("id").distinct()
 
-    bits = member_bits(members)
+def fetch(rows: DataFrame, members: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """The sets (id, g) of the members (id), made again from the texts that have them."""
+    wanted = stash(members.distinct().join(reps.select("id", "doc", *SAME), "id"), "members")
+    bits = member_bits(wanted.select(F.col("doc").alias("id")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bit = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)))
             for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g.tobytes() for g in shingle_sets(part.column(1), n)], pa.binary())], ["id", "g"])
+                part, made = batch.slice(i, 512), {}
+                for g in shingle_sets(part.column(1), n):
+                    made[len(g), *digest(g)] = g.tobytes()
+                d = np.array([k[1:] for k in made], np.uint64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in made], pa.int64()), i64(d[:, 0]), i64(d[:, 1]), pa.array(made.values(), pa.binary())], [*SAME, "g"])
 
-    sets = stash(rows.where("id IS NOT NULL").withColumn("bit", _bit("id")).mapInArrow(sets_of, "id long, g binary"), "sets")
+    made = rows.where("id IS NOT NULL").withColumn("bit", _bit("id")).mapInArrow(sets_of, "n_shingles long, d1 long, d2 long, g binary")
+    sets = stash(made.join(wanted.drop("doc"), SAME).select("id", "g").dropDuplicates(["id"]), "sets")
+    drop_stash(rows.sparkSession, wanted)
+    return sets
+
+
+def join(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, hot_rows: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; links are pairs with percent / 100 of their shingles in common."""
+    spark = docs.sparkSession
+    rows = require(docs, doc_id, text).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text")
+    hot, expected = frequent(rows, n, sample, hot_rows)
+    sketch = stash(sketches(rows, n, percent, hot), "sketches")
+    doc = stash(sketch.select("id", *SAME), "documents")
+    # one node, numbered from here on, for all documents of equal sets; `doc` is the least of these
+    some = sketch.where("n_shingles > 0 AND id IS NOT NULL")
+    reps = some.groupBy(*SAME).agg(F.min(F.struct("id", "parity", "prefix")).alias("r"), F.count("*").alias("copies"))
+    reps = reps.select(F.monotonically_increasing_id().alias("id"), *SAME, "copies", F.col("r.id").alias("doc"), F.col("r.parity").alias("parity"), F.col("r.prefix").alias("prefix"))
+    reps = stash(reps, "sets-once")
+    drop_stash(spark, sketch)
+
+    long = expected > CHUNK
+    order = np.argsort(hot[long].view(np.int64))
+    met = stash(shared(postings(reps, hot[long].view(np.int64)[order], -(-expected[long] // CHUNK)[order]), percent), "postings")
+    found = stash(forests(met.join(short_parities(reps), "id"), percent), "lists")
+    drop_stash(spark, met)
+    leaders = found.where("kind = 2").drop("kind").withColumn("salt", F.lit(0))
+    joined = stash(forests(leaders, percent).where("kind = 0"), "leaders")  # the chunks of a list meet by their leaders
+    tree = found.where("kind = 0").union(joined)
+    pairs = stash(near(tree.select(F.col("token").alias("a"), F.col("id").alias("b")).distinct(), reps, percent), "pairs")
+    entries = found.where("kind = 1").drop("kind")
+
+    sets = fetch(rows, pairs.select(F.explode(F.array("a", "b")).alias("id")), reps, n)
     first = stash(verify_leaders(pairs, sets, percent), "verified")
-    # an id that repeats with different texts has equal sets only through its rows; all its rows are one node
-    equal = some.join(reps.select(*same, F.col("r.id").alias("rep")), same).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = first.where("linked").select("a", "b").union(equal)
+    for x in (joined, pairs, sets):
+        drop_stash(spark, x)
+    links = first.where("linked").select("a", "b").union(of_one_id(doc, reps))
     label = stash(components(links), "labels")
-    leads = first.where("linked").groupBy("b").agg(F.min(F.struct("a", "more", "less")).alias("f")).select(F.col("b").alias("id"), F.col("f.a").alias("leader"), F.col("f.more").alias("more"), F.col("f.less").alias("less"))
-    once = sets.groupBy("id").count().where("count = 1").select("id")  # a repeated id may have several sets, and leads itself
-    family = leads.join(once, "id", "left_semi").join(once.withColumnRenamed("id", "leader"), "leader", "left_semi").select("id", "leader", "more", "less")
-    rest = rest_pairs(entries, label, percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = stash(verify_rest(rest, sets, family, percent), "more-links")
-    whole = label
-    if not more.isEmpty():
-        whole = stash(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "labels")
-    out = sketch.select("id", "n_shingles").join(whole, "id", "left")
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    rest = rest_pairs(entries, label, percent)
+    drop_stash(spark, found)
+    open_ = stash(near(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), reps, percent), "open-pairs")
+    drop_stash(spark, rest)
+    if not open_.isEmpty():
+        ends = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        leads = first.where("linked").groupBy("b").agg(F.min(F.struct("a", "more", "less")).alias("f"))
+        family = stash(leads.select(F.col("b").alias("id"), "f.*").join(ends, "id", "left_semi").withColumnRenamed("a", "leader"), "family")
+        sets = fetch(rows, ends.join(family, "id", "left_anti").union(family.select("leader")), reps, n)
+        more = stash(verify_rest(open_, sets, family, percent), "more-links")
+        drop_stash(spark, sets)
+        drop_stash(spark, family)
+        if not more.isEmpty():
+            label = stash(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "labels")
+
+    of = reps.select("id", "doc", "copies", *SAME).join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = of.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = of.join(least, "component").where("copies > 1 OR doc <> component_id").select(*SAME, "component_id")
+    out = doc.join(stash(named, "named"), SAME, "left")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def short_parities(reps: DataFrame) -> DataFrame:
+    """id, s0..s3: the sketches of SHORT bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.array([folded(np.frombuffer(p, np.uint8), SHORT // 8) for p in batch.column("parity").to_pylist()], np.uint8).reshape(-1, SHORT // 8).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(i64(s[:, k]) for k in range(4))], ["id", "s0", "s1", "s2", "s3"])
+
+    return reps.select("id", "parity").mapInArrow(run, "id long, s0 long, s1 long, s2 long, s3 long")
+
+
+def of_one_id(doc: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of documents that share an id."""
+    known = doc.where("n_shingles > 0 AND id IS NOT NULL")
+    several = known.groupBy("id").count().where("count > 1").select("id")
+    of = known.join(several, "id", "left_semi").distinct().join(reps.select(F.col("id").alias("b"), *SAME), SAME).select("id", "b")
+    return of.join(of.groupBy("id").agg(F.min("b").alias("a")), "id").where("a <> b").select("a", "b")
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows, with all their columns, of one document of each component: the one of least id.
 
     A node is a row key, the hash of id and text, so rows that repeat an id go only if their texts are near copies. Of equal ids
-    with equal texts one row stays. Rows with a null id are held against each other, and one of each component stays beside
+    with equal texts one row stays, the one of least hash of its columns but maps. Rows with a null id are held against each other, and one of each component stays beside
     the one with an id. Texts without words are no near copies of anything, so all of them stay."""
-    key = F.xxhash64(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`"))
-    has_words = F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]")
-    keys = stash(docs.where(has_words).select(key.alias("key"), F.col(f"`{doc_id}`").alias("id")), "keys")
-    repeated = stash(keys.groupBy("key").count().where("count > 1").select(F.col("key").alias("again")), "repeated")
+    name = unused("key", docs.columns)
+    id_, text_ = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    key = F.when(text_.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(id_.isNull(), id_.cast("string"), text_))
+    keys = stash(docs.select(key.alias("key"), id_.alias("id")).where("key IS NOT NULL"), "keys")
+    repeated = stash(keys.groupBy("key").count().where("count > 1").select(F.col("key").alias(name)), "repeated")
+    keyed = docs.withColumn(name, key)
     if not repeated.isEmpty():
-        again = (key == F.col("again")) & has_words
-        first = docs.join(repeated, again, "left_semi").groupBy(key.alias("key")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
-        docs = stash(docs.join(repeated, again, "left_anti").union(first.select("row.*")), "once")
-    rows = docs.where(has_words).select(key.alias("key"), F.col(f"`{text}`").alias("text"))
+        plain = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        first = keyed.join(repeated, name, "left_semi").groupBy(name).agg(F.min_by(whole, F.xxhash64(*plain)).alias("row"))
+        keyed = stash(keyed.join(repeated, name, "left_anti").select(*[f"`{c}`" for c in docs.columns], name).union(first.select("row.*", name)), "once")
+    rows = keyed.where(F.col(name).isNotNull()).select(F.col(name).alias("key"), text_.alias("text"))
     classes = stash(join(rows, n, percent, "text", "key").select(F.col("doc_id").alias("key"), "component_id"), "classes")
     several = classes.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = classes.join(several, "component_id").join(keys.distinct(), "key").select("key", "id", "component_id")
+    members = stash(classes.join(several, "component_id").join(keys.distinct(), "key").select("key", "id", "component_id"), "members")
     stays = members.groupBy("component_id", F.col("id").isNull().alias("no_id")).agg(F.min(F.struct("id", "key")).alias("m"))
-    gone = stash(members.select("key").join(stays.select(F.col("m.key").alias("key")), "key", "left_anti").withColumnRenamed("key", "gone"), "gone")
-    return docs.join(gone, (key == F.col("gone")) & has_words, "left_anti")
+    gone = stash(members.select(F.col("key").alias(name)).join(stays.select(F.col("m.key").alias(name)), name, "left_anti"), "gone")
+    for x in (keys, repeated, classes, members):
+        drop_stash(docs.sparkSession, x)
+    return keyed.join(gone, name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
