@@ -3,8 +3,8 @@
 What matters to the packing is how many pieces there are of each length, at most `capacity` numbers, however many documents
 there are. The driver solves the packing of this histogram by bin completion: it takes the largest length that remains,
 enumerates undominated fillings of the rest of its sequence, least waste first, and branches over them. A branch whose waste
-exceeds what any better solution may waste is cut; best-fit decreasing gives the first incumbent. A filling is applied as often as the counts
-allow, so a solution is a short list of (filling, repeats). Pieces then find their places by their rank within their length:
+exceeds what any better solution may waste is cut; best-fit decreasing gives the first incumbent. Large packings are improved part by part.
+A solution is a short list of (filling, repeats). Pieces then find their places by their rank within their length:
 counts by partition and prefix sums give ranks without gathering a length's pieces anywhere.
 
 Cases: a null or empty text is a piece with the end id alone; only documents longer than a sequence are cut, the first of their
@@ -13,6 +13,7 @@ pieces taking what is over; repeated and null ids are packed like any others; an
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,52 +28,68 @@ from .token_files import encoder
 Filling = tuple[tuple[int, int], ...]  #: (length, how often), longest first
 
 
-def completions(rem: np.ndarray, largest: int, capacity: int, width: int, nodes: int) -> list[tuple[int, Filling]]:
-    """(waste, filling) of undominated fillings around one piece of the largest length, least waste first, at most `width`.
+def spread(bits: int, n: int) -> int:
+    """The bits, and each of them moved up by 1 to n places."""
+    k = 1
+    while n > 0:
+        step = min(k, n)
+        bits |= bits << step
+        n -= step
+        k += step
+    return bits
 
-    One piece that fills the rest exactly dominates every other filling. Of fillings with the same waste, one with longer pieces leaves
-    the short ones, which fit more places, so longer pieces are tried first. The search looks at `nodes` nodes at most, and so may
-    miss fillings, never pieces."""
+
+def completions(rem: np.ndarray, largest: int, capacity: int, most_waste: int) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of all undominated fillings around one piece of the largest length, least waste first, with at most `most_waste`.
+
+    They are made one at a time, longer pieces first. A bit set for each length tells which sums the shorter ones can reach, so
+    every step of the search leads to a filling of the waste that is sought."""
     rest = capacity - largest
-    rem[largest] -= 1
-    try:
-        if rest == 0 or rem[rest] > 0:
-            return [(0, ((largest, 1), (rest, 1)) if rest and rest != largest else ((largest, 1 + (rest == largest)),))]
-        lengths = np.flatnonzero(rem[: rest + 1])
-        lengths = lengths[lengths > 0][::-1].tolist()
-        found: dict[Filling, int] = {}
-        left = nodes
-
-        def fill(i: int, rest: int, chosen: list[tuple[int, int]]) -> bool:
-            """True once enough perfect fillings are known or the nodes are spent."""
-            nonlocal left
-            left -= 1
-            while i < len(lengths) and lengths[i] > rest:
-                i += 1
-            if rest == 0 or i == len(lengths):
-                found[tuple(chosen)] = rest
-                return left <= 0 or sum(not w for w in found.values()) >= width
-            length = lengths[i]
-            most = min(int(rem[length]), rest // length)
-            for n in range(most, -1, -1):
-                if n == 0 and lengths[-1] > rest - length and length > rest // 2 and len(lengths) == i + 1:
-                    break  # leaving out the only piece that fits is dominated
-                if fill(i + 1, rest - n * length, [*chosen, (length, n)] if n else chosen):
-                    return True
-            return left <= 0
-
-        fill(0, rest, [])
-        best = sorted(found.items(), key=lambda x: (x[1], [-a for a, _ in x[0]]))[:width]
-        out = []
-        for filling, waste in best:
-            if filling and filling[0][0] == largest:
-                filling = ((largest, filling[0][1] + 1), *filling[1:])
-            else:
-                filling = ((largest, 1), *filling)
-            out.append((waste, filling))
-        return out
-    finally:
-        rem[largest] += 1
+    have = rem[: rest + 1].copy()
+    if largest <= rest:
+        have[largest] -= 1
+    lengths = np.flatnonzero(have)[::-1].tolist()
+    number = {a: int(have[a]) for a in lengths}
+    below = (1 << (rest + 1)) - 1
+    reach = [1] * (len(lengths) + 1)  # bit s of reach[i]: pieces of lengths[i:] can sum to s
+    for i in range(len(lengths) - 1, -1, -1):
+        r, n, k = reach[i + 1], min(number[lengths[i]], rest // lengths[i]), 1
+        while n > 0:
+            k = min(k, n)
+            r |= (r << (k * lengths[i])) & below
+            n, k = n - k, 2 * k
+        reach[i] = r
+
+    def fill(i: int, left: int) -> Iterator[Filling]:
+        if not left:
+            yield ()
+        while left and reach[i] >> left & 1:
+            a = lengths[i]
+            i += 1
+            for n in range(min(number[a], left // a), 0, -1):
+                if reach[i] >> (left - n * a) & 1:
+                    for more in fill(i, left - n * a):
+                        yield (a, n), *more
+
+    for waste in range(rest - reach[0].bit_length() + 1, min(most_waste, rest) + 1):
+        for filling in fill(0, rest - waste) if reach[0] >> (rest - waste) & 1 else ():
+            if not dominated(filling, waste, number):
+                rest_of = dict(filling)
+                yield waste, tuple(sorted((rest_of | {largest: rest_of.get(largest, 0) + 1}).items(), reverse=True))
+
+
+def dominated(filling: Filling, waste: int, number: dict[int, int]) -> bool:
+    """Whether a piece that is left out can take the place of some of the filling's pieces, or of none, and of some of the waste.
+
+    The exchanged filling is no worse: what it sets free fits wherever that piece would lie."""
+    used = dict(filling)
+    left_out = sum(1 << a for a, n in number.items() if n > used.get(a, 0))
+    one, several = 1, 0  # sums of no piece or one, of two or more
+    for a, n in filling:
+        for _ in range(n):
+            several |= (several | one & ~1) << a
+            one |= 1 << a
+    return bool(spread(several, waste) & left_out or waste and spread(one << 1, waste - 1) & left_out)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
@@ -103,54 +120,112 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
     return int((n[capacity] - n[half] + more).max())
 
 
-def solve(counts: np.ndarray, capacity: int, width: int = 4, nodes: int = 300, steps: int = 4000) -> list[tuple[Filling, int]]:
-    """(filling, repeats) that use up counts[length] pieces of each length 1..capacity. `steps` bounds the branch and bound; what it
-    has found by then is returned, a whole packing in any case."""
-    total = int((counts * np.arange(len(counts))).sum())
-    least = least_bins(counts, capacity)
-    best = best_fit(counts, capacity)
-    n_best = sum(k for _, k in best)
-    rem, path, bins, waste = counts.copy(), [], 0, 0  # path: filling, repeats, waste of one, alternatives left
+def branch(counts: np.ndarray, capacity: int, most: int, steps: int) -> tuple[list[tuple[Filling, int]] | None, bool]:
+    """(a packing into at most `most` sequences or None, whether the search came to its end): bin completion, `steps` fillings at most.
 
-    def undo() -> None:
-        nonlocal bins, waste
-        filling, k, w, _ = path[-1]
-        for a, n in filling:
-            rem[a] += n * k
-        bins, waste = bins - k, waste - w * k
-
-    def take(options: list[tuple[int, Filling]]) -> bool:
-        nonlocal bins, waste
-        allowed = (n_best - 1) * capacity - total
-        while options:
-            w, filling = options.pop(0)
+    A filling is first taken as often as the counts allow, then once; both ways lead through all multisets of fillings. What waste
+    is allowed bounds every branch, and pieces that have been left over before in as few sequences are not looked at again."""
+    allowed = most * capacity - int((counts * np.arange(len(counts))).sum())
+    if allowed < 0:
+        return None, True
+    rem, bins, wasted = counts.copy(), 0, 0
+    path: list[tuple[Filling, int, int]] = []
+    seen: dict[bytes, int] = {}
+
+    def options() -> Iterator[tuple[Filling, int, int]]:
+        for waste, filling in completions(rem, int(np.flatnonzero(rem)[-1]), capacity, allowed - wasted):
             k = min(int(rem[a]) // n for a, n in filling)
-            if waste + w > allowed:
-                continue  # any solution through here is no better than the incumbent
-            if w:
-                k = min(k, (allowed - waste) // w)
-            for a, n in filling:
-                rem[a] -= n * k
-            bins, waste = bins + k, waste + w * k
-            path.append((filling, k, w, options))
-            return True
-        return False
-
-    while n_best > least and steps > 0:
-        steps -= 1
-        lengths = np.flatnonzero(rem)
-        if not len(lengths):
-            best, n_best = [(f, k) for f, k, _, _ in path], bins
-        elif take(completions(rem, int(lengths[-1]), capacity, width, nodes)):
+            k = min(k, (allowed - wasted) // waste) if waste else k
+            yield filling, k, waste
+            if k > 1:
+                yield filling, 1, waste
+
+    def take(filling: Filling, k: int, waste: int) -> None:
+        nonlocal bins, wasted
+        for a, n in filling:
+            rem[a] -= n * k
+        bins, wasted = bins + k, wasted + waste * k
+
+    if not rem.any():
+        return [], True
+    stack = [options()]
+    while stack:
+        if steps <= 0:
+            return None, False
+        option = next(stack[-1], None)
+        if option is None:
+            stack.pop()
+            if path:
+                filling, k, waste = path.pop()
+                take(filling, -k, waste)
             continue
-        while path:  # back to the last choice that has an alternative
-            undo()
-            options = path.pop()[3]
-            if take(options):
-                break
+        steps -= 1
+        take(*option)
+        if not rem.any():
+            return [(f, k) for f, k, _ in [*path, option]], True
+        key = rem.tobytes()
+        if seen.get(key, most + 1) > bins and bins + least_bins(rem, capacity) <= most:
+            seen[key] = bins
+            path.append(option)
+            stack.append(options())
         else:
+            take(option[0], -option[1], option[2])
+    return None, True
+
+
+def solve(counts: np.ndarray, capacity: int, steps: int = 4000, rounds: int = 200, seed: int = 0) -> list[tuple[Filling, int]]:
+    """(filling, repeats) that use up counts[length] pieces of each length 1..capacity.
+
+    The first incumbent is best-fit's. Each search asks for one sequence less than the incumbent has, until least_bins is reached or
+    the search has come to its end: then the packing is as small as can be. A search over more pieces than `steps` fillings can tell of goes
+    on by parts: a part is some of the sequences with the most waste, together one sequence's worth or more, and some others; bin completion looks for a
+    packing of its pieces into one sequence less, which then takes the place of the part as often as its sequences repeat. `rounds` parts that
+    are tried in vain end this. In any case the packing is whole."""
+    least, best = least_bins(counts, capacity), best_fit(counts, capacity)
+    while (n := sum(k for _, k in best)) > least:
+        found, ended = branch(counts, capacity, n - 1, steps)
+        if found is None:
             break
-    return best
+        best = found
+    else:
+        return best
+    if ended:
+        return best
+    rng, held = np.random.default_rng(seed), Counter()
+    for filling, k in best:
+        held[filling] += k
+    waste = lambda f: capacity - sum(a * m for a, m in f)
+    tries = 0
+    while n > least and tries < rounds:
+        tries += 1
+        fillings = sorted(held)
+        wasteful = sorted((f for f in fillings if waste(f)), key=lambda f: (-waste(f) * rng.uniform(0.5, 1), f))
+        part: Counter[Filling] = Counter()
+        room = 0
+        for f in wasteful:
+            if room >= capacity + (tries % 4) * capacity // 4:
+                break
+            part[f] = min(held[f], -(-capacity // waste(f)))
+            room += part[f] * waste(f)
+        if room < capacity:
+            break  # what is wasted doesn't make a sequence
+        for i in rng.choice(len(fillings), min(len(fillings), int(rng.integers(2, 40))), replace=False):
+            f = fillings[i]
+            part[f] = min(held[f], part[f] + 1)
+        pieces = np.zeros_like(counts)
+        for f, k in part.items():
+            for a, m in f:
+                pieces[a] += m * k
+        found, _ = branch(pieces, capacity, sum(part.values()) - 1, steps // 10)
+        if found is not None:
+            k = min(held[f] // m for f, m in part.items())
+            for f, m in part.items():
+                held[f] -= m * k
+            for f, m in found:
+                held[f] += m * k
+            held += Counter()  # drops what is used up
+            n, tries = sum(held.values()), 0
+    return sorted(held.items(), reverse=True)
 
 
 def places(solution: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:

@@ -201,6 +201,36 @@ def test_one_of_each_keeps_unrelated_texts_of_one_id(spark):
     assert counted(jaccard.one_of_each(spark.createDataFrame(hot, "doc_id long, text string"))) == Counter(hot)
 
 
+def test_one_of_each_with_other_columns(spark):
+    """Columns of any name and kind go with their rows, also where a row repeats."""
+    rng = random.Random(9)
+    x, y = (" ".join(f"{c}{rng.randint(0, 10**6)}" for _ in range(40)) for c in "xy")
+    rows = [(1, x, {"a": 1}, 1, 2, 3, "k"), (1, x, {"a": 1}, 1, 2, 3, "k"), (2, x + " z", None, 1, 2, 3, "k"), (3, y, {}, None, None, None, None), (4, None, None, 0, 0, 0, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>, gone int, again int, `row` int, `KEY` string")
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.m, r.gone, r.KEY) for r in kept.collect()) == [(1, x, {"a": 1}, 1, "k"), (3, y, {}, None, None), (4, None, None, 0, "")]
+
+
+def test_op6_ids_of_several_texts(spark):
+    """An id that repeats with different texts joins all that any of these link with."""
+    t = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(5, t("a")), (5, t("b")), (5, t("c")), (9, t("a") + " x"), (8, t("b")), (7, t("c") + " y"), (6, t("d")), (3, t("d") + " z"), (5, t("a"))]
+    got = counted(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id"))
+    assert got == Counter({(5, 5): 4, (9, 5): 1, (8, 5): 1, (7, 5): 1, (6, 3): 1, (3, 3): 1})
+
+
+def test_parities_bound_differences():
+    rng = np.random.default_rng(10)
+    for m, extra in ((5, 3), (300, 40), (5000, 900)):
+        a = np.unique(rng.integers(0, 2**63, m).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        b = np.unique(np.concatenate([a[extra:], rng.integers(0, 2**63, extra // 2).astype(np.uint64)]))
+        x, y = jaccard.parity(a), jaccard.parity(b)
+        size = min(len(x), len(y))
+        assert 0 < np.bitwise_count(jaccard.folded(x, size) ^ jaccard.folded(y, size)).sum() <= len(np.setxor1d(a, b))
+        assert (jaccard.folded(x, 32) == jaccard.folded(jaccard.folded(x, size), 32)).all()
+
+
 def test_op6_long_lists(spark, monkeypatch):
     """Large groups, compared leader by leader, some of which only chains join."""
     rng = random.Random(6)
@@ -218,6 +248,8 @@ def test_op6_long_lists(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "LONG", long)
         monkeypatch.setattr(jaccard, "POSITIONS", block)
         assert {r.doc_id: r.component_id for r in jaccard.join(df, sample=10).collect()} == root
+    monkeypatch.setattr(jaccard, "CHUNK", 20)  # lists in several chunks, which meet by their leaders
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, sample=50).collect()} == root
 
 
 def test_components(spark):
@@ -300,6 +332,65 @@ def test_packing_is_tight():
         assert (used == c).all() and sum(k for _, k in s) == best >= packing.least_bins(c, 10)
 
 
+def fewest(sizes, capacity):
+    """The fewest sequences, by dynamic programming over all subsets: (sequences, tokens in the last one)."""
+    best = [(1, 0)] + [(len(sizes) + 1, 0)] * (2 ** len(sizes) - 1)
+    for mask in range(len(best)):
+        n, used = best[mask]
+        for i, a in enumerate(sizes):
+            if not mask >> i & 1:
+                best[mask | 1 << i] = min(best[mask | 1 << i], (n, used + a) if used + a <= capacity else (n + 1, a))
+    return best[-1][0]
+
+
+def test_packing_equals_exact_search():
+    rng = random.Random(11)
+    cases = [[13, 14, 28, 30, 33, 35, 44, 45, 48]] + [[rng.randint(lo, hi) for _ in range(rng.randint(1, 10))] for lo, hi in ((1, 100), (10, 50), (20, 35), (1, 30)) for _ in range(100)]
+    better = 0
+    for sizes in cases:
+        counts = np.bincount(sizes, minlength=101)
+        solution = packing.solve(counts, 100)
+        used = np.zeros(101, int)
+        for filling, k in solution:
+            assert sum(a * n for a, n in filling) <= 100
+            for a, n in filling:
+                used[a] += n * k
+        got = sum(k for _, k in solution)
+        assert (used == counts).all() and got == fewest(sizes, 100)
+        better += got < sum(k for _, k in packing.best_fit(counts, 100))
+    assert better
+
+
+def test_completions_are_undominated():
+    """Those around the largest piece, by brute force over all subsets and all exchanges of pieces left out."""
+    rng = random.Random(12)
+    for _ in range(150):
+        sizes = sorted((rng.randint(3, 40) for _ in range(8)), reverse=True)
+        rest, others = 60 - sizes[0], sizes[1:]
+        subsets = {tuple(sorted((others[i] for i in range(7) if mask >> i & 1), reverse=True)) for mask in range(128)}
+        want = set()
+        for f in (x for x in subsets if sum(x) <= rest):
+            waste, out = rest - sum(f), Counter(others) - Counter(f)
+            parts = [tuple(f[i] for i in range(len(f)) if mask >> i & 1) for mask in range(2 ** len(f))]
+            if not any(sum(q) <= x <= sum(q) + waste and q != (x,) for x in out for q in parts):
+                want.add((waste, tuple(sorted(Counter((sizes[0], *f)).items(), reverse=True))))
+        got = list(packing.completions(np.bincount(sizes, minlength=61), sizes[0], 60, 60))
+        assert set(got) == want and len(got) == len(want) and [w for w, _ in got] == sorted(w for w, _ in got)
+
+
+def test_packing_in_parts():
+    """More lengths than one search can tell of: fewer sequences than best-fit's, and no piece lost."""
+    rng = random.Random(13)
+    counts = np.bincount([rng.randint(150, 420) for _ in range(3000)], minlength=1025)
+    solution, best = packing.solve(counts, 1024, steps=500), sum(k for _, k in packing.best_fit(counts, 1024))
+    used = np.zeros(1025, int)
+    for filling, k in solution:
+        assert sum(a * n for a, n in filling) <= 1024
+        for a, n in filling:
+            used[a] += n * k
+    assert (used == counts).all() and packing.least_bins(counts, 1024) <= sum(k for _, k in solution) < best
+
+
 def test_op9(docs, spark, tables):
     learn = F.coalesce(crc_remainder("doc_id", 5) != 1, F.lit(False))
     got = suffix_tree.score(docs, learn).collect()
