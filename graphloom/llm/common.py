@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +43,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them again: lineage ends there, and a lost executor costs no recomputation.
 
-    An empty table keeps its schema."""
+    An empty table keeps its schema. Spark deletes the shuffle files behind the rows once the driver's JVM has collected what refers to them; asking
+    for that here keeps them from piling up over the steps of an operator."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -135,6 +139,18 @@ def crc_remainder(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(n)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for mapInArrow, after which a worker gives back the memory that it holds for reuse: workers outlive their tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, combine, drop_stash, i64, mix, require, stash, unused
+from .common import WordHasher, combine, drop_stash, i64, mix, require, stash, tidy, unused
 from .components import components
 
 #: About so many documents, by id hash, give the table of frequent shingles, which has HOT rows at most (2 MB).
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFram
             d = np.array(digests, np.uint64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), i64(np.array(size, np.int64)), i64(d[:, 0]), i64(d[:, 1]), pa.array(parities, pa.binary()), pa.array(prefix, pa.binary())], ["id", "n_shingles", "d1", "d2", "parity", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, d1 long, d2 long, parity binary, prefix binary")
+    return docs.mapInArrow(tidy(run), "id long, n_shingles long, d1 long, d2 long, parity binary, prefix binary")
 
 
 def digest(g: np.ndarray) -> tuple[int, int]:
@@ -141,7 +141,7 @@ def frequent(docs: DataFrame, n: int, sample: int, rows: int) -> tuple[np.ndarra
                 yield pa.RecordBatch.from_arrays([i64(token), i64(count)], ["token", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(every)) == 0)
-    counts = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
+    counts = some.mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
     got = counts.orderBy(F.col("n").desc(), "token").limit(rows).toArrow()
     token, count = got["token"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy().astype(np.int64)
     return np.ascontiguousarray(token[::-1]), count[::-1] * every
@@ -298,7 +298,7 @@ def postings(reps: DataFrame, hot: np.ndarray, chunks: np.ndarray) -> DataFrame:
                 cut = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(token[cut]), pa.array(salt[cut]), pa.array(id_[cut]), pa.array(n[cut] << 32 | pos[cut])], ["token", "salt", "id", "np"])
 
-    return reps.select("id", "n_shingles", "prefix").mapInArrow(run, "token long, salt int, id long, np long")
+    return reps.select("id", "n_shingles", "prefix").mapInArrow(tidy(run), "token long, salt int, id long, np long")
 
 
 def shared(entries: DataFrame, percent: int) -> DataFrame:
@@ -316,7 +316,7 @@ def shared(entries: DataFrame, percent: int) -> DataFrame:
             stay = Entries(c["token"], c["id"], n, pos, None, percent).in_company() | (c["salt"] > 0)
             yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (c["token"], c["salt"], c["id"], n, pos)], ["token", "salt", "id", "n", "pos"])
 
-    return entries.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(run, "token long, salt int, id long, n long, pos long")
+    return entries.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(tidy(run), "token long, salt int, id long, n long, pos long")
 
 
 def forests(entries: DataFrame, percent: int) -> DataFrame:
@@ -342,7 +342,7 @@ def forests(entries: DataFrame, percent: int) -> DataFrame:
                 if of.any():
                     yield rows(kind, c["token"][of], e.id[of], e.n[of], e.pos[of], *s[of].T)
 
-    return entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id").mapInArrow(run, "kind int, " + ", ".join(f"{k} long" for k in ENTRY))
+    return entries.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id").mapInArrow(tidy(run), "kind int, " + ", ".join(f"{k} long" for k in ENTRY))
 
 
 def near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -350,18 +350,12 @@ def near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
-            most = m + n - 2 * -(-percent * (m + n) // (100 + percent))
-            ok = np.empty(len(m), bool)
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
-                size = min(len(x), len(y))
-                ok[k] = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= most[k]
-            mask = pa.array(ok)
+            columns = (batch.column(c).to_pylist() for c in ("m", "n", "x", "y"))
+            mask = pa.array([in_reach(m, n, np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), percent) for m, n, x, y in zip(*columns, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
 
     side = lambda *names: reps.select("id", "n_shingles", "parity").toDF(*names)
-    return pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -388,7 +382,7 @@ def verify_leaders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(more, pa.binary()), pa.array(less, pa.binary())], ["a", "b", "linked", "more", "less"])
 
     joined = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long, linked boolean, more binary, less binary")
+    return joined.mapInArrow(tidy(run), "a long, b long, linked boolean, more binary, less binary")
 
 
 def verify_rest(pairs: DataFrame, sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
@@ -417,23 +411,52 @@ def verify_rest(pairs: DataFrame, sets: DataFrame, family: DataFrame, percent: i
     side = lambda s: family.select(F.col("id").alias(s), F.col("leader").alias(f"l{s}"), F.col("more").alias(f"{s}_more"), F.col("less").alias(f"{s}_less"))
     led = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b"))
     joined = led.join(sets.toDF("la", "x").hint("merge"), "la").join(sets.toDF("lb", "y").hint("merge"), "lb").sortWithinPartitions("la", "lb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(tidy(run), "a long, b long")
 
 
-def rest_pairs(entries: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs in reach whose sets are in different components, from the lists in which more than one component is left."""
-    e = entries.join(label.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+def rest_pairs(entries: DataFrame, label: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs in reach, by their whole parity sketches too, whose sets are in different components: from the lists in which more than one is left.
+
+    In each list the sets outside its largest component meet all others. A long list is dealt into chunks: every entry is at home in one of them,
+    and those outside the largest component are guests in the others, so a task holds a chunk and the guests of a batch."""
+    e = entries.select("token", "id", "n", "pos").join(label.toDF("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     per = e.groupBy("token", "c").agg(F.count("*").alias("k"))
-    mixed = per.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("cs")).where("cs > 1").select("token", "major")
-    e = stash(e.join(mixed, "token"), "mixed")  # from a table, so that Spark can split a hot token in the join below
-    pick = lambda s: [F.col(k).alias(f"{s}_{k}") for k in ("id", "n", "pos", "s0", "s1", "s2", "s3", "c", "major")]
-    minor = e.where("c <> major").select("token", *pick("x"))
-    need = f"(({percent} * (x_n + y_n) + {99 + percent}) div {100 + percent})"
-    differ = " + ".join(f"bit_count(x_s{k} ^ y_s{k})" for k in range(4))
-    reach = f"x_c <> y_c AND (y_c = y_major OR x_id < y_id) AND least(x_n - x_pos, y_n - y_pos) >= {need} AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND {differ} <= x_n + y_n - 2 * {need}"
-    found = stash(minor.join(e.select("token", *pick("y")), "token").where(reach).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "rest")
-    drop_stash(e.sparkSession, e)
-    return found
+    mixed = per.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("major"), F.count("*").alias("cs"), F.ceil(F.sum("k") / CHUNK).cast("int").alias("chunks")).where("cs > 1").select("token", "major", "chunks")
+    e = e.join(mixed, "token").join(reps.select("id", "parity"), "id")
+    home = F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")
+    at = F.when(F.col("c") == F.col("major"), F.array(home)).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    dealt = e.withColumn("home", home).withColumn("chunk", F.explode(at)).select("token", "chunk", (F.col("home") == F.col("chunk")).alias("home"), (F.col("c") != F.col("major")).alias("minor"), "id", "n", "pos", "c", "parity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in by_list(batches, 100_000):
+            own = c["token"] + c["chunk"] * np.int64(0x1E3779B97F4A7C15)
+            parities = [np.frombuffer(x, np.uint8) for x in c["parity"]]
+            s = np.array([folded(x, SHORT // 8) for x in parities], np.uint8).reshape(-1, SHORT // 8).view(np.uint64)
+            t = Entries(own, c["id"], c["n"], c["pos"], s, percent)
+            found: set[tuple[int, int]] = set()
+            for start, size in zip(*(x.tolist() for x in t.lists()), strict=True):
+                minor = start + np.flatnonzero(c["minor"][start : start + size])
+                homes = start + np.flatnonzero(c["home"][start : start + size])
+                step = max(1, 500_000 // max(1, len(homes)))
+                for k in range(0, len(minor), step):
+                    x, y = (z.ravel() for z in np.meshgrid(minor[k : k + step], homes, indexing="ij"))
+                    once = (c["c"][x] != c["c"][y]) & (~c["minor"][y] | (c["id"][x] < c["id"][y]))
+                    x, y = x[once], y[once]
+                    ok = t.reach(x, y)
+                    for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                        pair = (int(min(c["id"][i], c["id"][j])), int(max(c["id"][i], c["id"][j])))
+                        if pair not in found and in_reach(int(c["n"][i]), int(c["n"][j]), parities[i], parities[j], percent):
+                            found.add(pair)
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return dealt.repartition("token", "chunk").sortWithinPartitions("token", "chunk").mapInArrow(tidy(run), "a long, b long").distinct()
+
+
+def in_reach(m: int, n: int, x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sets of sizes m and n with these sketches may reach the threshold."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= m + n - 2 * -(-percent * (m + n) // (100 + percent))
 
 
 def fetch(rows: DataFrame, members: DataFrame, reps: DataFrame, n: int) -> DataFrame:
@@ -452,7 +475,7 @@ def fetch(rows: DataFrame, members: DataFrame, reps: DataFrame, n: int) -> DataF
                 d = np.array([k[1:] for k in made], np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in made], pa.int64()), i64(d[:, 0]), i64(d[:, 1]), pa.array(made.values(), pa.binary())], [*SAME, "g"])
 
-    made = rows.where("id IS NOT NULL").withColumn("bit", _bit("id")).mapInArrow(sets_of, "n_shingles long, d1 long, d2 long, g binary")
+    made = rows.where("id IS NOT NULL").withColumn("bit", _bit("id")).mapInArrow(tidy(sets_of), "n_shingles long, d1 long, d2 long, g binary")
     sets = stash(made.join(wanted.drop("doc"), SAME).select("id", "g").dropDuplicates(["id"]), "sets")
     drop_stash(rows.sparkSession, wanted)
     return sets
@@ -489,10 +512,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", doc
         drop_stash(spark, x)
     links = first.where("linked").select("a", "b").union(of_one_id(doc, reps))
     label = stash(components(links), "labels")
-    rest = rest_pairs(entries, label, percent)
+    open_ = stash(rest_pairs(entries, label, reps, percent).join(first.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
     drop_stash(spark, found)
-    open_ = stash(near(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), reps, percent), "open-pairs")
-    drop_stash(spark, rest)
     if not open_.isEmpty():
         ends = open_.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         leads = first.where("linked").groupBy("b").agg(F.min(F.struct("a", "more", "less")).alias("f"))
@@ -519,7 +540,7 @@ def short_parities(reps: DataFrame) -> DataFrame:
             s = np.array([folded(np.frombuffer(p, np.uint8), SHORT // 8) for p in batch.column("parity").to_pylist()], np.uint8).reshape(-1, SHORT // 8).view(np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(i64(s[:, k]) for k in range(4))], ["id", "s0", "s1", "s2", "s3"])
 
-    return reps.select("id", "parity").mapInArrow(run, "id long, s0 long, s1 long, s2 long, s3 long")
+    return reps.select("id", "parity").mapInArrow(tidy(run), "id long, s0 long, s1 long, s2 long, s3 long")
 
 
 def of_one_id(doc: DataFrame, reps: DataFrame) -> DataFrame:

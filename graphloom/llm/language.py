@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, require, string_bytes
+from .common import crc_remainder, require, string_bytes, tidy
 
 SAMPLE_DOCS = 4000
 WINDOWS = 3
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang",
                             break
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], ["x", "y"])
 
-    sample = rows.where(key <= F.lit(last)).select("text", F.col("label").cast("string").alias("label")).mapInArrow(cut, "x binary, y string")
+    sample = rows.where(key <= F.lit(last)).select("text", F.col("label").cast("string").alias("label")).mapInArrow(tidy(cut), "x binary, y string")
     got = sample.orderBy("y", "x").limit(2 * sample_docs * per_doc).toArrow()  # the limit only bounds ids repeated without end
     if not got.num_rows:
         return None
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, net: ByteCNN | None, text: str = "text", keep: tupl
             lang, score = predict_batch(net, batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,4 +223,4 @@ def keep_known(docs: DataFrame, net: ByteCNN | None, min_score: float = 0.35, te
             known = [LETTER.search(t.as_py() or "") is not None for t in batch.column(at)] if net is None else [a != UND and s >= min_score for a, s in zip(lang, score, strict=True)]
             yield batch.filter(pa.array(known, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

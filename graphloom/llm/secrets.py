@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import require, tidy
 from .tokens import vocabulary
 
 KINDS = ("assign", "access", "hex", "random")
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", max_ratio: f
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())] + [pa.array(texts, pa.string())] * (mark is not None), names=[f.split()[0] for f in schema.split(", ")])
 
     rows = require(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", tokenizer: str = "byte_bpe_50k.tiktoken", max_ratio: float = 2.0, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -209,7 +209,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", tokenizer: str = "byte_bpe_5
                 columns[n] = pa.array([c if a == b else len(b) for a, b, c in zip(texts, new, columns[n].to_pylist(), strict=True)], columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
