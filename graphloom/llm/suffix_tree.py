@@ -1,24 +1,33 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-States are the empty context, words, and pairs of words. A context is a candidate if its share of the training tokens is at least
-`least`, and is retained if its next-symbol distribution diverges enough from that of the state it would fall back to (mean divergence
-in nats, and the log-likelihood gain over all its occurrences, less a cost for each symbol that it keeps). A token is scored by the retained state that is the longest suffix of what precedes it.
-
-Distributions are smoothed. The root has c + 0.5 for every token and one more for all unknown ones. A longer state keeps the symbols whose share together with
-the state is at least `least`, each count less a discount; what is left over goes to the other symbols in proportion to
-the next shorter retained state, so every distribution sums to one.
-
-Counts cover all training text. What the tasks get by broadcast is bounded by `least` at any size of the corpus: at most 1 / least words
-and 1 / least (state, symbol) pairs for each depth, 8 to 24 bytes each. Rarer words, of which there is no bound, are counted and looked up by joins; each of
-them occurs less than least * N times, so none is hot.
+States are the empty context and contexts of 1 to `max_depth` words. The tree is grown level by level. A context is a candidate if the
+training text has it `least_count` times or more, which holds for a context only if it does for all its parts; it keeps
+the symbols that follow it as often. A candidate is retained if its next-symbol distribution diverges enough from that of the longest
+retained state it would fall back to (mean divergence in nats, and the log-likelihood gain over all its occurrences, less a cost for each symbol that it
+keeps). Thresholds are counts, not shares, so the tree grows with the corpus. A token is scored by the retained state that is the
+longest suffix of what precedes it.
+
+Distributions are smoothed. The root has c + 0.5 for every token and one more for all unknown ones. A longer state gives a symbol that it keeps
+its count less `discount`; what is left over goes to the other symbols in proportion to the next shorter retained state, so every
+distribution sums to one.
+
+In logarithms the walk from the root to the longest state is a sum: each retained context adds what falling back from it costs, and each
+symbol it keeps adds the difference that keeping it makes. So the tree is one table of weights by key, a context's or a context's and
+symbol's hash, and a text's score is its score by the root and the weights of all keys that it has. Words, levels and weights are
+tables of any size. What tasks get by broadcast is bounded at any size of the corpus: for words and for weights two arrays of SLOTS places, in
+which the most frequent key of each place lies, and a filter of BITS bits. Words in no place, and keys that pass the filter and are in none, are
+looked up by a join.
+
+Keys are 64-bit hashes: with m keys in the tree an absent one is mistaken for one of them with odds of m / 2^64.
 
 Cases: a null or empty text has only the end; documents with a null id are scored and not learnt from; repeated rows are each scored
-and learnt from; without any training document all tokens are unknown."""
+and learnt from; without any training document all tokens are unknown; of symbols with equal counts all or none are kept; an empty table gives no
+rows; other columns, whatever their names, are left alone."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, crc_remainder, i64, require, stash
+from .common import WordHasher, combine, crc_remainder, drop_stash, i64, require, stash, tidy
 
 #: The end as a token; no word has this hash but by chance of 2^-64.
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
+#: What a context's key is marked with, as the same words are also a shorter context and its symbol.
+CONTEXT = 0x2545F4914F6CDD1D
+SLOTS = 1 << 20
+BITS = 1 << 27
 _hasher = WordHasher()
 
 
@@ -46,192 +59,229 @@ def tokens(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, out, new
 
 
+def contexts(h: np.ndarray, off: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For 1, 2 .. depth words before: the keys of what stands before each token, those of as many words that end with
+    the token itself, and which tokens have so many before them."""
+    place = np.arange(len(h)) - np.repeat(off[:-1], np.diff(off))
+    gram = h
+    for d in range(1, depth + 1):
+        before = np.empty_like(gram)
+        before[0], before[1:] = 0, gram[:-1]
+        yield before, gram, place >= d
+        if d < depth:
+            gram = combine(before, h)
+
+
+def _bit(key: np.ndarray | Column, k: int):
+    """Two places in the filter for each key."""
+    if isinstance(key, Column):
+        return (key if k == 0 else F.shiftrightunsigned(key, 36)).bitwiseAND(F.lit(BITS - 1))
+    return (key >> np.uint64(36 * k)) & np.uint64(BITS - 1)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """BITS bits, whatever the number of keys (key): what it lets through beyond them only costs a look-up."""
+    bit = keys.select(F.explode(F.array(_bit(F.col("key"), 0) + 1, _bit(F.col("key"), 1) + 1)).alias("bit"))  # buckets of 32768 count from number 1
+    words = bit.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow()
+    out = np.zeros(BITS // 8, np.uint8)
+    for k, bits in zip(words["k"].to_pylist(), words["bits"].to_pylist(), strict=True):  # BITS / 32768 rows of 4 KB at most
+        out[(k - 1) * 4096 : (k - 1) * 4096 + len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    ok = None
+    for k in (0, 1):
+        at = _bit(key, k)
+        one = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        ok = one if ok is None else ok & one
+    return ok
+
+
+def _slot(key: np.ndarray | Column, k: int, slots: int):
+    """The key's slot in either array."""
+    if isinstance(key, Column):
+        return (key if k == 0 else F.shiftrightunsigned(key, 23)).bitwiseAND(F.lit(slots - 1))
+    return (key >> np.uint64(23 * k)) & np.uint64(slots - 1)
+
+
+class Slots:
+    """Values by key in two arrays of SLOTS places: each place has the most frequent of the keys that fall to it."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+
+    def fill(self, table: DataFrame) -> DataFrame:
+        """table: key, n, value. What finds no place is returned, as written rows."""
+        for k in (0, 1):
+            best = table.groupBy(_slot(F.col("key"), k, SLOTS).alias("slot")).agg(F.max_by(F.struct("key", "value"), F.struct("n", "key")).alias("of")).select("slot", "of.key", "of.value")
+            best = stash(best, "slots")
+            t = best.toArrow()  # SLOTS rows at most
+            keys, values = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS)
+            at = t["slot"].to_numpy()
+            keys[at], values[at] = t["key"].to_numpy().astype(np.int64).view(np.uint64), t["value"].to_numpy()
+            self.keys.append(keys)
+            self.values.append(values)
+            table = stash(table.join(best.select("key"), "key", "left_anti"), "no-slot")
+            drop_stash(table.sparkSession, best)
+        return table
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of keys, 0 for those in no place; and the places of these."""
+        out, open_ = np.zeros(len(key)), np.arange(len(key))
+        for keys, values, k in zip(self.keys, self.values, (0, 1), strict=True):
+            at = _slot(key[open_], k, len(keys))
+            hit = keys[at] == key[open_]
+            out[open_[hit]] = values[at[hit]]
+            open_ = open_[~hit]
+        return out, open_
+
+
 @dataclass
-class SuffixTree:
-    words: np.ndarray  # hashes of frequent tokens, sorted; a token's number is its place
-    log_root: np.ndarray  # log10 of each one's probability in the root
-    unknown: float  # log10 of an unknown token's probability
+class Model:
+    """What tasks get by broadcast."""
+
+    words: Slots  # counts
     total: int
-    #: By depth: states (numbers, sorted), log10 of what is left over for symbols not kept, keys state * len(words) + symbol
-    #: (sorted) and their log10 probabilities. States of depth 1 are words, those of depth 2 places in `pairs`.
-    states: list[np.ndarray] = field(default_factory=list)
-    left: list[np.ndarray] = field(default_factory=list)
-    keys: list[np.ndarray] = field(default_factory=list)
-    log_p: list[np.ndarray] = field(default_factory=list)
-    #: frequent pairs, as word * len(words) + word, sorted: the candidates of depth 2
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-
-    def number(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of tokens; -1 for those that are not frequent."""
-        return find(self.words, h)
-
-    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The place in `pairs` of (a, b), or -1."""
-        at = find(self.pairs, a * len(self.words) + b)
-        at[(a < 0) | (b < 0)] = -1
-        return at
-
-    def fall(self, depth: int, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For states of one depth (-1: none) and symbols: log10 of a kept symbol's probability, else what falling back costs; and whether kept."""
-        at = find(self.states[depth], state)
-        cost = np.where(at >= 0, self.left[depth][np.maximum(at, 0)] if len(self.left[depth]) else 0.0, 0.0)
-        kept = find(self.keys[depth], state * len(self.words) + symbol)
-        ok = (kept >= 0) & (at >= 0) & (symbol >= 0)
-        if ok.any():
-            cost[ok] = self.log_p[depth][kept[ok]]
-        return cost, ok
-
-    def score(self, number: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
-        """log10 P of each token given the two before it (-1: none or rare); for rare tokens without the root's part."""
-        out, done = np.zeros(len(number)), np.zeros(len(number), bool)
-        for depth in reversed(range(len(self.states))):
-            state = before if depth == 0 else self.pair(before2, before)
-            cost, kept = self.fall(depth, state, number)
-            out += np.where(done, 0.0, cost)
-            done |= kept
-        root = (number >= 0) & ~done
-        out[root] += self.log_root[number[root]]
-        return out
-
-
-def find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places of x in a sorted table, -1 where missing."""
-    if not len(table):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return np.where(table[at] == x, at, -1)
-
-
-def _before(x: np.ndarray, off: np.ndarray, k: int) -> np.ndarray:
-    """What stands k places before each token of its text, -1 before its start."""
-    out = np.full(len(x), -1, np.int64)
-    out[k:] = x[:-k]
-    for i in range(k):
-        at = off[:-1] + i
-        out[at[at < off[1:]]] = -1
-    return out
+    norm: float  # log10 of what counts are divided by in the root
+    depth: int
+    weights: Slots
+    bits: np.ndarray
 
 
-def _counted(docs: DataFrame, key, least: float, names: list[str]) -> DataFrame:
-    """Sums over batches of the counts that key(hashes, offsets) gives as columns; only those of at least `least`."""
+def _sums(rows: DataFrame, key, schema: str, least: int = 1) -> DataFrame:
+    """Sums over batches of how often each of the keys occurs that key(hashes, offsets) gives as arrays of one length."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [key(h, off) for _, h, off in tokens(batch.column(0))]
             if not parts:
                 continue
-            found, n = np.unique(np.concatenate(parts), return_counts=True)
-            for i in range(0, len(found), 200_000):
-                yield pa.RecordBatch.from_arrays([i64(found[i : i + 200_000]), i64(n[i : i + 200_000])], [*names, "n"])
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            _, at, n = np.unique(columns[0] if len(columns) == 1 else combine(*columns), return_index=True, return_counts=True)
+            for i in range(0, len(at), 200_000):
+                yield pa.RecordBatch.from_arrays([*(i64(c[at[i : i + 200_000]]) for c in columns), i64(n[i : i + 200_000])], [*names, "n"])
 
-    sums = docs.mapInArrow(run, ", ".join(f"{k} long" for k in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(tidy(run), schema + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
     return sums.where(F.col("n") >= least) if least > 1 else sums
 
 
-def _sorted(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    t = df.select(key, "n").toArrow()
-    k, n = t[key].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64)
-    order = np.argsort(k)
-    return k[order], n[order]
-
-
-def _deepen(tree: SuffixTree, depth: int, keys: np.ndarray, counts: np.ndarray, of_state: np.ndarray, discount: float, divergence: float, gain: float, charge: float) -> None:
-    """Add the retained states of one depth. keys: state * words + symbol with counts; of_state: how often each state occurs."""
-    width = len(tree.words)
-    state, symbol = keys // width, keys % width
-    starts = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]])) if len(state) else np.zeros(0, np.int64)
-    own = state[starts]
-    last = np.diff(np.append(starts, len(state)))
-    total = of_state[own].astype(np.float64)
-    p = (counts - discount) / np.repeat(total, last)
-    if depth == 0:
-        shorter = 10.0 ** tree.log_root[symbol]
-    else:
-        before = tree.pairs[state] % width
-        cost, kept = tree.fall(0, before, symbol)
-        shorter = 10.0 ** (cost + np.where(kept, 0.0, tree.log_root[symbol]))
-    sums = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-    rest, free = 1 - sums(p), np.maximum(1 - sums(shorter), 1e-12)
-    # nats by which the state's distribution, what is left over included, diverges from the shorter state's
-    kl = sums(p * np.log(p / shorter)) + rest * np.log(np.maximum(rest, 1e-300) / free)
-    good = (kl >= divergence) & (kl * total >= gain + charge * last) & (rest > 0)
-    keep = np.repeat(good, last)
-    tree.states.append(own[good])
-    tree.left.append(np.log10(rest[good] / free[good]))
-    tree.keys.append(keys[keep])
-    tree.log_p.append(np.log10(p[keep]))
-
-
-def train(docs: DataFrame, learn: Column, text: str, doc_id: str, least: float = 1e-6, least_count: int = 3, discount: float = 0.6, divergence: float = 0.02, gain: float = 6.0, charge: float = 2.0) -> tuple[SuffixTree, DataFrame]:
-    """The tree and the counts (word, n) of all training tokens."""
+def _grams(rows: DataFrame) -> DataFrame:
+    """Adds gram, the key of a context (ctx) and its symbol, and lower, that of its shorter context (short) and the symbol."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, sym = (batch.column(c).to_numpy().view(np.uint64) for c in ("ctx", "sym"))
+            short = batch.column("short").to_numpy(zero_copy_only=False)
+            whole = ~np.isnan(short) if short.dtype.kind == "f" else np.ones(len(ctx), bool)
+            lower = sym.copy()
+            if whole.any():
+                lower[whole] = combine(short[whole].astype(np.int64).view(np.uint64), sym[whole])
+            gram = combine(ctx, sym) if len(ctx) else ctx
+            yield pa.RecordBatch.from_arrays([*batch.columns, i64(gram), i64(lower)], [*batch.schema.names, "gram", "lower"])
+
+    return rows.mapInArrow(tidy(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", gram long, lower long")
+
+
+def grow(rows: DataFrame, words: DataFrame, max_depth: int, least_count: int, discount: float, divergence: float, gain: float, charge: float) -> list[DataFrame]:
+    """The weights (key, n, w) of the retained states, a list of tables. words: gram (a word), n, short (null), eff (ln of its probability in the root)."""
+    spark, out = rows.sparkSession, []
+    known = words.where(F.col("n") >= least_count)
+    shorter = words.select("gram", "eff")
+    for d in range(1, max_depth + 1):
+        bits = key_filter(known.select(F.col("gram").alias("key")))
+
+        def pairs(h: np.ndarray, off: np.ndarray, d=d, bits=bits) -> list[np.ndarray]:
+            *_, (before, gram, ok) = contexts(h, off, d)  # of what occurs often enough, the parts do too
+            at = np.flatnonzero(ok & passes(bits, gram))
+            at = at[passes(bits, before[at])]
+            return [before[at], h[at]]
+
+        found = _sums(rows, pairs, "ctx long, sym long", least_count)
+        of = known.select(F.col("gram").alias("ctx"), F.col("n").alias("total"), "short")
+        placed = _grams(found.join(of, "ctx").withColumn("short", F.col("short") if d > 1 else F.lit(None).cast("long")).select("ctx", "sym", "n", "total", "short"))
+        # a kept symbol's shorter context keeps it too, as it follows that one at least as often
+        level = stash(placed.join(shorter.select(F.col("gram").alias("lower"), "eff"), "lower").select("ctx", "sym", "gram", "lower", "n", "total", "eff"), f"level-{d}")
+        held = F.col("n") - discount
+        sums = level.groupBy("ctx").agg(F.max("total").alias("total"), F.count("*").alias("m"), F.sum(held * (F.log(held) - F.col("eff"))).alias("a"), F.sum(held).alias("b"), F.sum(F.exp("eff")).alias("c"))
+        rest, free = 1 - F.col("b") / F.col("total"), F.greatest(1 - F.col("c"), F.lit(1e-12))
+        # nats by which the state's distribution, what is left over included, diverges from the shorter state's
+        kl = F.col("a") / F.col("total") - F.col("b") / F.col("total") * F.log("total") + rest * F.log(rest / free)
+        states = sums.where((rest > 0) & (kl >= divergence) & (kl * F.col("total") >= gain + charge * F.col("m"))).select("ctx", F.col("total").alias("n"), F.log(rest / free).alias("left"))
+        states = stash(states, f"states-{d}")
+        own = F.log((F.col("n") - discount) / F.col("total"))
+        grown = level.join(states.select("ctx", "left"), "ctx", "left")
+        grown = stash(grown.select("ctx", "gram", "lower", "n", F.when(F.col("left").isNull(), F.col("eff")).otherwise(own).alias("eff"), F.when(F.col("left").isNotNull(), own - F.col("eff") - F.col("left")).alias("w")), f"grown-{d}")
+        drop_stash(spark, level)
+        out += [states.select(F.col("ctx").bitwiseXOR(F.lit(CONTEXT)).alias("key"), "n", F.col("left").alias("w")), grown.where("w IS NOT NULL").select(F.col("gram").alias("key"), "n", "w")]
+        known, shorter = grown.select("gram", "n", F.col("lower").alias("short")), grown.select("gram", "eff")
+    return out
+
+
+def train(docs: DataFrame, learn: Column, text: str, doc_id: str, max_depth: int = 3, least_count: int = 3, discount: float = 0.6, divergence: float = 0.02, gain: float = 6.0, charge: float = 2.0) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, and the counts of words and the weights in log10 that lie in no slot (key, n, value)."""
+    spark = docs.sparkSession
     rows = require(docs, doc_id, text).toDF("doc_id", "text").where(learn).select("text")
-    counts = stash(_counted(rows, lambda h, off: h, 1, ["word"]), "word-counts")
+    counts = stash(_sums(rows, lambda h, off: [h], "key long"), "word-counts")
     got = counts.agg(F.sum("n"), F.count("*")).first()
-    n, v = got[0] or 0, got[1]
-    norm = np.log10(n + 0.5 * (v + 1))
-    floor = max(least_count, least * n)
-    t = counts.where(F.col("n") >= least * n).toArrow()  # at most 1 / least rows
-    h, c = t["word"].to_numpy().astype(np.int64).view(np.uint64), t["n"].to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    tree = SuffixTree(h, np.log10(c + 0.5) - norm, float(np.log10(0.5) - norm), int(n))
-    width, blank = len(h), np.zeros(0, np.int64)
-    if not width:
-        return tree, counts
-
-    def pairs(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        x = find(tree.words, h)
-        a = _before(x, off, 1)
-        return (a * width + x)[(a >= 0) & (x >= 0)]
-
-    keys, found = _sorted(_counted(rows, pairs, floor, ["pair"]), "pair")
-    _deepen(tree, 0, keys, found, c, discount, divergence, gain, charge)
-    tree.pairs = keys
-    if not len(keys):
-        return tree, counts
-    known = tree.pairs
-
-    def triples(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        x = find(tree.words, h)
-        a, b = _before(x, off, 2), _before(x, off, 1)
-        p = find(known, a * width + b)
-        ok = (a >= 0) & (b >= 0) & (x >= 0) & (p >= 0)
-        return (p * width + x)[ok] if ok.any() else blank
-
-    keys3, found3 = _sorted(_counted(rows, triples, floor, ["triple"]), "triple")
-    _deepen(tree, 1, keys3, found3, found, discount, divergence, gain, charge)
-    return tree, counts
+    n, v = int(got[0] or 0), int(got[1])
+    norm = float(np.log10(n + 0.5 * (v + 1)))
+    model = Model(Slots(), n, norm, max_depth, Slots(), np.zeros(0, np.uint8))
+    rare = model.words.fill(counts.select("key", "n", F.col("n").cast("double").alias("value")))
+    words = counts.select(F.col("key").alias("gram"), "n", F.lit(None).cast("long").alias("short"), (F.log(F.col("n") + 0.5) - float(norm * np.log(10))).alias("eff"))
+    weights = None
+    for part in grow(rows, words, max_depth, least_count, discount, divergence, gain, charge):
+        weights = part if weights is None else weights.union(part)
+    weights = stash(weights.select("key", "n", (F.col("w") / float(np.log(10))).alias("value")), "weights")
+    model.bits = key_filter(weights)
+    return model, rare, model.weights.fill(weights)
 
 
 def score(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", **parameters) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every document; `learn` selects the training documents by doc_id."""
     spark = docs.sparkSession
-    tree, counts = train(docs, learn, text, doc_id, **parameters)
-    model = spark.sparkContext.broadcast(tree)
-    schema = "doc_id long, uid long, n_tokens long, n_frequent long, base double, path double, rare array<long>"
+    trained, counts, weights = train(docs, learn, text, doc_id, **parameters)
+    model = spark.sparkContext.broadcast(trained)
+    schema = "doc_id long, uid long, n_tokens long, n_found long, base double, path double, rare array<long>, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, uid = model.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, h, off in tokens(batch.column(1)):
                 n = len(off) - 1
-                x = t.number(h)
-                base = np.where(x >= 0, t.log_root[np.maximum(x, 0)] if len(t.log_root) else 0.0, 0.0)
-                path = t.score(x, _before(x, off, 1), _before(x, off, 2))
+                count, rare = t.words.find(h)
+                base = np.log10(count + 0.5) - t.norm
+                base[rare] = 0
+                path, keys, at = np.zeros(len(h)), [], []
+                for before, _, ok in contexts(h, off, t.depth):
+                    of = np.flatnonzero(ok)
+                    for key in (before[of] ^ np.uint64(CONTEXT), combine(before[of], h[of])) if len(of) else ():
+                        known = np.flatnonzero(passes(t.bits, key))
+                        w, open_ = t.weights.find(key[known])
+                        path[of[known]] += w
+                        keys.append(key[known[open_]])
+                        at.append(of[known[open_]])
+                at = np.concatenate([np.zeros(0, np.int64), *at])
+                order = np.argsort(at, kind="stable")
+                keys, at = np.concatenate([np.zeros(0, np.uint64), *keys])[order], at[order]
                 per = lambda y: np.add.reduceat(y, off[:-1])  # noqa: E731  every text has its end, so no segment is empty
-                rare, ends = h[x < 0], np.concatenate([[0], np.cumsum(x < 0)])[off]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), i64(uid + np.arange(n)), i64(np.diff(off)), i64(per((x >= 0).astype(np.int64))), pa.array(per(base)), pa.array(per(path)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), i64(rare))], ["doc_id", "uid", "n_tokens", "n_frequent", "base", "path", "rare"])
+                lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), i64(values))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), i64(uid + np.arange(n)), i64(np.diff(off)), i64(per((count > 0).astype(np.int64))), pa.array(per(base)), pa.array(per(path)), lists(h[rare], np.searchsorted(rare, off)), lists(keys, np.searchsorted(at, off))], ["doc_id", "uid", "n_tokens", "n_found", "base", "path", "rare", "keys"])
                 uid += n
 
     rows = require(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    part = stash(rows.mapInArrow(run, schema), "scored")
-    norm = float(tree.unknown - np.log10(0.5))
-    rare = part.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("k"))
-    seen = rare.join(counts, "word", "left")
-    rest = seen.groupBy("uid").agg(F.sum(F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5)) + F.lit(norm))).alias("rest"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("seen"))
-    whole = part.drop("rare").join(rest, "uid", "left")
+    part = stash(rows.mapInArrow(tidy(run), schema), "scored")
+    asked = lambda column: part.select("uid", F.explode(column).alias("key")).groupBy("uid", "key").agg(F.count("*").alias("k"))
+    seen = asked("rare").join(counts, "key", "left")
+    rest = seen.select("uid", (F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5)) - F.lit(trained.norm))).alias("rest"), F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("seen"), F.lit(0.0).alias("more"))
+    more = asked("keys").join(weights, "key").select("uid", F.lit(0.0).alias("rest"), F.lit(0).cast("long").alias("seen"), (F.col("k") * F.col("value")).alias("more"))
+    sums = rest.union(more).groupBy("uid").agg(F.sum("rest").alias("rest"), F.sum("seen").alias("seen"), F.sum("more").alias("more"))
+    whole = part.drop("rare", "keys").join(sums, "uid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return whole.select("doc_id", "n_tokens", (F.col("n_frequent") + zero("seen")).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + zero("rest")).alias("base_score"), (F.col("path") + zero("rest")).alias("score"))
+    base = F.col("base") + zero("rest")
+    return whole.select("doc_id", "n_tokens", (F.col("n_found") + zero("seen")).alias("n_known"), F.lit(trained.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("path") + zero("more")).alias("score"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -412,17 +412,57 @@ def test_op9(docs, spark, tables):
     assert {r.n_known for r in suffix_tree.score(docs, F.lit(False)).collect()} == {0}
 
 
-def test_op9_distributions_sum_to_one(docs):
-    """Over all known tokens and the unknown one, at the root and in every retained state of one and two words."""
-    tree, counts = suffix_tree.train(docs, F.coalesce(F.col("doc_id") >= 0, F.lit(False)), "text", "doc_id")
-    width = len(tree.words)
-    assert counts.count() == width and len(tree.states[0]) and len(tree.states[1])
-    symbols = np.append(np.arange(width), -1)
-    rare = np.where(symbols < 0, tree.unknown, 0.0)
-    contexts = [(-1, -1), *((s, -1) for s in tree.states[0][:20]), *((tree.pairs[p] % width, tree.pairs[p] // width) for p in tree.states[1][:20])]
-    for before, before2 in contexts:
-        p = 10.0 ** (tree.score(symbols, np.full(width + 1, before), np.full(width + 1, before2)) + rare)
-        assert p.sum() == pytest.approx(1, abs=1e-6)
+def plain_tree(texts, depth, least, discount=0.6, divergence=0.02, gain=6.0, charge=2.0):
+    """The tree by the definition: P(symbol, what precedes it), by walking from the longest retained context to the root; and the retained contexts."""
+    seqs = [[*words(t), None] for t in texts]
+    c = Counter(w for s in seqs for w in s)
+    n, v = sum(c.values()), len(c)
+    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    grams = [Counter(tuple(s[i - d : i + 1]) for s in seqs for i in range(d, len(s))) for d in range(depth + 1)]
+    states = {}
+
+    def p(w, before):
+        for d in range(min(depth, len(before)), 0, -1):
+            x = tuple(before[-d:])
+            if x in states:
+                kept, left = states[x]
+                return kept[w] if w in kept else left * p(w, x[1:])
+        return root(w)
+
+    for d in range(1, depth + 1):
+        follow = {}
+        for g, k in grams[d].items():
+            if k >= least and grams[d - 1][g[:-1]] >= least:
+                follow.setdefault(g[:-1], {})[g[-1]] = k
+        new = {}
+        for x, kept in follow.items():
+            total, lower = grams[d - 1][x], {w: p(w, x[1:]) for w in kept}
+            own = {w: (k - discount) / total for w, k in kept.items()}
+            rest, free = 1 - sum(own.values()), max(1 - sum(lower.values()), 1e-12)
+            kl = sum(own[w] * math.log(own[w] / lower[w]) for w in own) + rest * math.log(rest / free)
+            if kl >= divergence and kl * total >= gain + charge * len(own):
+                new[x] = (own, rest / free)
+        states |= new
+    return p, states, c
+
+
+@pytest.mark.parametrize(("slots", "depth", "least"), [(1 << 20, 3, 2), (16, 4, 3)])
+def test_op9_equals_plain_walk(spark, monkeypatch, slots, depth, least):
+    monkeypatch.setattr(suffix_tree, "SLOTS", slots)  # few slots: most weights are joined
+    rng = random.Random(14)
+    passage = [" ".join(rng.choice(WORDS) for _ in range(25)) for _ in range(6)]
+    texts = [" ".join(rng.choice([*passage, rng.choice(WORDS), f"rare{rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    p, states, c = plain_tree([t for i, t in enumerate(texts) if i % 4], depth, least)
+    assert {len(x) for x in states} >= {1, 2, 3}
+    want = {}
+    for i, t in enumerate(texts):
+        w = [*words(t), None]
+        want[i] = sum(math.log10(p(w[k], w[:k])) for k in range(len(w)))
+    got = {r.doc_id: r.score for r in suffix_tree.score(df, F.col("doc_id") % 4 != 0, max_depth=depth, least_count=least).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+    for x in [(), *rng.sample(sorted(states), 40)]:
+        assert sum(p(w, list(x)) for w in c) + p("unknown", list(x)) == pytest.approx(1, abs=1e-9)
 
 
 def test_op10(docs, tokenizer):
