@@ -14,9 +14,8 @@ distribution sums to one.
 In logarithms the walk from the root to the longest state is a sum: each retained context adds what falling back from it costs, and each
 symbol it keeps adds the difference that keeping it makes. So the tree is one table of weights by key, a context's or a context's and
 symbol's hash, and a text's score is its score by the root and the weights of all keys that it has. Words, levels and weights are
-tables of any size. What tasks get by broadcast is bounded at any size of the corpus: for words and for weights two arrays of SLOTS places, in
-which the most frequent key of each place lies, and a filter of BITS bits. Words in no place, and keys that pass the filter and are in none, are
-looked up by a join.
+tables of any size. What tasks get by broadcast is bounded at any size of the corpus: the WORDS most frequent words, the WEIGHTS most
+frequent weights, and a filter of BITS bits. Other words, and other keys that pass the filter, are looked up by a join; none of them is among the most frequent, so none is hot.
 
 Keys are 64-bit hashes: with m keys in the tree an absent one is mistaken for one of them with odds of m / 2^64.
 
@@ -41,7 +40,8 @@ from .common import WordHasher, combine, crc_remainder, drop_stash, i64, require
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 #: What a context's key is marked with, as the same words are also a shorter context and its symbol.
 CONTEXT = 0x2545F4914F6CDD1D
-SLOTS = 1 << 20
+WORDS = 1 << 20
+WEIGHTS = 1 << 21
 BITS = 1 << 27
 _hasher = WordHasher()
 
@@ -98,46 +98,60 @@ def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _slot(key: np.ndarray | Column, k: int, slots: int):
-    """The key's slot in either array."""
-    if isinstance(key, Column):
-        return (key if k == 0 else F.shiftrightunsigned(key, 23)).bitwiseAND(F.lit(slots - 1))
-    return (key >> np.uint64(23 * k)) & np.uint64(slots - 1)
-
-
 class Slots:
-    """Values by key in two arrays of SLOTS places: each place has the most frequent of the keys that fall to it."""
+    """The values of the most frequent keys, `size` at most: two arrays of so many places, and a sorted list for the few that find theirs taken in both."""
 
-    def __init__(self) -> None:
-        self.keys: list[np.ndarray] = []
-        self.values: list[np.ndarray] = []
+    def __init__(self, size: int, kind: type = np.float64) -> None:
+        self.size, self.kind = size, kind
+        self.keys, self.values = [], []
+        self.last_keys, self.last_values = np.zeros(0, np.uint64), np.zeros(0)
 
     def fill(self, table: DataFrame) -> DataFrame:
-        """table: key, n, value. What finds no place is returned, as written rows."""
+        """table: key, n, value. The rows that are not taken are returned: those of a frequency class that would not fit as a whole, and of all below."""
+        grade = F.floor(F.log2("n") * 16).cast("int")
+        left, least = self.size, None
+        for g, n in sorted(table.groupBy(grade.alias("g")).agg(F.count("*").alias("n")).collect(), reverse=True):  # 16 classes for each power of 2
+            if n > left:
+                break
+            left, least = left - n, g
+        if least is None:
+            return table
+        t = table.where(grade >= least).select("key", "n", "value").toArrow()  # `size` rows at most
+        order = np.argsort(-t["n"].to_numpy(), kind="stable")
+        key, value = t["key"].to_numpy().astype(np.int64).view(np.uint64)[order], t["value"].to_numpy()[order]
         for k in (0, 1):
-            best = table.groupBy(_slot(F.col("key"), k, SLOTS).alias("slot")).agg(F.max_by(F.struct("key", "value"), F.struct("n", "key")).alias("of")).select("slot", "of.key", "of.value")
-            best = stash(best, "slots")
-            t = best.toArrow()  # SLOTS rows at most
-            keys, values = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS)
-            at = t["slot"].to_numpy()
-            keys[at], values[at] = t["key"].to_numpy().astype(np.int64).view(np.uint64), t["value"].to_numpy()
+            keys, values = np.zeros(self.size, np.uint64), np.zeros(self.size, self.kind)
+            at, first = np.unique(slot(key, k, self.size), return_index=True)
+            keys[at], values[at] = key[first], value[first]
             self.keys.append(keys)
             self.values.append(values)
-            table = stash(table.join(best.select("key"), "key", "left_anti"), "no-slot")
-            drop_stash(table.sparkSession, best)
-        return table
+            rest = np.ones(len(key), bool)
+            rest[first] = False
+            key, value = key[rest], value[rest]
+        order = np.argsort(key)
+        self.last_keys, self.last_values = key[order], value[order]
+        return table.where(grade < least)
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values of keys, 0 for those in no place; and the places of these."""
+        """Values of keys, 0 for those that are not here; and the places of these."""
         out, open_ = np.zeros(len(key)), np.arange(len(key))
-        for keys, values, k in zip(self.keys, self.values, (0, 1), strict=True):
-            at = _slot(key[open_], k, len(keys))
+        for k, (keys, values) in enumerate(zip(self.keys, self.values, strict=True)):
+            at = slot(key[open_], k, len(keys))
             hit = keys[at] == key[open_]
             out[open_[hit]] = values[at[hit]]
             open_ = open_[~hit]
+        if len(self.last_keys):
+            at = np.minimum(np.searchsorted(self.last_keys, key[open_]), len(self.last_keys) - 1)
+            hit = self.last_keys[at] == key[open_]
+            out[open_[hit]] = self.last_values[at[hit]]
+            open_ = open_[~hit]
         return out, open_
 
 
+def slot(key: np.ndarray, k: int, slots: int) -> np.ndarray:
+    return (key >> np.uint64(23 * k)) & np.uint64(slots - 1)
+
+
 @dataclass
 class Model:
     """What tasks get by broadcast."""
@@ -220,15 +234,15 @@ def grow(rows: DataFrame, words: DataFrame, max_depth: int, least_count: int, di
     return out
 
 
-def train(docs: DataFrame, learn: Column, text: str, doc_id: str, max_depth: int = 3, least_count: int = 3, discount: float = 0.6, divergence: float = 0.02, gain: float = 6.0, charge: float = 2.0) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, and the counts of words and the weights in log10 that lie in no slot (key, n, value)."""
+def train(docs: DataFrame, learn: Column, text: str, doc_id: str, max_depth: int = 3, least_count: int = 8, discount: float = 0.6, divergence: float = 0.02, gain: float = 6.0, charge: float = 2.0) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, and the counts of words and the weights in log10 that it does not hold (key, n, value)."""
     spark = docs.sparkSession
     rows = require(docs, doc_id, text).toDF("doc_id", "text").where(learn).select("text")
     counts = stash(_sums(rows, lambda h, off: [h], "key long"), "word-counts")
     got = counts.agg(F.sum("n"), F.count("*")).first()
     n, v = int(got[0] or 0), int(got[1])
     norm = float(np.log10(n + 0.5 * (v + 1)))
-    model = Model(Slots(), n, norm, max_depth, Slots(), np.zeros(0, np.uint8))
+    model = Model(Slots(WORDS), n, norm, max_depth, Slots(WEIGHTS, np.float32), np.zeros(0, np.uint8))
     rare = model.words.fill(counts.select("key", "n", F.col("n").cast("double").alias("value")))
     words = counts.select(F.col("key").alias("gram"), "n", F.lit(None).cast("long").alias("short"), (F.log(F.col("n") + 0.5) - float(norm * np.log(10))).alias("eff"))
     weights = None
@@ -273,10 +287,10 @@ def score(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc
 
     rows = require(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     part = stash(rows.mapInArrow(tidy(run), schema), "scored")
-    asked = lambda column: part.select("uid", F.explode(column).alias("key")).groupBy("uid", "key").agg(F.count("*").alias("k"))
+    asked = lambda column: part.select("uid", F.explode(column).alias("key"))
     seen = asked("rare").join(counts, "key", "left")
-    rest = seen.select("uid", (F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5)) - F.lit(trained.norm))).alias("rest"), F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("seen"), F.lit(0.0).alias("more"))
-    more = asked("keys").join(weights, "key").select("uid", F.lit(0.0).alias("rest"), F.lit(0).cast("long").alias("seen"), (F.col("k") * F.col("value")).alias("more"))
+    rest = seen.select("uid", (F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5)) - F.lit(trained.norm)).alias("rest"), F.when(F.col("n").isNotNull(), 1).otherwise(0).cast("long").alias("seen"), F.lit(0.0).alias("more"))
+    more = asked("keys").join(weights, "key").select("uid", F.lit(0.0).alias("rest"), F.lit(0).cast("long").alias("seen"), F.col("value").alias("more"))
     sums = rest.union(more).groupBy("uid").agg(F.sum("rest").alias("rest"), F.sum("seen").alias("seen"), F.sum("more").alias("more"))
     whole = part.drop("rare", "keys").join(sums, "uid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))

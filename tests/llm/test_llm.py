@@ -448,7 +448,8 @@ def plain_tree(texts, depth, least, discount=0.6, divergence=0.02, gain=6.0, cha
 
 @pytest.mark.parametrize(("slots", "depth", "least"), [(1 << 20, 3, 2), (16, 4, 3)])
 def test_op9_equals_plain_walk(spark, monkeypatch, slots, depth, least):
-    monkeypatch.setattr(suffix_tree, "SLOTS", slots)  # few slots: most weights are joined
+    monkeypatch.setattr(suffix_tree, "WEIGHTS", slots)  # few places: most weights are joined, and most words
+    monkeypatch.setattr(suffix_tree, "WORDS", slots)
     rng = random.Random(14)
     passage = [" ".join(rng.choice(WORDS) for _ in range(25)) for _ in range(6)]
     texts = [" ".join(rng.choice([*passage, rng.choice(WORDS), f"rare{rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 12))) for _ in range(80)]
