@@ -40,6 +40,7 @@ from .common import WordHasher, combine, crc_remainder, drop_stash, i64, require
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 #: What a context's key is marked with, as the same words are also a shorter context and its symbol.
 CONTEXT = 0x2545F4914F6CDD1D
+#: At most so many words, weights and bits of the filter are broadcast; a small corpus takes less.
 WORDS = 1 << 20
 WEIGHTS = 1 << 21
 BITS = 1 << 27
@@ -72,19 +73,14 @@ def contexts(h: np.ndarray, off: np.ndarray, depth: int) -> Iterator[tuple[np.nd
             gram = combine(before, h)
 
 
-def _bit(key: np.ndarray | Column, k: int):
-    """Two places in the filter for each key."""
-    if isinstance(key, Column):
-        return (key if k == 0 else F.shiftrightunsigned(key, 36)).bitwiseAND(F.lit(BITS - 1))
-    return (key >> np.uint64(36 * k)) & np.uint64(BITS - 1)
-
-
 def key_filter(keys: DataFrame) -> np.ndarray:
-    """BITS bits, whatever the number of keys (key): what it lets through beyond them only costs a look-up."""
-    bit = keys.select(F.explode(F.array(_bit(F.col("key"), 0) + 1, _bit(F.col("key"), 1) + 1)).alias("bit"))  # buckets of 32768 count from number 1
+    """Two bits for each key (key) in BITS bits at most, whatever the number of keys: what it lets through beyond them only costs a look-up."""
+    size = min(BITS, 1 << max(18, (32 * keys.count()).bit_length()))
+    at = lambda k: F.shiftrightunsigned("key", 36 * k).bitwiseAND(F.lit(size - 1)) + 1  # noqa: E731  buckets of 32768 count from number 1
+    bit = keys.select(F.explode(F.array(at(0), at(1))).alias("bit"))
     words = bit.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow()
-    out = np.zeros(BITS // 8, np.uint8)
-    for k, bits in zip(words["k"].to_pylist(), words["bits"].to_pylist(), strict=True):  # BITS / 32768 rows of 4 KB at most
+    out = np.zeros(size // 8, np.uint8)
+    for k, bits in zip(words["k"].to_pylist(), words["bits"].to_pylist(), strict=True):  # size / 32768 rows of 4 KB at most
         out[(k - 1) * 4096 : (k - 1) * 4096 + len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
@@ -92,14 +88,14 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     ok = None
     for k in (0, 1):
-        at = _bit(key, k)
+        at = (key >> np.uint64(36 * k)) & np.uint64(8 * len(bits) - 1)
         one = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         ok = one if ok is None else ok & one
     return ok
 
 
 class Slots:
-    """The values of the most frequent keys, `size` at most: two arrays of so many places, and a sorted list for the few that find theirs taken in both."""
+    """The values of the most frequent keys, `size` at most: two arrays of places, and a sorted list for those that find theirs taken in both."""
 
     def __init__(self, size: int, kind: type = np.float64) -> None:
         self.size, self.kind = size, kind
@@ -119,9 +115,11 @@ class Slots:
         t = table.where(grade >= least).select("key", "n", "value").toArrow()  # `size` rows at most
         order = np.argsort(-t["n"].to_numpy(), kind="stable")
         key, value = t["key"].to_numpy().astype(np.int64).view(np.uint64)[order], t["value"].to_numpy()[order]
+        size = 1 << len(key).bit_length()
         for k in (0, 1):
-            keys, values = np.zeros(self.size, np.uint64), np.zeros(self.size, self.kind)
-            at, first = np.unique(slot(key, k, self.size), return_index=True)
+            size = max(1, size // 2)
+            keys, values = np.zeros(size, np.uint64), np.zeros(size, self.kind)
+            at, first = np.unique(slot(key, k, size), return_index=True)
             keys[at], values[at] = key[first], value[first]
             self.keys.append(keys)
             self.values.append(values)
@@ -242,7 +240,7 @@ def train(docs: DataFrame, learn: Column, text: str, doc_id: str, max_depth: int
     got = counts.agg(F.sum("n"), F.count("*")).first()
     n, v = int(got[0] or 0), int(got[1])
     norm = float(np.log10(n + 0.5 * (v + 1)))
-    model = Model(Slots(WORDS), n, norm, max_depth, Slots(WEIGHTS, np.float32), np.zeros(0, np.uint8))
+    model = Model(Slots(WORDS), n, norm, max_depth, Slots(WEIGHTS, np.float32), np.zeros(4, np.uint8))
     rare = model.words.fill(counts.select("key", "n", F.col("n").cast("double").alias("value")))
     words = counts.select(F.col("key").alias("gram"), "n", F.lit(None).cast("long").alias("short"), (F.log(F.col("n") + 0.5) - float(norm * np.log(10))).alias("eff"))
     weights = None
