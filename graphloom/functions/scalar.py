@@ -45,6 +45,13 @@ def terms(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
 
 
+def phrases(query: str) -> list[tuple[str, ...]]:
+    """The terms of a query, which white space parts, each as the words that the tokenizer cuts it into."""
+    import re
+
+    return list(dict.fromkeys(t for f in query.lower().split() if (t := tuple(re.findall(r"[^\W_]+", f)))))
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
@@ -96,6 +103,37 @@ def remote_project(url: Column) -> Column:
     return F.regexp_replace(normalise_repository(url), r"^\w+://", "")
 
 
+def remote_name(url: Column) -> Column:
+    """The last segment of a remote's path."""
+    return F.substring_index(remote_project(url), "/", -1)
+
+
+def sidecar_project(project: Column) -> Column:
+    """A project's id as a drawing names it: without its stage and its first segment."""
+    base = base_project(project)
+    return F.when(F.locate("/", base) > 0, F.regexp_replace(base, "^[^/]*/", "")).otherwise(base)
+
+
+def floats_of(blob: Column) -> Column:
+    """The 32-bit little-endian floats of a binary value, decoded in the JVM; bytes that make no whole float are left out."""
+    quad = lambda i: F.conv(F.concat(*[F.substring(F.hex(blob), i * 8 + 7 - 2 * k, 2) for k in range(4)]), 16, 10).cast("long")
+
+    def value(i: Column) -> Column:
+        u = quad(i)
+        sign, e, m = F.when(u >= 1 << 31, -1.0).otherwise(1.0), F.shiftright(u, 23).bitwiseAND(F.lit(255)), u.bitwiseAND(F.lit((1 << 23) - 1))
+        finite = F.when(e == 0, m * 2.0**-149).otherwise((1 + m / float(1 << 23)) * F.pow(F.lit(2.0), e - 127))
+        return (sign * F.when(e < 255, finite).when(m == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).cast("float")
+
+    n = F.floor(F.octet_length(blob) / 4).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.array().cast("array<float>"))
+
+
+def ui_match(query: str, title: Column, id_: Column, project: Column, kind: Column) -> Column:
+    """Whether a search box's text occurs in any of the four, whatever its case."""
+    hit = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(query.strip().lower()))
+    return hit(title) | hit(id_) | hit(project) | hit(kind)
+
+
 def valid_remote(url: Column) -> Column:
     return url.rlike(r"^(https?://|ssh://|git@)\S+$") & ~url.startswith("-")
 

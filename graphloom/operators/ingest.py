@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable, Iterator
 
@@ -34,13 +35,17 @@ def changed(new: DataFrame, before: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def embed(rows: DataFrame, embedder: Embedder, kind: str = "node", batch_size: int = 32) -> DataFrame:
-    """Vectors of (id, content); empty contents have none."""
+    """Vectors of (id, content); empty contents have none. A batch that the embedder fails on is logged and left out, so that one text doesn't end a job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, batch_size):
                 part = batch.slice(i, batch_size)
-                v = embedder.embed([t[: embedder.max_chars] for t in part.column(1).to_pylist()])
+                try:
+                    v = embedder.embed([t[: embedder.max_chars] for t in part.column(1).to_pylist()])
+                except Exception:
+                    logging.getLogger(__name__).exception("a batch of %d texts is left without vectors", part.num_rows)
+                    continue
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), part.column(0), pa.array([embedder.model_id] * n, pa.string()), pa.array(list(v.astype("float32")), pa.list_(pa.float32()))], ["owner_kind", "owner_id", "model_id", "embedding"])
 
@@ -59,12 +64,22 @@ def rule_extractor(conversation: str) -> str:
     return json.dumps([{"kind": "fact", "title": s[:80], "content": s, "importance": 0.5} for s in wanted])
 
 
-def extract_facts(conversations: DataFrame, extractor: Callable[[str], str] = rule_extractor, most: int = 3, least_importance: float = 0.0) -> DataFrame:
+def retried(extractor: Callable[[str], str], text: str, tries: int) -> str | None:
+    """The reply, or null once so many tries have failed."""
+    for _ in range(tries):
+        try:
+            return extractor(text)
+        except Exception:
+            logging.getLogger(__name__).exception("an extraction failed")
+    return None
+
+
+def extract_facts(conversations: DataFrame, extractor: Callable[[str], str] = rule_extractor, most: int = 3, least_importance: float = 0.0, tries: int = 2) -> DataFrame:
     """(id, place, kind, title, content, importance) of the facts in conversations (id, text); replies are parsed in the JVM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([extractor(t) for t in batch.column(1).to_pylist()], pa.string())], ["id", "reply"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([retried(extractor, t, tries) for t in batch.column(1).to_pylist()], pa.string())], ["id", "reply"])
 
     replies = conversations.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(run, "id string, reply string")
     facts = replies.select("id", F.slice(F.filter(S.parse_facts(F.col("reply")), lambda f: f["importance"] >= least_importance), 1, most).alias("facts"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +35,8 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, most
     """Calls (caller, callee, lang, file) to symbols (id, label, lang, file) by name and language, with imports (file, target_file) as evidence.
 
     Names with more than `most` symbols resolve to nothing; the guard stands before the join and keeps hot names out of it."""
-    size = F.count("*").over(Window.partitionBy("label"))
-    named = symbols.withColumn("size", size).where(F.col("size") <= most)
+    few = symbols.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") <= most).select("label")
+    named = symbols.join(few, "label", "left_semi")
     hit = calls.join(named.select(F.col("id").alias("to_id"), F.col("label").alias("callee"), "lang", F.col("file").alias("target_file")), ["callee", "lang"]).where("caller <> to_id")
     hit = hit.join(imports.withColumn("seen", F.lit(True)), ["file", "target_file"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
     w = Window.partitionBy("caller", "callee", "lang")
@@ -42,13 +46,94 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, most
     return hit.where(one | many).select(F.col("caller").alias("from_id"), "to_id", F.lit("calls").alias("edge_type"), F.when(F.col("seen"), 1.0).otherwise(0.8).alias("confidence"), F.when(F.col("seen"), "EXTRACTED").otherwise("INFERRED").alias("confidence_tier")).distinct()
 
 
+def comparable_projects(a: Column, b: Column) -> Column:
+    """Two projects that links may join: different ones, and if either is staged, of one stage and different bases."""
+    stage = lambda p: S.stage_of(p)
+    staged = (stage(a) != "") | (stage(b) != "")
+    return (a != b) & (~staged | ((stage(a) == stage(b)) & (S.base_project(a) != S.base_project(b))))
+
+
 def cross_project_links(symbols: DataFrame, most: int = 20) -> DataFrame:
-    """Symbols (id, label, lang, project_id, importance) of one name in different projects; the most important of a project stands for it."""
-    best = symbols.withColumn("n", F.row_number().over(Window.partitionBy("project_id", "label", "lang").orderBy(F.col("importance").desc(), "id"))).where("n = 1").drop("n")
-    best = best.withColumn("projects", F.count("*").over(Window.partitionBy("label", "lang"))).where((F.col("projects") > 1) & (F.col("projects") <= most))
+    """Symbols (id, label, lang, project_id, importance) of one name in different projects; the most important of a project stands for it.
+
+    A symbol without a language fits any. Names that more than `most` projects have link nothing; they are counted first and kept out of the join."""
+    best = symbols.groupBy("project_id", "label", "lang").agg(F.max_by("id", F.struct("importance", "id")).alias("id"))
+    few = best.groupBy("label").agg(F.count_distinct("project_id").alias("projects")).where((F.col("projects") > 1) & (F.col("projects") <= most)).select("label")
+    best = best.join(few, "label")
     a, b = best.alias("a"), best.alias("b")
-    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.project_id") < F.col("b.project_id"))
-    return a.join(b, same).select(F.col("a.id").alias("from_id"), F.col("b.id").alias("to_id"), F.lit("cross-project-call").alias("edge_type"), F.lit(0.7).alias("confidence"), F.lit(True).alias("bidirectional"))
+    speak = (F.col("a.lang") == F.col("b.lang")) | (F.col("a.lang") == "") | (F.col("b.lang") == "")
+    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.project_id") < F.col("b.project_id")) & speak & comparable_projects(F.col("a.project_id"), F.col("b.project_id"))
+    return a.join(b, same).select(F.col("a.id").alias("from_id"), F.col("b.id").alias("to_id"), F.lit("cross-project-call").alias("edge_type"), F.lit(0.7).alias("confidence"), F.lit(True).alias("bidirectional")).distinct()
+
+
+def module_links(packages: DataFrame) -> DataFrame:
+    """Packages (id, project_id, path) of one module root in different projects depend on each other; a root's first package by id stands for it."""
+    root = packages.withColumn("root", S.module_root(F.col("path"))).where("root <> ''").groupBy("project_id", "root").agg(F.min("id").alias("id"))
+    a, b = root.alias("a"), root.alias("b")
+    same = (F.col("a.root") == F.col("b.root")) & (F.col("a.project_id") < F.col("b.project_id")) & comparable_projects(F.col("a.project_id"), F.col("b.project_id"))
+    return a.join(b, same).select(F.col("a.id").alias("from_id"), F.col("b.id").alias("to_id"), F.lit("depends_on").alias("edge_type"), F.lit(1.0).alias("confidence"), F.lit("EXTRACTED").alias("confidence_tier"), F.lit(True).alias("bidirectional"))
+
+
+def vector_links(nodes: DataFrame, threshold: float = 0.80, most: int = 200) -> DataFrame:
+    """Nodes (id, project_id, importance, embedding) of different projects whose cosine exceeds the threshold; each project is
+    represented by its `most` most important ones, as its signature."""
+    w = Window.partitionBy("project_id").orderBy(F.col("importance").desc(), "id")
+    top = nodes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("id", "project_id", "embedding")
+    pairs = blocked_cosines(top, top, threshold, strict=True)
+    placed = top.select("id", "project_id")
+    joined = pairs.where("a < b").join(placed.toDF("a", "pa"), "a").join(placed.toDF("b", "pb"), "b").where(comparable_projects(F.col("pa"), F.col("pb")))
+    return joined.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.lit("auto-linked").alias("edge_type"), F.col("similarity").alias("confidence"), F.lit("INFERRED").alias("confidence_tier"), F.lit(True).alias("bidirectional"))
+
+
+BLOCK = 2048
+
+
+def blocked_cosines(left: DataFrame, right: DataFrame, threshold: float | None = None, k: int | None = None, strict: bool = False) -> DataFrame:
+    """(a, b, similarity) of rows (id, embedding) by cosine, rounded to 6 places: all that reach the threshold, or the k best of each left row.
+
+    Rows are packed into blocks, and each task multiplies pairs of blocks as matrices; only what is asked for leaves it. Left: a set of queries."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[str, np.ndarray]]] = {}
+
+        def out(dim: int, n: int) -> pa.RecordBatch:
+            part, held[dim] = held[dim][:n], held[dim][n:]
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": pa.array([[i for i, _ in part]], pa.list_(pa.string())), "v": pa.array([np.stack([v for _, v in part]).tobytes()], pa.binary())})
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.array(v, np.float64)
+                norm = np.sqrt(x @ x)
+                if len(x) and norm > 0 and np.isfinite(norm):
+                    held.setdefault(len(x), []).append((i, x / norm))
+            for dim in held:
+                while len(held[dim]) >= BLOCK:
+                    yield out(dim, BLOCK)
+        for dim in held:
+            if held[dim]:
+                yield out(dim, BLOCK)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, ids, v, c_ids, c_v in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "v", "c_ids", "c_v")), strict=True):
+                s = np.round(np.frombuffer(v).reshape(-1, dim) @ np.frombuffer(c_v).reshape(-1, dim).T, 6)
+                same = np.array(ids, object)[:, None] == np.array(c_ids, object)[None]
+                s[same] = -np.inf
+                keep = np.isfinite(s)
+                if threshold is not None:
+                    keep &= (s > threshold) if strict else (s >= threshold)
+                if k is not None and s.shape[1] > k:  # ties with the kth stay; the window over all blocks settles them
+                    keep &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                i, j = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.string()), pa.array([c_ids[x] for x in j], pa.string()), pa.array(s[i, j])], ["a", "b", "similarity"])
+
+    packed = lambda df: df.where(F.col("embedding").isNotNull()).select("id", "embedding").mapInArrow(pack, "dim int, ids array<string>, v binary")
+    both = packed(left).join(packed(right).toDF("dim", "c_ids", "c_v"), "dim")
+    found = both.mapInArrow(multiply, "a string, b string, similarity double")
+    if k is None:
+        return found
+    w = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def conventions(names: DataFrame) -> DataFrame:
@@ -56,6 +141,19 @@ def conventions(names: DataFrame) -> DataFrame:
     return names.withColumn("prefix", S.name_prefix(F.col("name"))).where("prefix <> ''").groupBy("package", "prefix").agg(F.count("*").alias("members")).where("members >= 2")
 
 
+def convention_graph(names: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """(convention nodes, member edges) over names (id, package, name, receiver): a convention for each prefix and each receiver that two or more share.
+
+    An id is made of what the convention is about, so it stays the same however many there are."""
+    by = lambda kind, value: names.select("id", "package", F.lit(kind).alias("kind"), value.alias("value")).where("value <> ''")
+    keyed = by("prefix", S.name_prefix(F.col("name"))).union(by("receiver", F.coalesce("receiver", F.lit(""))))
+    shared = keyed.groupBy("package", "kind", "value").agg(F.count("*").alias("members")).where("members >= 2")
+    id_ = F.concat_ws("/", F.lit(project), F.lit("convention"), "package", "kind", "value")
+    nodes = shared.select(id_.alias("id"), F.lit(project).alias("project_id"), F.lit("convention").alias("node_type"), F.concat_ws(" ", "package", "value").alias("title"), F.format_string("%d symbols of %s share the %s %s", "members", "package", "kind", "value").alias("content"), F.lit(0.4).alias("importance"))
+    edges = keyed.join(shared, ["package", "kind", "value"]).select(F.col("id").alias("from_id"), id_.alias("to_id"), F.lit("convention-member").alias("edge_type"), F.lit(0.7).alias("confidence"), F.lit("INFERRED").alias("confidence_tier"))
+    return nodes, edges
+
+
 def hierarchy(files: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     """(directories, contains edges) over files (id, source_path): a directory with one child directory and no file is passed through.
 
@@ -104,16 +202,30 @@ def exact_copies(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(F.sha2("content", 256).alias("content_hash")).agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-def nearest_of_kind(facts: DataFrame, nodes: DataFrame, threshold: float = 0.71) -> DataFrame:
-    """Facts (id, node_type, embedding) with the most similar node of their type, if it reaches the threshold: they are merged with it."""
-    f = facts.select(F.col("id").alias("fact"), "node_type", F.col("embedding").alias("fv"))
-    pairs = f.join(nodes.select("id", "node_type", "embedding"), "node_type").where("fact <> id").select("fact", "id", F.round(S.cosine(F.col("fv"), F.col("embedding")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    return pairs.groupBy("fact").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "id")).alias("m")).select("fact", F.col("m.id").alias("id"), (-F.col("m.s")).alias("similarity"))
+def nearest_of_kind(facts: DataFrame, nodes: DataFrame, threshold: float = 0.71, k: int = 5) -> DataFrame:
+    """Facts (id, node_type, embedding) with the first of their k nearest nodes that has their type and reaches the threshold: they are merged with it."""
+    hits = blocked_cosines(facts, nodes, k=k)
+    typed = hits.join(facts.select(F.col("id").alias("a"), F.col("node_type").alias("ta")), "a").join(nodes.select(F.col("id").alias("b"), F.col("node_type").alias("tb")), "b")
+    good = typed.where((F.col("ta") == F.col("tb")) & (F.col("similarity") >= threshold))
+    return good.groupBy(F.col("a").alias("fact")).agg(F.min_by(F.struct("b", "similarity"), "rank").alias("m")).select("fact", F.col("m.b").alias("id"), "m.similarity")
+
+
+def is_duplicate(vector: list[float], others: DataFrame, threshold: float = 0.71) -> bool:
+    """Whether any of the rows (embedding) is as similar as the threshold."""
+    target = F.array(*[F.lit(float(x)) for x in vector])
+    return not others.where(S.cosine(F.col("embedding"), target) >= threshold).limit(1).isEmpty()
+
+
+def most_similar(vector: list[float], others: DataFrame) -> DataFrame:
+    """(id, similarity) of the most similar row (id, embedding), if any is more than 0."""
+    target = F.array(*[F.lit(float(x)) for x in vector])
+    return others.select("id", F.round(S.cosine(F.col("embedding"), target), 6).alias("similarity")).where("similarity > 0").orderBy(F.col("similarity").desc(), "id").limit(1)
 
 
-def similar_names(names: DataFrame, wanted: str) -> DataFrame:
+def similar_names(names: DataFrame, wanted: str, limit: int = 100) -> DataFrame:
     """Names (name) that are nearly the wanted one: containing before others, then by distance."""
     w = F.lit(wanted.lower())
     near = names.where(S.fuzzy_match(F.col("name"), F.lit(wanted)))
     holds = F.contains(F.lower("name"), w) | F.contains(w, F.lower("name"))
-    return near.select("name", F.when(holds, 0).otherwise(1).alias("grade"), F.levenshtein(F.lower("name"), w).alias("distance"))
+    found = near.select("name", F.when(holds, 0).otherwise(1).alias("grade"), F.levenshtein(F.lower("name"), w).alias("distance"))
+    return found.orderBy("grade", "distance", "name").limit(limit)

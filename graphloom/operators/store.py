@@ -131,3 +131,121 @@ def set_embed_status(config: DataFrame, project: str, model: str, status: str, a
     was = config.select(*key, F.col("created_at").alias("was"))
     row = row.join(was, key, "left").withColumn("created_at", F.coalesce("was", as_of)).drop("was")
     return config.join(row.select(*key), key, "left_anti").unionByName(row.select(*config.columns))
+
+
+def upsert_edge(edges: DataFrame, nodes: DataFrame, from_id: str, to_id: str, edge_type: str, confidence: float = 1.0, tier: str = "INFERRED", bidirectional: bool = False, as_of: Column | None = None) -> DataFrame:
+    """One edge more, or the one there made stronger. An empty key and ends in different stages are errors."""
+    if not (from_id and to_id and edge_type):
+        raise ValueError("an edge needs both ends and a type")
+    spark = edges.sparkSession
+    new = spark.createDataFrame([(from_id, to_id, edge_type, float(confidence), tier, bidirectional)], "from_id string, to_id string, edge_type string, confidence double, confidence_tier string, bidirectional boolean").withColumn("created_at", as_of if as_of is not None else F.current_timestamp())
+    after, skipped = upsert_edges(edges, new.select(*edges.columns), nodes)
+    if not skipped.isEmpty():
+        raise ValueError(f"{from_id} and {to_id} are in different stages")
+    return after
+
+
+def delete_edge(edges: DataFrame, from_id: str, to_id: str, edge_type: str) -> DataFrame:
+    return edges.where(~((F.col("from_id") == from_id) & (F.col("to_id") == to_id) & (F.col("edge_type") == edge_type)))
+
+
+def delete_chunks(parents: DataFrame, chunks: DataFrame, vectors: DataFrame, model: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunks, vectors) without the chunks of parents (id) and their vectors; with a model its vectors alone go, the chunks stay."""
+    key = parents.select(F.col("id").alias("parent_node_id")).distinct()
+    gone = chunks.join(key, "parent_node_id", "left_semi").select(F.col("id").alias("owner_id"), F.lit("chunk").alias("owner_kind"))
+    if model:
+        return chunks, vectors.join(gone.withColumn("model_id", F.lit(model)), ["owner_id", "owner_kind", "model_id"], "left_anti").select(*vectors.columns)
+    return chunks.join(key, "parent_node_id", "left_anti").select(*chunks.columns), vectors.join(gone, ["owner_id", "owner_kind"], "left_anti").select(*vectors.columns)
+
+
+def clear_project(project: str, tables: dict[str, DataFrame], model: str | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the tables without a project, what went as one row: nodes, edges, chunks, vectors). With a model only its vectors and its state go.
+
+    tables: nodes, edges, chunks, vectors, embed_config and access_log."""
+    nodes, edges, chunks, vectors, config = (tables[k] for k in ("nodes", "edges", "chunks", "vectors", "embed_config"))
+    own = nodes.where(F.col("project_id") == project).select("id")
+    mine = chunks.join(own.withColumnRenamed("id", "parent_node_id"), "parent_node_id", "left_semi")
+    owners = own.union(mine.select("id")).distinct().withColumnRenamed("id", "owner_id")
+    of_project = F.col("project_id") == project
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    if model:
+        dead = vectors.where(F.col("model_id") == model).join(owners, "owner_id", "left_semi")
+        kept = vectors.where(F.col("model_id") != model).unionByName(vectors.where(F.col("model_id") == model).join(owners, "owner_id", "left_anti").select(*vectors.columns))
+        out = tables | {"vectors": kept, "embed_config": config.where(~(of_project & (F.col("model_id") == model)))}
+        return out, one(dead, "vectors").select(F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("edges"), F.lit(0).cast("long").alias("chunks"), "vectors")
+    n, e, c, v = forget(own, nodes, edges, chunks, vectors)
+    counts = one(own, "nodes").crossJoin(edges.agg(F.count("*").alias("a")).crossJoin(e.agg(F.count("*").alias("b"))).select((F.col("a") - F.col("b")).alias("edges"))).crossJoin(one(mine, "chunks")).crossJoin(one(vectors.join(owners, "owner_id", "left_semi"), "vectors"))  # one row each
+    out = tables | {"nodes": n, "edges": e, "chunks": c, "vectors": v, "embed_config": config.where(~of_project)}
+    if "access_log" in tables:
+        out["access_log"] = tables["access_log"].where(~of_project)
+    return out, counts
+
+
+def upsert_project(projects: DataFrame, project: str, name: str, url: str, as_of: Column) -> DataFrame:
+    row = projects.sparkSession.createDataFrame([(project, name, url)], "project_id string, project_name string, repository_url string").withColumn("updated_at", as_of)
+    return projects.where(F.col("project_id") != project).unionByName(row.select(*projects.columns))
+
+
+def get_node(nodes: DataFrame, chunks: DataFrame, id_: str) -> DataFrame:
+    """The node, with whether it has chunks; no row if there is none."""
+    one = nodes.where(F.col("id") == id_)
+    has = chunks.where(F.col("parent_node_id") == id_).select(F.col("parent_node_id").alias("id"), F.lit(True).alias("has_chunks")).limit(1)
+    return one.join(F.broadcast(has), "id", "left").withColumn("has_chunks", F.coalesce("has_chunks", F.lit(False)))  # one row at most
+
+
+def edges_of_type(edges: DataFrame, nodes: DataFrame, project: str, edge_type: str, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the edges of a type that begin in a project."""
+    own = nodes.where(F.col("project_id") == project).select(F.col("id").alias("from_id"))
+    return edges.where(F.col("edge_type") == edge_type).join(own, "from_id", "left_semi").select(*edges.columns).orderBy(F.col("confidence").desc(), "from_id", "to_id").offset(offset).limit(limit)
+
+
+def project_ids(nodes: DataFrame) -> DataFrame:
+    return nodes.select("project_id").distinct().orderBy("project_id")
+
+
+def node_embeddings(vectors: DataFrame, ids: DataFrame, dim: int, model: str | None = None) -> DataFrame:
+    """(id, embedding) of nodes (id); vectors of another length or with components that aren't finite are left out."""
+    v = vectors.where(F.col("model_id") == model) if model else vectors
+    good, _ = guard_vectors(v, dim)
+    return good.select(F.col("owner_id").alias("id"), "embedding").join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def access_history(log: DataFrame, node: str, limit: int = 50) -> DataFrame:
+    """A node's accesses, the newest first."""
+    return log.where(F.col("node_id") == node).orderBy(F.col("accessed_at").desc(), "session_id").limit(limit)
+
+
+def search_box(nodes: DataFrame, query: str, limit: int = 50) -> DataFrame:
+    hit = S.ui_match(query, F.col("title"), F.col("id"), F.col("project_id"), F.col("node_type"))
+    return nodes.where(hit).orderBy("title", "id").limit(limit)
+
+
+def project_state(project: str, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, vectors: DataFrame, config: DataFrame, model: str | None = None) -> DataFrame:
+    """One row about a project: counts, edge counts by type, and whether it is already whole for the model, so that onboarding would change nothing."""
+    own = nodes.where(F.col("project_id") == project)
+    ids = own.select("id")
+    mine = chunks.join(ids.withColumnRenamed("id", "parent_node_id"), "parent_node_id", "left_semi")
+    owners = ids.union(mine.select("id")).withColumnRenamed("id", "owner_id")
+    v = (vectors.where(F.col("model_id") == model) if model else vectors).join(owners, "owner_id", "left_semi")
+    by_type = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").groupBy("edge_type").agg(F.count("*").alias("k"))
+    e = by_type.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("edges"), F.sort_array(F.collect_list(F.struct("edge_type", "k"))).alias("edge_types"))
+    n = own.agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "stale").alias("stale"), F.count_if(F.col("node_type") == "convention").alias("conventions"))
+    clean = config.where((F.col("project_id") == project) & (F.col("model_id") == F.lit(model)) & (F.col("status") == "clean")).agg((F.count("*") > 0).alias("clean"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    row = n.crossJoin(e).crossJoin(one(mine, "chunks")).crossJoin(one(v, "vectors")).crossJoin(clean)  # one row each
+    return row.select(F.lit(project).alias("project_id"), "nodes", "stale", "conventions", "edges", "edge_types", "chunks", "vectors", ((F.col("nodes") > 0) & F.col("clean")).alias("gated"))
+
+
+def model_warning(state: str, nodes: int, model: str) -> str:
+    """What to tell a reader about a project's data for a model; state: clean, dirty or empty."""
+    if not model or not nodes or state == "clean":
+        return ""
+    if state == "dirty":
+        return f"data for model {model!r} may be incomplete, as the last ingest did not end; onboard again"
+    return f"no data found for model {model!r}; onboard or ingest first"
+
+
+def stage_warning(project: str, stage: str, local_nodes: int) -> str:
+    if stage == "local" or not local_nodes:
+        return ""
+    return f"project {project!r} also has data at stage 'local', ingested before its branch was known; clear it with stage 'local'"

@@ -33,15 +33,21 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.merge_edges(V.raw_edges(spark, sf_dir))
+    """The merged edges; merging belongs to the write, so reads find them in the store."""
+    return V.stored(spark, sf_dir, "edges", lambda: store.merge_edges(V.raw_edges(spark, sf_dir)))
+
+
+def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.stored(spark, sf_dir, "doc-edges", lambda: V.doc_edges(spark, sf_dir))
 
 
 _TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(QUERY.split()))
 _DF = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(3))
 _BM = " + ".join(f"greatest(ln((n - df{i} + 0.5e0) / (df{i} + 0.5e0)), 1e-6) * tf{i} * 2.2e0 / (tf{i} + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))" for i in range(3))
-_LEX = rf"""t0 AS (SELECT id, row_seq, list_filter(regexp_split_to_array(lower(content), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM n_docs),
-    tf AS (SELECT id, row_seq, len(w) AS dl, {_TF} FROM t0), fa AS (SELECT count(*) AS n, avg(dl) AS avgdl, {_DF} FROM tf),
+_LEX = rf"""t0 AS (SELECT id, row_seq, project_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, content)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM n_docs),
+    tf AS (SELECT id, row_seq, project_id, len(w) AS dl, {_TF} FROM t0), fa AS (SELECT count(*) AS n, avg(dl) AS avgdl, {_DF} FROM tf),
     bm AS (SELECT id, round({_BM}, 9) AS score FROM tf, fa WHERE tf0 + tf1 + tf2 > 0)"""
+_LEXP = _LEX.replace("fa AS (SELECT count(*)", "fa AS (SELECT project_id, count(*)").replace(" FROM tf),", " FROM tf GROUP BY project_id),").replace("bm AS (SELECT id,", "bm AS (SELECT id, project_id,").replace("FROM tf, fa WHERE", "FROM tf JOIN fa USING (project_id) WHERE")
 _LEXTOP = "lex AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 30)"
 _VEC = "qv AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), vs AS (SELECT owner_id AS id, model_id, source, row_seq, round(list_cosine_similarity(v, q), 9) AS score FROM v_docs, qv)"
 _VECTOP = "vec AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= 20)"
@@ -74,11 +80,65 @@ def recall_hybrid_rrf(spark, sf_dir):
     return retrieve.recall(V.n_docs(spark, sf_dir), V.v_docs(spark, sf_dir), None, QUERY, first_vector(spark, sf_dir), V.as_of())
 
 
-@query(sql("n_docs") + f", {_LEX}, p AS (SELECT id, split_part(id, '/', 2) AS project_id, score FROM bm), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, id) - 1 AS place FROM p) SELECT id, round(1 / (60e0 + place), 9) AS rrf, score FROM r ORDER BY rrf DESC, score DESC, id LIMIT 10")
+@query(
+    sql("n_docs", "v_docs") + f""", {_LEXP}, {_VEC}, lex AS (SELECT id, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 30),
+    vec AS (SELECT vs.id, row_number() OVER (PARTITION BY n.project_id ORDER BY score DESC, vs.id) AS rank FROM vs JOIN n_docs n ON n.id = vs.id QUALIFY rank <= 20), {_FUSED}, {_WEIGHED},
+    r AS (SELECT we.id, project_id, score, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, we.id) - 1 AS place FROM we JOIN n_docs USING (id) WHERE score > 0 QUALIFY place < 10)
+    SELECT id, project_id, round(1 / (60e0 + place), 9) AS rrf, score FROM r ORDER BY rrf DESC, score DESC, id LIMIT 10"""
+)
 def recall_multi_project(spark, sf_dir):
-    nodes = V.n_docs(spark, sf_dir)
-    found = retrieve.lexical(nodes, QUERY, 1 << 30).withColumn("project_id", F.split_part("id", F.lit("/"), F.lit(2)))
-    return retrieve.fuse_projects(found, 10)
+    """One recall for each project, fused."""
+    return retrieve.recall_projects(V.n_docs(spark, sf_dir), V.v_docs(spark, sf_dir), QUERY, first_vector(spark, sf_dir), V.as_of())
+
+
+_PULLED = f"""first AS (SELECT * FROM we WHERE score > 0 ORDER BY score DESC, id LIMIT 10), seeds AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS seed FROM first QUALIFY seed <= 5),
+    near AS (SELECT dst AS id, arg_min(confidence, seed) AS confidence FROM (SELECT seed, dst, max(confidence) AS confidence FROM seeds JOIN doc_step ON src = id WHERE dst <> id GROUP BY 1, 2) WHERE dst NOT IN (SELECT id FROM first) GROUP BY 1),
+    hits AS (SELECT greatest((SELECT count(*) FROM lex) + (SELECT count(*) FROM vec) + 1, 5) AS hits), gr AS (SELECT id, hits + greatest(floor((1 - confidence) * (count(*) OVER () - 1)) + 1, 1) AS rank FROM near, hits),
+    fu2 AS (SELECT id, sum(1 / (60e0 + rank)) AS rrf, CASE WHEN bool_or(k = 'a') AND bool_or(k = 'b') THEN 'hybrid' WHEN bool_or(k = 'a') THEN 'lexical' WHEN bool_or(k = 'b') THEN 'semantic' ELSE 'graph' END AS match_type FROM (SELECT id, rank, 'a' AS k FROM lex UNION ALL SELECT id, rank, 'b' FROM vec UNION ALL SELECT id, rank, 'c' FROM gr) GROUP BY id),
+    fin AS (SELECT fu2.id, title, match_type, round(rrf * pow(2, -greatest(epoch(TIMESTAMP '{AS_OF}') - epoch(updated_at), 0) / 604800e0) * importance, 9) AS score FROM fu2 JOIN n_docs USING (id) WHERE score > 0 ORDER BY score DESC, fu2.id LIMIT 10),
+    acc AS (SELECT node_id AS id, count(*) AS c, epoch(TIMESTAMP '{AS_OF}') - epoch(max(accessed_at)) AS age FROM doc_log GROUP BY 1),
+    done AS (SELECT id, title, match_type, round(score * CASE WHEN c IS NULL THEN 1e0 ELSE (1 + 0.2e0 * log2(1 + c)) * CASE WHEN age < 3600 THEN 1.3e0 ELSE 1e0 END END, 9) AS score, row_number() OVER (ORDER BY score DESC, id) AS place FROM fin LEFT JOIN acc USING (id))"""
+_FULL = sql("n_docs", "v_docs", "doc_edges", "doc_step", "doc_log", "doc_chunks") + f", {_LEX}, {_LEXTOP}, {_VEC}, {_VECTOP}, {_FUSED}, {_WEIGHED}, {_PULLED}"
+
+
+def recalled(spark: SparkSession, sf_dir: str) -> retrieve.Recalled:
+    n = V.n_docs(spark, sf_dir)
+    return retrieve.recall_all(n, V.v_docs(spark, sf_dir), doc_edges(spark, sf_dir), V.doc_chunks(spark, sf_dir), V.chunk_vectors(spark, sf_dir), V.doc_log(spark, sf_dir), QUERY, first_vector(spark, sf_dir), V.as_of(), threshold=0.1)
+
+
+@query(_FULL + " SELECT * FROM done")
+def recall_full(spark, sf_dir):
+    """The whole recall: graph neighbours within their stage are pulled in, accesses boost what is found."""
+    return recalled(spark, sf_dir).nodes
+
+
+@query(_FULL + ", k AS (SELECT id, count(*) AS chunks, list(cid ORDER BY chunk_index)[1:3] AS preview FROM (SELECT parent_node_id AS id, id AS cid, chunk_index FROM doc_chunks) GROUP BY 1) SELECT id, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS excerpt, coalesce(chunks, 0) AS chunks, coalesce(array_to_string(preview, ','), '') AS preview, coalesce(chunks, 0) > 3 AS more_available, CASE WHEN chunks > 3 THEN 3 ELSE -1 END AS next_chunk_start FROM done JOIN n_docs USING (id, title) LEFT JOIN k USING (id)")
+def recall_previews(spark, sf_dir):
+    return recalled(spark, sf_dir).previews.withColumn("preview", F.array_join("preview", ","))
+
+
+@query(_FULL + ", m AS (SELECT from_id AS id, CASE WHEN edge_type = 'auto-linked' THEN 'inferred' ELSE 'structural' END AS relation, to_id, edge_type, confidence FROM doc_edges WHERE edge_type IN ('calls', 'auto-linked')) SELECT id, relation, row_number() OVER (PARTITION BY id, relation ORDER BY confidence DESC, to_id, edge_type) AS rank, to_id, edge_type, m.confidence FROM done JOIN m USING (id) QUALIFY rank <= 10")
+def recall_edges(spark, sf_dir):
+    return recalled(spark, sf_dir).edges
+
+
+_CHUNKHITS = "ch AS (SELECT row_number() OVER (ORDER BY round(list_cosine_similarity(v, q), 9) DESC, c.id) AS rank, c.id, c.parent_node_id, round(list_cosine_similarity(v, q), 9) AS score, n.title, n.source_adapter AS source, v FROM v_docs JOIN doc_chunks c ON c.id = owner_id || '/chunk/0' JOIN n_docs n ON n.id = c.parent_node_id, qv QUALIFY rank <= 15)"
+
+
+@query(sql("n_docs", "v_docs", "doc_chunks") + f", {_VEC}, {_CHUNKHITS} SELECT rank, id, parent_node_id, score, title, source FROM ch")
+def search_chunks(spark, sf_dir):
+    return retrieve.search_chunks(V.chunk_vectors(spark, sf_dir), V.doc_chunks(spark, sf_dir), V.n_docs(spark, sf_dir), first_vector(spark, sf_dir)).drop("content", "embedding")
+
+
+@query(sql("n_docs", "v_docs", "doc_chunks") + f", {_VEC}, {_CHUNKHITS} SELECT a.id AS a_id, b.id AS b_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM ch a JOIN ch b ON a.rank < b.rank AND a.source <> b.source WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.1")
+def recall_links(spark, sf_dir):
+    return recalled(spark, sf_dir).links
+
+
+@query(sql("n_docs") + r", t AS (SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, content)), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM n_docs), f AS (SELECT id, len(w) AS dl, len(list_filter(range(1, len(w)), lambda i: w[i] = 'web' AND w[i + 1] = '1')) AS tf FROM t), a AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (tf > 0) AS df FROM f) SELECT id, round(greatest(ln((n - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)), 9) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f, a WHERE tf > 0 QUALIFY rank <= 30".replace("\\\\", "\\"))
+def recall_phrase(spark, sf_dir):
+    """A term that the tokenizer cuts is a phrase; titles are searched too."""
+    return retrieve.lexical(V.n_docs(spark, sf_dir), "web_1", 30)
 
 
 @query(sql("n_docs") + ", a AS (SELECT row_seq, id, project_id FROM n_docs), e AS (SELECT a.id AS src, b.id AS dst FROM a JOIN a b ON a.project_id = b.project_id AND b.row_seq = a.row_seq + 1)" + f", {_LEX}, top AS (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 5) SELECT DISTINCT e.dst AS id FROM top JOIN e ON e.src = top.id WHERE e.dst NOT IN (SELECT id FROM top)")
@@ -91,10 +151,14 @@ def recall_graph_expand(spark, sf_dir):
     return graph.bfs(e, top.select(F.col("id").alias("start")), 1).select("id").distinct().join(top.select("id"), "id", "left_anti")
 
 
-@query(sql("raw", "e_biz") + ", r AS (SELECT from_id AS id, 'structural' AS relation, row_number() OVER (PARTITION BY from_id ORDER BY confidence DESC, to_id, edge_type) AS rank, to_id, edge_type, confidence FROM e_biz WHERE from_id LIKE 'part/%') SELECT * FROM r WHERE rank <= 3")
+@query(sql("raw", "e_biz") + ", x AS (SELECT from_id, to_id, edge_type, confidence FROM e_biz UNION ALL SELECT 'part/' || p_partkey, 'part/' || (p_partkey + 1), 'auto-linked', 0.81e0 FROM part UNION ALL SELECT 'part/' || p_partkey, 'part/' || (p_partkey + 2), 'proposed', 0.99e0 FROM part), r AS (SELECT from_id AS id, CASE WHEN edge_type = 'auto-linked' THEN 'inferred' ELSE 'structural' END AS relation, row_number() OVER (PARTITION BY from_id, relation ORDER BY confidence DESC, to_id, edge_type) AS rank, to_id, edge_type, confidence FROM x WHERE from_id LIKE 'part/%' AND edge_type IN ('implements', 'calls', 'auto-linked')) SELECT * FROM r WHERE rank <= 3")
 def recall_enriched(spark, sf_dir):
+    """Parts with their edges: those to suppliers are structural, those to the next part inferred; proposed ones are not served."""
     n = V.n_biz(spark, sf_dir).where("project_id = 'part'")
-    return retrieve.enrich(n, edges(spark, sf_dir), 3)
+    p, e = V.table(spark, sf_dir, "part"), edges(spark, sf_dir)
+    part = lambda k: F.concat(F.lit("part/"), (F.col("p_partkey") + k).cast("string"))
+    more = lambda k, kind, c: p.select(part(0).alias("from_id"), part(k).alias("to_id"), F.lit(kind).alias("edge_type"), F.lit(c).alias("confidence"))
+    return retrieve.enrich(n, e.select("from_id", "to_id", "edge_type", "confidence").union(more(1, "auto-linked", 0.81)).union(more(2, "proposed", 0.99)), 3)
 
 
 @query(sql("turns") + ", p AS (SELECT *, row_number() OVER (PARTITION BY parent_node_id ORDER BY chunk_index, id) - 1 AS place, count(*) OVER (PARTITION BY parent_node_id) AS total FROM turns) SELECT id, parent_node_id, place, total, CASE WHEN total > 3 THEN 3 ELSE -1 END AS next_start FROM p WHERE place < 3")
@@ -123,23 +187,102 @@ def impact_stale(spark, sf_dir):
     return graph.impact(edges(spark, sf_dir), parts, 2)
 
 
-@query(sql("raw", "e_biz", "step", recursive=True) + ", b(id, path) AS (SELECT 'order/1', ['order/1'] UNION SELECT step.dst, list_append(b.path, step.dst) FROM b JOIN step ON step.src = b.id WHERE len(b.path) < 4 AND NOT list_contains(b.path, step.dst) AND b.id NOT LIKE 'nation/%'), g AS (SELECT path FROM b WHERE id = (SELECT 'nation/' || c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey = 1) ORDER BY len(path), path LIMIT 1) SELECT CAST(unnest(range(len(path))) AS INTEGER) AS hop, unnest(path) AS id FROM g")
+@query(sql("raw", "e_biz", "step", recursive=True) + ", b(id, path) AS (SELECT 'order/1', ['order/1'] UNION SELECT step.dst, list_append(b.path, step.dst) FROM b JOIN step ON step.src = b.id WHERE len(b.path) < 4 AND NOT list_contains(b.path, step.dst) AND b.id NOT LIKE 'nation/%'), g AS (SELECT path FROM b WHERE id = (SELECT 'nation/' || c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey = 1) ORDER BY len(path), path LIMIT 1), h AS (SELECT CAST(unnest(range(len(path))) AS INTEGER) AS hop, unnest(path) AS id, unnest(list_prepend(NULL, path[:-2])) AS prev FROM g), t AS (SELECT from_id AS src, to_id AS dst, edge_type, confidence FROM e_biz UNION ALL SELECT to_id, from_id, edge_type, confidence FROM e_biz WHERE bidirectional) SELECT hop, id, arg_min(edge_type, (-confidence, edge_type)) AS edge_type, max(confidence) AS confidence FROM h LEFT JOIN t ON t.src = prev AND t.dst = id GROUP BY 1, 2")
 def shortest_path(spark, sf_dir):
     customer = V.table(spark, sf_dir, "orders").where("o_orderkey = 1").join(V.table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).select("c_nationkey").first()
     return graph.shortest_path(edges(spark, sf_dir), "order/1", f"nation/{customer[0]}")
 
 
-@query(sql("raw", "e_biz") + ", x AS (SELECT 'out' AS direction, to_id AS other, edge_type, confidence FROM e_biz WHERE from_id = 'supplier/1' UNION ALL SELECT 'in', from_id, edge_type, confidence FROM e_biz WHERE to_id = 'supplier/1'), y AS (SELECT *, count(*) OVER (PARTITION BY direction) AS total, row_number() OVER (PARTITION BY direction ORDER BY confidence DESC, other, edge_type) AS rank FROM x) SELECT * FROM y WHERE rank <= 20")
+_OF = lambda id_, t="e_biz": f"x AS (SELECT DISTINCT * FROM (SELECT 'out' AS direction, to_id AS other, edge_type, confidence FROM {t} WHERE from_id = {id_} UNION ALL SELECT 'out', from_id, edge_type, confidence FROM {t} WHERE to_id = {id_} AND bidirectional UNION ALL SELECT 'in', from_id, edge_type, confidence FROM {t} WHERE to_id = {id_} UNION ALL SELECT 'in', to_id, edge_type, confidence FROM {t} WHERE from_id = {id_} AND bidirectional)), y AS (SELECT *, count(*) OVER (PARTITION BY direction) AS total, row_number() OVER (PARTITION BY direction ORDER BY confidence DESC, other, edge_type) AS rank FROM x)"
+
+
+@query(sql("raw", "e_biz") + f", {_OF(chr(39) + 'part/1' + chr(39))} SELECT * FROM y WHERE rank <= 20")
 def query_graph(spark, sf_dir):
-    return graph.neighbourhood(edges(spark, sf_dir), "supplier/1")
+    """A part's edges; those of orders that go both ways count in both directions."""
+    return graph.neighbourhood(edges(spark, sf_dir), "part/1")
+
 
+@query(sql("raw", "e_biz") + f", {_OF(chr(39) + 'part/1' + chr(39))} SELECT edge_type, count(*) AS edges FROM x GROUP BY 1")
+def neighbour_counts(spark, sf_dir):
+    return graph.neighbour_counts(edges(spark, sf_dir), "part/1")
 
-@query(sql("n_biz", "raw", "e_biz") + " SELECT from_id, to_id, edge_type, confidence, a.title AS from_title, b.title AS to_title FROM e_biz LEFT JOIN n_biz a ON a.id = from_id LEFT JOIN n_biz b ON b.id = to_id WHERE (a.project_id = 'supplier' OR b.project_id = 'supplier') AND confidence_tier <> 'PROPOSED' ORDER BY confidence DESC, from_id, to_id, edge_type LIMIT 5000")
+
+_DOC = "(SELECT id FROM n_docs WHERE row_seq = 3)"
+
+
+@query(sql("n_docs", "doc_edges", "doc_step") + f", {_OF(_DOC, 'seen_edges')} SELECT y.*, title, node_type FROM y LEFT JOIN n_docs ON id = other WHERE rank <= 20")
+def query_graph_staged(spark, sf_dir):
+    """A document's edges, within its stage, with the titles of the other ends."""
+    n = V.n_docs(spark, sf_dir)
+    return graph.neighbourhood(doc_edges(spark, sf_dir), n.where("row_seq = 3").first().id, nodes=n)
+
+
+@query(sql("doc_edges", "doc_step") + ", h1 AS (SELECT src AS start, dst AS id, max(confidence) AS confidence FROM doc_step WHERE src <> dst GROUP BY 1, 2), h2 AS (SELECT h1.start, s.dst AS id, max(s.confidence) AS confidence FROM h1 JOIN doc_step s ON s.src = h1.id WHERE s.dst <> h1.start GROUP BY 1, 2) SELECT start, id, 1 AS depth, confidence FROM h1 UNION ALL SELECT h2.start, h2.id, 2, h2.confidence FROM h2 ANTI JOIN h1 ON h1.start = h2.start AND h1.id = h2.id")
+def bfs_staged(spark, sf_dir):
+    """Two hops from every document, never from stage to stage."""
+    n = V.n_docs(spark, sf_dir)
+    return graph.bfs(doc_edges(spark, sf_dir), n.select(F.col("id").alias("start")), 2, nodes=n)
+
+
+def placed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.stored(spark, sf_dir, "placed-edges", lambda: store.with_ends(edges(spark, sf_dir), V.n_biz(spark, sf_dir)))
+
+
+def placed_doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.stored(spark, sf_dir, "placed-doc-edges", lambda: store.with_ends(doc_edges(spark, sf_dir), V.n_docs(spark, sf_dir)))
+
+
+_PAGE = "pg AS (SELECT e.*, count(*) OVER () AS total, row_number() OVER (ORDER BY confidence DESC, from_id, to_id, edge_type) AS place FROM e_biz e WHERE split_part(from_id, '/', 1) = 'supplier' OR split_part(to_id, '/', 1) = 'supplier' QUALIFY place <= 5000)"
+
+
+@query(sql("n_biz", "raw", "e_biz") + f", {_PAGE} SELECT from_id, to_id, edge_type, confidence, a.title AS from_title, b.title AS to_title, total FROM pg LEFT JOIN n_biz a ON a.id = from_id LEFT JOIN n_biz b ON b.id = to_id WHERE confidence_tier <> 'PROPOSED'")
 def project_graph(spark, sf_dir):
-    n, e = V.n_biz(spark, sf_dir), store.with_ends(edges(spark, sf_dir), V.n_biz(spark, sf_dir))
+    """The tiers are filtered after the limit."""
+    n = V.n_biz(spark, sf_dir)
     title = lambda s: n.select(F.col("id").alias(f"{s}_id"), F.col("title").alias(f"{s}_title"))
-    mine = graph.project_edges(e, F.lit("supplier"), F.col("from_project"), F.col("to_project")).where("confidence_tier <> 'PROPOSED'").orderBy(F.col("confidence").desc(), "from_id", "to_id", "edge_type").limit(5000)
-    return mine.join(title("from"), "from_id", "left").join(title("to"), "to_id", "left").select("from_id", "to_id", "edge_type", "confidence", "from_title", "to_title")
+    mine = graph.project_edges(placed_edges(spark, sf_dir), "supplier").where("confidence_tier <> 'PROPOSED'")
+    return mine.join(title("from"), "from_id", "left").join(title("to"), "to_id", "left").select("from_id", "to_id", "edge_type", "confidence", "from_title", "to_title", "total")
+
+
+_STAGED = "pg AS (SELECT e.*, count(*) OVER () AS total, row_number() OVER (ORDER BY confidence DESC, from_id, to_id, edge_type) AS place FROM doc_edges e WHERE from_lang = 'en' AND to_lang = 'en' AND edge_type IN ('calls', 'auto-linked') QUALIFY place <= 5000)"
+
+
+@query(sql("doc_edges") + f", {_STAGED} SELECT from_id, to_id, edge_type, confidence, confidence_tier, total FROM pg")
+def project_graph_staged(spark, sf_dir):
+    """One stage's edges of the default types."""
+    return graph.project_graph(placed_doc_edges(spark, sf_dir), V.n_docs(spark, sf_dir), "docs::stage:en")[1]
+
+
+@query(sql("n_docs", "doc_edges") + f", {_STAGED} SELECT id, title, node_type, project_id, count(*) AS weight FROM (SELECT from_id AS id FROM pg UNION ALL SELECT to_id FROM pg) JOIN n_docs USING (id) GROUP BY ALL")
+def project_graph_nodes(spark, sf_dir):
+    return graph.project_graph(placed_doc_edges(spark, sf_dir), V.n_docs(spark, sf_dir), "docs::stage:en")[0]
+
+
+_DRAWN = "pg AS (SELECT e.*, count(*) OVER () AS total, row_number() OVER (ORDER BY confidence DESC, from_id, to_id, edge_type) AS place FROM doc_edges e WHERE from_lang = 'en' AND to_lang = 'en' QUALIFY place <= 2000), top AS (SELECT id FROM n_docs WHERE project_id = 'docs::stage:de' ORDER BY importance DESC, id LIMIT 200)"
+
+
+@query(sql("n_docs", "doc_edges") + f", {_DRAWN}, w AS (SELECT id, count(*) AS weight FROM (SELECT from_id AS id FROM pg UNION ALL SELECT to_id FROM pg UNION ALL SELECT id FROM top) GROUP BY 1) SELECT id, title, node_type, split_part(id, '/', 1) AS \"group\", length(content) AS size, weight, project_id FROM w JOIN n_docs USING (id)")
+def graph_data_nodes(spark, sf_dir):
+    """A stage as a drawing, with the best nodes of another stage beside it."""
+    return graph.graph_data(placed_doc_edges(spark, sf_dir), V.n_docs(spark, sf_dir), "docs::stage:en", ["docs::stage:de"])[0]
+
+
+@query(sql("n_docs", "doc_edges") + f", {_DRAWN} SELECT from_id, to_id, edge_type, confidence, CASE WHEN edge_type = 'proposed' THEN 'proposed' ELSE 'structural' END AS kind, total FROM pg")
+def graph_data_edges(spark, sf_dir):
+    return graph.graph_data(placed_doc_edges(spark, sf_dir), V.n_docs(spark, sf_dir), "docs::stage:en", ["docs::stage:de"])[1]
+
+
+@query(sql("doc_edges") + " SELECT id, array_to_string(list(DISTINCT other ORDER BY other), ',') AS neighbours FROM (SELECT from_id AS id, to_id AS other FROM doc_edges UNION ALL SELECT to_id, from_id FROM doc_edges) GROUP BY 1")
+def graph_adjacency(spark, sf_dir):
+    return graph.adjacency(doc_edges(spark, sf_dir)).withColumn("neighbours", F.array_join("neighbours", ","))
+
+
+@query(sql("n_docs", "doc_edges") + ", d1 AS (SELECT DISTINCT to_id AS id FROM doc_edges WHERE from_lang = to_lang AND edge_type = 'calls' AND from_id IN (SELECT id FROM n_docs WHERE importance > 0.6) UNION SELECT from_id FROM doc_edges WHERE from_lang = to_lang AND edge_type = 'calls' AND bidirectional AND to_id IN (SELECT id FROM n_docs WHERE importance > 0.6)) SELECT id, CASE WHEN id IN (SELECT id FROM d1) THEN 'stale' ELSE status END AS status FROM n_docs")
+def mark_stale(spark, sf_dir):
+    """All documents, those stale that one of importance implements."""
+    n = V.n_docs(spark, sf_dir)
+    e = doc_edges(spark, sf_dir).where("edge_type = 'calls'").withColumn("edge_type", F.lit("implements"))
+    return graph.mark_stale(n, e, n.where("importance > 0.6").select(F.col("id").alias("start")), 1).select("id", "status")
 
 
 @query(sql("raw", "e_biz") + " SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM e_biz UNION ALL SELECT to_id FROM e_biz) GROUP BY id")
@@ -149,18 +292,40 @@ def graph_degree(spark, sf_dir):
 
 @query(sql("raw", "e_biz") + ", p AS (SELECT split_part(from_id, '/', 1) AS a, split_part(to_id, '/', 1) AS b FROM e_biz) SELECT project, other, count(*) AS edges FROM (SELECT a AS project, b AS other FROM p WHERE a <> b UNION ALL SELECT b, a FROM p WHERE a <> b) GROUP BY ALL")
 def linked_projects(spark, sf_dir):
-    return graph.linked_projects(store.with_ends(edges(spark, sf_dir), V.n_biz(spark, sf_dir)))
+    return graph.linked_projects(placed_edges(spark, sf_dir), [])
+
+
+@query(sql("doc_edges") + " SELECT project, other, count(*) AS edges FROM (SELECT 'docs::stage:' || from_lang AS project, 'docs::stage:' || to_lang AS other FROM doc_edges WHERE from_lang <> to_lang AND edge_type = 'auto-linked' UNION ALL SELECT 'docs::stage:' || to_lang, 'docs::stage:' || from_lang FROM doc_edges WHERE from_lang <> to_lang AND edge_type = 'auto-linked') WHERE other = 'docs::stage:de' GROUP BY ALL")
+def linked_projects_of_stage(spark, sf_dir):
+    """Over the types that lead from project to project, the others of one stage."""
+    return graph.linked_projects(placed_doc_edges(spark, sf_dir), stage="de")
 
 
 @query(sql("raw", "e_biz") + " SELECT to_id AS id, count(*) AS edges FROM e_biz WHERE from_id LIKE 'part/%' AND to_id LIKE 'supplier/%' GROUP BY 1")
 def cross_project_nodes(spark, sf_dir):
-    return graph.cross_project_nodes(store.with_ends(edges(spark, sf_dir), V.n_biz(spark, sf_dir)), "supplier", "part")
+    return graph.cross_project_nodes(placed_edges(spark, sf_dir), "supplier", "part")
 
 
-@query(sql("n_docs", "v_docs") + " SELECT project_id, count(*) AS nodes, count(*) FILTER (status = 'stale') AS stale, count(*) FILTER (node_type = 'convention') AS conventions, 0 AS edges, count(owner_id) AS vectors FROM n_docs LEFT JOIN v_docs ON owner_id = id GROUP BY 1")
+_MIXED = "mix AS (SELECT * REPLACE (CASE WHEN row_seq % 5 = 0 THEN 'stale' ELSE status END AS status, CASE WHEN row_seq % 11 = 0 THEN 'convention' ELSE node_type END AS node_type) FROM n_docs)"
+
+
+def mixed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which some are stale and some conventions."""
+    n = V.n_docs(spark, sf_dir)
+    return n.withColumns({"status": F.when(F.col("row_seq") % 5 == 0, "stale").otherwise(F.col("status")), "node_type": F.when(F.col("row_seq") % 11 == 0, "convention").otherwise(F.col("node_type"))})
+
+
+@query(sql("n_docs", "v_docs", "doc_edges") + f", {_MIXED}, e AS (SELECT 'docs::stage:' || from_lang AS project_id, count(*) AS edges FROM doc_edges GROUP BY 1), v AS (SELECT project_id, count(*) AS vectors FROM v_docs JOIN n_docs ON id = owner_id GROUP BY 1) SELECT project_id, count(*) AS nodes, count(*) FILTER (status = 'stale') AS stale, count(*) FILTER (node_type = 'convention') AS conventions, coalesce(any_value(edges), 0) AS edges, coalesce(any_value(vectors), 0) AS vectors FROM mix LEFT JOIN e USING (project_id) LEFT JOIN v USING (project_id) GROUP BY 1")
 def stats(spark, sf_dir):
-    none = edges(spark, sf_dir)
-    return store.project_stats(V.n_docs(spark, sf_dir), none, V.v_docs(spark, sf_dir))
+    return store.project_stats(mixed_nodes(spark, sf_dir), doc_edges(spark, sf_dir), V.v_docs(spark, sf_dir))
+
+
+@query(sql("n_docs", "v_docs", "doc_edges", "doc_chunks") + f", {_MIXED}, own AS (SELECT * FROM mix WHERE project_id = 'docs::stage:en'), oc AS (SELECT doc_chunks.id FROM doc_chunks JOIN own ON own.id = parent_node_id), t AS (SELECT edge_type, count(*) AS k FROM doc_edges WHERE from_lang = 'en' GROUP BY 1) SELECT 'docs::stage:en' AS project_id, (SELECT count(*) FROM own) AS nodes, (SELECT count(*) FROM own WHERE status = 'stale') AS stale, (SELECT count(*) FROM own WHERE node_type = 'convention') AS conventions, (SELECT coalesce(sum(k), 0) FROM t)::BIGINT AS edges, (SELECT string_agg(edge_type || ':' || k, ',' ORDER BY edge_type) FROM t) AS edge_types, (SELECT count(*) FROM oc) AS chunks, (SELECT count(*) FROM v_docs JOIN own ON id = owner_id WHERE model_id = 'm1') AS vectors, true AS gated")
+def project_state(spark, sf_dir):
+    """What onboarding would find of a project."""
+    config = spark.createDataFrame([("docs::stage:en", "m1", "clean")], "project_id string, model_id string, status string")
+    s = store.project_state("docs::stage:en", mixed_nodes(spark, sf_dir), doc_edges(spark, sf_dir), V.doc_chunks(spark, sf_dir), V.v_docs(spark, sf_dir), config, "m1")
+    return s.withColumn("edge_types", F.array_join(F.transform("edge_types", lambda x: F.concat_ws(":", x["edge_type"], x["k"].cast("string"))), ","))
 
 
 @query(sql("raw", "e_biz") + " SELECT edge_type, count(*) AS edges FROM e_biz GROUP BY 1")
@@ -201,34 +366,129 @@ def edge_upsert_merge(spark, sf_dir):
     return edges(spark, sf_dir).drop("created_at")
 
 
-@query(sql("n_docs") + " SELECT id, CASE WHEN row_seq % 3 = 0 THEN 'again' ELSE title END AS title, CASE WHEN row_seq % 3 = 0 THEN 'default' ELSE project_id END AS project_id, created_at = created_at AS kept FROM n_docs")
+@query(sql("n_docs") + f" SELECT id, 'again' AS title, 'default' AS project_id, created_at FROM n_docs UNION ALL SELECT id || '/new', 'again', 'default', TIMESTAMP '{AS_OF}' FROM n_docs")
 def node_upsert(spark, sf_dir):
+    """All documents are put in again, and as many new ones; those that were there keep the time when they were made."""
     n = V.n_docs(spark, sf_dir)
-    new = n.where("row_seq % 3 = 0").withColumns({"title": F.lit("again"), "project_id": F.lit("")})
-    out = store.upsert_nodes(n, new, V.as_of()).join(n.select("id", F.col("created_at").alias("was")), "id")
-    return out.select("id", "title", "project_id", (F.col("created_at") == F.col("was")).alias("kept"))
+    new = n.withColumns({"title": F.lit("again"), "project_id": F.lit("")})
+    out = store.upsert_nodes(n, new.union(new.withColumn("id", F.concat("id", F.lit("/new")))), V.as_of())
+    return out.select("id", "title", "project_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
+
+
+_TABLES = "SELECT 'nodes' AS name, count(*) AS rows FROM ln UNION ALL SELECT 'edges', count(*) FROM le UNION ALL SELECT 'chunks', count(*) FROM lc UNION ALL SELECT 'vectors', count(*) FROM lv"
+
+
+def doc_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The document graph as a store's tables; vectors are those of documents and of their first chunks."""
+    columns = ["owner_kind", "owner_id", "model_id", "embedding"]
+    config = spark.createDataFrame([("docs::stage:en", "m1", "clean")], "project_id string, model_id string, status string")
+    vectors = V.v_docs(spark, sf_dir).select(*columns).unionByName(V.chunk_vectors(spark, sf_dir).select(*columns))
+    return {"nodes": V.n_docs(spark, sf_dir), "edges": doc_edges(spark, sf_dir), "chunks": V.doc_chunks(spark, sf_dir), "vectors": vectors, "embed_config": config}
 
 
-@query(sql("n_biz", "raw", "e_biz") + " SELECT (SELECT count(*) FROM n_biz WHERE project_id = 'supplier') AS nodes, (SELECT count(*) FROM e_biz WHERE from_id LIKE 'supplier/%' OR to_id LIKE 'supplier/%') AS edges, 0 AS vectors")
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name in ("nodes", "edges", "chunks", "vectors"):
+        one = tables[name].agg(F.lit(name).alias("name"), F.count("*").alias("rows"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+_VECS = "vecs AS (SELECT owner_id, model_id FROM v_docs UNION ALL SELECT owner_id || '/chunk/0', model_id FROM v_docs)"
+_OWN = "own AS (SELECT id FROM n_docs WHERE project_id = 'docs::stage:en'), oc AS (SELECT c.id FROM doc_chunks c JOIN own ON own.id = parent_node_id)"
+
+
+@query(sql("n_docs", "v_docs", "doc_edges", "doc_chunks") + f", {_VECS}, {_OWN}, ln AS (SELECT * FROM n_docs WHERE project_id <> 'docs::stage:en'), le AS (SELECT * FROM doc_edges WHERE from_lang <> 'en' AND to_lang <> 'en'), lc AS (SELECT * FROM doc_chunks WHERE id NOT IN (SELECT id FROM oc)), lv AS (SELECT * FROM vecs WHERE owner_id NOT IN (SELECT id FROM own) AND owner_id NOT IN (SELECT id FROM oc)) {_TABLES}")
 def clear_project(spark, sf_dir):
-    none = spark.createDataFrame([], "owner_id string")
-    return store.clear_counts("supplier", V.n_biz(spark, sf_dir), edges(spark, sf_dir), none)
+    """What is left of the tables once one project is gone."""
+    return row_counts(store.clear_project("docs::stage:en", doc_tables(spark, sf_dir))[0])
+
+
+@query(sql("n_docs", "v_docs", "doc_edges", "doc_chunks") + f", {_VECS}, {_OWN} SELECT (SELECT count(*) FROM own) AS nodes, (SELECT count(*) FROM doc_edges WHERE from_lang = 'en' OR to_lang = 'en') AS edges, (SELECT count(*) FROM oc) AS chunks, (SELECT count(*) FROM vecs WHERE owner_id IN (SELECT id FROM own) OR owner_id IN (SELECT id FROM oc)) AS vectors")
+def clear_counts(spark, sf_dir):
+    return store.clear_project("docs::stage:en", doc_tables(spark, sf_dir))[1]
 
 
-@query(sql("raw", "e_biz") + " SELECT edge_type, count(*) AS edges FROM e_biz WHERE from_id NOT IN ('supplier/1', 'part/1') AND to_id NOT IN ('supplier/1', 'part/1') GROUP BY 1")
+@query(sql("n_docs", "v_docs", "doc_edges", "doc_chunks") + f", {_VECS}, {_OWN}, ln AS (SELECT * FROM n_docs), le AS (SELECT * FROM doc_edges), lc AS (SELECT * FROM doc_chunks), lv AS (SELECT * FROM vecs WHERE model_id <> 'm1' OR (owner_id NOT IN (SELECT id FROM own) AND owner_id NOT IN (SELECT id FROM oc))) {_TABLES}")
+def clear_model(spark, sf_dir):
+    """A project's vectors of one model go, the rest stays."""
+    return row_counts(store.clear_project("docs::stage:en", doc_tables(spark, sf_dir), "m1")[0])
+
+
+@query(sql("n_docs", "v_docs", "doc_edges", "doc_chunks") + f", {_VECS}, own AS (SELECT id FROM n_docs WHERE importance > 0.6), oc AS (SELECT c.id FROM doc_chunks c JOIN own ON own.id = parent_node_id), ln AS (SELECT * FROM n_docs WHERE id NOT IN (SELECT id FROM own)), le AS (SELECT * FROM doc_edges WHERE from_id NOT IN (SELECT id FROM own) AND to_id NOT IN (SELECT id FROM own)), lc AS (SELECT * FROM doc_chunks WHERE id NOT IN (SELECT id FROM oc)), lv AS (SELECT * FROM vecs WHERE owner_id NOT IN (SELECT id FROM own) AND owner_id NOT IN (SELECT id FROM oc)) {_TABLES}")
 def forget(spark, sf_dir):
-    ids = spark.createDataFrame([("supplier/1",), ("part/1",)], "id string")
-    chunks, vectors = spark.createDataFrame([], "id string, parent_node_id string"), spark.createDataFrame([], "owner_id string")
-    return store.edge_type_counts(store.forget(ids, V.n_biz(spark, sf_dir), edges(spark, sf_dir), chunks, vectors)[1])
+    """What is left once the documents of importance are forgotten, with their edges, chunks and vectors."""
+    t = doc_tables(spark, sf_dir)
+    ids = t["nodes"].where("importance > 0.6").select("id")
+    return row_counts(dict(zip(("nodes", "edges", "chunks", "vectors"), store.forget(ids, *(t[k] for k in ("nodes", "edges", "chunks", "vectors"))), strict=True)))
+
+
+@query(sql("n_docs", "v_docs", "doc_chunks") + f", {_VECS}, {_OWN}, ln AS (SELECT * FROM n_docs), le AS (SELECT 1 WHERE false), lc AS (SELECT * FROM doc_chunks WHERE id NOT IN (SELECT id FROM oc)), lv AS (SELECT * FROM vecs WHERE owner_id NOT IN (SELECT id FROM oc)) {_TABLES}")
+def delete_chunks(spark, sf_dir):
+    """A project's nodes lose their chunks, and these their vectors."""
+    t = doc_tables(spark, sf_dir)
+    own = t["nodes"].where("project_id = 'docs::stage:en'").select("id")
+    c, v = store.delete_chunks(own, t["chunks"], t["vectors"])
+    return row_counts({"nodes": t["nodes"], "edges": t["edges"].limit(0), "chunks": c, "vectors": v})
 
 
-@query("SELECT 'order/' || o_orderkey AS from_id, 'nation/' || n_nationkey AS to_id, 'mentions' AS edge_type, 0.85e0 AS confidence FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey < 10")
+@query("SELECT 'order/' || o_orderkey AS from_id, n_name AS mention, CASE WHEN n_regionkey < 3 THEN 'nation/' || n_nationkey END AS to_id, CASE WHEN n_regionkey < 3 THEN 0.85e0 END AS confidence FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey")
 def resolve_unresolved(spark, sf_dir):
-    """Orders mention the names of their customers' nations; ten of the nations are nodes by now."""
+    """Orders mention the names of their customers' nations, of which those of three regions are nodes by now; edges, and the mentions that are left."""
     nations = V.table(spark, sf_dir, "nation")
     refs = V.table(spark, sf_dir, "orders").join(V.table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).join(nations, F.expr("c_nationkey = n_nationkey")).select(F.lit("nation").alias("project_id"), F.concat(F.lit("order/"), "o_orderkey").alias("source_id"), F.col("n_name").alias("mention"), F.lit("mentions").alias("relation"))
-    known = nations.where("n_nationkey < 10").select(F.lit("nation").alias("project_id"), F.concat(F.lit("nation/"), "n_nationkey").alias("id"), F.col("n_name").alias("title"))
-    return store.resolve_unresolved(refs, known)[0]
+    known = nations.where("n_regionkey < 3").select(F.lit("nation").alias("project_id"), F.concat(F.lit("nation/"), "n_nationkey").alias("id"), F.col("n_name").alias("title"))
+    found, left = store.resolve_unresolved(refs, known)
+    named = found.join(known.select(F.col("id").alias("to_id"), F.col("title").alias("mention")), "to_id").select("from_id", "mention", "to_id", "confidence")
+    return named.union(left.select(F.col("source_id").alias("from_id"), "mention", F.lit(None).cast("string"), F.lit(None).cast("double")))
+
+
+@query(sql("n_docs", "doc_chunks") + f" SELECT id, title, EXISTS (SELECT 1 FROM doc_chunks WHERE parent_node_id = n_docs.id) AS has_chunks FROM n_docs WHERE id = {_DOC}")
+def get_node(spark, sf_dir):
+    n = V.n_docs(spark, sf_dir)
+    return store.get_node(n, V.doc_chunks(spark, sf_dir), n.where("row_seq = 3").first().id).select("id", "title", "has_chunks")
+
+
+@query(sql("doc_edges") + " SELECT from_id, to_id, confidence FROM doc_edges WHERE from_lang = 'en' AND edge_type = 'auto-linked' ORDER BY confidence DESC, from_id, to_id LIMIT 100 OFFSET 2")
+def edges_of_type(spark, sf_dir):
+    return store.edges_of_type(doc_edges(spark, sf_dir), V.n_docs(spark, sf_dir), "docs::stage:en", "auto-linked", 100, 2).select("from_id", "to_id", "confidence")
+
+
+@query(sql("raw", "e_biz") + " SELECT edge_type, count(*) AS edges FROM e_biz WHERE NOT (from_id = 'supplier/1' AND edge_type = 'depends-on') GROUP BY 1")
+def delete_edge(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    nation = V.table(spark, sf_dir, "supplier").where("s_suppkey = 1").first().s_nationkey
+    return store.edge_type_counts(store.delete_edge(e, "supplier/1", f"nation/{nation}", "depends-on"))
+
+
+@query("SELECT 'p' || n_nationkey AS project_id, CASE WHEN n_nationkey = 3 THEN 'renamed' ELSE n_name END AS project_name, CASE WHEN n_nationkey = 3 THEN 'ssh://h/r' ELSE '' END AS repository_url FROM nation")
+def project_upsert(spark, sf_dir):
+    """A project's last name and remote count."""
+    p = V.table(spark, sf_dir, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("project_id"), F.col("n_name").alias("project_name"), F.lit("").alias("repository_url"), V.as_of().alias("updated_at"))
+    return store.upsert_project(p, "p3", "renamed", "ssh://h/r", V.as_of()).drop("updated_at")
+
+
+@query(sql("n_docs") + " SELECT DISTINCT project_id FROM n_docs")
+def project_ids(spark, sf_dir):
+    return store.project_ids(V.n_docs(spark, sf_dir))
+
+
+@query(sql("n_docs", "v_docs") + " SELECT owner_id AS id, round(list_sum(v), 6) AS total FROM v_docs JOIN n_docs ON id = owner_id WHERE model_id = 'm1' AND importance >= 0.5")
+def node_embeddings(spark, sf_dir):
+    n = V.n_docs(spark, sf_dir).where("importance >= 0.5").select("id")
+    found = store.node_embeddings(V.v_docs(spark, sf_dir), n, len(first_vector(spark, sf_dir)), "m1")
+    return found.select("id", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query(sql("n_docs", "doc_log") + f" SELECT node_id, accessed_at, session_id FROM doc_log WHERE node_id = {_DOC} ORDER BY accessed_at DESC LIMIT 50")
+def access_history(spark, sf_dir):
+    n = V.n_docs(spark, sf_dir)
+    return store.access_history(V.doc_log(spark, sf_dir), n.where("row_seq = 3").first().id).withColumn("accessed_at", F.col("accessed_at").cast("timestamp_ntz"))
+
+
+@query(sql("n_docs") + " SELECT id, title FROM n_docs WHERE contains(lower(title), 'web_1') OR contains(lower(id), 'web_1') OR contains(lower(project_id), 'web_1') OR contains(lower(node_type), 'web_1') ORDER BY title, id LIMIT 50")
+def search_box(spark, sf_dir):
+    return store.search_box(V.n_docs(spark, sf_dir), " WEB_1").select("id", "title")
 
 
 @query(sql("v_docs") + f", {_VEC}, t AS (SELECT v_docs.owner_id AS id, v_docs.source, v, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs JOIN v_docs ON owner_id = id QUALIFY rank <= 15) SELECT a.id AS a_id, b.id AS b_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM t a JOIN t b ON a.rank < b.rank AND a.source <> b.source WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.1")
@@ -243,10 +503,62 @@ def dedupe_exact(spark, sf_dir):
     return link.exact_copies(V.n_docs(spark, sf_dir))
 
 
-@query(sql("v_docs") + ", p AS (SELECT a.owner_id AS fact, b.owner_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM v_docs a JOIN v_docs b ON a.label = b.label AND a.owner_id <> b.owner_id) SELECT fact, arg_min(id, (-similarity, id)) AS id, max(similarity) AS similarity FROM p WHERE similarity >= 0.3 GROUP BY 1")
+@query(sql("v_docs") + ", p AS (SELECT a.owner_id AS a, a.label AS la, b.owner_id AS b, b.label AS lb, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM v_docs a JOIN v_docs b ON a.owner_id <> b.owner_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM p QUALIFY rank <= 5) SELECT a AS fact, arg_min(b, rank) AS id, arg_min(s, rank) AS similarity FROM r WHERE la = lb AND s >= 0.71 GROUP BY 1")
 def dedupe_semantic(spark, sf_dir):
+    """The first of a fact's five nearest that has its kind and is near enough."""
     v = V.v_docs(spark, sf_dir).select(F.col("owner_id").alias("id"), F.col("label").alias("node_type"), "embedding")
-    return link.nearest_of_kind(v, v, 0.3)
+    return link.nearest_of_kind(v, v)
+
+
+@query(sql("v_docs") + ", t AS (SELECT owner_id AS id, source AS project_id, v, row_number() OVER (PARTITION BY source ORDER BY label DESC, owner_id) AS n FROM v_docs QUALIFY n <= 200) SELECT a.id AS from_id, b.id AS to_id, 'auto-linked' AS edge_type, round(list_cosine_similarity(a.v, b.v), 6) AS confidence, 'INFERRED' AS confidence_tier, true AS bidirectional FROM t a JOIN t b ON a.id < b.id AND a.project_id <> b.project_id WHERE round(list_cosine_similarity(a.v, b.v), 6) > 0.8")
+def vector_links(spark, sf_dir):
+    v = V.v_docs(spark, sf_dir).select(F.col("owner_id").alias("id"), F.col("source").alias("project_id"), F.col("label").alias("importance"), "embedding")
+    return link.vector_links(v)
+
+
+@query("WITH r AS (SELECT p_type AS project_id, '@' || split_part(p_name, ' ', 1) || '/' || p_size AS root, min(lpad(p_partkey::VARCHAR, 12, '0')) AS id FROM part GROUP BY 1, 2) SELECT a.id AS from_id, b.id AS to_id, 'depends_on' AS edge_type, 1.0e0 AS confidence, 'EXTRACTED' AS confidence_tier, true AS bidirectional FROM r a JOIN r b USING (root) WHERE a.project_id < b.project_id")
+def module_links(spark, sf_dir):
+    """Parts as packages, named by scope and name, with a file below; types are their projects."""
+    p = V.table(spark, sf_dir, "part").select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("id"), F.col("p_type").alias("project_id"), F.concat(F.lit("@"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("/"), F.col("p_size").cast("string"), F.lit("/lib")).alias("path"))
+    return link.module_links(p)
+
+
+_CONV = r"k AS (SELECT 'part/' || p_partkey AS id, p_brand AS package, CASE WHEN regexp_extract(p_name, '^([A-Z][a-z]{2,})', 1) <> '' THEN regexp_extract(p_name, '^([A-Z][a-z]{2,})', 1) ELSE regexp_extract(p_name, '^([a-z]{2,})', 1) END AS prefix, p_type AS receiver FROM part), c AS (SELECT id, package, 'prefix' AS kind, prefix AS value FROM k WHERE prefix <> '' UNION ALL SELECT id, package, 'receiver', receiver FROM k), g AS (SELECT package, kind, value, count(*) AS members FROM c GROUP BY ALL HAVING count(*) >= 2)"
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("package"), F.col("p_name").alias("name"), F.col("p_type").alias("receiver"))
+
+
+@query(f"WITH {_CONV} SELECT 'p/convention/' || package || '/' || kind || '/' || value AS id, 'convention' AS node_type, package || ' ' || value AS title, members || ' symbols of ' || package || ' share the ' || kind || ' ' || value AS content, 0.4e0 AS importance FROM g")
+def convention_nodes(spark, sf_dir):
+    return link.convention_graph(part_names(spark, sf_dir), "p")[0].drop("project_id")
+
+
+@query(f"WITH {_CONV} SELECT id AS from_id, 'p/convention/' || package || '/' || kind || '/' || value AS to_id, 'convention-member' AS edge_type, 0.7e0 AS confidence FROM c JOIN g USING (package, kind, value)")
+def convention_members(spark, sf_dir):
+    return link.convention_graph(part_names(spark, sf_dir), "p")[1].drop("confidence_tier")
+
+
+@query(sql("v_docs") + f", {_VEC} SELECT count(*) AS n, round(avg(score), 6) AS mean, min(score) AS least, max(score) AS most, round(quantile_cont(score, 0.9), 6) AS p90 FROM vs")
+def calibration_facts(spark, sf_dir):
+    from ..sources import files
+
+    return files.calibration(retrieve.vector(V.v_docs(spark, sf_dir), first_vector(spark, sf_dir), 1 << 30), "score")[0]
+
+
+@query(sql("v_docs") + f", {_VEC} SELECT CAST(least(floor(greatest(score, 0) * 10) + 1, 10) AS INTEGER) AS bucket, count(*) AS n FROM vs GROUP BY 1")
+def calibration_buckets(spark, sf_dir):
+    from ..sources import files
+
+    return files.calibration(retrieve.vector(V.v_docs(spark, sf_dir), first_vector(spark, sf_dir), 1 << 30), "score")[1]
+
+
+@query(sql("n_docs") + " SELECT source_adapter, count(*) AS nodes, count(*) FILTER (length(content) > 0) AS with_content FROM n_docs GROUP BY 1")
+def adapter_counts(spark, sf_dir):
+    from ..sources import files
+
+    return files.adapter_counts(V.n_docs(spark, sf_dir))
 
 
 @query(sql("log") + f", r AS (SELECT DISTINCT session_id, node_id FROM log WHERE accessed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) SELECT a.node_id AS from_id, b.node_id AS to_id, count(*) AS sessions FROM r a JOIN r b ON a.session_id = b.session_id AND a.node_id < b.node_id GROUP BY ALL HAVING count(*) >= 3")
@@ -321,15 +633,18 @@ def tier2_links(spark, sf_dir):
     return link.similarity_links(n)
 
 
-_LABEL = "p_name || ' ' || p_type || ' ' || p_size"
-
-
-@query(f"WITH s AS (SELECT p_partkey, {_LABEL} AS label, p_brand AS file, count(*) OVER (PARTITION BY {_LABEL}) AS n FROM part), c AS (SELECT 'f' || p_partkey AS caller, {_LABEL} AS callee, p_type AS file FROM part) SELECT caller AS from_id, 'part/' || p_partkey AS to_id, 'calls' AS edge_type, 0.8e0 AS confidence, 'INFERRED' AS confidence_tier FROM c JOIN s ON s.label = c.callee WHERE n = 1 AND c.file <> s.file")
+@query("""WITH s AS (SELECT 'part/' || p_partkey AS id, p_name || ' ' || p_size AS label, CASE WHEN p_size % 3 = 0 THEN 'ts' ELSE 'py' END AS lang, p_brand AS file FROM part), few AS (SELECT label FROM s GROUP BY 1 HAVING count(*) <= 10),
+    c AS (SELECT 'f' || p_partkey AS caller, p_name || ' ' || p_size AS callee, CASE WHEN p_size % 3 = 0 THEN 'ts' ELSE 'py' END AS lang, p_type AS file FROM part), im AS (SELECT DISTINCT p_type AS file, p_brand AS target FROM part WHERE p_size % 2 = 0),
+    h AS (SELECT caller, callee, c.lang, c.file, s.id AS to_id, s.file AS target, im.file IS NOT NULL AS seen FROM c JOIN s ON s.label = callee AND s.lang = c.lang JOIN few USING (label) LEFT JOIN im ON im.file = c.file AND im.target = s.file),
+    w AS (SELECT *, count(*) OVER (PARTITION BY caller, callee, lang) AS n, count(*) FILTER (seen) OVER (PARTITION BY caller, callee, lang) AS evidence FROM h)
+    SELECT DISTINCT caller AS from_id, to_id, 'calls' AS edge_type, CASE WHEN seen THEN 1.0e0 ELSE 0.8e0 END AS confidence, CASE WHEN seen THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence_tier FROM w WHERE (n = 1 AND file <> target AND (seen OR lang NOT IN ('js', 'ts'))) OR (n > 1 AND seen AND evidence = 1)""")
 def call_resolution(spark, sf_dir):
-    p = V.table(spark, sf_dir, "part").withColumn("label", F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string")))
-    calls = p.select(F.concat(F.lit("f"), "p_partkey").alias("caller"), F.col("label").alias("callee"), F.lit("py").alias("lang"), F.col("p_type").alias("file"))
-    symbols = p.select(F.concat(F.lit("part/"), "p_partkey").alias("id"), "label", F.lit("py").alias("lang"), F.col("p_brand").alias("file"))
-    return link.resolve_calls(calls, symbols, spark.createDataFrame([], "file string, target_file string"), 10)
+    """Parts call parts of their name and size; parts of even sizes import their brand into their type."""
+    p = V.table(spark, sf_dir, "part").withColumns({"label": F.concat_ws(" ", "p_name", F.col("p_size").cast("string")), "lang": F.when(F.col("p_size") % 3 == 0, "ts").otherwise("py")})
+    calls = p.select(F.concat(F.lit("f"), "p_partkey").alias("caller"), F.col("label").alias("callee"), "lang", F.col("p_type").alias("file"))
+    symbols = p.select(F.concat(F.lit("part/"), "p_partkey").alias("id"), "label", "lang", F.col("p_brand").alias("file"))
+    imports = p.where("p_size % 2 = 0").select(F.col("p_type").alias("file"), F.col("p_brand").alias("target_file")).distinct()
+    return link.resolve_calls(calls, symbols, imports, 10)
 
 
 @query("WITH b AS (SELECT p_type, p_name, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS k FROM part GROUP BY ALL), c AS (SELECT *, count(*) OVER (PARTITION BY p_name) AS n FROM b) SELECT 'part/' || a.k AS from_id, 'part/' || b.k AS to_id, 'cross-project-call' AS edge_type, 0.7e0 AS confidence, true AS bidirectional FROM c a JOIN c b ON a.p_name = b.p_name AND a.p_type < b.p_type WHERE a.n <= 20")

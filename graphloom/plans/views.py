@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 AS_OF = "2024-02-01 00:00:00"
 
 
@@ -23,10 +25,48 @@ def n_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), F.lit("current").alias("status"),
         F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_path"),
         F.coalesce(0.5 + 0.4 * F.col("quality") - 0.3 * F.col("toxic"), F.lit(0.5)).alias("importance"),
-        F.timestamp_seconds(F.unix_seconds(as_of()) - (F.col("doc_id") % 60) * 86400).alias("created_at"), F.timestamp_seconds(F.unix_seconds(as_of()) - (F.col("doc_id") % 30) * 86400).alias("updated_at"), F.col("doc_id").alias("row_seq"),
+        F.timestamp_seconds(F.unix_seconds(as_of()) - (F.col("doc_id") % 60) * 86400).alias("created_at"), F.timestamp_seconds(F.unix_seconds(as_of()) - (F.col("doc_id") % 30) * 86400).alias("updated_at"), F.col("doc_id").alias("row_seq"), F.col("source").alias("source_adapter"),
     )
 
 
+def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document calls the one of the next number, whatever its language, which is its stage; every third edge goes both ways."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.lit("docs"), "lang", F.col("doc_id").cast("string")).alias("id"))
+    to = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("id").alias("to_id"))
+    kind = F.when(F.col("doc_id") % 7 == 0, "proposed").when(F.col("doc_id") % 5 == 0, "auto-linked").otherwise("calls")
+    return d.join(to, "doc_id").select(F.col("id").alias("from_id"), "to_id", kind.alias("edge_type"), (F.lit(0.5) + (F.col("doc_id") % 50) / 100).alias("confidence"), F.when(kind == "proposed", "PROPOSED").otherwise("INFERRED").alias("confidence_tier"), (F.col("doc_id") % 3 == 0).alias("bidirectional"), as_of().alias("created_at"))
+
+
+def doc_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are accessed up to three times each, some within the last hour."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 4 > 0")
+    at = F.timestamp_seconds(F.unix_seconds(as_of()) - (F.col("doc_id") % 120) * 60 - F.col("k") * 86400)
+    return d.select("doc_id", F.concat_ws("/", F.lit("docs"), "lang", F.col("doc_id").cast("string")).alias("node_id"), F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 4 - 1).cast("int"))).alias("k")).select("node_id", at.alias("accessed_at"), F.concat_ws("-", F.lit("s"), F.col("k").cast("string")).alias("session_id"))
+
+
+def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of odd numbers have up to five chunks."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 1")
+    id_ = F.concat_ws("/", F.lit("docs"), "lang", F.col("doc_id").cast("string"))
+    return d.select(id_.alias("parent_node_id"), "text", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 5).cast("int"))).alias("chunk_index")).select(F.concat_ws("/chunk/", "parent_node_id", F.col("chunk_index").cast("string")).alias("id"), "parent_node_id", "chunk_index", F.substring("text", 1, 400).alias("content"))
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of documents as those of their first chunks."""
+    return v_docs(spark, sf_dir).withColumns({"owner_kind": F.lit("chunk"), "owner_id": F.concat("owner_id", F.lit("/chunk/0"))})
+
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that a store holds: made at its first use in a session, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = written(make(), name)
+    return _STORED[key]
+
+
 def v_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of documents; vec_id is the document's id."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
@@ -87,9 +127,13 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "n_docs": f"""n_docs AS (SELECT 'docs/' || lang || '/' || d.doc_id AS id, 'docs::stage:' || lang AS project_id, 'generic-doc' AS node_type, source || '_' || d.doc_id AS title, text AS content, 'current' AS status,
         source || '/' || lang || '/' || d.doc_id || '.md' AS source_path, coalesce(0.5e0 + 0.4e0 * quality - 0.3e0 * toxic, 0.5e0) AS importance,
-        TIMESTAMP '{AS_OF}' - to_days(CAST(d.doc_id % 60 AS INTEGER)) AS created_at, TIMESTAMP '{AS_OF}' - to_days(CAST(d.doc_id % 30 AS INTEGER)) AS updated_at, d.doc_id AS row_seq
+        TIMESTAMP '{AS_OF}' - to_days(CAST(d.doc_id % 60 AS INTEGER)) AS created_at, TIMESTAMP '{AS_OF}' - to_days(CAST(d.doc_id % 30 AS INTEGER)) AS updated_at, d.doc_id AS row_seq, source AS source_adapter
         FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id)""",
     "v_docs": "v_docs AS (SELECT 'docs/' || d.lang || '/' || d.doc_id AS owner_id, 'm' || (label % 2) AS model_id, CAST(embedding AS DOUBLE[]) AS v, label, source, d.doc_id AS row_seq FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)",
+    "doc_edges": "doc_edges AS (SELECT 'docs/' || a.lang || '/' || a.doc_id AS from_id, 'docs/' || b.lang || '/' || b.doc_id AS to_id, a.lang AS from_lang, b.lang AS to_lang, CASE WHEN a.doc_id % 7 = 0 THEN 'proposed' WHEN a.doc_id % 5 = 0 THEN 'auto-linked' ELSE 'calls' END AS edge_type, 0.5e0 + (a.doc_id % 50) / 100e0 AS confidence, CASE WHEN a.doc_id % 7 = 0 THEN 'PROPOSED' ELSE 'INFERRED' END AS confidence_tier, a.doc_id % 3 = 0 AS bidirectional FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)",
+    "doc_step": "seen_edges AS (SELECT * FROM doc_edges WHERE from_lang = to_lang), doc_step AS (SELECT from_id AS src, to_id AS dst, edge_type, confidence FROM seen_edges UNION ALL SELECT to_id, from_id, edge_type, confidence FROM seen_edges WHERE bidirectional)",
+    "doc_log": f"doc_log AS (SELECT node_id, TIMESTAMP '{AS_OF}' - to_minutes(CAST(doc_id % 120 AS INTEGER)) - to_days(CAST(k AS INTEGER)) AS accessed_at, 's-' || k AS session_id FROM (SELECT doc_id, 'docs/' || lang || '/' || doc_id AS node_id, unnest(range(doc_id % 4)) AS k FROM documents))",
+    "doc_chunks": "doc_chunks AS (SELECT parent_node_id || '/chunk/' || chunk_index AS id, parent_node_id, CAST(chunk_index AS INTEGER) AS chunk_index, substr(text, 1, 400) AS content FROM (SELECT 'docs/' || lang || '/' || doc_id AS parent_node_id, text, unnest(range(doc_id % 5 + 1)) AS chunk_index FROM documents WHERE doc_id % 2 = 1))",
     "n_biz": "n_biz AS ("
     + " UNION ALL ".join(f"SELECT '{k}/' || {key} AS id, '{k}' AS project_id, 'biz:{k}' AS node_type, {title} AS title, 0.3e0 + 0.1e0 * ({key} % 7) AS importance FROM {t}" for k, t, key, title in (("region", "region", "r_regionkey", "r_name"), ("nation", "nation", "n_nationkey", "n_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("customer", "customer", "c_custkey", "c_name"), ("part", "part", "p_partkey", "p_name"), ("order", "orders", "o_orderkey", "o_orderpriority")))
     + ")",

@@ -6,7 +6,12 @@ from __future__ import annotations
 STATUSES = ("current", "stale", "superseded")
 TIERS = ("PROPOSED", "INFERRED", "EXTRACTED")  #: in rising order
 IMPACT_TYPES = ("implements", "tests", "specifies", "depends-on")
-INFERRED_TYPES = ("auto-linked", "co-accessed", "cross-project-call", "related")
+#: Edge types by what they are served as.
+STRUCTURAL_TYPES = ("specifies", "implements", "tests", "calls", "defines", "imports", "convention-member")
+INFERRED_TYPES = ("auto-linked",)
+CROSS_PROJECT_TYPES = ("cross-project-call", "depends_on", "auto-linked")
+PROJECT_GRAPH_TYPES = (*STRUCTURAL_TYPES, "auto-linked", "cross-project-call", "depends_on", "references")
+GRAPH_DATA_TYPES = (*PROJECT_GRAPH_TYPES, "proposed", "contains")
 
 NODES = "id string, project_id string, node_type string, title string, content string, content_hash string, status string, source_adapter string, source_path string, importance double, language string, created_at timestamp, updated_at timestamp, access_count long, last_accessed_at timestamp, row_seq long"
 EDGES = "from_id string, to_id string, edge_type string, confidence double, confidence_tier string, bidirectional boolean, created_at timestamp"

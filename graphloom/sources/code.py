@@ -17,6 +17,11 @@ PATTERNS = {
     "ts": (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)|^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\(", r"^\s*(?:export\s+)?(?:abstract\s+)?(?:class|interface|type|enum)\s+(\w+)", r"""^\s*(?:import|export)\b.*?from\s+['"]([^'"]+)['"]"""),
 }
 PATTERNS["js"] = PATTERNS["ts"]
+SUFFIXES = r"\.(" + "|".join(x[1:] for x in LANGUAGES) + ")$"
+#: The types that a Go signature or field names, through pointers, slices, maps, channels and functions; predeclared ones are in small letters.
+GO_FUNC = re.compile(r"^func\s+(?:\(\s*\w*\s*\*?(\w+)[^)]*\)\s*)?(\w+)(.*)$")
+GO_STRUCT = re.compile(r"^type\s+(\w+)\s+(?:struct|interface)\s*\{")
+GO_TYPE = re.compile(r"(?<![\w.\"])([A-Z]\w*)(?!\s*\()")
 CALL = re.compile(r"(?<![\w.])(new\s+)?(?:(\w+)\.)?(\w+)\s*\(")
 WORDS = {"if", "for", "while", "switch", "return", "func", "function", "fn", "match", "catch", "def", "class", "with", "and", "or", "not", "in", "print"}
 Symbol = tuple[str, str, int]  #: kind, name, line
@@ -70,6 +75,61 @@ def pattern_symbols(text: str, language: str) -> tuple[list[Symbol], list[Call],
     return symbols, calls, imports
 
 
+def python_types(text: str) -> list[tuple[str, str]]:
+    """(symbol, type) of annotations of parameters, results and fields, through subscripts and unions."""
+    found: list[tuple[str, str]] = []
+
+    def named(node: ast.AST | None) -> list[str]:
+        if node is None:
+            return []
+        if isinstance(node, ast.Constant) and isinstance(node.value, str):
+            try:
+                node = ast.parse(node.value, mode="eval")
+            except SyntaxError:
+                return []
+        return [x.id for x in ast.walk(node) if isinstance(x, ast.Name)]
+
+    def walk(node: ast.AST, scope: str) -> None:
+        for child in ast.iter_child_nodes(node):
+            inner = scope
+            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
+                inner = f"{scope}.{child.name}" if scope else child.name
+                a = child.args
+                for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg]:
+                    found.extend((inner, t) for t in named(x.annotation if x else None))
+                found.extend((inner, t) for t in named(child.returns))
+            elif isinstance(child, ast.ClassDef):
+                inner = f"{scope}.{child.name}" if scope else child.name
+            elif isinstance(child, ast.AnnAssign) and scope:
+                found.extend((scope, t) for t in named(child.annotation))
+            walk(child, inner)
+
+    walk(ast.parse(text), "")
+    return list(dict.fromkeys(found))
+
+
+def go_types(text: str) -> list[tuple[str, str]]:
+    """(symbol, type) of the signatures and fields of Go source."""
+    found, struct = [], ""
+    for line in text.split("\n"):
+        if struct and line.startswith("}"):
+            struct = ""
+        elif struct:
+            found += [(struct, t) for t in GO_TYPE.findall(line.split("//")[0].split("`")[0].strip().partition(" ")[2])]
+        elif m := GO_STRUCT.match(line):
+            struct = "" if line.rstrip().endswith("}") else m[1]
+        elif m := GO_FUNC.match(line):
+            found += [(m[2], t) for t in ([m[1]] if m[1] else []) + GO_TYPE.findall(m[3].rsplit("{", 1)[0])]
+    return list(dict.fromkeys(found))
+
+
+def types_of(language: str, text: str) -> list[tuple[str, str]]:
+    try:
+        return python_types(text) if language == "python" else go_types(text) if language == "go" else []
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+
+
 def symbols_of(path: str, text: str) -> tuple[str, list[Symbol], list[Call], list[str]]:
     language = LANGUAGES.get(re.sub(r"^.*(\.[^./]+)$", r"\1", path), "")
     if not language:
@@ -81,13 +141,14 @@ def symbols_of(path: str, text: str) -> tuple[str, list[Symbol], list[Call], lis
 
 
 def extract(tree: DataFrame, project: str) -> DataFrame:
-    """Rows of all that code files (path, content) hold: what ('node', 'edge', 'call', 'import'), and the columns it has."""
+    """Rows of all that code files (path, content) hold: what ('node', 'edge', 'call', 'type', 'import'), and the columns it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                language, symbols, calls, imports = symbols_of(path, (content or b"").decode("utf-8", "replace"))
+                text = (content or b"").decode("utf-8", "replace")
+                language, symbols, calls, imports = symbols_of(path, text)
                 if not language:
                     continue
                 file = f"{project}/{path}"
@@ -102,6 +163,7 @@ def extract(tree: DataFrame, project: str) -> DataFrame:
                         rows.append(("edge", source, own[callee], "calls", "", language, path, line, 1.0))
                     elif callee not in own:
                         rows.append(("call", source, callee, "new" if new else "member" if receiver else "plain", receiver, language, path, line, 0.0))
+                rows += [("type", own[symbol], t, "references", "", language, path, 0, 1.0) for symbol, t in types_of(language, text) if symbol in own]
                 rows += [("import", file, x, "imports", "", language, path, 0, 1.0) for x in dict.fromkeys(imports)]
             types = [pa.string()] * 7 + [pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["what", "a", "b", "kind", "name", "language", "path", "line", "weight"])
@@ -119,3 +181,40 @@ def edges(found: DataFrame) -> DataFrame:
 
 def raw_calls(found: DataFrame) -> DataFrame:
     return found.where("what = 'call'").select(F.col("b").alias("callee_name"), F.col("a").alias("caller_node_id"), F.col("path").alias("source_file"), F.col("line").cast("string").alias("source_loc"), F.col("language").alias("lang"), (F.col("kind") == "member").alias("is_member_call"), (F.col("kind") == "new").alias("is_new_call"), F.col("name").alias("receiver"))
+
+
+def type_references(found: DataFrame) -> DataFrame:
+    """References edges from symbols to the types that they name; a name that several types of a language have means the one of its own file, else none."""
+    kinds = found.where("what = 'node' AND kind = 'code:type'").select(F.col("a").alias("to_id"), F.col("name").alias("b"), "language", F.col("path").alias("target"))
+    hit = found.where("what = 'type'").select("a", "b", "language", "path").join(kinds, ["b", "language"]).where("a <> to_id")
+    best = hit.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.when(F.col("path") == F.col("target"), F.col("to_id"))).alias("own"), F.min("to_id").alias("only"))
+    best = best.withColumn("to_id", F.coalesce("own", F.when(F.col("n") == 1, F.col("only")))).where("to_id IS NOT NULL")
+    return best.select(F.col("a").alias("from_id"), "to_id", F.lit("references").alias("edge_type"), F.lit(1.0).alias("confidence"), F.lit("EXTRACTED").alias("confidence_tier")).distinct()
+
+
+def import_edges(found: DataFrame) -> DataFrame:
+    """Imports edges between files, for imports by a relative path."""
+    from .files import resolve_imports
+
+    wanted = found.where("what = 'import'").select("path", F.col("b").alias("specifier"), F.col("a").alias("from_id"))
+    files = found.where("what = 'node' AND kind = 'code:file'").select("path", F.col("a").alias("to_id"))
+    hit = resolve_imports(wanted.select("path", "specifier"), files.select("path"))
+    return wanted.join(hit, ["path", "specifier"]).join(files.withColumnRenamed("path", "target"), "target").select("from_id", "to_id", F.lit("imports").alias("edge_type"), F.lit(1.0).alias("confidence"), F.lit("EXTRACTED").alias("confidence_tier"), F.col("path").alias("file"), F.col("target").alias("target_file")).distinct()
+
+
+def graph_of(tree: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the code of a tree: definitions, calls within and across files, type references, imports."""
+    from ..operators.link import resolve_calls
+    from ..tables import written
+    from .files import clean
+
+    found = written(extract(clean(tree), project), "symbols")  # read by each kind of edge
+    own = nodes(found).select("id", F.lit(project).alias("project_id"), "node_type", "title", F.lit("").alias("content"), F.lit("code").alias("source_adapter"), "source_path", "importance", "language")
+    imported = import_edges(found)
+    calls = raw_calls(found).select(F.col("caller_node_id").alias("caller"), F.col("callee_name").alias("callee"), "lang", F.col("source_file").alias("file"))
+    symbols = own.where("node_type <> 'code:file'").select("id", F.col("title").alias("label"), F.col("language").alias("lang"), F.col("source_path").alias("file"))
+    columns = ["from_id", "to_id", "edge_type", "confidence", "confidence_tier"]
+    all_ = edges(found).withColumn("confidence_tier", F.lit("EXTRACTED"))
+    for more in (type_references(found), imported, resolve_calls(calls, symbols, imported.select("file", "target_file").distinct())):
+        all_ = all_.unionByName(more.select(*columns))
+    return own, all_

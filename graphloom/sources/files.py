@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 
 #: What a tree holds besides its documents.
-NOISE = (".git", "node_modules", "vendor", "dist", "build", ".next", "target", "__pycache__", ".venv")
-SECRET_NAMES = ("credentials.json", "secrets.json", "id_rsa", "id_ed25519", ".netrc", ".npmrc")
-SECRET_SUFFIXES = (".pem", ".key", ".p12", ".pfx")
+NOISE = (".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "target", ".next", "__pycache__", ".venv", "venv", ".idea", ".vscode")
+SECRET_NAMES = ("credentials", "credentials.yml", "credentials.yaml", "secrets.yml", "secrets.yaml")
+SECRET_SUFFIXES = (".pem", ".key", ".secret", ".kubeconfig")
 LARGEST = 1 << 20
 
 
@@ -27,13 +27,11 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
 def clean(tree: DataFrame) -> DataFrame:
     """Without noise, secrets, large and binary files."""
     name, parts = F.substring_index("path", "/", -1), F.split("path", "/")
-    noise = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in NOISE]))
+    noise = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(x) for x in NOISE]))  # directories; a file may have such a name
     secret = name.startswith(".env") | name.isin(*SECRET_NAMES)
     for s in SECRET_SUFFIXES:
         secret = secret | name.endswith(s)
-    binary = F.instr(F.hex(F.substring("content", 1, 512)), "00") % 2 == 1
-    # an odd place in the hexadecimal text begins a byte; a zero byte may hide behind an even one
-    zero = binary | F.hex(F.substring("content", 1, 512)).rlike("^(..)*00")
+    zero = F.hex(F.substring("content", 1, 512)).rlike("^(..)*00")
     return tree.where(~noise & ~secret & (F.col("length") <= LARGEST) & ~zero)
 
 
@@ -136,3 +134,94 @@ def resolve_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str,
     wanted = imports.where(F.col("specifier").startswith(".")).withColumn("base", base).select("path", "specifier", "base", F.posexplode(F.array(*[F.lit(t) for t in tries])).alias("priority", "end"))
     hit = wanted.withColumn("target", F.concat("base", "end")).join(files.select(F.col("path").alias("target")), "target")
     return hit.groupBy("path", "specifier").agg(F.min_by("target", "priority").alias("target"))
+
+
+MODULE_FILES = {"go.mod": "go", "package.json": "js", "pyproject.toml": "python", "Cargo.toml": "rust"}
+MODULE_DEPTH = 6
+
+
+def module_roots(tree: DataFrame) -> DataFrame:
+    """(root, language) of the modules of a tree, at most MODULE_DEPTH directories deep; a package.json beside a tsconfig.json is TypeScript."""
+    name, parts = F.substring_index("path", "/", -1), F.split("path", "/")
+    table = F.create_map(*[F.lit(x) for pair in MODULE_FILES.items() for x in pair])
+    noise = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(x) for x in NOISE]))
+    root = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    found = tree.where((F.size(parts) <= MODULE_DEPTH) & ~noise).select(root.alias("root"), name.alias("name"))
+    typed = found.where(F.col("name") == "tsconfig.json").select("root", F.lit(True).alias("ts")).distinct()
+    modules = found.where(F.col("name").isin(*MODULE_FILES)).join(typed, "root", "left")
+    return modules.select("root", F.when((F.col("name") == "package.json") & F.col("ts"), "ts").otherwise(table[F.col("name")]).alias("language")).distinct()
+
+
+def repositories(paths: DataFrame, remotes: DataFrame | None = None) -> DataFrame:
+    """(root, name, remote) of the git repositories among file paths (path); remotes: (root, url)."""
+    found = paths.where(F.col("path").rlike("(^|/)\\.git/")).select(F.regexp_extract("path", "^(.*?)/?\\.git/", 1).alias("root")).distinct()
+    named = found.withColumn("name", F.substring_index("root", "/", -1))
+    if remotes is None:
+        return named.withColumn("remote", F.lit(""))
+    return named.join(remotes.select("root", S.remote_project(F.col("url")).alias("remote")), "root", "left").withColumn("remote", F.coalesce("remote", F.lit("")))
+
+
+def find_repository(index: DataFrame, wanted: str) -> DataFrame:
+    """The repository that a remote, a name or the end of a path means: a remote counts before a name, a name before a path, and long paths before short ones."""
+    w, remote = F.lit(wanted.strip("/")), S.remote_project(F.lit(wanted))
+    grade = F.when((F.col("remote") != "") & (F.col("remote") == remote), 0).when(F.col("name") == w, 1).when((F.col("root") == w) | F.col("root").endswith("/" + wanted.strip("/")), 2)
+    return index.withColumn("grade", grade).where("grade IS NOT NULL").orderBy("grade", F.length("root").desc(), "root").limit(1).drop("grade")
+
+
+def read_snippets(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (text) of a file of JSON lines."""
+    return spark.read.schema("text string").json(path)
+
+
+def calibration(scores: DataFrame, score: str = "similarity") -> tuple[DataFrame, DataFrame]:
+    """(one row of count, mean, least, most and 90th percentile; counts of ten equal buckets of 0 to 1) of scores."""
+    c = F.col(score)
+    facts = scores.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"), F.round(F.percentile(c, 0.9), 6).alias("p90"))
+    bucket = F.least(F.width_bucket(F.greatest(c, F.lit(0.0)), F.lit(0.0), F.lit(1.0), F.lit(10)), F.lit(10)).cast("int")
+    return facts, scores.where(c.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def auto_detect(tree: DataFrame, project: str, mappings: list[dict[str, str]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, counts by adapter) of all adapters that fit a tree, concatenated; then calls across files and links between documents.
+
+    Mappings make the tree a documented one. Without them, a tree with .obsidian is a vault, and markdown files are documents. Modules bring
+    in the adapters of code and of packages. The facts that choose the adapters are a few booleans, read from the listing of paths."""
+    from ..operators import link
+    from . import code
+
+    name = F.substring_index("path", "/", -1)
+    has = tree.agg(F.coalesce(F.bool_or(F.col("path").rlike("(^|/)\\.obsidian/")), F.lit(False)).alias("vault"), F.coalesce(F.bool_or(name == "package.json"), F.lit(False)).alias("packages"), F.coalesce(F.bool_or(name == "MEMORY.md"), F.lit(False)).alias("memory"), F.coalesce(F.bool_or(F.col("path").rlike(code.SUFFIXES)), F.lit(False)).alias("code")).first()
+    nodes, edges = [], []
+    if mappings:
+        nodes.append(documents(tree, project, mappings))
+        edges.append(link.feature_links(nodes[0].select("id", "project_id", "node_type", "feature")).withColumn("confidence_tier", F.lit("EXTRACTED")))
+    if has.vault:
+        n, e = vault(tree, project)
+        nodes.append(n)
+        edges.append(e)
+    elif not mappings:
+        nodes.append(markdown_files(tree, project))
+    if has.memory:
+        nodes.append(memory_files(tree, project))
+    if has.packages:
+        n, e = packages(tree, project)
+        nodes.append(n)
+        edges.append(e)
+    if has.code:
+        n, e = code.graph_of(tree, project)
+        nodes.append(n)
+        edges.append(e)
+    all_nodes = nodes[0]
+    for n in nodes[1:]:
+        all_nodes = all_nodes.unionByName(n, allowMissingColumns=True)
+    all_nodes = all_nodes.dropDuplicates(["id"])
+    edges.append(link.document_links(all_nodes.where(F.col("source_path").endswith(".md")).select("id", "source_path", "content")).withColumn("confidence_tier", F.lit("EXTRACTED")))
+    all_edges = edges[0]
+    for e in edges[1:]:
+        all_edges = all_edges.unionByName(e, allowMissingColumns=True)
+    return all_nodes, all_edges, adapter_counts(all_nodes)
+
+
+def adapter_counts(nodes: DataFrame) -> DataFrame:
+    """(source_adapter, nodes, with_content) of what adapters have made."""
+    return nodes.groupBy("source_adapter").agg(F.count("*").alias("nodes"), F.count_if(F.length(F.coalesce("content", F.lit(""))) > 0).alias("with_content"))

@@ -131,7 +131,7 @@ def test_features_and_links(spark):
 
 def test_lexical_and_recall(spark):
     t = F.lit("2024-01-02 00:00:00").cast("timestamp")
-    nodes = spark.createDataFrame([("a", "Coupon Redeem", "coupon redeem flow", 1, 0.9), ("b", "Coupon Expiry", "when a coupon expires", 2, 0.5), ("c", "Login Flow", "login", 3, 0.5), ("z", "Zero", "coupon", 4, 0.0)], "id string, title string, content string, row_seq long, importance double").withColumns({"updated_at": t, "created_at": t})
+    nodes = spark.createDataFrame([("a", "Coupon Redeem", "coupon redeem flow", 1, 0.9), ("b", "Coupon Expiry", "when a coupon expires", 2, 0.5), ("c", "Login Flow", "login", 3, 0.5), ("z", "Zero", "coupon", 4, 0.0)], "id string, title string, content string, row_seq long, importance double").withColumns({"updated_at": t, "created_at": t, "project_id": F.lit("p")})
     assert ids(retrieve.lexical(nodes, "coupon", 10)) == ["a", "b", "z"] and [r.id for r in retrieve.lexical(nodes, "coupon", 10, "rowid").orderBy("rank").collect()] == ["a", "b", "z"]
     assert retrieve.lexical(nodes, "", 10).count() == 0
     vectors = spark.createDataFrame([("a", "m", [1.0, 0.0]), ("c", "m", [0.0, 1.0])], "owner_id string, model_id string, embedding array<double>")
