@@ -12,12 +12,12 @@ and never learnt from; where no labelled document is left to learn from, all are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ from .common import crc_remainder, require, string_bytes, tidy
 
 SAMPLE_DOCS = 4000
 WINDOWS = 3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 

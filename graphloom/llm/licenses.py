@@ -5,8 +5,8 @@ its SHA-256 is taken, and whole texts are joined by it to the digests of known l
 module, and the standard texts of the folder `texts`, so the table is broadcast whatever the size of the corpus. A text that is none of
 them is looked up once more in a looser form, without list markers and copyright lines that give a name alone.
 
-Cases: a null text has a null digest and no license; an empty text has the digest of the empty string and no license;
-repeated rows keep their number."""
+Cases: a null text has a null digest and no license; an empty text has the digest of the empty string and no license; a very long text is
+looked up whole; repeated rows keep their number; an empty table gives no rows; other columns, whatever their names, are left alone."""
 
 from __future__ import annotations
 
@@ -58,11 +58,12 @@ SPELLINGS = [
     (r"\bwhilst\b", "while"),
     (r"\bv (\d)", "version $1"),
 ]
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright( \(c\)| ©|:)? ?\d{4}|copyright \(c\)|copyright ©|\(c\) ?\d{4}|© ?\d{4}|all rights reserved)[^\n]*$"
+#: A copyright notice: a line of at most 120 further characters, or what stands before a license that begins on the same line.
+COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright( \(c\)| ©|:)? ?\d{4}|copyright \(c\)|copyright ©|\(c\) ?\d{4}|© ?\d{4}|all rights reserved)[^\n]{0,120}?($|permission is hereby|permission to use|redistribution and use|licensed under|released under|this software is|this work is|this program is)"
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " $3")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
     for pattern, one in SPELLINGS:
         out = F.regexp_replace(out, pattern, one)
@@ -113,7 +114,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
 def _canonical_sql(text: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    out = f"regexp_replace(lower({text}), {quote(COPYRIGHT_LINE)}, ' ', 'g')"
+    out = f"regexp_replace(lower({text}), {quote(COPYRIGHT_LINE)}, ' \\3', 'g')"
     out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
     for pattern, one in SPELLINGS:
         out = f"regexp_replace({out}, {quote(pattern)}, {quote(one.replace('$1', chr(92) + '1'))}, 'g')"

@@ -1,8 +1,9 @@
 """Exact top-k search by inner product: ball-tree branch and bound in each shard.
 
-Every partition of the candidates packs its rows into shards of bounded size, each with a ball tree: nodes hold a centre, a radius and
-the least id below. Queries are packed into blocks. A task goes through pairs of block and shard; for each block it keeps the k best so
-far and shares the current kth score among all shards and nodes it visits. The inner product of a query q with anything in a node is
+Every partition of the candidates packs its rows into shards of bounded size, and shards are dealt into groups of a few. A group's task gets each of its
+shards once and builds a ball tree of it: nodes hold a centre, a radius and the least id below. Then the queries stream past, in blocks. For each block
+the task keeps the k best so far and shares the current kth score among all shards and nodes it visits, the shard that promises most first. A task
+holds its group's trees and one block, whatever the number of queries. The inner product of a query q with anything in a node is
 at most q.centre + |q| * radius; nodes are visited in falling order of that bound and left out where it can't reach the
 kth score. Results of the tasks meet in one window of k rows a task for each query.
 
@@ -10,8 +11,9 @@ Components are whole numbers, floor(scale * x). They are multiplied as doubles w
 integers, so scores are exact as long as they fit 64 bits.
 
 Cases: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows with a null id; a query
-meets vectors of its own length only; a query id that is repeated is asked once, with its least vector; candidates of the same id as
-the query are its own row; other repeated rows are candidates each; ties go to the smaller id."""
+meets vectors of its own length only; rows that repeat an id are queries and candidates each, and a query meets all rows but its own where
+rows are told apart by a column of row numbers, else all of another id; ties go to the smaller id; an empty table gives no rows; other columns,
+whatever their names, are left alone."""
 
 from __future__ import annotations
 
@@ -27,11 +29,11 @@ from .common import require, stash
 SHARD = 4096
 BLOCK = 512
 LEAF = 64
-#: Blocks whose best are kept at a time in a task, about 200 KB each; beyond them a block's best are passed on and begun anew.
-KEPT = 256
+#: Shards whose trees a task holds at a time, of about SHARD * 16 bytes for each component.
+GROUP = 16
 
 
-def tree(x: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+def tree(x: np.ndarray, ids: np.ndarray, own: np.ndarray) -> dict[str, np.ndarray]:
     """A ball tree over the rows: nodes in breadth-first order, node i with children 2i + 1 and 2i + 2, and the rows in order."""
     depth = max(0, int(np.ceil(np.log2(max(1, len(x)) / LEAF))))
     order = np.arange(len(x))
@@ -58,14 +60,14 @@ def tree(x: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
             least.append(ids[order[a:b]].min() if b > a else np.iinfo(np.int64).max)
             starts.append(a)
             ends.append(b)
-    return {"x": x[order], "ids": ids[order], "centre": np.array(centres), "radius": np.array(radii), "least": np.array(least), "start": np.array(starts), "end": np.array(ends), "depth": np.array(depth)}
+    return {"x": x[order], "ids": ids[order], "own": own[order], "centre": np.array(centres), "radius": np.array(radii), "least": np.array(least), "start": np.array(starts), "end": np.array(ends), "depth": np.array(depth)}
 
 
 class Best:
     """The k best (score, id) of each query of a block so far."""
 
-    def __init__(self, q: np.ndarray, ids: np.ndarray, k: int) -> None:
-        self.q, self.ids, self.k = q, ids, k
+    def __init__(self, q: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> None:
+        self.q, self.ids, self.own, self.k = q, ids, own, k
         self.f = q.astype(np.float64)
         self.norm = np.sqrt(np.square(self.f).sum(1))
         self.score = np.full((len(q), k), np.iinfo(np.int64).min)
@@ -77,10 +79,10 @@ class Best:
         slack = 1e-9 * np.abs(bound) + 1e-6
         return (bound + slack > kth) & ((bound - slack > kth) | (least < self.of[:, -1]) | (bound + slack >= kth + 1))
 
-    def offer(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    def offer(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """score: rows x candidates."""
         kth, last = self.score[rows, -1][:, None], self.of[rows, -1][:, None]
-        gain = ((score > kth) | ((score == kth) & (ids[None] < last))) & (ids[None] != self.ids[rows][:, None])
+        gain = ((score > kth) | ((score == kth) & (ids[None] < last))) & (own[None] != self.own[rows][:, None])
         hit, which = np.nonzero(gain)
         if not len(hit):
             return
@@ -115,26 +117,31 @@ class Best:
                 continue
             a, b = int(t["start"][i]), int(t["end"][i])
             score = (self.f[rows] @ x[a:b].T).astype(np.int64) if exact else self.q[rows] @ x[a:b].T
-            self.offer(rows, score, t["ids"][a:b])
+            self.offer(rows, score, t["ids"][a:b], t["own"][a:b])
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         full = self.of != np.iinfo(np.int64).max
-        return np.repeat(self.ids, full.sum(1)), self.of[full], self.score[full]
+        n = full.sum(1)
+        return np.repeat(self.ids, n), np.repeat(self.own, n), self.of[full], self.score[full]
+
+    def promise(self, t: dict[str, np.ndarray]) -> float:
+        """How much a tree's root promises to the block's queries on the whole."""
+        return float((self.f @ t["centre"][0] + self.norm * t["radius"][0]).mean())
 
 
 def _packed(df: DataFrame, size: int, scale: float) -> DataFrame:
-    """Rows (id, vector) of each partition packed into blocks of at most `size` of one length: dim, n, ids, x (64-bit whole numbers)."""
+    """Rows (id, own, vector) of each partition packed into blocks of at most `size` of one length: dim, ids, own, x (64-bit whole numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
         def block(dim: int, n: int) -> pa.RecordBatch:
-            ids, x = (np.concatenate([h[k] for h in held[dim]]) for k in (0, 1))
-            held[dim] = [(ids[n:], x[n:])]
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [ids[:n].tobytes()], "x": [x[:n].tobytes()]})
+            ids, own, x = (np.concatenate([h[k] for h in held[dim]]) for k in (0, 1, 2))
+            held[dim] = [(ids[n:], own[n:], x[n:])]
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [ids[:n].tobytes()], "own": [own[:n].tobytes()], "x": [x[:n].tobytes()]})
 
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            ids, own, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
             sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
             flat = np.floor(scale * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
             if len(flat) and np.abs(flat).max() >= 2.0**62:
@@ -143,14 +150,14 @@ def _packed(df: DataFrame, size: int, scale: float) -> DataFrame:
             for dim in np.unique(sizes).tolist():
                 of = np.flatnonzero(sizes == dim)
                 x = flat[(ends[of] - dim)[:, None] + np.arange(dim)].astype(np.int64)
-                held.setdefault(dim, []).append((ids[of], x))
+                held.setdefault(dim, []).append((ids[of], own[of], x))
                 while sum(len(h[0]) for h in held[dim]) >= size:
                     yield block(dim, size)
         for dim in held:
             if sum(len(h[0]) for h in held[dim]):
                 yield block(dim, size)
 
-    return df.mapInArrow(run, "dim int, ids binary, x binary")
+    return df.mapInArrow(run, "dim int, ids binary, own binary, x binary")
 
 
 def valid(vector: Column) -> Column:
@@ -158,55 +165,53 @@ def valid(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", vector: str = "embedding", groups: int | None = None) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", vector: str = "embedding", row: str | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k candidates of largest inner product with each query.
 
-    groups: how many groups the shards are dealt into; each meets every block of queries in one task, sharing kth scores."""
-    clean = lambda df: require(df, vec_id, vector).toDF("vec_id", "v").where(F.col("vec_id").isNotNull() & valid(F.col("v"))).select(F.col("vec_id").cast("long").alias("vec_id"), "v")
+    row: a column that tells rows apart, the same in both tables; without it a row is told by its id."""
+    own = F.col(f"`{row or vec_id}`").cast("long")
+    clean = lambda df: df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), own.alias("own"), F.col(f"`{vector}`").alias("v")).where(F.col("vec_id").isNotNull() & F.col("own").isNotNull() & valid(F.col("v")))
     spark = candidates.sparkSession
-    groups = groups or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = clean(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = stash(_packed(asked.repartition(4, "vec_id"), BLOCK, scale), "query-blocks").withColumn("block", F.xxhash64("ids"))
-    shards = _packed(clean(candidates), SHARD, scale).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).withColumnRenamed("ids", "c_ids").withColumnRenamed("x", "c_x")
-    asks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    parallel = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = stash(_packed(clean(candidates), SHARD, scale), "shards")
+    n = shards.count()
+    groups = max(min(n, parallel), -(-n // GROUP), 1)
+    placed = shards.withColumn("part", F.pmod(F.xxhash64("own"), F.lit(groups)).cast("int")).withColumn("kind", F.lit(0))
+    blocks = _packed(clean(queries).repartition(parallel, "own"), BLOCK, scale)
+    asks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("kind", F.lit(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, Best] = {}
-        trees: dict[tuple[int, int], dict[str, np.ndarray]] = {}
-
-        def out(b: Best) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in b.rows()], ["query_id", "vec_id", "score"])
-
+        part, trees = None, {}
         for batch in batches:
-            for dim, ids, x, block, c_ids, c_x in zip(*(batch.column(c) for c in ("dim", "ids", "x", "block", "c_ids", "c_x")), strict=True):
-                dim, block, raw = dim.as_py(), block.as_py(), c_ids.as_py()
-                key = (dim, hash(raw))
-                if key not in trees:
-                    if len(trees) >= 8:
-                        trees.pop(next(iter(trees)))
-                    trees[key] = tree(np.frombuffer(c_x.as_py(), np.int64).reshape(-1, dim), np.frombuffer(raw, np.int64))
-                if block not in best:
-                    if len(best) >= KEPT:
-                        yield out(best.pop(next(iter(best))))
-                    best[block] = Best(np.frombuffer(x.as_py(), np.int64).reshape(-1, dim), np.frombuffer(ids.as_py(), np.int64), k)
-                best[block].search(trees[key])
-        for b in best.values():
-            yield out(b)
-
-    found = shards.join(asks.hint("shuffle_hash"), ["part", "dim"]).select("dim", "ids", "x", "block", "c_ids", "c_x").mapInArrow(run, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+            for at, kind, dim, *blobs in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "dim", "ids", "own", "x")), strict=True):
+                if at != part:
+                    part, trees = at, {}
+                ids, own_, x = (np.frombuffer(v, np.int64) for v in blobs)
+                if kind == 0:
+                    trees.setdefault(dim, []).append(tree(x.reshape(-1, dim), ids, own_))
+                    continue
+                best = Best(x.reshape(-1, dim), ids, own_, k)
+                for t in sorted(trees.get(dim, []), key=best.promise, reverse=True):
+                    best.search(t)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in best.rows()], ["query_id", "query", "vec_id", "score"])
+
+    # a group's shards come before the blocks, so a task builds its trees first
+    dealt = placed.unionByName(asks).repartition(groups, "part").sortWithinPartitions("part", "kind")
+    found = dealt.mapInArrow(run, "query_id long, query long, vec_id long, score long")
+    w = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return search(rows.where(F.col("vec_id") % 20 == 0), rows)
+    rows = require(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding").withColumn("row", F.monotonically_increasing_id())
+    rows = stash(rows, "rows")  # where a row's number is the same for both sides
+    return search(rows.where(F.col("vec_id") % 20 == 0), rows, row="row")
 
 
 ORACLE = """
-    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
-          FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
-    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM s)
+    s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
+          FROM e q JOIN e c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, jaccard, language, licenses, neighbours, packing, secrets, suffix_tree, token_files, topk
-from graphloom.llm.common import crc_remainder, scratch
+from graphloom.llm.common import crc_remainder, scratch, stash
 from graphloom.llm.components import components
 from graphloom.llm.tokens import UnitEncoder, vocabulary
 from tests.compare import same
@@ -102,14 +102,15 @@ def test_op1_secrets_within_runs():
 def test_op2(spark):
     rng = np.random.default_rng(3)
     v = np.round(rng.standard_normal((700, 6)), 1)
-    rows = [(i, v[i % 650].tolist()) for i in range(700)] + [(701, None), (702, [float("nan")] * 6), (703, [1.0, None] * 3), (704, []), (None, v[0].tolist()), (5, v[5].tolist()), (705, [1.0, 2.0]), (720, [3.0, 4.0])]
+    rows = [(i, v[i % 650].tolist()) for i in range(700)] + [(701, None), (702, [float("nan")] * 6), (703, [1.0, None] * 3), (704, []), (None, v[0].tolist()), (5, v[5].tolist()), (40, v[40].tolist()), (40, v[41].tolist()), (705, [1.0, 2.0]), (720, [3.0, 4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"x": F.lit(1), "dim": F.lit(2), "ids": F.lit("a")})
-    got = counted(topk.search(df.where("vec_id % 20 = 0"), df, 20))
+    df = stash(df.withColumn("own", F.monotonically_increasing_id()), "rows")
+    got = counted(topk.search(df.where("vec_id % 20 = 0"), df, 20, row="own"))
     ok = [(i, [math.floor(64 * x) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
     want = Counter()
-    for q, a in ok:
+    for own, (q, a) in enumerate(ok):
         if q % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))[:20]
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for j, (i, b) in enumerate(ok) if j != own and len(a) == len(b))[:20]
             want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
     assert got == want
     assert topk.search(df.limit(0), df).count() == topk.search(df, df.limit(0)).count() == 0
@@ -123,6 +124,21 @@ def test_op3(docs, spark, tables):
     same(licenses.op3(spark, tables), licenses.oracle(), tables)
 
 
+def test_op3_notices_within_a_line(spark):
+    mit = dict(licenses.LICENSES[:1])["MIT"]
+    texts = ["Copyright (c) 2021 Jane Person. " + mit, "Copyright 2021 " + "some words of an ordinary text " * 9, "Copyright 2021 " + "other words of an ordinary text " * 9, "Copyright 2021 Jane Person\n" + mit, "(c) 2020 X Released under the MIT License."]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["MIT", None, None, "MIT", "MIT"] and len({r.text_digest for r in got[:3]}) == 3
+
+
+def test_op4_letters(docs):
+    net = language.fit(docs, crc_remainder("doc_id", 4) != 2)
+    import pyarrow as pa
+
+    lang, _ = language.predict_batch(net, pa.array(["½ ② ² 12", "①", "ß", None, "", "字"]))
+    assert [x == "und" for x in lang] == [True, True, False, True, True, False]
+
+
 def test_op3_standard_texts(spark):
     """Whole standard texts, as they are, rewrapped and without appendix, and lists marked in other ways."""
     known = licenses.known_texts()
