@@ -50,6 +50,7 @@ def completions(rem: np.ndarray, largest: int, capacity: int, most_waste: int) -
         have[largest] -= 1
     lengths = np.flatnonzero(have)[::-1].tolist()
     number = {a: int(have[a]) for a in lengths}
+    there = sum(1 << a for a in lengths)
     below = (1 << (rest + 1)) - 1
     reach = [1] * (len(lengths) + 1)  # bit s of reach[i]: pieces of lengths[i:] can sum to s
     for i in range(len(lengths) - 1, -1, -1):
@@ -73,19 +74,19 @@ def completions(rem: np.ndarray, largest: int, capacity: int, most_waste: int) -
 
     for waste in range(rest - reach[0].bit_length() + 1, min(most_waste, rest) + 1):
         for filling in fill(0, rest - waste) if reach[0] >> (rest - waste) & 1 else ():
-            if not dominated(filling, waste, number):
+            if not dominated(filling, waste, number, there):
                 rest_of = dict(filling)
                 yield waste, tuple(sorted((rest_of | {largest: rest_of.get(largest, 0) + 1}).items(), reverse=True))
 
 
-def dominated(filling: Filling, waste: int, number: dict[int, int]) -> bool:
+def dominated(filling: Filling, waste: int, number: dict[int, int], there: int) -> bool:
     """Whether a piece that is left out can take the place of some of the filling's pieces, or of none, and of some of the waste.
 
     The exchanged filling is no worse: what it sets free fits wherever that piece would lie."""
-    used = dict(filling)
-    left_out = sum(1 << a for a, n in number.items() if n > used.get(a, 0))
-    one, several = 1, 0  # sums of no piece or one, of two or more
+    one, several, left_out = 1, 0, there  # sums of no piece or one, of two or more; lengths of which a piece is left out
     for a, n in filling:
+        if n == number[a]:
+            left_out ^= 1 << a
         for _ in range(n):
             several |= (several | one & ~1) << a
             one |= 1 << a
@@ -173,7 +174,7 @@ def branch(counts: np.ndarray, capacity: int, most: int, steps: int) -> tuple[li
     return None, True
 
 
-def solve(counts: np.ndarray, capacity: int, steps: int = 4000, rounds: int = 200, seed: int = 0) -> list[tuple[Filling, int]]:
+def solve(counts: np.ndarray, capacity: int, steps: int = 4000, rounds: int = 40, seed: int = 0) -> list[tuple[Filling, int]]:
     """(filling, repeats) that use up counts[length] pieces of each length 1..capacity.
 
     The first incumbent is best-fit's. Each search asks for one sequence less than the incumbent has, until least_bins is reached or
@@ -191,41 +192,45 @@ def solve(counts: np.ndarray, capacity: int, steps: int = 4000, rounds: int = 20
         return best
     if ended:
         return best
-    rng, held = np.random.default_rng(seed), Counter()
+    rng = np.random.default_rng(seed)
+    waste = lambda f: capacity - sum(a * m for a, m in f)
+    held: Counter[Filling] = Counter()
     for filling, k in best:
         held[filling] += k
-    waste = lambda f: capacity - sum(a * m for a, m in f)
-    tries = 0
-    while n > least and tries < rounds:
-        tries += 1
-        fillings = sorted(held)
-        wasteful = sorted((f for f in fillings if waste(f)), key=lambda f: (-waste(f) * rng.uniform(0.5, 1), f))
+    fillings, wasteful = list(held), {f: waste(f) for f in held if waste(f)}  # of fillings that are used up, some stay listed
+    vain = 0
+    while n > least and vain < rounds:
+        vain += 1
         part: Counter[Filling] = Counter()
-        room = 0
-        for f in wasteful:
-            if room >= capacity + (tries % 4) * capacity // 4:
+        room, enough = 0, capacity + vain % 4 * capacity // 4
+        for f in sorted(wasteful, key=lambda f: (-wasteful[f] * rng.uniform(0.5, 1), f)):
+            part[f] = min(held[f], -(-(enough - room) // wasteful[f]))
+            room += part[f] * wasteful[f]
+            if room >= enough:
                 break
-            part[f] = min(held[f], -(-capacity // waste(f)))
-            room += part[f] * waste(f)
         if room < capacity:
             break  # what is wasted doesn't make a sequence
         for i in rng.choice(len(fillings), min(len(fillings), int(rng.integers(2, 40))), replace=False):
             f = fillings[i]
-            part[f] = min(held[f], part[f] + 1)
+            if held[f] > part[f]:
+                part[f] += 1
         pieces = np.zeros_like(counts)
-        for f, k in part.items():
-            for a, m in f:
-                pieces[a] += m * k
+        for f, m in part.items():
+            for a, times in f:
+                pieces[a] += times * m
         found, _ = branch(pieces, capacity, sum(part.values()) - 1, steps // 10)
-        if found is not None:
-            k = min(held[f] // m for f, m in part.items())
-            for f, m in part.items():
-                held[f] -= m * k
-            for f, m in found:
-                held[f] += m * k
-            held += Counter()  # drops what is used up
-            n, tries = sum(held.values()), 0
-    return sorted(held.items(), reverse=True)
+        if found is None:
+            continue
+        k = min(held[f] // m for f, m in part.items() if m)
+        for f, m in part.items():
+            held[f] -= m * k
+        for f, m in found:
+            if f not in held:
+                fillings.append(f)
+            held[f] += m * k
+        wasteful = {f: waste(f) for f in {*wasteful, *(f for f, _ in found)} if held[f] and waste(f)}
+        n, vain = n - k, 0
+    return sorted((+held).items(), reverse=True)
 
 
 def places(solution: list[tuple[Filling, int]]) -> dict[int, np.ndarray]:

@@ -23,7 +23,7 @@ ODD = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2
 #: library's BPE model takes them without the library's normaliser and pre-tokenizer.
 PLAIN = re.compile(r"([ \n]?)([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Units kept, about 200 bytes each.
-CACHE = 150_000
+CACHE = 200_000
 
 
 def vocabulary(name: str) -> str:
