@@ -5,8 +5,9 @@ rotated by a fixed random rotation and split into blocks of few dimensions. If t
 proportional shares of that budget, the whole would exceed it; so linked vectors are within the share in one block at least.
 
 Each block is a range join over a grid on its first dimensions, its cells twice as wide as the radius: a vector is at home in its cell
-and a guest in those lower neighbours that it is near enough to. A pair is met in exactly one cell of each block in which it is in range;
-it is verified in double precision, and counted by the first block that has it in range only. So the union of the
+and a guest in those lower neighbours that it is near enough to. A pair is met in exactly one cell of each block in which it is in range.
+The join has two passes. The first moves a block's few components alone, and tells which vectors have a partner in range in which cells. The second moves
+whole vectors to those cells only: a pair is verified in double precision, and counted by the first block that has it in range only. So the union of the
 candidates needs no list of pairs: a cell gives the links of each vector, summed, and a forest that joins its components.
 
 Equal vectors of a label become one before the join, with their number. Cells of more than CELL rows are split into chunks, and each
@@ -14,7 +15,8 @@ pair of chunks is a task of its own, so no group is gathered whole.
 
 Cases: vectors that are null, empty, zero or hold a null or non-finite component, rows without a label and rows without an id link with
 nothing (component: their own id); vectors of different lengths don't link; rows that repeat an id are vectors of their own, with the
-same component."""
+same component; vectors at the threshold, and ties of any kind, are compared alike; an empty table gives no rows; other columns, whatever their
+names, are left alone."""
 
 from __future__ import annotations
 
@@ -28,16 +30,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import require, stash
+from .common import drop_stash, require, stash, tidy
 from .components import components
 from .topk import valid
 
-BLOCK_DIMS = 8
+BLOCK_DIMS = 16
 CELL = 4096
 SLACK = 1e-9
+ROUGH = 1e-5  #: what 4-byte components may be wrong by in a squared distance
 BATCH = 16_384  #: candidates verified at a time
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors divided by powers of 2, which is exact, so that their largest components are near 1."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
 class Space:
     """The rotation, the blocks and their budgets for vectors of one length."""
 
@@ -54,6 +62,7 @@ class Space:
         self.threshold = threshold
 
     def unit(self, v: np.ndarray) -> np.ndarray:
+        v = scaled(v)
         return v / np.sqrt(np.square(v).sum(1, keepdims=True))
 
     def in_range(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -93,6 +102,18 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray) -> None:
             root[:] = root[root]
 
 
+def active(space: Space, block: int, s: np.ndarray, home: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """Which rows of a cell, or of a pair of its chunks, have a partner in range by the block's components."""
+    sq, out, rows = np.square(s).sum(1), np.zeros(len(s), bool), np.arange(len(s))
+    for a in range(0, len(s), 512):
+        left = rows[a : a + 512]
+        near = (sq[left][:, None] + sq[None] - 2 * (s[left] @ s.T) <= space.budget[block] + ROUGH) & (left[:, None] != rows[None]) & (home[left][:, None] | home[None])
+        if side is not None:
+            near &= side[left][:, None] != side[None]
+        out[left] |= near.any(1)
+    return out
+
+
 def cell_links(space: Space, block: int, v: np.ndarray, ids: np.ndarray, count: np.ndarray, home: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """One cell, or one pair of its chunks (side: 0 or 1): links of each row, and each row's root among the rows."""
     norm = np.sqrt(np.square(v).sum(1))
@@ -124,16 +145,16 @@ def cell_links(space: Space, block: int, v: np.ndarray, ids: np.ndarray, count:
 
 def join(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row; links join vectors of one label whose cosine is at least the threshold."""
-    spark = rows.sparkSession
-    element = getattr(rows.schema[vector].dataType, "elementType", None)
-    stored = np.dtype(np.float32 if isinstance(element, FloatType) else np.float64)  # cells carry vectors as their column holds them
     all_ = require(rows, vec_id, vector, label).toDF("vec_id", "v", "label").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    takes_part = valid(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(square > 0, F.lit(False))
-    distinct = stash(all_.where(takes_part).groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")), "vectors")
+    element = getattr(rows.schema[vector].dataType, "elementType", None)
+    stored = "array<float>" if isinstance(element, FloatType) else "array<double>"  # cells carry vectors as their column holds them
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    takes_part = valid(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(most > 0, F.lit(False))
+    distinct = all_.where(takes_part).groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
+    distinct = stash(distinct.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = max(1, distinct.count())
     # cells get about a quarter fewer rows with each dimension of the grid; a finer grid than the rows need only costs guests
-    grid = int(np.clip(np.ceil(np.log(n / CELL) / np.log(4)) + 1, 2, 5))
+    grid = int(np.clip(np.ceil(np.log(n / CELL) / np.log(4)) + 1, 2, 6))
     spaces: dict[int, Space] = {}
 
     def space(dim: int) -> Space:
@@ -143,39 +164,54 @@ def join(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vecto
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label_, vectors, ids, m = batch.columns
+            label_, vectors, row = batch.columns
             sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
             flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
             for dim in np.unique(sizes).tolist():
-                of = np.flatnonzero(sizes == dim)
+                of, sp = np.flatnonzero(sizes == dim), space(dim)
                 for k in range(0, len(of), 2048):
                     part = of[k : k + 2048]
-                    v = flat[(ends[part] - dim)[:, None] + np.arange(dim)]
-                    raw = [x.tobytes() for x in v.astype(stored)]
-                    for b, at, cell, home in space(dim).cells(space(dim).unit(v) @ space(dim).rotation):
+                    u = sp.unit(flat[(ends[part] - dim)[:, None] + np.arange(dim)]) @ sp.rotation
+                    for b, at, cell, home in sp.cells(u):
                         take = pa.array(part[at])
-                        yield pa.RecordBatch.from_arrays([label_.take(take), pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), b, np.int32)), pa.array(cell, pa.int64()), pa.array(np.full(len(at), home)), ids.take(take), m.take(take), pa.array([raw[i] for i in at], pa.binary())], ["label", "dim", "block", "cell", "home", "id", "m", "x"])
+                        x = np.ascontiguousarray(u[at, sp.starts[b] : sp.cuts[b]], np.float32)
+                        yield pa.RecordBatch.from_arrays([label_.take(take), pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), b, np.int32)), pa.array(cell, pa.int64()), pa.array(np.full(len(at), home)), row.take(take), pa.array([y.tobytes() for y in x], pa.binary())], [*key, "home", "row", "x"])
 
     key = ["label", "dim", "block", "cell"]
-    dealt = stash(distinct.select("label", "v", "id", "m").repartition("id").mapInArrow(deal, "label string, dim int, block int, cell long, home boolean, id long, m long, x binary"), "cells")
-    large = dealt.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > CELL).withColumn("chunks", F.ceil(F.col("rows") / CELL).cast("int")).drop("rows")
-    chunk = F.pmod(F.xxhash64("id", F.lit(5)), F.col("chunks").cast("long")).cast("int")
-    split = dealt.join(large, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", chunk)
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+
+    def chunked(cells: DataFrame) -> DataFrame:
+        """Cells of more than CELL rows as pairs (i, j) of chunks; every row comes to all pairs of its chunk."""
+        large = cells.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > CELL).withColumn("chunks", F.ceil(F.col("rows") / CELL).cast("int")).drop("rows")
+        split = cells.join(large, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(5)), F.col("chunks").cast("long")).cast("int"))
+        return split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+
+    def side_of(group: pd.DataFrame) -> np.ndarray | None:
+        first = group.iloc[0]
+        return None if first["i"] == first["j"] else (group["chunk"] == first["j"]).to_numpy()
+
+    def active_of(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[0]
+        x = np.frombuffer(b"".join(group["x"]), np.float32).reshape(len(group), -1).astype(np.float64)
+        return group.loc[active(space(int(first["dim"])), int(first["block"]), x, group["home"].to_numpy(), side_of(group)), [*key, "home", "row"]]
+
+    dealt = stash(distinct.select("label", "v", "row").repartition("row").mapInArrow(tidy(deal), "label string, dim int, block int, cell long, home boolean, row long, x binary"), "cells")
+    near = chunked(dealt).groupBy(*key, "i", "j").applyInPandas(active_of, "label string, dim int, block int, cell long, home boolean, row long")
+    near = stash(near.distinct(), "active")
+    drop_stash(rows.sparkSession, dealt)
+    split = chunked(near.join(distinct.select("row", "id", "m", F.col("v").cast(stored).alias("v")), "row"))
 
     def links_of(group: pd.DataFrame) -> pd.DataFrame:
         first = group.iloc[0]
-        v = np.frombuffer(b"".join(group["x"]), stored).reshape(len(group), -1).astype(np.float64)
+        v = scaled(np.stack(group["v"].to_list()).astype(np.float64))
         ids, home, m = group["id"].to_numpy(), group["home"].to_numpy(), group["m"].to_numpy()
-        side = None if first["i"] == first["j"] else (group["chunk"] == first["j"]).to_numpy()
-        links, root = cell_links(space(int(first["dim"])), int(first["block"]), v, ids, m, home, side)
+        links, root = cell_links(space(int(first["dim"])), int(first["block"]), v, ids, m, home, side_of(group))
         some, joined = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"kind": np.concatenate([np.zeros(len(some), np.int32), np.ones(len(joined), np.int32)]), "a": np.concatenate([ids[some], ids[joined]]), "b": np.concatenate([links[some], ids[root[joined]]])})
+        return pd.DataFrame({"kind": np.concatenate([np.zeros(len(some), np.int32), np.ones(len(joined), np.int32)]), "a": np.concatenate([group["row"].to_numpy()[some], ids[joined]]), "b": np.concatenate([links[some], ids[root[joined]]])})
 
     met = stash(split.groupBy(*key, "i", "j").applyInPandas(links_of, "kind int, a long, b long"), "vector-links")
-    number = met.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
+    number = met.where("kind = 0").groupBy(F.col("a").alias("row")).agg(F.sum("b").alias("links"))
     classes = components(met.where("kind = 1").select("a", "b"))
-    known = distinct.join(number, "id", "left").join(classes, "id", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = distinct.join(number, "row", "left").join(classes, "id", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     whole = all_.where(takes_part).join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = all_.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return whole.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -5,7 +5,8 @@ many tokens for its characters is random, so it is reported, unless it is a dige
 number. What the known patterns and these leave of a run is judged as a whole, and, where that is efficient, by its inefficient
 stretches, so that a random string glued to ordinary text is found.
 
-Cases: a null or empty text has no spans (the digest of the empty string); repeated rows are scanned each; other columns are left alone."""
+Cases: a null or empty text has no spans (the digest of the empty string); a very long text is scanned whole; repeated rows are scanned each; spans
+that begin at one place come in the order of kinds; an empty table gives no rows; other columns, whatever their names, are left alone."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 #: Hexadecimal digits of common digests: 128, 160, 224, 256, 384 and 512 bits.
@@ -33,8 +34,9 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 #: Digests, UUIDs and long numbers that stand by themselves within a run.
 KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern}|[0-9]{{8,}}|" + "|".join(f"[0-9a-fA-F]{{{n}}}" for n in sorted(DIGESTS)) + r")(?![A-Za-z0-9])")
 PART = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
-#: Characters of the shortest run or stretch that is judged.
-LEAST = 20
+#: Characters of the shortest run or stretch that is judged. Below LONG the ratio says less, so it must be lower: of ordinary strings
+#: of 16 to 19 characters some come near 1.75.
+LEAST, LONG, SHORT_RATIO = 16, 20, 1.6
 #: Longer runs are judged by pieces of so many characters, as the cost of encoding one run is not linear.
 PIECE = 4096
 
@@ -79,7 +81,12 @@ def base_spans(text: str) -> list[Span]:
 
 def ordinary(s: str) -> bool:
     """Known digests, identifiers and numbers, which look random but give nothing away."""
-    return bool(UUID.fullmatch(s) or HEXADECIMAL.fullmatch(s) and len(s) in DIGESTS) or not any(c.isalpha() for c in s)
+    return bool(UUID.fullmatch(s) or HEXADECIMAL.fullmatch(s) and (len(s) in DIGESTS or len(s) < LONG)) or not any(c.isalpha() for c in s)
+
+
+def limit(n: int, max_ratio: float) -> float:
+    """The ratio below which a string of n characters is random."""
+    return max_ratio if n >= LONG else min(SHORT_RATIO, max_ratio)
 
 
 def inefficient(lengths: list[int], max_ratio: float) -> list[tuple[int, int]]:
@@ -110,7 +117,7 @@ def inefficient(lengths: list[int], max_ratio: float) -> list[tuple[int, int]]:
 def random_stretches(s: str, efficiency: TokenEfficiency, max_ratio: float) -> list[tuple[int, int]]:
     """The inefficient part of a run: all of it, or its inefficient stretches, each with all of the parts between marks that it touches."""
     lengths = efficiency.lengths(s)
-    if len(s) < max_ratio * len(lengths):
+    if len(s) < limit(len(s), max_ratio) * len(lengths):
         return [] if ordinary(s) else [(0, len(s))]
     out: list[tuple[int, int]] = []
     parts, k = None, 0
@@ -123,7 +130,7 @@ def random_stretches(s: str, efficiency: TokenEfficiency, max_ratio: float) -> l
         while parts[j][1] < b:
             j += 1
         x, y = parts[k][0], parts[j][1]
-        if y - x >= LEAST and not ordinary(s[x:y]) and (b - a >= LEAST or efficiency(s[x:y]) < max_ratio):
+        if y - x >= LEAST and not ordinary(s[x:y]) and (b - a >= LONG or efficiency(s[x:y]) < limit(y - x, max_ratio)):
             if out and x < out[-1][1]:
                 x = out.pop()[0]
             out.append((x, y))

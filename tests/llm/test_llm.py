@@ -86,6 +86,68 @@ def test_op1_secrets_of_letters():
     assert found_secrets(names) == [[]] * len(names)
 
 
+def test_op1_shorter_secrets():
+    rng = random.Random(15)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (16, 17, 18, 19) for _ in range(100)]
+    assert sum(x == [k] for k, x in zip(keys, found_secrets([f"the {k} end" for k in keys]), strict=True)) > 0.9 * len(keys)
+    assert found_secrets(["internationalise", "configuration_file", "0123456789abcdef", "1234567890123456", "einpfauaueinchpf", "denschpfgekeit"]) == [[]] * 6
+
+
+def plain_base(text):
+    """The three kinds by a scan from place to place, without the operator's patterns."""
+    out, low = [], "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value, i = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), 0
+    while i < len(text):
+        j = i
+        for key in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if low.startswith(key, i):
+                for quoted in ((True, False) if text[i + len(key) : i + len(key) + 1] in ('"', "'") and len(text) > i + len(key) else (False,)):
+                    at = i + len(key) + quoted
+                    while text[at : at + 1] == " ":
+                        at += 1
+                    if text[at : at + 1] not in (":", "=") or at >= len(text):
+                        continue
+                    at += 1
+                    while text[at : at + 1] == " ":
+                        at += 1
+                    at += text[at : at + 1] in ('"', "'") and at < len(text)
+                    end = at
+                    while end < len(text) and text[end] in value:
+                        end += 1
+                    if end > at:
+                        if end - at >= 8:
+                            out.append((i, "assign", end))
+                        j = end
+                        break
+                break
+        i = max(j, i + 1)
+    for kind, least, start, letters in (("access", 16, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")), ("hex", 32, "", set("0123456789abcdef"))):
+        i = 0
+        while i < len(text):
+            if text.startswith(start, i) and text[i] in letters and len(text) > i + len(start):
+                end = i + len(start)
+                while end < len(text) and text[end] in letters:
+                    end += 1
+                if end > i + len(start):
+                    if end - i >= least:
+                        out.append((i, kind, end))
+                    i = end
+                    continue
+            i += 1
+    order = {"assign": 0, "access": 1, "hex": 2}
+    return sorted(out, key=lambda x: (x[0], order[x[1]]))
+
+
+def test_op1_base_by_plain_scan(spark, tables):
+    rng = random.Random(16)
+    bits = ["password", "Token", "api_key", "apikey", "secret", '"', "'", " ", " ", ":", "=", "abc", "x9/", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", "deadbeef", "é", "\n", "."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    texts += [r.text for r in spark.read.parquet(f"{tables}/documents.parquet").select("text").collect() if r.text]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in plain_base(t)).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r.doc_id: r.base_sha256 for r in secrets.scan(df).collect()} == want
+
+
 def test_op1_secrets_within_runs():
     rng = random.Random(5)
     key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
@@ -178,8 +240,9 @@ def test_op5(spark, tables, cell, monkeypatch):
     base = rng.standard_normal((10, 16))
     v = np.concatenate([base[i % 10] + rng.standard_normal(16) * 0.18 for i in range(80)]).reshape(80, 16)
     rows = [(i, v[i].tolist(), i % 2) for i in range(80)] + [(100 + i, v[7].tolist(), 1) for i in range(9)] + [(200, None, 1), (201, [0.0] * 16, 1), (202, v[0].tolist(), None), (203, [float("inf")] * 16, 0), (204, [1.0, 2.0], 0), (205, [1.0, 2.0], 0), (None, v[0].tolist(), 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"v": F.lit(1), "id": F.lit(2), "m": F.lit(3)})
-    ok = [(i, np.array(e), y) for i, e, y in rows if i is not None and y is not None and e and np.isfinite(e).all() and any(e)]
+    rows += [(300, (v[3] * 1e200).tolist(), 1), (301, (v[3] * 1e-200).tolist(), 1), (302, (-v[3]).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"v": F.lit(1), "id": F.lit(2), "m": F.lit(3), "row": F.lit(4)})
+    ok = [(i, np.array(e) / np.abs(e).max(), y) for i, e, y in rows if i is not None and y is not None and e and np.isfinite(e).all() and any(e)]
     links = [(a, b) for a, x, y in ok for b, z, w in ok if a < b and y == w and len(x) == len(z) and x @ z / math.sqrt((x @ x) * (z @ z)) >= 0.93]
     assert len(links) > 60
     root, n = classes([r[0] for r in rows if r[0] is not None], links), Counter(x for p in links for x in p)
