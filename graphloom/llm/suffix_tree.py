@@ -44,6 +44,7 @@ CONTEXT = 0x2545F4914F6CDD1D
 WORDS = 1 << 20
 WEIGHTS = 1 << 21
 BITS = 1 << 27
+HELD = 1 << 21  #: keys that a task counts at a time
 _hasher = WordHasher()
 
 
@@ -166,15 +167,23 @@ def _sums(rows: DataFrame, key, schema: str, least: int = 1) -> DataFrame:
     """Sums over batches of how often each of the keys occurs that key(hashes, offsets) gives as arrays of one length."""
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def summed(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        _, at, n = np.unique(columns[0] if len(columns) == 1 else combine(*columns), return_index=True, return_counts=True)
+        for i in range(0, len(at), 200_000):
+            yield pa.RecordBatch.from_arrays([*(i64(c[at[i : i + 200_000]]) for c in columns), i64(n[i : i + 200_000])], [*names, "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = [key(h, off) for _, h, off in tokens(batch.column(0))]
-            if not parts:
-                continue
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            _, at, n = np.unique(columns[0] if len(columns) == 1 else combine(*columns), return_index=True, return_counts=True)
-            for i in range(0, len(at), 200_000):
-                yield pa.RecordBatch.from_arrays([*(i64(c[at[i : i + 200_000]]) for c in columns), i64(n[i : i + 200_000])], [*names, "n"])
+            for _, h, off in tokens(batch.column(0)):
+                parts.append(key(h, off))
+                held += len(parts[-1][0])
+                if held >= HELD:  # what a task holds, whatever its batches
+                    yield from summed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from summed(parts)
 
     sums = rows.mapInArrow(tidy(run), schema + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
     return sums.where(F.col("n") >= least) if least > 1 else sums
