@@ -57,7 +57,7 @@ def cross_project_links(symbols: DataFrame, most: int = 20) -> DataFrame:
     """Symbols (id, label, lang, project_id, importance) of one name in different projects; the most important of a project stands for it.
 
     A symbol without a language fits any. Names that more than `most` projects have link nothing; they are counted first and kept out of the join."""
-    best = symbols.groupBy("project_id", "label", "lang").agg(F.max_by("id", F.struct("importance", "id")).alias("id"))
+    best = symbols.groupBy("project_id", "label", "lang").agg(F.min_by("id", F.struct(-F.col("importance"), "id")).alias("id"))
     few = best.groupBy("label").agg(F.count_distinct("project_id").alias("projects")).where((F.col("projects") > 1) & (F.col("projects") <= most)).select("label")
     best = best.join(few, "label")
     a, b = best.alias("a"), best.alias("b")

@@ -662,8 +662,101 @@ def session_windows(spark, sf_dir):
     return access.sessions(V.access_log(spark, sf_dir)).withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
-@query()
-def chunk_text(spark, sf_dir):
+def turn_texts(spark: SparkSession, sf_dir: str, part, kind: str, joint: str, before=None) -> DataFrame:
+    """A document for each conversation: what `part` makes of its turns, in their order."""
+    c = V.table(spark, sf_dir, "conversations").withColumn("flat", F.translate("text", "\n", " "))
+    parts = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("part")))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda x: x["part"]), joint)
+    return parts.select(F.col("conv_id").cast("string").alias("id"), F.lit(kind).alias("node_type"), (F.concat(before, text) if before is not None else text).alias("content"))
+
+
+def chunked(docs: DataFrame, most: int = 4096) -> DataFrame:
     from ..operators import ingest
 
-    return ingest.chunk_documents(V.n_docs(spark, sf_dir).select("id", "node_type", F.col("content")))
+    return ingest.chunk_documents(docs, most).withColumn("heading_path", F.array_join("heading_path", " > "))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, role, replace(text, chr(10), ' ') || ' ' || repeat('x', 101) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+    SELECT conv_id || '/chunk/' || k AS id, conv_id::VARCHAR AS parent_node_id, k::INTEGER AS chunk_index, 'markdown_section' AS chunk_type, 'Conversation ' || conv_id || ' > Turn ' || turn || ' ' || role AS heading_path, CASE WHEN k = 0 THEN '# Conversation ' || conv_id || chr(10) ELSE '' END || '## Turn ' || turn || ' ' || role || chr(10) || body AS content FROM c""")
+def chunk_text(spark, sf_dir):
+    """Conversations as markdown, cut at their headings; the title is too short for a chunk of its own."""
+    turn = F.concat(F.lit("## Turn "), F.col("turn").cast("string"), F.lit(" "), "role", F.lit("\n"), "flat", F.lit(" " + "x" * 101))
+    return chunked(turn_texts(spark, sf_dir, turn, "generic-doc", "\n", F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n"))))
+
+
+@query(r"""WITH c AS (SELECT conv_id, rpad(substr(replace(text, chr(10), ' '), 1, 149), 149, 'x') AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+    g AS (SELECT conv_id, CASE WHEN n < 3 THEN 0 ELSE i // 2 END AS k, any_value(n) AS n, string_agg(p, chr(10) || chr(10) ORDER BY i) AS t FROM c GROUP BY 1, 2)
+    SELECT conv_id || '/chunk/' || k AS id, conv_id::VARCHAR AS parent_node_id, k::INTEGER AS chunk_index, 'markdown_section' AS chunk_type, '' AS heading_path, t || CASE WHEN n >= 3 AND k < (n - 1) // 2 THEN chr(10) ELSE '' END AS content FROM g""")
+def chunk_paragraphs(spark, sf_dir):
+    """Turns as paragraphs of 149 characters; documents over 400 are cut at the blank line after which half of that is reached."""
+    p = F.rpad(F.substring("flat", 1, 149), 149, "x")
+    return chunked(turn_texts(spark, sf_dir, p, "generic-doc", "\n\n"), 400)
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, rpad(substr(regexp_replace(text, '[^a-z]', '', 'g'), 1, 59), 59, 'x') || '.' AS s FROM conversations), d AS (SELECT conv_id, s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, r) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM c, (SELECT unnest(range(3)) AS r)),
+    g AS (SELECT conv_id, CASE WHEN n < 7 THEN 0 ELSE i // 6 END AS k, string_agg(s, ' ' ORDER BY i) AS t FROM d GROUP BY 1, 2)
+    SELECT conv_id || '/chunk/' || k AS id, conv_id::VARCHAR AS parent_node_id, k::INTEGER AS chunk_index, 'markdown_section' AS chunk_type, '' AS heading_path, t AS content FROM g WHERE length(t) >= 100""")
+def chunk_sentences(spark, sf_dir):
+    """Three sentences of 60 characters a turn on one line: six of them go into 400; rests below the least size are left out."""
+    s = F.concat(F.rpad(F.substring(F.regexp_replace("text", "[^a-z]", ""), 1, 59), 59, "x"), F.lit("."))
+    return chunked(turn_texts(spark, sf_dir, F.concat_ws(" ", s, s, s), "generic-doc", " "), 400)
+
+
+@query(r"""WITH p AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)
+    SELECT p_brand || '/chunk/0' AS id, p_brand AS parent_node_id, 0 AS chunk_index, 'code_preamble' AS chunk_type, '' AS heading_path, 'package parts' AS content FROM part GROUP BY p_brand
+    UNION ALL SELECT p_brand || '/chunk/' || k, p_brand, k::INTEGER, 'code_declaration', 'F' || p_partkey, 'func F' || p_partkey || '() int {' || chr(10) || '  return ' || p_partkey || chr(10) || '}' FROM p""")
+def chunk_code(spark, sf_dir):
+    """Brands as source files with a function for each part, cut by the lines that open a declaration."""
+    n = F.col("p_partkey").cast("string")
+    one = F.concat(F.lit("func F"), n, F.lit("() int {\n  return "), n, F.lit("\n}"))
+    files_ = V.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", one.alias("f")))).alias("fs"))
+    text = F.concat(F.lit("package parts\n"), F.array_join(F.transform("fs", lambda x: x["f"]), "\n"))
+    return chunked(files_.select(F.col("p_brand").alias("id"), F.lit("code:file").alias("node_type"), text.alias("content"), F.lit("go").alias("language")))
+
+
+@query("SELECT conv_id || '-' || turn || '/chunk/0' AS id, conv_id || '-' || turn AS parent_node_id, 0 AS chunk_index, 'conversation_fact' AS chunk_type, '' AS heading_path, text AS content FROM conversations WHERE trim(text) <> ''")
+def chunk_facts(spark, sf_dir):
+    """Turns as facts: each is one chunk, whatever its size."""
+    c = V.table(spark, sf_dir, "conversations")
+    return chunked(c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit("fact").alias("node_type"), F.col("text").alias("content")))
+
+
+@query(r"SELECT p_partkey, CASE WHEN contains(n, '.') THEN regexp_extract(n, '^(.*)\.[^.]*$', 1) ELSE n END AS before_dot, CASE WHEN contains(n, '.') THEN regexp_extract(n, '([^.]*)$', 1) ELSE '' END AS after_dot, regexp_replace(regexp_replace(n || '()', '\(\)$', ''), '^\.', '') AS label, n AS display, 'part' AS grp, length(n) AS size FROM (SELECT p_partkey, replace(p_name, ' ', '.') AS n FROM part)")
+def name_parts(spark, sf_dir):
+    """Scalar functions over the names of parts."""
+    n = V.table(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit(".")).alias("n"))
+    id_ = F.concat(F.lit("proj/part/"), F.col("n"))
+    return n.select("p_partkey", S.before_last_dot(F.col("n")).alias("before_dot"), S.after_last_dot(F.col("n")).alias("after_dot"), S.label_of(F.concat("n", F.lit("()"))).alias("label"), S.display_name(id_).alias("display"), S.group_of(id_, F.lit("proj")).alias("grp"), F.length("n").alias("size"))
+
+
+@query("SELECT n_nationkey, 'h.example/Org/' || n_name AS remote, n_name AS name, 'ssh://h.example/Org/' || n_name AS url, true AS valid, n_name AS sidecar FROM nation")
+def remotes(spark, sf_dir):
+    """Remotes in the form user@host:path, and what projects are made of them."""
+    u = F.concat(F.lit("git@H.example:Org/"), "n_name", F.lit(".git"))
+    n = V.table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", S.remote_project(u).alias("remote"), S.remote_name(u).alias("name"), S.normalise_repository(u).alias("url"), S.valid_remote(u).alias("valid"), S.sidecar_project(F.concat(F.lit("Org/"), "n_name", F.lit("::stage:main"))).alias("sidecar"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total, len(embedding) AS n, false AS bad FROM embeddings WHERE embedding IS NOT NULL")
+def stored_vectors(spark, sf_dir):
+    """Vectors through the bytes in which another store keeps them: little-endian floats of 32 bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    def bytes_of(batches):
+        for batch in batches:
+            blobs = [np.array(v, "<f4").tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["vec_id", "blob"])
+
+    kept = V.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding").mapInArrow(bytes_of, "vec_id long, blob binary")
+    v = kept.select("vec_id", S.floats_of(F.col("blob")).alias("v"))
+    return v.select("vec_id", F.round(F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.size("v").alias("n"), S.non_finite(F.col("v")).alias("bad"))
+
+
+@query(sql("turns") + ", b AS (SELECT id, regexp_extract(content, '^[^\\n]*', 0) AS content FROM turns) SELECT 'fact' AS kind, id, trim(content) <> '' AS kept FROM b WHERE trim(content) <> '' AND octet_length(encode(content)) <= 400 AND NOT regexp_matches(content, '[\"{}\\\\]') ")
+def facts_of_replies(spark, sf_dir):
+    """The first lines of turns as a model's replies in JSON; titles and contents that are too long, or hold marks of JSON, are no facts."""
+    t = V.turns(spark, sf_dir).select("id", F.regexp_extract("content", r"^[^\n]*", 0).alias("content")).where("trim(content) <> '' AND octet_length(content) <= 400").where(~F.col("content").rlike(r'["{}\\]'))
+    reply = F.concat(F.lit("Here they are: ```json\n"), F.to_json(F.array(F.struct(F.lit("other").alias("kind"), F.lit("a title").alias("title"), "content", F.lit(1.5).alias("importance")))), F.lit("\n```"))
+    facts = t.select("id", F.explode(S.parse_facts(reply)).alias("f"))
+    return facts.select("f.kind", "id", ((F.col("f.content") != "") & (F.col("f.importance") == 1.0)).alias("kept"))
