@@ -174,14 +174,14 @@ def branch(counts: np.ndarray, capacity: int, most: int, steps: int) -> tuple[li
     return None, True
 
 
-def solve(counts: np.ndarray, capacity: int, steps: int = 4000, rounds: int = 40, seed: int = 0) -> list[tuple[Filling, int]]:
+def solve(counts: np.ndarray, capacity: int, steps: int = 4000, rounds: int = 60, seed: int = 0) -> list[tuple[Filling, int]]:
     """(filling, repeats) that use up counts[length] pieces of each length 1..capacity.
 
     The first incumbent is best-fit's. Each search asks for one sequence less than the incumbent has, until least_bins is reached or
     the search has come to its end: then the packing is as small as can be. A search over more pieces than `steps` fillings can tell of goes
     on by parts: a part is some of the sequences with the most waste, together one sequence's worth or more, and some others; bin completion looks for a
-    packing of its pieces into one sequence less, which then takes the place of the part as often as its sequences repeat. `rounds` parts that
-    are tried in vain end this. In any case the packing is whole."""
+    packing of its pieces into one sequence less, which then takes the place of the part as often as its sequences repeat. `rounds` parts are
+    tried. In any case the packing is whole."""
     least, best = least_bins(counts, capacity), best_fit(counts, capacity)
     while (n := sum(k for _, k in best)) > least:
         found, ended = branch(counts, capacity, n - 1, steps)
@@ -198,11 +198,11 @@ def solve(counts: np.ndarray, capacity: int, steps: int = 4000, rounds: int = 40
     for filling, k in best:
         held[filling] += k
     fillings, wasteful = list(held), {f: waste(f) for f in held if waste(f)}  # of fillings that are used up, some stay listed
-    vain = 0
-    while n > least and vain < rounds:
-        vain += 1
+    for turn in range(rounds):
+        if n <= least:
+            break
         part: Counter[Filling] = Counter()
-        room, enough = 0, capacity + vain % 4 * capacity // 4
+        room, enough = 0, capacity + turn % 4 * capacity // 4
         for f in sorted(wasteful, key=lambda f: (-wasteful[f] * rng.uniform(0.5, 1), f)):
             part[f] = min(held[f], -(-(enough - room) // wasteful[f]))
             room += part[f] * wasteful[f]
@@ -229,7 +229,7 @@ def solve(counts: np.ndarray, capacity: int, steps: int = 4000, rounds: int = 40
                 fillings.append(f)
             held[f] += m * k
         wasteful = {f: waste(f) for f in {*wasteful, *(f for f, _ in found)} if held[f] and waste(f)}
-        n, vain = n - k, 0
+        n -= k
     return sorted((+held).items(), reverse=True)
 
 

@@ -67,7 +67,13 @@ class UnitEncoder(dict):
 
     def _part(self, part: str) -> bytes:
         """The ids of one pre-token, which are kept."""
-        ids = self.parts[part] = array("I", [x.id for x in self.model(part.encode().decode("latin-1").translate(BYTES))]).tobytes()
+        if not part.isascii():
+            letters = part.encode().decode("latin-1").translate(BYTES)
+        elif part[0] > " ":
+            letters = part  # stands for itself
+        else:
+            letters = chr(BYTES[ord(part[0])]) + part[1:]
+        ids = self.parts[part] = array("I", [x.id for x in self.model(letters)]).tobytes()
         return ids
 
     def __missing__(self, unit: bytes) -> bytes:
