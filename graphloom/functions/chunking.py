@@ -12,7 +12,7 @@ MAX, MIN = 4096, 100
 HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
 FENCE = re.compile(r"^\s*(```|~~~)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
-DECLARATION = re.compile(r"^(?:export\s+|default\s+|public\s+|private\s+|static\s+|pub\s+|async\s+)*(?:func|function|class|def|type|interface|struct|enum|trait|impl|fn|const|var|let)\s*(?:\([^)]*\)\s*)?([A-Za-z_]\w*)")
+DECLARATION = re.compile(r"^(?:export\s+|default\s+|public\s+|private\s+|static\s+|pub\s+|async\s+)*(?:func|function|class|def|type|interface|struct|enum|trait|impl|fn|const|var|let)\b\s*(?:\([^)]*\)\s*)?([A-Za-z_]\w*)")
 
 
 @dataclass
@@ -124,7 +124,36 @@ def code(text: str, language: str = "", most: int = MAX) -> list[Chunk]:
         body = "\n".join(lines[a:b]).strip("\n")
         if body.strip():
             out.append(Chunk(body, "code_declaration" if name else "code_preamble", [name] if name else []))
-    return [c if len(c.text) <= most else Chunk(c.text[i : i + most], c.kind, c.path) for c in out for i in (range(0, len(c.text), most) if len(c.text) > most else (0,))]
+    return [part for c in out for part in ([c] if len(c.text) <= most else descend(c, language, most))]
+
+
+def descend(chunk: Chunk, language: str, most: int) -> list[Chunk]:
+    """A declaration that is too large, cut at the methods of a Python class, else at the lines that open a declaration within it, else at
+    line ends; only a line that is too long itself is cut."""
+    lines = chunk.text.split("\n")
+    starts: list[tuple[int, str]] = []
+    if language == "python":
+        try:
+            body = ast.parse(chunk.text).body
+        except (SyntaxError, ValueError):
+            body = []
+        inner = body[0].body if len(body) == 1 and isinstance(body[0], ast.ClassDef) else []
+        starts = [(min([n.lineno, *(d.lineno for d in n.decorator_list)]) - 1, n.name) for n in inner if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
+    starts = starts or [(i, m[1]) for i, line in enumerate(lines) if i and (m := DECLARATION.match(line.strip())) and line[:1].isspace()]
+    out: list[Chunk] = []
+    for (a, name), (b, _) in zip([(0, ""), *starts], [*starts, (len(lines), "")], strict=True):
+        path, held = [*chunk.path, name] if name else chunk.path, ""
+        for line in lines[a:b]:
+            if held and len(held) + 1 + len(line) > most:
+                out.append(Chunk(held, chunk.kind, path))
+                held = ""
+            held = f"{held}\n{line}" if held else line
+            while len(held) > most:
+                out.append(Chunk(held[:most], chunk.kind, path))
+                held = held[most:]
+        if held.strip():
+            out.append(Chunk(held, chunk.kind, path))
+    return out
 
 
 def chunks_of(text: str | None, node_type: str | None, language: str | None = "", most: int = MAX) -> list[Chunk]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,23 +13,94 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 
 
+CHUNK = 2048
+
+
 def similarity_links(nodes: DataFrame, low: float = 0.55, high: float = 0.80) -> DataFrame:
     """Pairs of nodes (id, node_type, title, source_path, embedding) scored by .4 cosine + .2 type + .2 path + .2 name + penalty.
 
     As the cosine is at most 1, a pair that reaches .55 has type + path + name of .75 or more, so it shares its type, its first path
-    segment or a word of its title: the candidates are the union of three equi-joins, and nothing is lost."""
+    segment or a word of its title. The nodes of each such key are compared as matrices, and only pairs that reach the score leave a task. A key of
+    more than CHUNK nodes is dealt into chunks, and each pair of chunks is a task's work of its own."""
     if low < 0.55:
-        raise ValueError("below .55 the blocking would lose pairs")
-    n = nodes.select("id", "node_type", "title", "source_path", "embedding", S.identifier_tokens(F.col("title")).alias("tokens"), F.filter(F.split("source_path", "/"), lambda x: x != "").alias("path")).where((F.size("tokens") > 0) & F.col("embedding").isNotNull())
-    keys = n.select("id", F.explode(F.array_union(F.array(F.concat(F.lit("t:"), "node_type"), F.concat(F.lit("p:"), F.coalesce(F.get("path", F.lit(0)), F.lit("")))), F.transform(F.array_distinct("tokens"), lambda x: F.concat(F.lit("w:"), x)))).alias("key"))
-    candidates = keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    side = lambda s: n.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in n.columns[1:]])
-    pairs = candidates.join(side("a"), "a").join(side("b"), "b")
-    c = F.col
-    score = 0.4 * S.cosine(c("a_embedding"), c("b_embedding")) + 0.2 * S.type_compatibility(c("a_node_type"), c("b_node_type")) + 0.2 * S.path_proximity(c("a_path"), c("b_path")) + 0.2 * S.identifier_overlap(c("a_tokens"), c("b_tokens")) + S.collision_penalty(c("a_node_type"), c("a_source_path"), c("b_node_type"), c("b_source_path"))
-    kept = pairs.select(c("a").alias("from_id"), c("b").alias("to_id"), F.round(score, 6).alias("confidence")).where(F.col("confidence") >= low)
+        raise ValueError("below .55 the keys would lose pairs")
+    n = nodes.select("id", "node_type", F.coalesce("source_path", F.lit("")).alias("source_path"), F.col("embedding").cast("array<double>").alias("v"), S.identifier_tokens(F.col("title")).alias("tokens"), F.filter(F.split("source_path", "/"), lambda x: x != "").alias("path")).where((F.size("tokens") > 0) & F.col("v").isNotNull())
+    key = F.explode(F.array_union(F.array(F.concat(F.lit("t:"), "node_type"), F.concat(F.lit("p:"), F.coalesce(F.get("path", F.lit(0)), F.lit("")))), F.transform(F.array_distinct("tokens"), lambda x: F.concat(F.lit("w:"), x))))
+    sizes = n.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    dealt = n.withColumn("key", key).join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "chunks")
+
+    def scored(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("id", ignore_index=True)
+        chunk, i, j = g["chunk"].to_numpy(), int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        left, right = (np.flatnonzero(chunk == i), np.flatnonzero(chunk == j))
+        f = Features(g)
+        out = []
+        for k in range(0, len(left), 512):
+            rows = left[k : k + 512]
+            score = np.round(f.score(rows, right), 6)
+            ids = f.ids[rows][:, None] < f.ids[right][None] if i == j else f.ids[rows][:, None] != f.ids[right][None]
+            x, y = np.nonzero((score >= low) & ids)
+            out.append(pd.DataFrame({"a": f.ids[rows[x]], "b": f.ids[right[y]], "confidence": score[x, y]}))
+        found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "confidence": []})
+        swap = found["a"] > found["b"]
+        found.loc[swap, ["a", "b"]] = found.loc[swap, ["b", "a"]].to_numpy()
+        return found
+
+    pairs = dealt.groupBy("key", "i", "j").applyInPandas(scored, "a string, b string, confidence double").distinct()
     sure = F.col("confidence") > high
-    return kept.select("from_id", "to_id", F.when(sure, "auto-linked").otherwise("proposed").alias("edge_type"), "confidence", F.when(sure, "INFERRED").otherwise("PROPOSED").alias("confidence_tier"))
+    return pairs.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.when(sure, "auto-linked").otherwise("proposed").alias("edge_type"), "confidence", F.when(sure, "INFERRED").otherwise("PROPOSED").alias("confidence_tier"))
+
+
+class Features:
+    """What the similarity of nodes is made of, as arrays; the functions of the same names in `scalar` define them."""
+
+    def __init__(self, g: pd.DataFrame) -> None:
+        self.ids = g["id"].to_numpy(dtype=object)
+        code = lambda x: np.unique(np.array([str(y) for y in x], object), return_inverse=True)[1]
+        self.dims = np.array([len(v) for v in g["v"]])
+        width = max(1, int(self.dims.max()))
+        self.v = np.zeros((len(g), width))
+        for k, v in enumerate(g["v"]):
+            self.v[k, : len(v)] = v
+        norm = np.sqrt(np.square(self.v).sum(1, keepdims=True))
+        self.v = np.divide(self.v, norm, out=np.zeros_like(self.v), where=norm > 0)
+        types = ["" if t is None else t for t in g["node_type"]]
+        self.type, self.typed = code(types), np.array([t is not None for t in g["node_type"]])
+        self.family = np.array([k if ":" in t else -1 - k for k, t in zip(code(t.split(":")[0] for t in types), types, strict=True)])
+        self.has_family = np.array([":" in t for t in types])
+        paths = [list(x) if x is not None else [] for x in g["path"]]
+        self.depth = np.array([len(x) for x in paths])
+        names = {x: k for k, x in enumerate(sorted({y for x in paths for y in x}))}
+        self.path = np.full((len(g), max(1, int(self.depth.max(initial=0)))), -1)
+        for k, x in enumerate(paths):
+            self.path[k, : len(x)] = [names[y] for y in x]
+        words = {x: k for k, x in enumerate(sorted({y for x in g["tokens"] for y in x}))}
+        self.has, self.times, self.words = np.zeros((len(g), len(words)), np.float32), np.zeros((len(g), len(words)), np.float32), np.array([len(x) for x in g["tokens"]])
+        for k, x in enumerate(g["tokens"]):
+            for y in x:
+                self.has[k, words[y]] = 1
+                self.times[k, words[y]] += 1
+        self.document = np.isin(np.array(types, object), np.array(S.DOCUMENT_TYPES, object))
+        sources = list(g["source_path"])
+        self.source, self.name, self.placed = code(sources), code(x.rsplit("/", 1)[-1] for x in sources), np.array([x != "" for x in sources])
+
+    def score(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rows a against rows b; where the name's overlap differs by direction, the row of the smaller id comes first."""
+        cosine = (self.v[a] @ self.v[b].T) * (self.dims[a][:, None] == self.dims[b][None])
+        kind = np.where((self.type[a][:, None] == self.type[b][None]) & self.typed[a][:, None] & self.typed[b][None], 1.0, np.where((self.family[a][:, None] == self.family[b][None]) & self.has_family[a][:, None] & self.has_family[b][None], 0.5, 0.0))
+        shared, on = np.zeros((len(a), len(b))), np.ones((len(a), len(b)), bool)
+        for k in range(self.path.shape[1]):
+            on &= (self.path[a, k][:, None] == self.path[b, k][None]) & (self.path[a, k] >= 0)[:, None]
+            shared += on
+        deep = np.maximum(self.depth[a][:, None], self.depth[b][None])
+        path = np.divide(shared, deep, out=np.zeros_like(shared), where=(self.depth[a][:, None] > 0) & (self.depth[b][None] > 0))
+        first = self.ids[a][:, None] < self.ids[b][None]
+        hits = np.where(first, self.times[a] @ self.has[b].T, self.has[a] @ self.times[b].T).astype(np.float64)
+        name = hits / np.maximum(self.words[a][:, None] + self.words[b][None] - hits, 1)
+        both = self.document[a][:, None] & self.document[b][None] & self.placed[a][:, None] & self.placed[b][None]
+        template = both & (self.name[a][:, None] == self.name[b][None]) & (self.source[a][:, None] != self.source[b][None])
+        return 0.4 * cosine + 0.2 * kind + 0.2 * path + 0.2 * name + np.where(template, -0.2, 0.0)
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, most: int = 10) -> DataFrame:

@@ -119,6 +119,12 @@ def access_stats(log: DataFrame) -> DataFrame:
     return log.groupBy("node_id").agg(F.count("*").alias("access_count"), F.max("accessed_at").alias("last_accessed_at"))
 
 
+def log_access(log: DataFrame, nodes: DataFrame, session: str, as_of: Column) -> DataFrame:
+    """The log with an access of each of the nodes (id, project_id); counts and last times are read from the log."""
+    rows = nodes.select("project_id", F.col("id").alias("node_id"), F.lit(session).alias("session_id"), as_of.alias("accessed_at"))
+    return log.unionByName(rows, allowMissingColumns=True)
+
+
 def recent_accesses(log: DataFrame, as_of: Column, seconds: int) -> DataFrame:
     return log.where(F.unix_seconds(F.col("accessed_at").cast("timestamp")) >= F.unix_seconds(as_of) - seconds).select("node_id").distinct()
 

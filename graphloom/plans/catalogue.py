@@ -623,13 +623,15 @@ def content_excerpts(spark, sf_dir):
     return V.n_docs(spark, sf_dir).select("id", S.excerpt(F.col("content")).alias("excerpt"))
 
 
-@query(sql("v_docs") + """, n AS (SELECT owner_id AS id, 'code:' || label AS t, source AS title, source || '/' || row_seq || '.py' AS path, source, v, row_seq FROM v_docs),
-    p AS (SELECT a.id AS from_id, b.id AS to_id, round(0.4e0 * list_cosine_similarity(a.v, b.v) + 0.2e0 * (CASE WHEN a.t = b.t THEN 1 ELSE 0.5e0 END) + 0.2e0 * (CASE WHEN a.source = b.source THEN 0.5e0 ELSE 0 END) + 0.2e0 * (CASE WHEN a.source = b.source THEN 1 ELSE 0 END), 6) AS confidence FROM n a JOIN n b ON a.id < b.id)
+@query(sql("v_docs") + """, n AS (SELECT owner_id AS id, label % 2 = 0 AS code, CASE WHEN label % 2 = 0 THEN 'code:' || label ELSE 'generic-doc' END AS t, source, source || '/' || CASE WHEN label % 2 = 0 THEN row_seq || '.py' ELSE (row_seq % 3) || '/readme.md' END AS path, v FROM v_docs),
+    p AS (SELECT a.id AS from_id, b.id AS to_id, round(0.4e0 * list_cosine_similarity(a.v, b.v) + 0.2e0 * (CASE WHEN a.t = b.t THEN 1 WHEN a.code AND b.code THEN 0.5e0 ELSE 0 END) + 0.2e0 * (CASE WHEN a.path = b.path THEN 1 WHEN a.source <> b.source THEN 0 WHEN a.code AND b.code THEN 1 / 2e0 ELSE 1 / 3e0 END) + 0.2e0 * (CASE WHEN a.source = b.source THEN 1 ELSE 0 END)
+    + CASE WHEN NOT a.code AND NOT b.code AND a.path <> b.path THEN -0.2e0 ELSE 0 END, 6) AS confidence FROM n a JOIN n b ON a.id < b.id)
     SELECT from_id, to_id, CASE WHEN confidence > 0.8 THEN 'auto-linked' ELSE 'proposed' END AS edge_type, confidence, CASE WHEN confidence > 0.8 THEN 'INFERRED' ELSE 'PROPOSED' END AS confidence_tier FROM p WHERE confidence >= 0.55""")
 def tier2_links(spark, sf_dir):
-    """Vectors as code files of ten types, titled by their source and in its directory."""
-    v = V.v_docs(spark, sf_dir)
-    n = v.select(F.col("owner_id").alias("id"), F.concat(F.lit("code:"), "label").alias("node_type"), F.col("source").alias("title"), F.concat("source", F.lit("/"), "row_seq", F.lit(".py")).alias("source_path"), "embedding")
+    """Vectors as code files and as documents of one name in several directories, titled by their source."""
+    v, code = V.v_docs(spark, sf_dir), F.col("label") % 2 == 0
+    path = F.concat("source", F.lit("/"), F.when(code, F.concat(F.col("row_seq").cast("string"), F.lit(".py"))).otherwise(F.concat((F.col("row_seq") % 3).cast("string"), F.lit("/readme.md"))))
+    n = v.select(F.col("owner_id").alias("id"), F.when(code, F.concat(F.lit("code:"), "label")).otherwise("generic-doc").alias("node_type"), F.col("source").alias("title"), path.alias("source_path"), "embedding")
     return link.similarity_links(n)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 LANGUAGES = {".py": "python", ".ts": "ts", ".tsx": "ts", ".js": "js", ".jsx": "js", ".go": "go", ".rs": "rust"}
 PATTERNS = {
-    "go": (r"^func\s+(?:\([^)]*\)\s*)?(\w+)", r"^type\s+(\w+)", r'^\s*(?:import\s+)?(?:\w+\s+)?"([\w./-]+)"$'),
+    "go": (r"^func\s+(?:\(\s*\w*\s*\*?(?P<receiver>\w+)[^)]*\)\s*)?(?P<name>\w+)", r"^type\s+(\w+)", r'^\s*(?:import\s+)?(?:\w+\s+)?"([\w./-]+)"$'),
     "rust": (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)", r"^\s*use\s+([\w:]+)"),
     "ts": (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)|^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\(", r"^\s*(?:export\s+)?(?:abstract\s+)?(?:class|interface|type|enum)\s+(\w+)", r"""^\s*(?:import|export)\b.*?from\s+['"]([^'"]+)['"]"""),
 }
@@ -20,6 +20,7 @@ PATTERNS["js"] = PATTERNS["ts"]
 SUFFIXES = r"\.(" + "|".join(x[1:] for x in LANGUAGES) + ")$"
 #: The types that a Go signature or field names, through pointers, slices, maps, channels and functions; predeclared ones are in small letters.
 GO_FUNC = re.compile(r"^func\s+(?:\(\s*\w*\s*\*?(\w+)[^)]*\)\s*)?(\w+)(.*)$")
+GO_PACKAGE = re.compile(r"^package\s+(\w+)", re.M)
 GO_STRUCT = re.compile(r"^type\s+(\w+)\s+(?:struct|interface)\s*\{")
 GO_TYPE = re.compile(r"(?<![\w.\"])([A-Z]\w*)(?!\s*\()")
 CALL = re.compile(r"(?<![\w.])(new\s+)?(?:(\w+)\.)?(\w+)\s*\(")
@@ -65,8 +66,9 @@ def pattern_symbols(text: str, language: str) -> tuple[list[Symbol], list[Call],
             imports.append(name(m))
             continue
         if m := function.match(line):
-            scope = name(m)
-            symbols.append(("function", scope, n))
+            receiver = m.groupdict().get("receiver")
+            scope = f"{receiver}.{m['name']}" if receiver else m["name"] if language == "go" else name(m)
+            symbols.append(("method" if receiver else "function", scope, n))
             line = line[m.end() :]
         elif m := type_.match(line):
             symbols.append(("type", name(m), n))
@@ -119,7 +121,7 @@ def go_types(text: str) -> list[tuple[str, str]]:
         elif m := GO_STRUCT.match(line):
             struct = "" if line.rstrip().endswith("}") else m[1]
         elif m := GO_FUNC.match(line):
-            found += [(m[2], t) for t in ([m[1]] if m[1] else []) + GO_TYPE.findall(m[3].rsplit("{", 1)[0])]
+            found += [(f"{m[1]}.{m[2]}" if m[1] else m[2], t) for t in ([m[1]] if m[1] else []) + GO_TYPE.findall(m[3].rsplit("{", 1)[0])]
     return list(dict.fromkeys(found))
 
 
@@ -153,6 +155,12 @@ def extract(tree: DataFrame, project: str) -> DataFrame:
                     continue
                 file = f"{project}/{path}"
                 rows.append(("node", file, "", "code:file", path, language, path, 0, 0.4))
+                if language == "go" and (m := GO_PACKAGE.search(text)):  # a directory's files make a package, which imports what they do
+                    folder = path.rpartition("/")[0]
+                    package = f"{project}/pkg/{folder or m[1]}"
+                    rows.append(("node", package, "", "code:package", m[1], language, folder, 0, 0.6))
+                    rows.append(("edge", package, file, "defines", "", language, path, 0, 1.0))
+                    rows += [("edge", package, f"{project}/pkg/{x}", "imports", "", language, path, 0, 1.0) for x in dict.fromkeys(imports)]
                 own = {name: f"{file}#{name}" for _, name, _ in symbols}
                 for kind, name, line in symbols:
                     rows.append(("node", own[name], "", f"code:{kind}", name, language, path, line, 0.7))
@@ -192,13 +200,13 @@ def type_references(found: DataFrame) -> DataFrame:
     return best.select(F.col("a").alias("from_id"), "to_id", F.lit("references").alias("edge_type"), F.lit(1.0).alias("confidence"), F.lit("EXTRACTED").alias("confidence_tier")).distinct()
 
 
-def import_edges(found: DataFrame) -> DataFrame:
-    """Imports edges between files, for imports by a relative path."""
+def import_edges(found: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Imports edges between files, for imports by a relative path or an alias."""
     from .files import resolve_imports
 
     wanted = found.where("what = 'import'").select("path", F.col("b").alias("specifier"), F.col("a").alias("from_id"))
     files = found.where("what = 'node' AND kind = 'code:file'").select("path", F.col("a").alias("to_id"))
-    hit = resolve_imports(wanted.select("path", "specifier"), files.select("path"))
+    hit = resolve_imports(wanted.select("path", "specifier"), files.select("path"), aliases=aliases)
     return wanted.join(hit, ["path", "specifier"]).join(files.withColumnRenamed("path", "target"), "target").select("from_id", "to_id", F.lit("imports").alias("edge_type"), F.lit(1.0).alias("confidence"), F.lit("EXTRACTED").alias("confidence_tier"), F.col("path").alias("file"), F.col("target").alias("target_file")).distinct()
 
 
@@ -206,11 +214,11 @@ def graph_of(tree: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the code of a tree: definitions, calls within and across files, type references, imports."""
     from ..operators.link import resolve_calls
     from ..tables import written
-    from .files import clean
+    from .files import clean, path_aliases
 
     found = written(extract(clean(tree), project), "symbols")  # read by each kind of edge
-    own = nodes(found).select("id", F.lit(project).alias("project_id"), "node_type", "title", F.lit("").alias("content"), F.lit("code").alias("source_adapter"), "source_path", "importance", "language")
-    imported = import_edges(found)
+    own = nodes(found).dropDuplicates(["id"]).select("id", F.lit(project).alias("project_id"), "node_type", "title", F.lit("").alias("content"), F.lit("code").alias("source_adapter"), "source_path", "importance", "language")
+    imported = import_edges(found, path_aliases(tree))
     calls = raw_calls(found).select(F.col("caller_node_id").alias("caller"), F.col("callee_name").alias("callee"), "lang", F.col("source_file").alias("file"))
     symbols = own.where("node_type <> 'code:file'").select("id", F.col("title").alias("label"), F.col("language").alias("lang"), F.col("source_path").alias("file"))
     columns = ["from_id", "to_id", "edge_type", "confidence", "confidence_tier"]

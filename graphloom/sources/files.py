@@ -126,12 +126,26 @@ def packages(tree: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".py")) -> DataFrame:
-    """Imports (path, specifier) of relative modules to the files (path) they mean: as they stand, with an extension, or a directory's index."""
+def path_aliases(tree: DataFrame) -> dict[str, str]:
+    """Prefixes of module names and the directories they stand for, from the tsconfig.json files of a tree: a few rows for each module."""
+    found = tree.where(F.substring_index("path", "/", -1) == "tsconfig.json").select(F.regexp_replace("path", "/?[^/]*$", "").alias("root"), F.from_json(F.decode("content", "UTF-8"), "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>").alias("j"))
+    rows = found.select("root", F.coalesce("j.compilerOptions.baseUrl", F.lit(".")).alias("base"), F.explode("j.compilerOptions.paths").alias("name", "to")).where("size(to) > 0")
+    place = S.resolve_link(F.col("root"), F.concat_ws("/", "base", F.regexp_replace(F.get("to", F.lit(0)), r"/?\*$", "")))
+    return {r.prefix: r.place for r in rows.select(F.regexp_replace("name", r"\*$", "").alias("prefix"), place.alias("place")).orderBy("prefix").limit(1000).collect()}
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".py"), aliases: dict[str, str] | None = None) -> DataFrame:
+    """Imports (path, specifier) of relative modules, or of those under an alias, to the files (path) they mean: as they stand, with an extension, or
+    a directory's index."""
     tries = ["", *extensions, *(f"/index{e}" for e in extensions)]
     parts = F.split("path", "/")
     base = S.resolve_link(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"), F.col("specifier"))
-    wanted = imports.where(F.col("specifier").startswith(".")).withColumn("base", base).select("path", "specifier", "base", F.posexplode(F.array(*[F.lit(t) for t in tries])).alias("priority", "end"))
+    known = F.col("specifier").startswith(".")
+    for prefix, place in sorted((aliases or {}).items(), key=lambda x: len(x[0])):  # the longest prefix counts
+        fits = F.col("specifier").startswith(prefix)
+        base = F.when(fits, S.resolve_link(F.lit(place), F.substr("specifier", F.lit(len(prefix) + 1)))).otherwise(base)
+        known = known | fits
+    wanted = imports.where(known).withColumn("base", base).select("path", "specifier", "base", F.posexplode(F.array(*[F.lit(t) for t in tries])).alias("priority", "end"))
     hit = wanted.withColumn("target", F.concat("base", "end")).join(files.select(F.col("path").alias("target")), "target")
     return hit.groupBy("path", "specifier").agg(F.min_by("target", "priority").alias("target"))
 

@@ -239,7 +239,7 @@ def test_sources(spark, tree):
     find = lambda w: [r.root for r in files.find_repository(index, w).collect()]
     assert find("https://h.example/Org/shop") == ["x/shop"] and find("y/shop") == ["y/shop"] and find("tool") == ["z/tool"] and find("none") == []
     go = "type Widget struct {\n\tOwner *Person\n\tTags []map[string]Tag\n}\nfunc (w *Widget) Show(x []Item, f func(Arg) Res) (Out, error) {\n}\n"
-    assert set(code.go_types(go)) == {("Widget", "Person"), ("Widget", "Tag"), ("Show", "Widget"), ("Show", "Item"), ("Show", "Arg"), ("Show", "Res"), ("Show", "Out")}
+    assert set(code.go_types(go)) == {("Widget", "Person"), ("Widget", "Tag"), *(("Widget.Show", t) for t in ("Widget", "Item", "Arg", "Res", "Out"))}
     assert code.python_types("class K:\n    x: 'A'\n    def f(self, y: list[B]) -> C: ...\n") == [("K", "A"), ("K.f", "B"), ("K.f", "list"), ("K.f", "C")] or set(code.python_types("class K:\n    x: 'A'\n    def f(self, y: list[B]) -> C: ...\n")) == {("K", "A"), ("K.f", "B"), ("K.f", "list"), ("K.f", "C")}
 
 
@@ -271,3 +271,51 @@ def test_stages_in_reads(spark):
     placed = store.with_ends(e, nodes)
     assert graph.project_edges(placed, "r::stage:main").first().total == 3 and graph.edge_total(placed, "none").first()[0] == 0
     assert graph.edges_of(e, "u").count() == 2
+
+
+def test_go_packages_and_aliases(spark):
+    rows = [("shop/a.go", b'package shop\n\nimport "fmt"\n\ntype Cart struct {\n}\n\nfunc (c *Cart) Add(x Item) {\n\tfmt.Println(x)\n\tcheck(x)\n}\n'), ("shop/b.go", b"package shop\n\ntype Item struct {\n}\n\nfunc check(x Item) {\n}\n"), ("web/tsconfig.json", b'{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}}'), ("web/app.ts", b"import { f } from '@/lib/f'\nexport function run() {\n  f()\n}\n"), ("web/src/lib/f.ts", b"export function f() {\n  return 1\n}\n")]
+    tree = spark.createDataFrame([(p, len(c), c) for p, c in rows], "path string, length long, content binary")
+    assert files.path_aliases(tree) == {"@/": "web/src"}
+    nodes, edges = code.graph_of(tree, "p")
+    kinds = {r.id: r.node_type for r in nodes.collect()}
+    assert kinds["p/shop/a.go#Cart.Add"] == "code:method" and kinds["p/pkg/shop"] == "code:package"
+    got = {(r.from_id, r.to_id, r.edge_type) for r in edges.collect()}
+    assert {("p/pkg/shop", "p/shop/a.go", "defines"), ("p/pkg/shop", "p/pkg/fmt", "imports"), ("p/shop/a.go#Cart.Add", "p/shop/b.go#Item", "references"), ("p/shop/a.go#Cart.Add", "p/shop/b.go#check", "calls"), ("p/web/app.ts", "p/web/src/lib/f.ts", "imports"), ("p/web/app.ts#run", "p/web/src/lib/f.ts#f", "calls")} <= got
+
+
+def test_large_declarations():
+    from graphloom.functions.chunking import code as cut
+
+    body = "".join(f"    def m{k}(self):\n        return {k}\n\n" for k in range(30))
+    got = cut("class K:\n" + body, "python", 200)
+    assert all(len(c.text) <= 200 for c in got) and [c.path for c in got][:3] == [["K"], ["K", "m0"], ["K", "m1"]] and len(got) == 31
+    flat = cut("function f() {\n" + "  step()\n" * 100 + "}", "js", 90)
+    assert all(len(c.text) <= 90 and c.path == ["f"] for c in flat) and "\n".join(c.text for c in flat).count("step") == 100
+
+
+def test_similarity_in_chunks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"n{i:02}", rng.choice(["code:function", "prd", "erd", None]), rng.choice(["getUser", "user_user", "makeIt"]), rng.choice(["a/x.md", "a/b/x.md", "", None]), [rng.gauss(0, 1) for _ in range(3)]) for i in range(40)]
+    n = spark.createDataFrame(rows, "id string, node_type string, title string, source_path string, embedding array<double>")
+    want = {tuple(r) for r in link.similarity_links(n).collect()}
+    monkeypatch.setattr(link, "CHUNK", 5)
+    assert want and {tuple(r) for r in link.similarity_links(n).collect()} == want
+
+
+def test_consolidated_stream(spark, tmp_path):
+    from graphloom.streaming import access
+
+    schema = "session_id string, node_id string, accessed_at timestamp"
+    for day, sessions in ((1, ("a", "b")), (9, ("c", "d", "e"))):
+        rows = spark.createDataFrame([(s, n) for s in sessions for n in ("x", "y")], "session_id string, node_id string").withColumn("accessed_at", F.lit(f"2024-01-0{day} 10:00:00").cast("timestamp"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        found = []
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        access.consolidate(stream, f"{tmp_path}/log", f"{tmp_path}/check", lambda df, found=found: found.append(df.collect()), least=2).awaitTermination()
+        assert [(r.from_id, r.to_id, r.sessions) for r in found[-1]] == [("x", "y", len(sessions))]
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 10
+    log = store.log_access(spark.createDataFrame([], "project_id string, node_id string, session_id string, accessed_at timestamp"), spark.createDataFrame([("n", "p")], "id string, project_id string"), "s", F.lit("2024-01-01").cast("timestamp"))
+    assert store.access_stats(log).first().access_count == 1
