@@ -139,10 +139,22 @@ def crc_remainder(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(n)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same for mapInArrow, after which a worker gives back the memory that it holds for reuse: workers outlive their tasks."""
+#: What a worker keeps for its next tasks, by name, and how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str) -> None:
+    for other, drop in KEPT.items():
+        if other != name:
+            drop()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for mapInArrow, after which a worker gives back the memory that it holds for reuse: workers outlive their tasks. What tasks of
+    another kind have left behind, but for `keeps`, goes before."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(keeps)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it

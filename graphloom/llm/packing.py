@@ -277,7 +277,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, spaces: bool, capacity:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(pa.array(row)), "piece": pa.array(piece.astype(np.int32)), "start": start, "length": length, "ids_crc32": crc, "pid": pa.array(np.full(len(row), pid, np.int32)), "rank": rank})
 
     rows = require(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, rank long")
+    return rows.mapInArrow(tidy(run, "tokens"), "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, rank long")
 
 
 def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, spaces: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -303,7 +303,7 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str = "byte_bpe_50k.j
                 offset[of] = start + (rank[of] - first) % n * a
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run, "tokens"), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import require, scratch, stash
+from .common import KEPT, require, scratch, stash
 from .tokens import UnitEncoder
 
 NULL_ID = -(1 << 63)
 _encoders: dict[tuple[str, bool], UnitEncoder] = {}
+KEPT["tokens"] = _encoders.clear
 
 
 def encoder(name: str, spaces: bool) -> UnitEncoder:
