@@ -363,7 +363,7 @@ def list_nodes(spark, sf_dir):
 
 @query(sql("raw", "e_biz") + " SELECT * FROM e_biz")
 def edge_upsert_merge(spark, sf_dir):
-    return edges(spark, sf_dir).drop("created_at")
+    return store.merge_edges(V.raw_edges(spark, sf_dir)).drop("created_at")
 
 
 @query(sql("n_docs") + f" SELECT id, 'again' AS title, 'default' AS project_id, created_at FROM n_docs UNION ALL SELECT id || '/new', 'again', 'default', TIMESTAMP '{AS_OF}' FROM n_docs")

@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def n_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the store's nodes. A table of few row groups is dealt over the cores as it is stored, so that its texts are cut by all of them."""
+
+    def made() -> DataFrame:
+        rows, cores = document_nodes(spark, sf_dir), spark.sparkContext.defaultParallelism
+        return rows if table(spark, sf_dir, "documents").rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+    return stored(spark, sf_dir, "nodes", made)
+
+
+def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")
     return d.select(
         F.concat_ws("/", F.lit("docs"), "lang", F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("docs::stage:"), "lang").alias("project_id"), F.lit("generic-doc").alias("node_type"),
