@@ -174,7 +174,7 @@ def branch(counts: np.ndarray, capacity: int, most: int, steps: int) -> tuple[li
     return None, True
 
 
-def solve(counts: np.ndarray, capacity: int, steps: int = 4000, rounds: int = 60, seed: int = 0) -> list[tuple[Filling, int]]:
+def solve(counts: np.ndarray, capacity: int, steps: int = 2500, rounds: int = 60, seed: int = 0) -> list[tuple[Filling, int]]:
     """(filling, repeats) that use up counts[length] pieces of each length 1..capacity.
 
     The first incumbent is best-fit's. Each search asks for one sequence less than the incumbent has, until least_bins is reached or
