@@ -5,7 +5,8 @@ linked list of symbols; entries whose symbols have changed since are skipped whe
 vocabulary strings of the ids, as the vocabulary's file says (no decoder: joined by spaces).
 
 Cases: null or empty text has no ids and decodes to the empty text; a special token's string in a text is that token;
-a symbol that the vocabulary lacks is left out, as no unknown token is defined."""
+a symbol that the vocabulary lacks is left out, as no unknown token is defined; a very long text is encoded whole; repeated rows and rows with a
+null id are encoded each; an empty table gives no rows; other columns, whatever their names, are left alone."""
 
 from __future__ import annotations
 

@@ -8,7 +8,8 @@ Training: a bounded sample, SAMPLE_DOCS documents of least id hash with WINDOWS
 holds at any size of the corpus. Only the text and its label are seen.
 
 Cases: null text or a text without any letter is `und` with score 0; documents without a label are predicted like any other
-and never learnt from; where no labelled document is left to learn from, all are `und`; repeated rows are predicted alike."""
+and never learnt from; where no labelled document is left to learn from, all are `und`; repeated rows are predicted alike; of equally likely
+languages the first in order of names is told; an empty table gives no rows; other columns, whatever their names, are left alone."""
 
 from __future__ import annotations
 

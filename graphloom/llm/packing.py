@@ -8,7 +8,8 @@ A solution is a short list of (filling, repeats). Pieces then find their places
 counts by partition and prefix sums give ranks without gathering a length's pieces anywhere.
 
 Cases: a null or empty text is a piece with the end id alone; only documents longer than a sequence are cut, the first of their
-pieces taking what is over; repeated and null ids are packed like any others; an empty table gives no rows."""
+pieces taking what is over; repeated and null ids are packed like any others; pieces of equal length take their places in the order of the
+input's parts, and rows within these; an empty table gives no rows; other columns, whatever their names, are left alone."""
 
 from __future__ import annotations
 
