@@ -4,14 +4,15 @@ Unit vectors link when their cosine reaches the threshold, that is, when their s
 rotated by a fixed random rotation and split into blocks of few dimensions. If the squared distances of all blocks exceeded their
 proportional shares of that budget, the whole would exceed it; so linked vectors are within the share in one block at least.
 
-Each block is a range join over a grid on its first dimensions, its cells twice as wide as the radius: a vector is at home in its cell
-and a guest in those lower neighbours that it is near enough to. A pair is met in exactly one cell of each block in which it is in range.
-The join has two passes. The first moves a block's few components alone, and tells which vectors have a partner in range in which cells. The second moves
-whole vectors to those cells only: a pair is verified in double precision, and counted by the first block that has it in range only. So the union of the
-candidates needs no list of pairs: a cell gives the links of each vector, summed, and a forest that joins its components.
+Each block is a range join over a grid on its first dimensions, cut at their medians. No vector is copied into further cells: a vector meets the
+cells whose nearest corner is within the share by all of the grid's dimensions together. The grid lives in the task that holds the
+vectors, and has a dimension more whenever they double. A pair is verified in double precision, and counted by the first block that
+has it in range only. So the union of the candidates needs no list of pairs: a task gives the links of each vector, summed, and a forest that joins its
+components.
 
-Equal vectors of a label become one before the join, with their number. Cells of more than CELL rows are split into chunks, and each
-pair of chunks is a task of its own, so no group is gathered whole.
+Equal vectors of a label become one before the join, with their number. The vectors of a label are one group in one task up to CELL rows. Larger
+labels are written once, in chunks of CELL rows, to the shared folder; a task holds one chunk and reads up to RUN chunks that it meets, so no
+label is gathered whole and none of its vectors is shuffled for each pair of chunks.
 
 Cases: vectors that are null, empty, zero or hold a null or non-finite component, rows without a label and rows without an id link with
 nothing (component: their own id); vectors of different lengths don't link; rows that repeat an id are vectors of their own, with the
@@ -24,18 +25,21 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import drop_stash, require, stash, tidy
+from .common import require, scratch, stash, tidy
 from .components import components
+from .token_files import _fs
 from .topk import valid
 
 BLOCK_DIMS = 16
-CELL = 4096
+CELL = 65_536  #: rows of a chunk, fewer for vectors of more than 64 components
+COMPONENTS = 1 << 22  #: of a chunk's vectors together
+RUN = 4  #: chunks that a task reads for the one it holds
+GRID_ROWS = 128  #: rows of a grid's cell, about
 SLACK = 1e-9
 ROUGH = 1e-5  #: what 4-byte components may be wrong by in a squared distance
 BATCH = 16_384  #: candidates verified at a time
@@ -49,45 +53,56 @@ def scaled(v: np.ndarray) -> np.ndarray:
 class Space:
     """The rotation, the blocks and their budgets for vectors of one length."""
 
-    def __init__(self, dim: int, threshold: float, grid: int) -> None:
+    def __init__(self, dim: int, threshold: float) -> None:
         q, r = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
         self.rotation = q * np.sign(np.diag(r))
         blocks = max(1, dim // BLOCK_DIMS)
         self.cuts = np.array([len(x) for x in np.array_split(np.arange(dim), blocks)]).cumsum()
         self.starts = np.concatenate([[0], self.cuts[:-1]])
-        sizes = self.cuts - self.starts
-        self.budget = (2 - 2 * threshold) * sizes / dim + SLACK
-        self.radius = np.sqrt(self.budget) + SLACK
-        self.grid = np.minimum(grid, sizes)
+        self.budget = (2 - 2 * threshold) * (self.cuts - self.starts) / dim + SLACK
         self.threshold = threshold
 
-    def unit(self, v: np.ndarray) -> np.ndarray:
-        v = scaled(v)
-        return v / np.sqrt(np.square(v).sum(1, keepdims=True))
-
     def in_range(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """pairs x blocks: whether a block's squared distance is within its share."""
         return np.add.reduceat(np.square(x - y), self.starts, axis=1) <= self.budget
 
-    def cells(self, u: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
-        """For rotated unit vectors: block, rows, their cell, whether at home there."""
-        for b in range(len(self.cuts)):
-            g, r = int(self.grid[b]), self.radius[b]
-            x = u[:, self.starts[b] : self.starts[b] + g]
-            home = np.floor(x / (2 * r)).astype(np.int64)
-            low, high = x - home * 2 * r <= r, (home + 1) * 2 * r - x <= r
-            pack = lambda c: ((c + 128) << (8 * np.arange(c.shape[1]))).sum(1)
-            own = pack(home)
-            yield b, np.arange(len(x)), own, True
-            for step in itertools.product((-1, 0, 1), repeat=g):
-                s = np.array(step)
-                if not s.any():
-                    continue
-                rows = np.flatnonzero((((s >= 0) | low) & ((s <= 0) | high)).all(1))
-                cell = pack(home[rows] + s)
-                down = cell < own[rows]
-                if down.any():
-                    yield b, rows[down], cell[down], False
+
+class Chunk:
+    """Vectors of one label and length: the rows of a task."""
+
+    def __init__(self, space: Space, rows: pa.Table) -> None:
+        self.row, self.ids, self.count = (rows.column(c).to_numpy() for c in ("row", "id", "m"))
+        flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.v = scaled(flat.reshape(len(rows), -1).astype(np.float64))
+        self.norm = np.sqrt(np.square(self.v).sum(1))
+        self.u = (self.v / self.norm[:, None]) @ space.rotation
+        self.links = np.zeros(len(rows), np.int64)
+
+
+class Grid:
+    """A chunk's rows in a block, by cell: a cell is one side or the other of the medians of the first dimensions."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        n, dims = x.shape
+        g = min(dims, max(0, int(np.log2(max(1, n // GRID_ROWS)))))
+        self.at = np.median(x[:, :g], axis=0).astype(np.float32) if g else np.zeros(0, np.float32)
+        code = ((x[:, :g] > self.at) << np.arange(g)).sum(1)
+        self.order = np.argsort(code, kind="stable")
+        cells, starts = np.unique(code[self.order], return_index=True)
+        self.ends = [*starts.tolist(), n]
+        upper = cells[:, None] >> np.arange(g) & 1
+        self.crossed = np.concatenate([1 - upper, upper], axis=1).astype(np.float32)  #: which medians lie between a cell and a row above or below them
+        self.x = Grid.padded(x)[self.order]
+
+    @staticmethod
+    def padded(x: np.ndarray) -> np.ndarray:
+        half = np.square(x).sum(1, keepdims=True) / -2
+        return np.concatenate([x, half, np.ones_like(half)], axis=1)
+
+    def near(self, y: np.ndarray, budget: float) -> np.ndarray:
+        """cells x rows of y: whether a row can be in range of a cell's rows."""
+        d = y[:, : len(self.at)] - self.at
+        return self.crossed @ np.concatenate([np.square(np.maximum(d, 0)), np.square(np.minimum(d, 0))], axis=1).T <= budget
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray) -> None:
@@ -102,45 +117,88 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, root: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def active(space: Space, block: int, s: np.ndarray, home: np.ndarray, side: np.ndarray | None) -> np.ndarray:
-    """Which rows of a cell, or of a pair of its chunks, have a partner in range by the block's components."""
-    sq, out, rows = np.square(s).sum(1), np.zeros(len(s), bool), np.arange(len(s))
-    for a in range(0, len(s), 512):
-        left = rows[a : a + 512]
-        near = (sq[left][:, None] + sq[None] - 2 * (s[left] @ s.T) <= space.budget[block] + ROUGH) & (left[:, None] != rows[None]) & (home[left][:, None] | home[None])
-        if side is not None:
-            near &= side[left][:, None] != side[None]
-        out[left] |= near.any(1)
-    return out
-
-
-def cell_links(space: Space, block: int, v: np.ndarray, ids: np.ndarray, count: np.ndarray, home: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """One cell, or one pair of its chunks (side: 0 or 1): links of each row, and each row's root among the rows."""
-    norm = np.sqrt(np.square(v).sum(1))
-    u = (v / norm[:, None]) @ space.rotation
-    s = u[:, space.starts[block] : space.cuts[block]]
-    sq = np.square(s).sum(1)
-    links, root = np.zeros(len(v), np.int64), np.arange(len(v))
-    rows = np.arange(len(v))
-    for a in range(0, len(v), 512):
-        left = rows[a : a + 512]
-        d = sq[left][:, None] + sq[None] - 2 * (s[left] @ s.T)
-        near = (d <= space.budget[block] + 1e-6) & (left[:, None] < rows[None]) & (home[left][:, None] | home[None])
-        if side is not None:
-            near &= side[left][:, None] != side[None]
-        i, j = np.nonzero(near)
-        i = left[i]
-        for k in range(0, len(i), BATCH):
-            x, y = i[k : k + BATCH], j[k : k + BATCH]
-            ok = np.einsum("nd,nd->n", v[x], v[y]) / (norm[x] * norm[y]) >= space.threshold
-            x, y = x[ok], y[ok]
-            hit = space.in_range(u[x], u[y])
-            first = hit[:, block] & ~hit[:, :block].any(1)
-            x, y = x[first], y[first]
-            np.add.at(links, x, count[y])
-            np.add.at(links, y, count[x])
-            _forest(len(v), x, y, root)
-    return links, root
+def candidates(grid: Grid, y: np.ndarray | None, budget: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of the grid, rows of y) that are in range by the block's components; without y, pairs of the grid's own rows, each once."""
+    own = y is None
+    dims = grid.x.shape[1] - 2
+    z = grid.x[:, [*range(dims), -1, -2]] if own else Grid.padded(y)[:, [*range(dims), -1, -2]]  # the product with a row of the grid is half the squared distance, negated
+    for a in range(0, len(z), 4096):
+        part = z[a : a + 4096]
+        for cell, near in enumerate(grid.near(part[:, :dims], budget)):
+            s, e = grid.ends[cell : cell + 2]
+            if own and s >= a + len(part):
+                break
+            of = np.flatnonzero(near)
+            if own and s > a:
+                of = of[np.searchsorted(of, s - a) :]
+            if not len(of):
+                continue
+            there = part[of].T
+            for k in range(s, e, 512):
+                hit = np.flatnonzero((grid.x[k : min(k + 512, e)] @ there).ravel() >= -budget / 2)
+                i, j = k + hit // len(of), a + of[hit % len(of)]
+                if own:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    yield grid.order[i], grid.order[j] if own else j
+
+
+def meet(space: Space, a: Chunk, b: Chunk, grids: list[Grid]) -> tuple[np.ndarray, np.ndarray]:
+    """Count the links between the chunks, or within one, and return ids of a forest that joins their components."""
+    n = len(a.v)
+    root = np.arange(n if a is b else n + len(b.v))
+    for block, grid in enumerate(grids):
+        y = None if a is b else b.u[:, space.starts[block] : space.cuts[block]].astype(np.float32)
+        for i, j in candidates(grid, y, float(space.budget[block]) + ROUGH):
+            for k in range(0, len(i), BATCH):
+                x, y_ = i[k : k + BATCH], j[k : k + BATCH]
+                ok = np.einsum("nd,nd->n", a.v[x], b.v[y_]) / (a.norm[x] * b.norm[y_]) >= space.threshold
+                x, y_ = x[ok], y_[ok]
+                hit = space.in_range(a.u[x], b.u[y_])
+                first = hit[:, block] & ~hit[:, :block].any(1)
+                x, y_ = x[first], y_[first]
+                np.add.at(a.links, x, b.count[y_])
+                np.add.at(b.links, y_, a.count[x])
+                _forest(len(root), x, y_ if a is b else y_ + n, root)
+    ids, joined = a.ids if a is b else np.concatenate([a.ids, b.ids]), np.flatnonzero(root != np.arange(len(root)))
+    return ids[joined], ids[root[joined]]
+
+
+def meet_all(space: Space, a: Chunk, others: Iterator[Chunk]) -> pa.RecordBatch:
+    """Links of rows (kind 0: row, links) and edges of a forest (kind 1: id, id) of a chunk and those it meets, itself perhaps among them."""
+    grids = [Grid(a.u[:, x:y].astype(np.float32)) for x, y in zip(space.starts, space.cuts, strict=True)] if len(a.v) else []
+    kind, left, right = [], [], []
+
+    def add(k: int, x: np.ndarray, y: np.ndarray) -> None:
+        kind.append(np.full(len(x), k, np.int32))
+        left.append(x)
+        right.append(y)
+
+    def add_links(c: Chunk) -> None:
+        some = np.flatnonzero(c.links)
+        add(0, c.row[some], c.links[some])
+
+    for b in others:
+        add(1, *meet(space, a, b, grids))
+        if b is not a:
+            add_links(b)
+    add_links(a)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in ((kind, pa.int32()), (left, pa.int64()), (right, pa.int64()))], ["kind", "a", "b"])
+
+
+def _read(path: str, group: int, chunk: int) -> pa.Table | None:
+    """The rows of a written chunk; None if it has none."""
+    from pyarrow import fs as files
+    from pyarrow import parquet
+
+    fs, folder = _fs(path)
+    found = fs.get_file_info(files.FileSelector(f"{folder}/group={group}/chunk={chunk}", allow_not_found=True))
+    tables = []
+    for f in found:
+        if f.base_name.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                tables.append(parquet.ParquetFile(source).read())
+    return pa.concat_tables(tables) if tables else None
 
 
 def join(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -152,67 +210,51 @@ def join(rows: DataFrame, threshold: float = 0.93, vec_id: str = "vec_id", vecto
     takes_part = valid(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(most > 0, F.lit(False))
     distinct = all_.where(takes_part).groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
     distinct = stash(distinct.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    n = max(1, distinct.count())
-    # cells get about a quarter fewer rows with each dimension of the grid; a finer grid than the rows need only costs guests
-    grid = int(np.clip(np.ceil(np.log(n / CELL) / np.log(4)) + 1, 2, 6))
     spaces: dict[int, Space] = {}
 
     def space(dim: int) -> Space:
         if dim not in spaces:
-            spaces[dim] = Space(dim, threshold, grid)
+            spaces[dim] = Space(dim, threshold)
         return spaces[dim]
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label_, vectors, row = batch.columns
-            sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
-            flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
-            for dim in np.unique(sizes).tolist():
-                of, sp = np.flatnonzero(sizes == dim), space(dim)
-                for k in range(0, len(of), 2048):
-                    part = of[k : k + 2048]
-                    u = sp.unit(flat[(ends[part] - dim)[:, None] + np.arange(dim)]) @ sp.rotation
-                    for b, at, cell, home in sp.cells(u):
-                        take = pa.array(part[at])
-                        x = np.ascontiguousarray(u[at, sp.starts[b] : sp.cuts[b]], np.float32)
-                        yield pa.RecordBatch.from_arrays([label_.take(take), pa.array(np.full(len(at), dim, np.int32)), pa.array(np.full(len(at), b, np.int32)), pa.array(cell, pa.int64()), pa.array(np.full(len(at), home)), row.take(take), pa.array([y.tobytes() for y in x], pa.binary())], [*key, "home", "row", "x"])
-
-    key = ["label", "dim", "block", "cell"]
-
-    def chunked(cells: DataFrame) -> DataFrame:
-        """Cells of more than CELL rows as pairs (i, j) of chunks; every row comes to all pairs of its chunk."""
-        large = cells.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > CELL).withColumn("chunks", F.ceil(F.col("rows") / CELL).cast("int")).drop("rows")
-        split = cells.join(large, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(5)), F.col("chunks").cast("long")).cast("int"))
-        return split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-
-    def side_of(group: pd.DataFrame) -> np.ndarray | None:
-        first = group.iloc[0]
-        return None if first["i"] == first["j"] else (group["chunk"] == first["j"]).to_numpy()
-
-    def active_of(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        x = np.frombuffer(b"".join(group["x"]), np.float32).reshape(len(group), -1).astype(np.float64)
-        return group.loc[active(space(int(first["dim"])), int(first["block"]), x, group["home"].to_numpy(), side_of(group)), [*key, "home", "row"]]
-
-    dealt = stash(distinct.select("label", "v", "row").repartition("row").mapInArrow(tidy(deal), "label string, dim int, block int, cell long, home boolean, row long, x binary"), "cells")
-    near = chunked(dealt).groupBy(*key, "i", "j").applyInPandas(active_of, "label string, dim int, block int, cell long, home boolean, row long")
-    near = stash(near.distinct(), "active")
-    drop_stash(rows.sparkSession, dealt)
-    split = chunked(near.join(distinct.select("row", "id", "m", F.col("v").cast(stored).alias("v")), "row"))
-
-    def links_of(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        v = scaled(np.stack(group["v"].to_list()).astype(np.float64))
-        ids, home, m = group["id"].to_numpy(), group["home"].to_numpy(), group["m"].to_numpy()
-        links, root = cell_links(space(int(first["dim"])), int(first["block"]), v, ids, m, home, side_of(group))
-        some, joined = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"kind": np.concatenate([np.zeros(len(some), np.int32), np.ones(len(joined), np.int32)]), "a": np.concatenate([group["row"].to_numpy()[some], ids[joined]]), "b": np.concatenate([links[some], ids[root[joined]]])})
-
-    met = stash(split.groupBy(*key, "i", "j").applyInPandas(links_of, "kind int, a long, b long"), "vector-links")
+    key = ["label", "dim"]
+    met_schema = "kind int, a long, b long"
+    rows_of = distinct.select("label", F.size("v").alias("dim"), "row", "id", "m", F.col("v").cast(stored).alias("v"))
+    size = F.greatest(F.lit(1), F.least(F.lit(CELL), F.floor(F.lit(COMPONENTS) / F.col("dim"))))
+    large = rows_of.groupBy(*key).agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / size).cast("int")).where("chunks > 1")
+    large = stash(large.select(*key, "chunks", F.monotonically_increasing_id().alias("group")), "large")
+
+    def within(group: pa.Table) -> pa.Table:
+        sp = space(group.column("dim")[0].as_py())
+        a = Chunk(sp, group)
+        return pa.Table.from_batches([meet_all(sp, a, iter([a]))])
+
+    met = rows_of.join(large, key, "left_anti").groupBy(*key).applyInArrow(within, met_schema)
+    if runs := large.selectExpr("sum((chunks + 1) * (1 + chunks / 2))").first()[0]:
+        path = scratch(rows.sparkSession, "chunks")
+        split = rows_of.join(F.broadcast(large), key).withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(5)), F.col("chunks").cast("long")).cast("int"))
+        split.select("group", "chunk", "row", "id", "m", "v").repartition("group", "chunk").write.partitionBy("group", "chunk").parquet(path)
+
+        def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for group, dim, i, j, chunks in zip(*(batch.column(c).to_pylist() for c in ("group", "dim", "i", "j", "chunks")), strict=True):
+                    if (held := _read(path, group, i)) is None:
+                        continue
+                    sp = space(dim)
+                    a = Chunk(sp, held)
+                    del held
+                    read = (_read(path, group, k) if k > i else None for k in range(j, min(j + RUN, chunks)))
+                    others = (Chunk(sp, t) for t in read if t is not None)
+                    yield meet_all(sp, a, itertools.chain([a] if i == j else [], others))
+
+        pairs = large.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("chunks") - 1, F.lit(RUN))))
+        met = met.union(pairs.repartition(int(min(runs, 10_000))).mapInArrow(tidy(between), met_schema))
+    met = stash(met, "vector-links")
     number = met.where("kind = 0").groupBy(F.col("a").alias("row")).agg(F.sum("b").alias("links"))
     classes = components(met.where("kind = 1").select("a", "b"))
-    known = distinct.join(number, "row", "left").join(classes, "id", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    whole = all_.where(takes_part).join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    hashed = F.xxhash64("label", "v").alias("h")  # sorts faster than a vector
+    known = distinct.join(number, "row", "left").join(classes, "id", "left").select(hashed, "label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    whole = all_.where(takes_part).withColumn("h", hashed).join(known, ["h", "label", "v"]).select("vec_id", "n_links", "component_id")
     alone = all_.where(~takes_part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return whole.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

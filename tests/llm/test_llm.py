@@ -251,6 +251,31 @@ def test_op5(spark, tables, cell, monkeypatch):
     assert neighbours.join(df.limit(0)).count() == 0
 
 
+def test_op5_writes_no_copies_of_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((1500, 64))
+    v[1000:] = v[rng.integers(0, 400, 500)] + rng.standard_normal((500, 64)) * rng.uniform(0.1, 0.5, (500, 1))
+    label = np.arange(1500) % 500 % 2
+    label[:400], label[1000:] = 0, 0
+    written, stash = {}, neighbours.stash
+
+    def counted(df, name):
+        out = stash(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neighbours, "stash", counted)
+    u = v / np.sqrt(np.square(v).sum(1, keepdims=True))
+    near = (u @ u.T >= 0.93) & (label[:, None] == label) & ~np.eye(1500, dtype=bool)
+    n, root = near.sum(1), classes(list(range(1500)), np.argwhere(near).tolist())
+    assert n.sum() > 200
+    df = spark.createDataFrame([(i, v[i].tolist(), int(label[i])) for i in range(1500)], "vec_id long, embedding array<double>, label int")
+    for cell in (4096, 150):
+        monkeypatch.setattr(neighbours, "CELL", cell)
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.join(df).collect()} == {i: (n[i], root[i], root[i] == i) for i in range(1500)}
+        assert max(written.values()) <= 2 * 1500
+
+
 def test_op6(docs, spark):
     def shingles(t):
         w = words(t)
