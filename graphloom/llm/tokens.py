@@ -21,8 +21,8 @@ UNIT = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 ODD = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 #: One word of Latin letters, with what may stand before and after it: its pre-tokens are plain, so that the
 #: library's BPE model takes them without the library's normaliser and pre-tokenizer.
-PLAIN = re.compile(r"([ \n]?)([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Units kept, about 200 bytes each.
+PLAIN = re.compile(rb"([ \n]?)((?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Units kept, about 200 bytes each; as many that were kept before are given up only when the next ones are this many.
 CACHE = 200_000
 
 
@@ -59,39 +59,44 @@ class UnitEncoder(dict):
         self.largest = max(self.tokenizer.get_vocab().values())
         self.lower = not spaces
         self.cut = UNIT.findall if spaces else bytes.split
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  #: the units kept before
+        self.parts: dict[bytes, bytes] = {}  #: what stands before and after words
         self.model = self.tokenizer.model.tokenize
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        """The ids of one pre-token, which are kept."""
-        if not part.isascii():
-            letters = part.encode().decode("latin-1").translate(BYTES)
-        elif part[0] > " ":
-            letters = part  # stands for itself
+    def _model(self, part: bytes) -> bytes:
+        """The ids of one pre-token."""
+        if part.isascii():
+            letters = part.decode() if part[0] > 32 else chr(BYTES[part[0]]) + part[1:].decode()  # the rest stands for itself
         else:
-            letters = chr(BYTES[ord(part[0])]) + part[1:]
-        ids = self.parts[part] = array("I", [x.id for x in self.model(letters)]).tobytes()
+            letters = part.decode("latin-1").translate(BYTES)
+        return array("I", [x.id for x in self.model(letters)]).tobytes()
+
+    def _part(self, part: bytes) -> bytes:
+        ids = self.parts[part] = self._model(part)
         return ids
 
     def __missing__(self, unit: bytes) -> bytes:
-        """Plain words go straight to the library's model, other units through all of the library."""
-        text, parts = unit.decode(), self.parts
-        if m := PLAIN.fullmatch(text):
-            before, word, after = m.groups()
-            if self.lower:
-                word = word.lower()
-            elif before == " ":
-                word = before + word
-            ids = parts.get(word) or self._part(word)
-            if before == "\n" and not self.lower:
-                ids = (parts.get(before) or self._part(before)) + ids
-            if after:
-                ids += parts.get(after) or self._part(after)
-        else:
-            ids = self._encode(text)
+        """Plain words go straight to the library's model, other units through all of the library. A word is kept as the unit that it would be alone."""
+        old, parts = self.old, self.parts
+        if not (ids := old.get(unit)):
+            if m := PLAIN.fullmatch(unit):
+                before, word, after = m.groups()
+                if self.lower:
+                    word = word.decode().lower().encode()
+                elif before == b" ":
+                    word = before + word
+                if not (ids := self.get(word) or old.get(word)):
+                    ids = self._model(word)
+                self[word] = ids
+                if before == b"\n" and not self.lower:
+                    ids = (parts.get(before) or self._part(before)) + ids
+                if after:
+                    ids += parts.get(after) or self._part(after)
+            else:
+                ids = self._encode(unit.decode())
         self[unit] = ids
         return ids
 
@@ -105,6 +110,7 @@ class UnitEncoder(dict):
             else:
                 yield b"".join(map(of, cut(t.encode("utf-8", "replace"))))
                 if len(self) > CACHE:
+                    self.old = dict(self)
                     self.clear()
                 if len(self.parts) > CACHE:
                     self.parts.clear()

@@ -384,6 +384,20 @@ def test_units_equal_library(tokenizer, spark, tables):
                 assert m.encode(x) == want and m.decode(want) == t.decode(want, skip_special_tokens=False)
 
 
+def test_units_outlast_a_full_cache(tokenizer, monkeypatch):
+    monkeypatch.setattr("graphloom.llm.tokens.CACHE", 60)
+    rng = random.Random(12)
+    texts = [" of the same" + "".join(f" {''.join(rng.choices('aeginrst', k=9))}," for _ in range(20)) for _ in range(30)]
+    enc, calls = UnitEncoder("byte_bpe_50k.json", True), Counter()
+    model = enc.model
+    enc.model = lambda part: calls.update([part]) or model(part)
+    t = tokenizer("byte_bpe_50k.json")
+    for x, ids in zip(texts, enc.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    assert [calls[w] for w in ("Ġof", "Ġthe", "Ġsame")] == [1, 1, 1]
+    assert len(enc) + len(enc.old) < 400
+
+
 def test_op7(docs, spark, tokenizer):
     t = tokenizer("word_bpe_49k.json")
     for df in (docs, docs.repartition(5), docs.limit(0)):
