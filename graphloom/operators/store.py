@@ -32,11 +32,16 @@ def tier_rank(tier: Column) -> Column:
 
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One edge for each key: highest confidence (0 counts as 1), strongest tier, bidirectional if any is, earliest time."""
+    return merged_by(edges.where("from_id <> '' AND to_id <> '' AND edge_type <> ''"), EDGE_KEY)
+
+
+def merged_by(edges: DataFrame, key: list[str]) -> DataFrame:
+    """`merge_edges` by other columns that tell the edges apart, such as numbers, of which less is moved than of ids."""
     confidence = F.when(F.coalesce("confidence", F.lit(0.0)) == 0, 1.0).otherwise(F.col("confidence"))
     tier = F.when(F.coalesce("confidence_tier", F.lit("")) == "", "INFERRED").otherwise(F.col("confidence_tier"))
-    merged = edges.where("from_id <> '' AND to_id <> '' AND edge_type <> ''").groupBy(*EDGE_KEY).agg(F.max(confidence).alias("confidence"), F.max(tier_rank(tier)).alias("rank"), F.max("bidirectional").alias("bidirectional"), F.min("created_at").alias("created_at"))
+    merged = edges.groupBy(*key).agg(F.max(confidence).alias("confidence"), F.max(tier_rank(tier)).alias("rank"), F.max("bidirectional").alias("bidirectional"), F.min("created_at").alias("created_at"))
     name = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("rank").cast("int"))
-    return merged.select(*EDGE_KEY, "confidence", name.alias("confidence_tier"), "bidirectional", "created_at")
+    return merged.select(*key, "confidence", name.alias("confidence_tier"), "bidirectional", "created_at")
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
