@@ -83,9 +83,10 @@ def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 10) -> D
 def edges_of(edges: DataFrame, id_: str, types: list[str] | None = None) -> DataFrame:
     """(direction, other, edge_type, confidence) of a node's edges; bidirectional ones count both ways."""
     e = of_types(edges, types)
-    row = lambda df, direction, other: df.select(F.lit(direction).alias("direction"), F.col(other).alias("other"), "edge_type", "confidence")
-    out, back = e.where(F.col("from_id") == id_), e.where(F.col("to_id") == id_)
-    return row(out, "out", "to_id").union(row(back.where("bidirectional"), "out", "from_id")).union(row(back, "in", "from_id")).union(row(out.where("bidirectional"), "in", "to_id")).distinct()
+    out, back, both = F.col("from_id") == id_, F.col("to_id") == id_, F.col("bidirectional")
+    row = lambda fits, direction, other: F.when(fits, F.struct(F.lit(direction).alias("direction"), F.col(other).alias("other")))
+    rows = F.array(row(out, "out", "to_id"), row(back & both, "out", "from_id"), row(back, "in", "from_id"), row(out & both, "in", "to_id"))
+    return e.where(out | back).select(F.explode(F.array_compact(rows)).alias("d"), "edge_type", "confidence").select("d.direction", "d.other", "edge_type", "confidence").distinct()
 
 
 def neighbourhood(edges: DataFrame, id_: str, limit: int = 20, direction: str = "both", types: list[str] | None = None, nodes: DataFrame | None = None) -> DataFrame:
