@@ -3,6 +3,8 @@ next hop, so every hop scans the edges once and the plan does not grow with the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,26 +59,33 @@ def mark_stale(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth: in
     return nodes.join(stale, "id", "left").withColumn("status", F.when(F.col("_stale"), "stale").otherwise(F.col("status"))).select(*nodes.columns)
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 10) -> DataFrame:
+SMALL = 10_000  #: rows of a frontier that is broadcast, so that the edges stay where they are
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 10, merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(hop, id, edge_type, confidence) of a shortest path, the smallest in order of ids, with the strongest edge that enters each hop;
-    one row if start is the goal, none if there is no path."""
+    one row if start is the goal, none if there is no path. With merge, the edges may have repeats, of which only those along the path are merged."""
     spark, schema = edges.sparkSession, "hop int, id string, edge_type string, confidence double"
     steps = directed(edges)
-    front = spark.createDataFrame([(start, [start])], "id string, path array<string>")
+    front, n = spark.createDataFrame([(start, [start])], "id string, path array<string>"), 1
     seen = front.select("id")
     for _ in range(depth + 1):
         found = front.where(F.col("id") == goal).select("path").first()
-        if found or front.isEmpty():
+        if found or not n:
             break
-        reached = steps.join(front, front.id == steps.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        reached = steps.join(F.broadcast(front) if n <= SMALL else front, front.id == steps.src).groupBy(F.col("dst").alias("id")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         front = written(reached.join(seen, "id", "left_anti"), "frontier")
+        n = front.count()
         seen = seen.union(front.select("id"))
     else:
         found = None
     if not found:
         return spark.createDataFrame([], schema)
     hops = spark.createDataFrame([(k, found.path[k - 1] if k else None, x) for k, x in enumerate(found.path)], "hop int, src string, dst string")
-    best = steps.join(hops, ["src", "dst"]).groupBy("hop").agg(F.min_by(F.struct("edge_type", "confidence"), F.struct(-F.col("confidence"), "edge_type")).alias("e"))
+    if merge:
+        ends = hops.select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"))
+        steps = directed(merge(edges.join(F.broadcast(ends.union(ends.select("to_id", "from_id"))), ["from_id", "to_id"], "left_semi")))
+    best = steps.join(F.broadcast(hops), ["src", "dst"]).groupBy("hop").agg(F.min_by(F.struct("edge_type", "confidence"), F.struct(-F.col("confidence"), "edge_type")).alias("e"))
     return hops.join(best, "hop", "left").select("hop", F.col("dst").alias("id"), "e.edge_type", "e.confidence")
 
 

@@ -77,6 +77,15 @@ def test_shortest_path(spark):
     assert path("a", "c") == ["a", "b", "c"] and path("a", "a") == ["a"] and path("e", "c") == ["e", "c"] and path("c", "a") == []
 
 
+def test_shortest_path_merges_along_the_path(spark, monkeypatch):
+    e = edges(spark, ("b", "a", "x", 0.3, "INFERRED", True), ("b", "a", "x", 0.0, "PROPOSED", False), ("b", "c", "y", 0.2, "", False), ("b", "c", "y", 0.4, "", False), ("b", "c", "z", 0.3, "", False), ("q", "c", "x", 0.9, "", True))
+    want = [(0, "a", None, None), (1, "b", "x", 1.0), (2, "c", "y", 0.4)]
+    for small in (graph.SMALL, 0):
+        monkeypatch.setattr(graph, "SMALL", small)
+        assert [tuple(r) for r in graph.shortest_path(e, "a", "c", merge=store.merge_edges).orderBy("hop").collect()] == want
+    assert [tuple(r) for r in graph.shortest_path(store.merge_edges(e), "a", "c").orderBy("hop").collect()] == want
+
+
 def test_hierarchy(spark):
     files = spark.createDataFrame([("1", "Acme/Alpha/PRD/rbac/00-index.md"), ("2", "Acme/Bravo/PRD/single-feature/00-index.md")], "id string, source_path string")
     nodes, e = link.hierarchy(files, "p")
